@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The workload is batch only: corpora are finite tables and the lazy
+generators of the original scripts correspond to ordinary DataFrame
+laziness.  No watermark, window or state operator is needed, so none is
+provided.
+"""
