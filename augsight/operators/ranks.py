@@ -11,44 +11,71 @@ only the bucket-count table (bounded by groups x buckets) is prefix-summed.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from augsight.operators.small import small_table
+from augsight.operators.small import DEFAULT_MAX_ROWS
+
+# Integer ids are bucketed by their high bits: a bucket spans 2**16 consecutive
+# values, so (ids being unique) no window partition ever holds more than 65 536 rows.
+ID_BUCKET_BITS = 16
+
+
+def id_bucket(id_col: str | Column, bits: int = ID_BUCKET_BITS) -> Column:
+    c = F.col(id_col) if isinstance(id_col, str) else id_col
+    return F.shiftright(c, bits)
+
+
+def _offsets(counts: DataFrame, part: list[str], max_rows: int) -> tuple[DataFrame, int | None]:
+    """(part..., _bucket, _off) with _off = rows in earlier buckets of the same part."""
+    rows = counts.limit(max_rows + 1).collect()
+    spark = counts.sparkSession
+    if len(rows) > max_rows:
+        # Beyond the bound: distributed prefix sums, joined without broadcast.
+        before = Window.partitionBy(*part).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+        return counts.select(*part, "_bucket",
+                             F.coalesce(F.sum("_n").over(before), F.lit(0)).cast("long").alias("_off")), None
+    key = lambda r: tuple(r[c] for c in part)
+    out, total = [], 0
+    for _, grp in groupby(sorted(rows, key=lambda r: (key(r), r["_bucket"])), key=key):
+        acc = 0
+        for r in grp:
+            out.append((*key(r), r["_bucket"], acc))
+            acc += r["_n"]
+        total += acc
+    schema = T.StructType([f for f in counts.schema.fields if f.name != "_n"]
+                          + [T.StructField("_off", T.LongType(), False)])
+    return F.broadcast(spark.createDataFrame(out, schema)), total
 
 
 def bucketed_rank(df: DataFrame, bucket: Column, order: Sequence[Column],
-                  partition: Sequence[str] = (), out: str = "rank") -> DataFrame:
+                  partition: Sequence[str] = (), out: str = "rank",
+                  max_rows: int = DEFAULT_MAX_ROWS, return_total: bool = False):
     """Add a 0-based rank over ``order`` (within ``partition``) to ``df``.
 
     ``bucket`` must be non-decreasing along ``order`` inside each partition.
+    With ``return_total`` also returns the row count (known from the bucket
+    table, no extra pass).
     """
     part = list(partition)
     b = df.withColumn("_bucket", bucket)
-    in_bucket = Window.partitionBy(*part, "_bucket").orderBy(*order)
-    ranked = b.withColumn("_r", F.row_number().over(in_bucket) - 1)
     counts = b.groupBy(*part, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*part).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*part, "_bucket",
-                            F.coalesce(F.sum("_n").over(before), F.lit(0)).cast("long").alias("_off"))
-    return (ranked.join(small_table(offsets), [*part, "_bucket"])
-            .withColumn(out, (F.col("_off") + F.col("_r")).cast("long"))
-            .drop("_bucket", "_r", "_off"))
-
-
-def id_bucket(df: DataFrame, id_col: str, max_buckets: int = 65536) -> Column:
-    """Monotone bucket of an integer id: high bits of (id - min), at most ``max_buckets`` values."""
-    lo, hi = df.agg(F.min(id_col), F.max(id_col)).first()
-    if lo is None:
-        return F.lit(0)
-    span = int(hi) - int(lo) + 1
-    shift = max(0, span.bit_length() - max(1, (max_buckets - 1).bit_length()))
-    return F.shiftright(F.col(id_col) - F.lit(int(lo)), shift)
-
-
-def dense_reindex(df: DataFrame, order: Sequence[str], out: str = "new_id",
-                  max_buckets: int = 65536) -> DataFrame:
-    """Dense 0..N-1 ids following ``order`` (first column integer, further columns tie-breaks)."""
-    bucket = id_bucket(df, order[0], max_buckets)
-    return bucketed_rank(df, bucket, [F.col(c) for c in order], out=out)
+    offsets, total = _offsets(counts, part, max_rows)
+    in_bucket = Window.partitionBy(*part, "_bucket").orderBy(*order)
+    ranked = (b.withColumn("_r", F.row_number().over(in_bucket) - 1)
+              .join(offsets, [*part, "_bucket"])
+              .withColumn(out, (F.col("_off") + F.col("_r")).cast("long"))
+              .drop("_bucket", "_r", "_off"))
+    if return_total:
+        if total is None:
+            total = df.count()
+        return ranked, total
+    return ranked
+
+
+def dense_reindex(df: DataFrame, order: Sequence[str], out: str = "new_id") -> DataFrame:
+    """Dense 0..N-1 ids following ``order`` (first column an integer id, the rest tie-breaks)."""
+    return bucketed_rank(df, id_bucket(order[0]), [F.col(c) for c in order], out=out)

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from augsight.operators import dedup, imbalance
+from augsight.operators import augment, dedup, imbalance, splits
 from augsight.sources.corpus import corpus
 
 # Fixed parameters shared with the oracle SQL.
@@ -103,6 +103,107 @@ def q_duplicate_label_conflicts(spark, d):
     return dedup.label_conflicts(corpus(spark, d), subset=["title"])
 
 
+# --- M2/M3: splits, folds, augmentation, ids ------------------------------------------------
+
+SPLIT_NAMES = ["train", "dev", "test"]
+SPLIT_SIZES = [0.8, 0.1, 0.1]
+K = 5
+VARIANTS = 3
+SUBSET_N = 100
+
+
+@register("split_plain")
+def q_split_plain(spark, d):
+    return splits.split_plain(corpus(spark, d).select("id"), SPLIT_NAMES, SPLIT_SIZES, SEED)
+
+
+@register("split_stratified")
+def q_split_stratified(spark, d):
+    return splits.split_stratified(corpus(spark, d).select("id", "event_type"), SPLIT_NAMES, SPLIT_SIZES, SEED)
+
+
+@register("split_label_coverage")
+def q_split_label_coverage(spark, d):
+    return imbalance.label_coverage(q_split_plain_labelled(spark, d))
+
+
+def q_split_plain_labelled(spark, d):
+    return splits.split_plain(corpus(spark, d).select("id", "event_type"), SPLIT_NAMES, SPLIT_SIZES, SEED)
+
+
+@register("kfold_stratified")
+def q_kfold_stratified(spark, d):
+    return splits.kfold_stratified(corpus(spark, d).select("id", "event_type"), K, CV_SEED)
+
+
+def augmented_corpus(spark, d, cutoff=LOW_RESOURCE_SHARE):
+    return augment.augment_corpus(corpus(spark, d), VARIANTS, cutoff)
+
+
+@register("augment_lead_k")
+def q_augment_lead_k(spark, d):
+    return _date_str(augment.augment_corpus(corpus(spark, d), VARIANTS, None))
+
+
+@register("augment_low_resource")
+def q_augment_low_resource(spark, d):
+    return _date_str(augmented_corpus(spark, d))
+
+
+@register("kfold_leakage_safe")
+def q_kfold_leakage_safe(spark, d):
+    return splits.kfold_leakage_safe(augmented_corpus(spark, d).select("id", "event_type", "source_doc_id"), K, CV_SEED)
+
+
+@register("kfold_leakage_audit")
+def q_kfold_leakage_audit(spark, d):
+    aug = augmented_corpus(spark, d).select("id", "event_type", "source_doc_id")
+    return splits.leakage_audit(splits.kfold_leakage_safe(aug, K, CV_SEED), aug)
+
+
+@register("subsample_one_per_source")
+def q_subsample_one_per_source(spark, d):
+    aug = augment.augmented(augmented_corpus(spark, d))
+    return augment.subsample_one_per_source(aug, SEED).select("id", "source_doc_id")
+
+
+@register("subsample_unique_text")
+def q_subsample_unique_text(spark, d):
+    aug = augment.augmented(augmented_corpus(spark, d))
+    return augment.subsample_unique_text(aug, SEED).select("id", "source_doc_id")
+
+
+@register("reindex_dense")
+def q_reindex_dense(spark, d):
+    kept = augment.subsample_augmented(augmented_corpus(spark, d), "one_per_source")
+    return kept.select("id", "source_doc_id", "new_id")
+
+
+@register("id_contiguity")
+def q_id_contiguity(spark, d):
+    kept = augment.subsample_augmented(augmented_corpus(spark, d), "unique_text")
+    a = augment.id_contiguity(kept, "id").withColumn("id_column", F.lit("id"))
+    b = augment.id_contiguity(kept, "new_id").withColumn("id_column", F.lit("new_id"))
+    return a.unionByName(b)
+
+
+@register("partition_reconcile")
+def q_partition_reconcile(spark, d):
+    return augment.partition_reconcile(augmented_corpus(spark, d))
+
+
+@register("random_subset")
+def q_random_subset(spark, d):
+    from augsight.operators.trainset import random_subset
+    return random_subset(corpus(spark, d).select("id", "event_type"), SUBSET_N, SEED)
+
+
+@register("bounded_read")
+def q_bounded_read(spark, d):
+    from augsight.sources.corpus import bounded
+    return bounded(corpus(spark, d).select("id", "event_type"), 25)
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -94,5 +94,175 @@ SELECT md5(title) AS text_md5, COUNT(*) AS n_rows, COUNT(DISTINCT event_type) AS
 FROM corpus GROUP BY title HAVING COUNT(DISTINCT event_type) > 1"""
 
 
+
+# --- M2/M3: splits, folds, augmentation, ids ------------------------------------------------
+# Stage fractions of the 0.8 / 0.1 / 0.1 split: size_i / sum(sizes[i:]).
+F1 = "CAST(%r AS DOUBLE)" % (0.8 / (0.8 + 0.1 + 0.1))
+F2 = "CAST(%r AS DOUBLE)" % (0.1 / (0.1 + 0.1))
+
+
+def hkey(seed, col="id"):
+    return f"md5('{seed}:' || CAST({col} AS VARCHAR))"
+
+
+SENTS = r"string_split(regexp_replace({c}, '([.!?])[ \t\n\r\f]+', '\1' || chr(1), 'g'), chr(1))"
+
+SQL["split_plain"] = w(CORPUS) + f""",
+r AS (SELECT id, ROW_NUMBER() OVER (ORDER BY {hkey(42)}, id) - 1 AS rk FROM corpus),
+n AS (SELECT COUNT(*) AS n FROM corpus),
+b AS (SELECT floor({F1} * n) AS b1, n FROM n),
+b2 AS (SELECT b1, b1 + floor({F2} * (n - b1)) AS b2 FROM b)
+SELECT id, CASE WHEN rk < b1 THEN 'train' WHEN rk < b2 THEN 'dev' ELSE 'test' END AS split
+FROM r, b2"""
+
+SQL["split_stratified"] = w(CORPUS) + f""",
+cnt AS (SELECT event_type, COUNT(*) AS c FROM corpus GROUP BY 1),
+s1 AS (SELECT event_type, c, floor({F1} * SUM(c) OVER ()) AS take, SUM(c) OVER () AS tot FROM cnt),
+a1 AS (SELECT *, CAST(c * take AS DOUBLE) / tot AS cont FROM s1),
+a1b AS (SELECT *, floor(cont) AS fl, cont - floor(cont) AS rem FROM a1),
+a1c AS (SELECT event_type, c, fl + CASE WHEN ROW_NUMBER() OVER (ORDER BY rem DESC, event_type)
+                                         <= take - SUM(fl) OVER () THEN 1 ELSE 0 END AS alloc1 FROM a1b),
+s2 AS (SELECT event_type, alloc1, c - alloc1 AS r, floor({F2} * SUM(c - alloc1) OVER ()) AS take,
+              SUM(c - alloc1) OVER () AS tot FROM a1c),
+a2 AS (SELECT *, CAST(r * take AS DOUBLE) / tot AS cont FROM s2),
+a2b AS (SELECT *, floor(cont) AS fl, cont - floor(cont) AS rem FROM a2),
+bounds AS (SELECT event_type, alloc1 AS b1,
+                  alloc1 + fl + CASE WHEN ROW_NUMBER() OVER (ORDER BY rem DESC, event_type)
+                                     <= take - SUM(fl) OVER () THEN 1 ELSE 0 END AS b2 FROM a2b),
+r AS (SELECT id, event_type,
+             ROW_NUMBER() OVER (PARTITION BY event_type ORDER BY {hkey(42)}, id) - 1 AS rk FROM corpus)
+SELECT r.id, r.event_type,
+       CASE WHEN rk < b1 THEN 'train' WHEN rk < b2 THEN 'dev' ELSE 'test' END AS split
+FROM r JOIN bounds USING (event_type)"""
+
+SPLIT_PLAIN_LABELLED = f"""
+sp AS (SELECT id, event_type,
+              CASE WHEN rk < b1 THEN 'train' WHEN rk < b2 THEN 'dev' ELSE 'test' END AS split
+       FROM (SELECT id, event_type, ROW_NUMBER() OVER (ORDER BY {hkey(42)}, id) - 1 AS rk FROM corpus),
+            (SELECT b1, b1 + floor({F2} * (n - b1)) AS b2
+             FROM (SELECT floor({F1} * COUNT(*)) AS b1, COUNT(*) AS n FROM corpus)))"""
+
+SQL["split_label_coverage"] = w(CORPUS, SPLIT_PLAIN_LABELLED) + """
+SELECT split, COUNT(*) AS n_rows, COUNT(DISTINCT event_type) AS n_labels,
+       (SELECT COUNT(DISTINCT event_type) FROM sp) - COUNT(DISTINCT event_type) AS n_missing_labels
+FROM sp GROUP BY split"""
+
+SQL["kfold_stratified"] = w(CORPUS) + f"""
+SELECT id, event_type,
+       CAST((ROW_NUMBER() OVER (ORDER BY event_type, {hkey(18091999)}, id) - 1) % 5 AS INTEGER) AS fold
+FROM corpus"""
+
+
+def augmented(lowres: bool) -> str:
+    """CTE ``aug`` = originals (dense ids) + 3 lead-sentence variants of every source."""
+    where = "WHERE event_type IN (SELECT event_type FROM lowres)" if lowres else ""
+    sents = SENTS.format(c="text")
+    return f"""
+orig AS (SELECT ROW_NUMBER() OVER (ORDER BY id) - 1 AS nid, title, text, event_type, date FROM corpus),
+src AS (SELECT *, ROW_NUMBER() OVER (ORDER BY nid) - 1 AS srank, {sents} AS s FROM orig {where}),
+gen AS (SELECT (SELECT COUNT(*) FROM orig) + srank * 3 + j AS id, title,
+               array_to_string(s[1:j + 1], ' ') AS text, event_type, date, nid AS source_doc_id
+        FROM src, (SELECT range AS j FROM range(3))),
+aug AS (SELECT nid AS id, title, text, event_type, date, CAST(NULL AS BIGINT) AS source_doc_id FROM orig
+        UNION ALL SELECT * FROM gen)"""
+
+
+AUG_ALL = augmented(False)
+AUG_LOW = augmented(True)
+
+SQL["augment_lead_k"] = w(CORPUS, AUG_ALL) + """
+SELECT id, title, text, event_type, CAST(date AS VARCHAR) AS date, source_doc_id FROM aug"""
+
+SQL["augment_low_resource"] = w(CORPUS, COUNTS, AUG_LOW) + """
+SELECT id, title, text, event_type, CAST(date AS VARCHAR) AS date, source_doc_id FROM aug"""
+
+KFOLD_SAFE = f"""
+f AS (SELECT id, CAST((ROW_NUMBER() OVER (ORDER BY event_type, {hkey(18091999)}, id) - 1) % 5 AS INTEGER) AS fold
+      FROM aug WHERE source_doc_id IS NULL),
+a AS (SELECT x.id, f.fold AS src_fold FROM aug x LEFT JOIN f ON x.source_doc_id = f.id
+      WHERE x.source_doc_id IS NOT NULL),
+folds AS (SELECT CAST(range AS INTEGER) AS k FROM range(5)),
+assign AS (
+  SELECT folds.k AS fold, f.id, CASE WHEN folds.k = f.fold THEN 'test' ELSE 'train' END AS role
+  FROM f, folds
+  UNION ALL
+  SELECT folds.k AS fold, a.id, 'train' AS role FROM a, folds
+  WHERE a.src_fold IS NULL OR folds.k <> a.src_fold)"""
+
+SQL["kfold_leakage_safe"] = w(CORPUS, COUNTS, AUG_LOW, KFOLD_SAFE) + """
+SELECT fold, id, role FROM assign"""
+
+SQL["kfold_leakage_audit"] = w(CORPUS, COUNTS, AUG_LOW, KFOLD_SAFE) + """,
+x AS (SELECT s.fold, s.id, s.role, g.source_doc_id FROM assign s JOIN aug g USING (id)),
+leaks AS (SELECT t.fold, COUNT(*) AS n FROM x t JOIN x e
+            ON t.fold = e.fold AND t.role = 'train' AND e.role = 'test' AND t.source_doc_id = e.id
+          GROUP BY t.fold)
+SELECT x.fold,
+       COUNT(*) FILTER (WHERE role = 'test') AS n_test,
+       COUNT(*) FILTER (WHERE role = 'train' AND source_doc_id IS NULL) AS n_train_original,
+       COUNT(*) FILTER (WHERE role = 'train' AND source_doc_id IS NOT NULL) AS n_train_augmented,
+       COALESCE(MAX(leaks.n), 0) AS n_leaks
+FROM x LEFT JOIN leaks USING (fold) GROUP BY x.fold"""
+
+SQL["subsample_one_per_source"] = w(CORPUS, COUNTS, AUG_LOW) + f"""
+SELECT id, source_doc_id FROM (
+  SELECT id, source_doc_id,
+         ROW_NUMBER() OVER (PARTITION BY source_doc_id ORDER BY {hkey(42)}, id) AS rn
+  FROM aug WHERE source_doc_id IS NOT NULL) WHERE rn = 1"""
+
+SQL["subsample_unique_text"] = w(CORPUS, COUNTS, AUG_LOW) + f"""
+SELECT id, source_doc_id FROM (
+  SELECT id, source_doc_id,
+         ROW_NUMBER() OVER (PARTITION BY text ORDER BY {hkey(42)}, id) AS rn
+  FROM aug WHERE source_doc_id IS NOT NULL AND text IS NOT NULL) WHERE rn = 1"""
+
+ONE_PER_SOURCE = f"""
+kept AS (
+  SELECT id, source_doc_id FROM aug WHERE source_doc_id IS NULL
+  UNION ALL
+  SELECT id, source_doc_id FROM (
+    SELECT id, source_doc_id,
+           ROW_NUMBER() OVER (PARTITION BY source_doc_id ORDER BY {hkey(42)}, id) AS rn
+    FROM aug WHERE source_doc_id IS NOT NULL) WHERE rn = 1),
+re AS (SELECT id, source_doc_id,
+              ROW_NUMBER() OVER (ORDER BY source_doc_id IS NOT NULL, id) - 1 AS new_id FROM kept)"""
+
+SQL["reindex_dense"] = w(CORPUS, COUNTS, AUG_LOW, ONE_PER_SOURCE) + """
+SELECT id, source_doc_id, new_id FROM re"""
+
+UNIQUE_TEXT = f"""
+kept AS (
+  SELECT id, source_doc_id FROM aug WHERE source_doc_id IS NULL
+  UNION ALL
+  SELECT id, source_doc_id FROM (
+    SELECT id, source_doc_id,
+           ROW_NUMBER() OVER (PARTITION BY text ORDER BY {hkey(42)}, id) AS rn
+    FROM aug WHERE source_doc_id IS NOT NULL AND text IS NOT NULL) WHERE rn = 1),
+re AS (SELECT id, source_doc_id,
+              ROW_NUMBER() OVER (ORDER BY source_doc_id IS NOT NULL, id) - 1 AS new_id FROM kept)"""
+
+SQL["id_contiguity"] = w(CORPUS, COUNTS, AUG_LOW, UNIQUE_TEXT) + """
+SELECT 'id' AS id_column, MIN(id) AS min_id, MAX(id) AS max_id, COUNT(*) AS n_rows,
+       COUNT(DISTINCT id) AS n_distinct, MAX(id) - MIN(id) + 1 - COUNT(DISTINCT id) AS n_missing,
+       (MAX(id) - MIN(id) + 1 = COUNT(*)) AND (COUNT(*) = COUNT(DISTINCT id)) AS contiguous FROM re
+UNION ALL
+SELECT 'new_id', MIN(new_id), MAX(new_id), COUNT(*), COUNT(DISTINCT new_id),
+       MAX(new_id) - MIN(new_id) + 1 - COUNT(DISTINCT new_id),
+       (MAX(new_id) - MIN(new_id) + 1 = COUNT(*)) AND (COUNT(*) = COUNT(DISTINCT new_id)) FROM re"""
+
+SQL["partition_reconcile"] = w(CORPUS, COUNTS, AUG_LOW) + """
+SELECT COUNT(*) AS n_total, COUNT(*) FILTER (WHERE source_doc_id IS NULL) AS n_original,
+       COUNT(*) FILTER (WHERE source_doc_id IS NOT NULL) AS n_augmented,
+       COUNT(*) FILTER (WHERE source_doc_id IS NULL) + COUNT(*) FILTER (WHERE source_doc_id IS NOT NULL)
+         = COUNT(*) AS parts_sum_to_whole
+FROM aug"""
+
+SQL["random_subset"] = w(CORPUS) + f"""
+SELECT id, event_type FROM corpus ORDER BY {hkey(42)}, id LIMIT 100"""
+
+SQL["bounded_read"] = w(CORPUS) + """
+SELECT id, event_type FROM corpus ORDER BY id LIMIT 25"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
