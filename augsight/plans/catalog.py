@@ -12,7 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from augsight.operators import augment, dedup, imbalance, splits
+from augsight.functions import text as tx
+from augsight.operators import augment, dedup, features, imbalance, rouge, splits
+from augsight.sources.tables import table
 from augsight.sources.corpus import corpus
 
 # Fixed parameters shared with the oracle SQL.
@@ -204,6 +206,112 @@ def q_bounded_read(spark, d):
     return bounded(corpus(spark, d).select("id", "event_type"), 25)
 
 
+# --- M4: text, n-grams, TF-IDF, ROUGE -------------------------------------------------------
+
+MAX_CHARS = 5000
+CHUNK_CHARS = 1000
+LEAD_SENTENCES = 3
+MIN_DF = 3
+MAX_DF = 1.0
+
+
+@register("assemble_text")
+def q_assemble_text(spark, d):
+    c = corpus(spark, d)
+    return c.select("id", tx.assemble(F.col("title"), F.col("text")).alias("doc"))
+
+
+@register("truncate_chars")
+def q_truncate_chars(spark, d):
+    c = corpus(spark, d)
+    return c.select("id", tx.truncate_chars("text", MAX_CHARS).alias("truncated"),
+                    (F.length("text") > MAX_CHARS).alias("was_truncated"))
+
+
+def dictionary_stub(chunk):
+    """Per-chunk stand-in translator (Column -> Column): a fixed word substitution."""
+    return F.replace(chunk, F.lit(" the "), F.lit(" le "))
+
+
+@register("chunk_rejoin")
+def q_chunk_rejoin(spark, d):
+    c = corpus(spark, d)
+    parts = tx.chunks("text", CHUNK_CHARS)
+    return c.select("id", F.size(parts).alias("n_chunks"),
+                    F.md5(F.array_join(F.transform(parts, dictionary_stub), "")).alias("out_md5"))
+
+
+@register("first_n_sentences")
+def q_first_n_sentences(spark, d):
+    c = corpus(spark, d)
+    return c.select("id", F.size(tx.sentences("text")).alias("n_sentences"),
+                    tx.first_sentences("text", LEAD_SENTENCES).alias("lead"))
+
+
+@register("summary_normalise")
+def q_summary_normalise(spark, d):
+    conv = table(spark, d, "conversations", "conv_id", "turn", "role", "text")
+    return conv.where(F.col("role") == "assistant").select(
+        "conv_id", "turn", tx.normalise_summary("text").alias("normalised"))
+
+
+@register("ngrams_1_3")
+def q_ngrams_1_3(spark, d):
+    c = corpus(spark, d).select("id", tx.tokens("text").alias("t"))
+    return c.select("id", F.size("t").alias("n_tokens"),
+                    F.size(tx.ngrams("t", 2)).alias("n_bigrams"),
+                    F.size(tx.ngrams("t", 3)).alias("n_trigrams"),
+                    F.md5(F.array_join(tx.ngram_range("t", 1, 3), "|")).alias("grams_md5"))
+
+
+def _token_docs(spark, d):
+    return corpus(spark, d).select("id", tx.tokens("text").alias("tokens"))
+
+
+@register("doc_frequency_pruned")
+def q_doc_frequency_pruned(spark, d):
+    docs = _token_docs(spark, d)
+    tf = features.term_frequencies(docs)
+    return features.document_frequency(tf, docs.count(), MIN_DF, MAX_DF)
+
+
+@register("tfidf")
+def q_tfidf(spark, d):
+    weights, _, _ = features.tfidf(_token_docs(spark, d), min_df=MIN_DF, max_df=MAX_DF)
+    return weights.select("id", "term", F.round("weight", 6).alias("weight"))
+
+
+def _pairs(spark, d):
+    return rouge.conversation_pairs(table(spark, d, "conversations", "conv_id", "turn", "role", "text"))
+
+
+def _rounded(df, cols):
+    return df.select(*[F.round(c, 6).alias(c) if c in cols else c for c in df.columns])
+
+
+@register("rouge_1")
+def q_rouge_1(spark, d):
+    return _rounded(rouge.rouge_n(_pairs(spark, d), 1, ["conv_id", "turn"]), ["precision", "recall", "fmeasure"])
+
+
+@register("rouge_2")
+def q_rouge_2(spark, d):
+    return _rounded(rouge.rouge_n(_pairs(spark, d), 2, ["conv_id", "turn"]), ["precision", "recall", "fmeasure"])
+
+
+@register("rouge_summary")
+def q_rouge_summary(spark, d):
+    p = _pairs(spark, d)
+    r1 = rouge.rouge_summary(rouge.rouge_n(p, 1, ["conv_id", "turn"])).withColumn("metric", F.lit("rouge1"))
+    r2 = rouge.rouge_summary(rouge.rouge_n(p, 2, ["conv_id", "turn"])).withColumn("metric", F.lit("rouge2"))
+    return r1.unionByName(r2)
+
+
+@register("rouge_l")
+def q_rouge_l(spark, d):
+    return _rounded(rouge.rouge_l(_pairs(spark, d), ["conv_id", "turn"]), ["precision", "recall", "fmeasure"])
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -264,5 +264,101 @@ SQL["bounded_read"] = w(CORPUS) + """
 SELECT id, event_type FROM corpus ORDER BY id LIMIT 25"""
 
 
+
+# --- M4: text, n-grams, TF-IDF, ROUGE -------------------------------------------------------
+TOKENS = "list_filter(string_split_regex(lower({c}), '[^a-z0-9]+'), lambda x: x <> '')"
+STRIP = r"regexp_replace({c}, '^[ \t\n\r\f]+|[ \t\n\r\f]+$', '', 'g')"
+
+
+def grams(t: str, n: int) -> str:
+    return f"list_transform(range(1, len({t}) - {n} + 2), lambda i: array_to_string({t}[i:i + {n} - 1], ' '))"
+
+
+def normalised(c: str) -> str:
+    flat = f"replace({STRIP.format(c=c)}, chr(10), ' ')"
+    return f"array_to_string({SENTS.format(c=flat)}, chr(10))"
+
+
+SQL["assemble_text"] = w(CORPUS) + """
+SELECT id, concat_ws('. ', title, text) AS doc FROM corpus"""
+
+SQL["truncate_chars"] = w(CORPUS) + """
+SELECT id, substring(text, 1, 4999) AS truncated, length(text) > 5000 AS was_truncated FROM corpus"""
+
+SQL["chunk_rejoin"] = w(CORPUS) + """
+SELECT id, CAST(greatest(CAST(ceil(length(text) / 1000) AS INTEGER), 1) AS INTEGER) AS n_chunks,
+       md5(array_to_string(list_transform(
+             range(0, greatest(CAST(ceil(length(text) / 1000) AS INTEGER), 1)),
+             lambda i: replace(substring(text, CAST(i * 1000 + 1 AS INTEGER), 1000), ' the ', ' le ')), '')) AS out_md5
+FROM corpus"""
+
+SQL["first_n_sentences"] = w(CORPUS) + f"""
+SELECT id, CAST(len({SENTS.format(c='text')}) AS INTEGER) AS n_sentences,
+       array_to_string({SENTS.format(c='text')}[1:3], ' ') AS lead FROM corpus"""
+
+SQL["summary_normalise"] = f"""
+SELECT conv_id, turn, {normalised('text')} AS normalised FROM conversations WHERE role = 'assistant'"""
+
+SQL["ngrams_1_3"] = w(CORPUS) + f""",
+t AS (SELECT id, {TOKENS.format(c='text')} AS t FROM corpus)
+SELECT id, CAST(len(t) AS INTEGER) AS n_tokens, CAST(len({grams('t', 2)}) AS INTEGER) AS n_bigrams,
+       CAST(len({grams('t', 3)}) AS INTEGER) AS n_trigrams,
+       md5(array_to_string(list_concat({grams('t', 1)}, {grams('t', 2)}, {grams('t', 3)}), '|')) AS grams_md5
+FROM t"""
+
+TF = f"""
+toks AS (SELECT id, {TOKENS.format(c='text')} AS t FROM corpus),
+g AS (SELECT id, unnest({grams('t', 1)}) AS term FROM toks
+      UNION ALL SELECT id, unnest({grams('t', 2)}) FROM toks
+      UNION ALL SELECT id, unnest({grams('t', 3)}) FROM toks),
+tf AS (SELECT id, term, COUNT(*) AS tf FROM g GROUP BY id, term),
+ndocs AS (SELECT COUNT(*) AS n FROM corpus),
+vocab AS (SELECT term, COUNT(*) AS df FROM tf GROUP BY term
+          HAVING COUNT(*) >= 3 AND COUNT(*) <= CAST(1.0 AS DOUBLE) * (SELECT n FROM ndocs))"""
+
+SQL["doc_frequency_pruned"] = w(CORPUS, TF) + """
+SELECT term, df FROM vocab"""
+
+SQL["tfidf"] = w(CORPUS, TF) + """,
+raw AS (SELECT tf.id, tf.term,
+               tf.tf * (ln(CAST(1 + (SELECT n FROM ndocs) AS DOUBLE) / (v.df + 1.0)) + 1.0) AS w
+        FROM tf JOIN vocab v USING (term))
+SELECT id, term, round(w / sqrt(SUM(w * w) OVER (PARTITION BY id)), 6) AS weight FROM raw"""
+
+PAIRS = """
+pairs AS (SELECT a.conv_id, a.turn, a.text AS prediction, u.text AS reference
+          FROM conversations a JOIN conversations u
+            ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
+          WHERE a.role = 'assistant' AND u.role = 'user')"""
+
+
+def rouge_n_sql(n: int) -> str:
+    tp = TOKENS.format(c=normalised("prediction"))
+    tr = TOKENS.format(c=normalised("reference"))
+    return w(PAIRS) + f""",
+tk AS (SELECT conv_id, turn, {grams('tp', n)} AS gp, {grams('tr', n)} AS gr
+       FROM (SELECT conv_id, turn, {tp} AS tp, {tr} AS tr FROM pairs)),
+cp AS (SELECT conv_id, turn, g, COUNT(*) AS c FROM (SELECT conv_id, turn, unnest(gp) AS g FROM tk) GROUP BY ALL),
+cr AS (SELECT conv_id, turn, g, COUNT(*) AS c FROM (SELECT conv_id, turn, unnest(gr) AS g FROM tk) GROUP BY ALL),
+ov AS (SELECT conv_id, turn, SUM(least(cp.c, cr.c)) AS o FROM cp JOIN cr USING (conv_id, turn, g) GROUP BY ALL),
+s AS (SELECT tk.conv_id, tk.turn, COALESCE(ov.o, 0) AS o, len(gp) AS np, len(gr) AS nr
+      FROM tk LEFT JOIN ov USING (conv_id, turn)),
+m AS (SELECT conv_id, turn, CASE WHEN np > 0 THEN o / np ELSE 0.0 END AS p,
+             CASE WHEN nr > 0 THEN o / nr ELSE 0.0 END AS r FROM s)
+"""
+
+
+for _n in (1, 2):
+    SQL[f"rouge_{_n}"] = rouge_n_sql(_n) + """
+SELECT conv_id, turn, round(p, 6) AS precision, round(r, 6) AS recall,
+       round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END, 6) AS fmeasure FROM m"""
+
+SQL["rouge_summary"] = (
+    "SELECT 'rouge1' AS metric, round(AVG(f) * 100, 4) AS score FROM (" + rouge_n_sql(1)
+    + " SELECT CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END AS f FROM m)"
+    + " UNION ALL SELECT 'rouge2', round(AVG(f) * 100, 4) FROM (" + rouge_n_sql(2)
+    + " SELECT CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END AS f FROM m)")
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
