@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from augsight.functions import text as tx
-from augsight.operators import augment, dedup, features, imbalance, rouge, splits
+from augsight.functions import arrays
+from augsight.functions.rules import predict_language
+from augsight.operators import augment, dedup, features, imbalance, metrics, rouge, splits
 from augsight.sources.tables import table
 from augsight.sources.corpus import corpus
 
@@ -312,6 +314,137 @@ def q_rouge_l(spark, d):
     return _rounded(rouge.rouge_l(_pairs(spark, d), ["conv_id", "turn"]), ["precision", "recall", "fmeasure"])
 
 
+# --- M5: evaluation -------------------------------------------------------------------------
+
+# Experiments of the score analysis: (name, use title in the view, keep the lead line in the body,
+# characters the classifier sees).  Names carry the tags the group analysis looks for.
+EXPERIMENTS = [(f"bart.{t}.{dec}.{sp}", t == "title", sp == "spacytitle", win)
+               for t in ("title", "notitle")
+               for dec, win in (("greedy", 40), ("beam", 80), ("top_k", 160))
+               for sp in ("spacytitle", "spacynotitle")]
+
+
+def _round(df, cols=("precision", "recall", "f1", "old", "new", "delta", "mean", "var", "std", "score")):
+    return df.select(*[F.round(c, 6).alias(c) if c in cols else c for c in df.columns])
+
+
+def predictions(spark, d):
+    """Rule-classifier predictions of two experiments: on the title only and on the full text."""
+    c = corpus(spark, d)
+    t = c.select(F.lit("title").alias("experiment"), "id", F.col("event_type").alias("y_true"),
+                 predict_language("title").alias("y_pred"))
+    x = c.select(F.lit("text").alias("experiment"), "id", F.col("event_type").alias("y_true"),
+                 predict_language("text").alias("y_pred"))
+    return t.unionByName(x)
+
+
+@register("classification_report")
+def q_classification_report(spark, d):
+    return _round(metrics.classification_report(predictions(spark, d), by=["experiment"]))
+
+
+def _embedding_preds(spark, d):
+    e = table(spark, d, "embeddings", "vec_id", "embedding", "label")
+    return e.select("vec_id", F.col("label").alias("y_true"), arrays.argmax("embedding").alias("y_pred"))
+
+
+@register("argmax_labels")
+def q_argmax_labels(spark, d):
+    return _embedding_preds(spark, d)
+
+
+@register("macro_metrics")
+def q_macro_metrics(spark, d):
+    return _round(metrics.macro_metrics(_embedding_preds(spark, d)), ("precision", "recall", "f1_macro", "accuracy"))
+
+
+def _comparison(spark, d):
+    rep = metrics.classification_report(predictions(spark, d), by=["experiment"])
+    old = rep.where(F.col("experiment") == "title").drop("experiment")
+    new = rep.where(F.col("experiment") == "text").drop("experiment")
+    return metrics.compare_reports(old, new)
+
+
+@register("report_comparison")
+def q_report_comparison(spark, d):
+    return _round(_comparison(spark, d))
+
+
+@register("delta_by_support")
+def q_delta_by_support(spark, d):
+    return _round(metrics.delta_by_support(_comparison(spark, d)))
+
+
+def cv_fold_scores(spark, d):
+    """(experiment, fold, score): macro F1 of every experiment on every stratified test fold."""
+    c = corpus(spark, d)
+    folds = splits.kfold_stratified(c.select("id", "event_type"), K, CV_SEED).select("id", "fold")
+    exps = F.array(*[F.struct(F.lit(n).alias("experiment"), F.lit(t).alias("use_title"),
+                              F.lit(sp).alias("lead"), F.lit(wn).alias("win")) for n, t, sp, wn in EXPERIMENTS])
+    body = F.when(F.col("e.lead"), F.col("text")).otherwise(F.expr("substring(text, length(title) + 2)"))
+    view = F.when(F.col("e.use_title"), F.concat_ws(". ", F.col("title"), body)).otherwise(body)
+    rows = (c.join(folds, "id").select("fold", "title", "text", "event_type", F.explode(exps).alias("e"))
+            .select(F.col("e.experiment").alias("experiment"), "fold", F.col("event_type").alias("y_true"),
+                    predict_language(view.substr(F.lit(1), F.col("e.win"))).alias("y_pred")))
+    m = metrics.macro_metrics(rows, by=["experiment", "fold"])
+    return m.select("experiment", "fold", F.col("f1_macro").alias("score"))
+
+
+@register("cv_fold_scores")
+def q_cv_fold_scores(spark, d):
+    return _round(cv_fold_scores(spark, d))
+
+
+@register("cv_score_stats")
+def q_cv_score_stats(spark, d):
+    return _round(metrics.score_stats(cv_fold_scores(spark, d)))
+
+
+def _experiment_means(spark, d):
+    s = metrics.score_stats(cv_fold_scores(spark, d)).select("experiment", "mean")
+    return metrics.tag_groups(s, grouping="title").unionByName(metrics.tag_groups(s, grouping="decoding"))
+
+
+@register("experiment_group_means")
+def q_experiment_group_means(spark, d):
+    return _round(_experiment_means(spark, d).select("grouping", "group_name", "experiment", "mean"))
+
+
+@register("group_box_stats")
+def q_group_box_stats(spark, d):
+    b = metrics.box_stats(_experiment_means(spark, d), "mean", ["grouping", "group_name"])
+    return _round(b, ("q25", "q50", "q75", "iqr", "whisker_low", "whisker_high"))
+
+
+@register("run_consistency")
+def q_run_consistency(spark, d):
+    c = corpus(spark, d).select("id", "text")
+    def run(df, r):
+        return df.select("id", F.lit(r).alias("run"),
+                         F.posexplode(augment.lead_variants(F.col("text"), VARIANTS)).alias("variant", "out"))
+    runs = run(c, 0).unionByName(run(c.repartition(13), 1))
+    return metrics.consistency(runs, ["id", "variant"], "out")
+
+
+@register("length_profile")
+def q_length_profile(spark, d):
+    return _round(metrics.length_profile(corpus(spark, d)), ("mean_len", "q25", "q50", "q75"))
+
+
+@register("row_count_audit")
+def q_row_count_audit(spark, d):
+    c = corpus(spark, d)
+    stages = [("documents", table(spark, d, "documents", "doc_id")), ("corpus", c),
+              ("deduplicated", dedup.keep_none(c)),
+              ("low_resource", imbalance.low_resource_slice(c, LOW_RESOURCE_SHARE)),
+              ("augmented", augmented_corpus(spark, d))]
+    out = None
+    for name, df in stages:
+        a = df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("stage"), "n_rows")
+        out = a if out is None else out.unionByName(a)
+    return out
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
