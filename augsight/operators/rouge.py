@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,19 +48,23 @@ def rouge_n(pairs: DataFrame, n: int, key: Sequence[str], pred: str = "predictio
 
 
 def lcs_length(a: Sequence[str], b: Sequence[str]) -> int:
-    """Length of the longest common subsequence (O(len(a)*len(b)) time, O(len(b)) memory)."""
+    """Length of the longest common subsequence, bit-parallel over ``b``.
+
+    Each token of ``b`` gets a bitmask of its positions; one pass over ``a``
+    updates a len(b)-bit vector with integer add/or/and, so the cost is
+    O(len(a) * len(b) / machine word) instead of a Python double loop.
+    """
     if len(a) == 0 or len(b) == 0:
         return 0
-    bb = np.asarray(b, dtype=object)
-    prev = np.zeros(len(b) + 1, dtype=np.int64)
+    masks: dict = {}
+    for j, x in enumerate(b):
+        masks[x] = masks.get(x, 0) | (1 << j)
+    full = (1 << len(b)) - 1
+    v = full
     for x in a:
-        match = bb == x
-        cur = np.zeros_like(prev)
-        diag = prev[:-1] + 1
-        for j in range(1, len(b) + 1):
-            cur[j] = diag[j - 1] if match[j - 1] else max(prev[j], cur[j - 1])
-        prev = cur
-    return int(prev[-1])
+        u = v & masks.get(x, 0)
+        v = ((v + u) | (v - u)) & full
+    return len(b) - bin(v).count("1")
 
 
 @F.pandas_udf(T.LongType())

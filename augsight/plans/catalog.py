@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from augsight.functions import text as tx
 from augsight.functions import arrays
 from augsight.functions.rules import predict_language
-from augsight.operators import augment, dedup, features, imbalance, metrics, rouge, splits
+from augsight.operators import augment, classify, dedup, features, imbalance, metrics, plugins, rouge, splits, trainset
 from augsight.sources.tables import table
 from augsight.sources.corpus import corpus
 
@@ -445,6 +445,163 @@ def q_row_count_audit(spark, d):
     return out
 
 
+# --- M6: training-set shaping, plug-ins, literal columns, ML --------------------------------
+
+MAX_INPUT_TOKENS = 512
+MAX_TARGET_TOKENS = 100
+BATCH_A, BATCH_B = 8, 64
+PAD_ID = 1
+KEEP_SENTENCES = 25
+DOCEE_N, CNN_N = 200, 100
+TRANSLATIONS = {" the ": " le "}
+
+
+def _split_plain(spark, d):
+    return q_split_plain_labelled(spark, d)
+
+
+@register("label_encoding")
+def q_label_encoding(spark, d):
+    sp = _split_plain(spark, d)
+    return trainset.label_mapping(sp.where(F.col("split") == "train"))
+
+
+@register("label_encoded_dev")
+def q_label_encoded_dev(spark, d):
+    sp = _split_plain(spark, d)
+    mapping = trainset.label_mapping(sp.where(F.col("split") == "train"))
+    return trainset.encode_labels(sp.where(F.col("split") == "dev"), mapping).select("id", "label_id")
+
+
+@register("truncate_tokens")
+def q_truncate_tokens(spark, d):
+    t = corpus(spark, d).select("id", tx.tokens("text").alias("t"))
+    return t.select("id", F.size("t").alias("n_tokens"),
+                    F.size(arrays.truncate("t", MAX_INPUT_TOKENS)).alias("n_kept"))
+
+
+@register("pad_batches")
+def q_pad_batches(spark, d):
+    t = corpus(spark, d).select("id", arrays.truncate(tx.tokens("text"), MAX_INPUT_TOKENS).alias("t"))
+    b = trainset.pad_batch(trainset.batches(t, BATCH_A, SEED), "t", "<pad>")
+    return b.select("id", "batch", F.size("t").alias("length"), F.size("padded").alias("padded_length"))
+
+
+def _pair_keys(spark, d):
+    return _pairs(spark, d).withColumn("pair_key", F.col("conv_id") * 100000 + F.col("turn"))
+
+
+@register("interleave_tasks")
+def q_interleave_tasks(spark, d):
+    a = _pair_keys(spark, d).select("pair_key")
+    b = corpus(spark, d).select("id")
+    return trainset.interleave(a, b, BATCH_A, BATCH_B, SEED, key_a="pair_key", key_b="id")
+
+
+@register("docee_trainset")
+def q_docee_trainset(spark, d):
+    sp = _split_plain(spark, d)
+    train = sp.where(F.col("split") == "train")
+    enc = trainset.encode_labels(train, trainset.label_mapping(train))
+    c = corpus(spark, d).select("id", "title", "text")
+    rows = enc.select("id", "label_id").join(c, "id").select(
+        "id", "label_id",
+        F.size(arrays.truncate(tx.tokens(tx.assemble(F.col("title"), F.col("text"))), MAX_INPUT_TOKENS))
+        .alias("n_input_tokens"))
+    return trainset.random_subset(rows, DOCEE_N, SEED)
+
+
+@register("summary_trainset")
+def q_summary_trainset(spark, d):
+    p = _pair_keys(spark, d)
+    rows = p.select("conv_id", "turn", "pair_key",
+                    F.size(arrays.truncate(tx.tokens("reference"), MAX_INPUT_TOKENS)).alias("n_article_tokens"),
+                    F.size(arrays.truncate(tx.tokens("prediction"), MAX_TARGET_TOKENS)).alias("n_highlight_tokens"))
+    return trainset.random_subset(rows, CNN_N, SEED, id_col="pair_key").drop("pair_key")
+
+
+@register("preprocess_tokens")
+def q_preprocess_tokens(spark, d):
+    c = corpus(spark, d)
+    lead = tx.first_sentences(tx.assemble(F.col("title"), F.col("text")), KEEP_SENTENCES)
+    t = c.select("id", tx.tokens(lead).alias("t"))
+    return t.select("id", F.size("t").alias("n_tokens"), F.md5(F.array_join("t", " ")).alias("tokens_md5"))
+
+
+@register("tokenize_plugin")
+def q_tokenize_plugin(spark, d):
+    t = corpus(spark, d).select("id", plugins.tokenize_with("text", plugins.regex_tokenizer).alias("t"))
+    return t.select("id", F.size("t").alias("n_tokens"), F.md5(F.array_join("t", " ")).alias("tokens_md5"))
+
+
+@register("translate_plugin")
+def q_translate_plugin(spark, d):
+    c = corpus(spark, d)
+    out = plugins.translate_chunks("text", plugins.dictionary_translator(TRANSLATIONS), CHUNK_CHARS)
+    return c.select("id", F.size(tx.chunks("text", CHUNK_CHARS)).alias("n_chunks"), F.md5(out).alias("out_md5"))
+
+
+@register("batch_inference_report")
+def q_batch_inference_report(spark, d):
+    c = corpus(spark, d)
+    mapping = trainset.label_mapping(c)
+    labels = [r[0] for r in mapping.orderBy("label_id").collect()]
+    raw = plugins.classify_with(c.select("id", "text", "event_type"), plugins.RuleModel(labels))
+    pred = plugins.decode_predictions(raw, mapping)
+    return _round(metrics.classification_report(pred, "event_type", "y_pred"))
+
+
+def _literal_title(c):
+    words = F.split(F.col("title"), " ")
+    return F.concat(F.lit("["), F.array_join(F.transform(words, plugins.py_repr_string), ", "), F.lit("]"))
+
+
+@register("literal_tokens")
+def q_literal_tokens(spark, d):
+    c = corpus(spark, d).select("id", _literal_title(corpus(spark, d)).alias("lit"))
+    dec = c.select("id", plugins.decode_token_literal("lit").alias("v"))
+    return dec.select("id", F.size("v").alias("n_items"), F.md5(F.array_join("v", "\u0001")).alias("items_md5"))
+
+
+@register("literal_arguments")
+def q_literal_arguments(spark, d):
+    c = corpus(spark, d).select("id", "text")
+    first = F.slice(tx.sentences("text"), 1, 2)
+
+    def arg(s, i):
+        start = F.instr(F.col("text"), s) - 1
+        return F.concat(F.lit("{'start': "), start.cast("string"), F.lit(", 'end': "),
+                        (start + F.length(s)).cast("string"), F.lit(", 'type': "), i.cast("string"),
+                        F.lit(", 'text': "), plugins.py_repr_string(s), F.lit("}"))
+    lit = F.concat(F.lit("["), F.array_join(F.transform(first, arg), ", "), F.lit("]"))
+    dec = c.select("id", plugins.decode_argument_literal(lit).alias("a"))
+    return dec.select("id", F.inline("a")).select("id", "type", "start", "end", "text")
+
+
+@register("svm_report")
+def q_svm_report(spark, d):
+    sp = _split_plain(spark, d)
+    mapping = trainset.label_mapping(sp.where(F.col("split") == "train"))
+    docs = (trainset.encode_labels(sp, mapping)
+            .join(_token_docs(spark, d), "id").select("id", "split", "label_id", "tokens"))
+    parts = {s: docs.where(F.col("split") == s).drop("split") for s in ("train", "dev", "test")}
+    pred = classify.fit_predict(parts.pop("train"), parts, min_df=MIN_DF, max_df=MAX_DF)
+    return _round(metrics.classification_report(pred, "label_id", "pred_id", by=["split"]))
+
+
+@register("svm_cv")
+def q_svm_cv(spark, d):
+    aug = augment.subsample_augmented(augmented_corpus(spark, d), "one_per_source")
+    mapping = trainset.label_mapping(aug)
+    docs = (trainset.encode_labels(aug, mapping)
+            .select("id", "label_id", "source_doc_id", tx.tokens("text").alias("tokens")))
+    folds = splits.kfold_leakage_safe(aug.select("id", "event_type", "source_doc_id"), K, CV_SEED)
+    pred = classify.cross_validate(docs.drop("source_doc_id"), folds, K, min_df=MIN_DF, max_df=MAX_DF, max_iter=50)
+    scores = metrics.macro_metrics(pred, "label_id", "pred_id", by=["fold"]).select(
+        F.lit("svm").alias("experiment"), "fold", F.col("f1_macro").alias("score"))
+    return _round(metrics.score_stats(scores))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -499,5 +499,89 @@ UNION ALL SELECT 'low_resource', COUNT(*) FROM corpus WHERE event_type IN (SELEC
 UNION ALL SELECT 'augmented', COUNT(*) FROM aug"""
 
 
+
+# --- M6: training-set shaping, plug-ins, literal columns -----------------------------------
+
+MAPPING = """
+mp AS (SELECT event_type, CAST(ROW_NUMBER() OVER (ORDER BY event_type) - 1 AS INTEGER) AS label_id
+       FROM (SELECT DISTINCT event_type FROM sp WHERE split = 'train'))"""
+
+SQL["label_encoding"] = w(CORPUS, SPLIT_PLAIN_LABELLED, MAPPING) + """
+SELECT event_type, label_id FROM mp"""
+
+SQL["label_encoded_dev"] = w(CORPUS, SPLIT_PLAIN_LABELLED, MAPPING) + """
+SELECT sp.id, mp.label_id FROM sp JOIN mp USING (event_type) WHERE sp.split = 'dev'"""
+
+TOK = TOKENS.format(c="text")
+
+SQL["truncate_tokens"] = w(CORPUS) + f"""
+SELECT id, CAST(len({TOK}) AS INTEGER) AS n_tokens, CAST(least(len({TOK}), 512) AS INTEGER) AS n_kept FROM corpus"""
+
+SQL["pad_batches"] = w(CORPUS) + f""",
+b AS (SELECT id, least(len({TOK}), 512) AS length,
+             (ROW_NUMBER() OVER (ORDER BY {hkey(42)}, id) - 1) // 8 AS batch FROM corpus)
+SELECT id, batch, CAST(length AS INTEGER) AS length,
+       CAST(MAX(length) OVER (PARTITION BY batch) AS INTEGER) AS padded_length FROM b"""
+
+SQL["interleave_tasks"] = w(PAIRS, CORPUS) + f""",
+ka AS (SELECT conv_id * 100000 + turn AS k FROM pairs),
+ab AS (SELECT k, (ROW_NUMBER() OVER (ORDER BY {hkey(42, 'k')}, k) - 1) // 8 AS batch FROM ka),
+nb AS (SELECT ((SELECT COUNT(*) FROM ka) + 7) // 8 AS na, ((SELECT COUNT(*) FROM corpus) + 63) // 64 AS nbb),
+cyc AS (SELECT range AS cycle FROM range(0, (SELECT (na + nbb - 1) // nbb FROM nb))),
+bb AS (SELECT cycle, id, (ROW_NUMBER() OVER (PARTITION BY cycle
+                            ORDER BY md5('42:' || CAST(cycle AS VARCHAR) || ':' || CAST(id AS VARCHAR)), id) - 1) // 64 AS batch
+       FROM corpus, cyc),
+sa AS (SELECT 2 * batch + 1 AS step, 'A' AS task, CAST(0 AS BIGINT) AS cycle, batch, COUNT(*) AS n_rows,
+              CAST(SUM(k) AS BIGINT) AS key_sum FROM ab GROUP BY batch),
+sb AS (SELECT cycle, batch, cycle * (SELECT nbb FROM nb) + batch AS kk, COUNT(*) AS n_rows,
+              CAST(SUM(id) AS BIGINT) AS key_sum FROM bb GROUP BY cycle, batch)
+SELECT step, task, cycle, batch, n_rows, key_sum FROM sa
+UNION ALL
+SELECT 2 * kk + 2, 'B', cycle, batch, n_rows, key_sum FROM sb WHERE kk < (SELECT na FROM nb)"""
+
+ASM_TOK = TOKENS.format(c="concat_ws('. ', c.title, c.text)")
+
+SQL["docee_trainset"] = w(CORPUS, SPLIT_PLAIN_LABELLED, MAPPING) + f"""
+SELECT sp.id, mp.label_id, CAST(least(len({ASM_TOK}), 512) AS INTEGER) AS n_input_tokens
+FROM sp JOIN mp USING (event_type) JOIN corpus c ON c.id = sp.id
+WHERE sp.split = 'train'
+ORDER BY {hkey(42, 'sp.id')}, sp.id LIMIT 200"""
+
+SQL["summary_trainset"] = w(PAIRS) + f"""
+SELECT conv_id, turn, CAST(least(len({TOKENS.format(c='reference')}), 512) AS INTEGER) AS n_article_tokens,
+       CAST(least(len({TOKENS.format(c='prediction')}), 100) AS INTEGER) AS n_highlight_tokens
+FROM pairs ORDER BY {hkey(42, 'conv_id * 100000 + turn')}, conv_id * 100000 + turn LIMIT 100"""
+
+_ASM = "concat_ws('. ', title, text)"
+LEAD25 = f"array_to_string({SENTS.format(c=_ASM)}[1:25], ' ')"
+
+SQL["preprocess_tokens"] = w(CORPUS) + f""",
+t AS (SELECT id, {TOKENS.format(c=LEAD25)} AS t FROM corpus)
+SELECT id, CAST(len(t) AS INTEGER) AS n_tokens, md5(array_to_string(t, ' ')) AS tokens_md5 FROM t"""
+
+SQL["tokenize_plugin"] = w(CORPUS) + f""",
+t AS (SELECT id, {TOK} AS t FROM corpus)
+SELECT id, CAST(len(t) AS INTEGER) AS n_tokens, md5(array_to_string(t, ' ')) AS tokens_md5 FROM t"""
+
+SQL["translate_plugin"] = SQL["chunk_rejoin"]
+
+INFER = f"""
+ip AS (SELECT event_type AS y_true, {rule('text')} AS y_pred, 1 AS one FROM corpus)"""
+
+SQL["batch_inference_report"] = w(CORPUS, INFER, report_ctes("ip", "one")) + """
+SELECT label, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support
+FROM report"""
+
+SQL["literal_tokens"] = w(CORPUS) + """
+SELECT id, CAST(len(string_split(title, ' ')) AS INTEGER) AS n_items,
+       md5(array_to_string(string_split(title, ' '), chr(1))) AS items_md5 FROM corpus"""
+
+SQL["literal_arguments"] = w(CORPUS) + f""",
+s AS (SELECT id, text, {SENTS.format(c='text')}[1:2] AS ss FROM corpus),
+u AS (SELECT id, text, unnest(ss) AS sent, unnest(range(0, len(ss))) AS type FROM s)
+SELECT id, CAST(type AS INTEGER) AS type, CAST(strpos(text, sent) - 1 AS INTEGER) AS start,
+       CAST(strpos(text, sent) - 1 + length(sent) AS INTEGER) AS "end", sent AS text FROM u"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
