@@ -71,11 +71,20 @@ def tokens(text: str | Column) -> Column:
 
 
 def ngrams(toks: str | Column, n: int) -> Column:
-    """All contiguous n-grams joined by one space; empty when fewer than n tokens."""
+    """All contiguous n-grams joined by one space; empty when fewer than n tokens.
+
+    Built by zipping n shifted slices (``zip_with``), so the token array is
+    referenced a constant number of times per row, never once per gram.
+    Pass a column (not an expression) so the tokens are computed once.
+    """
     t = _c(toks)
-    grams = F.transform(F.sequence(F.lit(1), F.size(t) - n + 1),
-                        lambda i: F.array_join(F.slice(t, i, n), " "))
-    return F.when(F.size(t) >= n, grams).otherwise(F.array().cast("array<string>"))
+    if n == 1:
+        return t
+    k = F.greatest(F.size(t) - n + 1, F.lit(0))
+    acc = F.slice(t, 1, k)
+    for j in range(1, n):
+        acc = F.zip_with(acc, F.slice(t, j + 1, k), lambda x, y: F.concat(x, F.lit(" "), y))
+    return F.when(F.size(t) >= n, acc).otherwise(F.array().cast("array<string>"))
 
 
 def ngram_range(toks: str | Column, n_min: int = 1, n_max: int = 3) -> Column:

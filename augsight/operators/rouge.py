@@ -30,8 +30,9 @@ def rouge_n(pairs: DataFrame, n: int, key: Sequence[str], pred: str = "predictio
             ref: str = "reference") -> DataFrame:
     """(key..., precision, recall, fmeasure) of ROUGE-n per pair."""
     k = list(key)
-    toks = pairs.select(*k, tx.ngrams(tx.tokens(tx.normalise_summary(F.col(pred))), n).alias("_gp"),
-                        tx.ngrams(tx.tokens(tx.normalise_summary(F.col(ref))), n).alias("_gr"))
+    toks = (pairs.select(*k, tx.tokens(tx.normalise_summary(F.col(pred))).alias("_tp"),
+                         tx.tokens(tx.normalise_summary(F.col(ref))).alias("_tr"))
+            .select(*k, tx.ngrams("_tp", n).alias("_gp"), tx.ngrams("_tr", n).alias("_gr")))
     sizes = toks.select(*k, F.size("_gp").alias("n_pred"), F.size("_gr").alias("n_ref"))
     grams = (toks.select(*k, F.explode(F.array(
         F.struct(F.lit(0).alias("side"), F.col("_gp").alias("g")),

@@ -607,4 +607,5 @@ def queries() -> dict[str, Query]:
 
 
 def flagship(spark: SparkSession, data_dir: str) -> DataFrame:
-    return q_low_resource(spark, data_dir)
+    """Augmentation job: originals + 3 lead-sentence variants of every low-resource document."""
+    return q_augment_low_resource(spark, data_dir)
