@@ -315,3 +315,11 @@ def test_generator_plugin(spark):
     gen = augment.generate_with(lambda texts, n: [[t.upper()] * n for t in texts], 2)
     out = augment.augment_corpus(df, n=2, generator=lambda c: gen(c)).where("source_doc_id is not null").collect()
     assert [r.text for r in out] == ["ABC. DEF.", "ABC. DEF."]
+
+
+def test_keep_none_exact_mode_agrees(spark):
+    rows = [(i, "t", f"text {i % 7}" if i % 3 else f"u{i}", "a", None, None) for i in range(60)]
+    df = corpus(spark, rows)
+    fast = sorted(r.id for r in dedup.keep_none(df).collect())
+    exact = sorted(r.id for r in dedup.keep_none(df, exact=True).collect())
+    assert fast == exact and len(fast) == 20
