@@ -79,3 +79,20 @@ def bucketed_rank(df: DataFrame, bucket: Column, order: Sequence[Column],
 def dense_reindex(df: DataFrame, order: Sequence[str], out: str = "new_id") -> DataFrame:
     """Dense 0..N-1 ids following ``order`` (first column an integer id, the rest tie-breaks)."""
     return bucketed_rank(df, id_bucket(order[0]), [F.col(c) for c in order], out=out)
+
+
+def dense_ids(df: DataFrame, id_col: str = "id", out: str = "new_id") -> tuple[DataFrame, int]:
+    """0..N-1 ids in ``id_col`` order, and N.
+
+    One aggregate over the id column alone (a pruned scan plus an 8-byte
+    distinct) tells whether the ids already are 0..N-1; then the ids are
+    reused as they are and the rows are never shuffled.  Otherwise the rows
+    are ranked with :func:`bucketed_rank`.
+    """
+    lo, hi, n, nd = df.agg(F.min(id_col), F.max(id_col), F.count(F.lit(1)),
+                           F.count_distinct(id_col)).first()
+    if n == 0:
+        return df.withColumn(out, F.col(id_col).cast("long")), 0
+    if lo == 0 and hi == n - 1 and nd == n:
+        return df.withColumn(out, F.col(id_col).cast("long")), int(n)
+    return bucketed_rank(df, id_bucket(id_col), [F.col(id_col)], out=out), int(n)

@@ -323,3 +323,11 @@ def test_keep_none_exact_mode_agrees(spark):
     fast = sorted(r.id for r in dedup.keep_none(df).collect())
     exact = sorted(r.id for r in dedup.keep_none(df, exact=True).collect())
     assert fast == exact and len(fast) == 20
+
+
+def test_augment_with_sparse_ids(spark):
+    rows = [(10 * i + 5, "t", f"A{i}. B{i}.", "a", None, None) for i in range(4)]
+    out = augment.augment_corpus(corpus(spark, rows), n=2).orderBy("id").collect()
+    assert [r.id for r in out] == list(range(12))
+    assert [r.source_doc_id for r in out[4:]] == [0, 0, 1, 1, 2, 2, 3, 3]
+    assert out[0].text == "A0. B0." and out[4].text == "A0." and out[5].text == "A0. B0."
