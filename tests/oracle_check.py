@@ -54,6 +54,10 @@ def digest(columns, rows):
     return hashlib.sha256("\n".join(lines).encode()).hexdigest(), lines
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "date": "DATE"}
+
+
 def compare(spark, con, name: str, sf_dir: str):
     import __spark_entry__ as e
     t0 = time.time()
@@ -63,18 +67,24 @@ def compare(spark, con, name: str, sf_dir: str):
     t1 = time.time()
     res = con.execute(e.oracle_sql()[name])
     ocols = [c[0] for c in res.description]
+    otypes = {c[0]: str(c[1]) for c in res.description}
     orows = res.fetchall()
     sh, sl = digest(scols, srows)
     oh, ol = digest(ocols, orows)
     ok = sorted(scols) == sorted(ocols) and len(srows) == len(orows) and sh == oh
     detail = ""
+    type_diff = [f"{n}:{t}/{otypes.get(n)}" for n, t in sdf.dtypes
+                 if SPARK_TO_DUCK.get(t, t) != otypes.get(n)]
+    if type_diff:
+        ok = False
+        detail = f"types {type_diff} "
     if not ok:
         if sorted(scols) != sorted(ocols):
-            detail = f"columns spark={sorted(scols)} oracle={sorted(ocols)}"
+            detail += f"columns spark={sorted(scols)} oracle={sorted(ocols)}"
         else:
             diff_s = sorted(set(sl) - set(ol))[:3]
             diff_o = sorted(set(ol) - set(sl))[:3]
-            detail = f"rows spark={len(srows)} oracle={len(orows)}; spark-only={diff_s}; oracle-only={diff_o}"
+            detail += f"rows spark={len(srows)} oracle={len(orows)}; spark-only={diff_s}; oracle-only={diff_o}"
     return ok, len(srows), t1 - t0, detail
 
 
