@@ -65,9 +65,12 @@ def normalise_summary(s: str | Column) -> Column:
     return F.array_join(sentences(flat), "\n")
 
 
-def tokens(text: str | Column) -> Column:
-    """Lower-cased alphanumeric tokens (empty pieces removed)."""
-    return F.filter(F.split(F.lower(_c(text)), TOKEN_SPLIT), lambda t: t != F.lit(""))
+def tokens(text: str | Column, lowercase: bool = True) -> Column:
+    """Alphanumeric tokens (empty pieces removed); ``lowercase=False`` keeps the case and
+    splits on anything outside [A-Za-z0-9]."""
+    if lowercase:
+        return F.filter(F.split(F.lower(_c(text)), TOKEN_SPLIT), lambda t: t != F.lit(""))
+    return F.filter(F.split(_c(text), "[^A-Za-z0-9]+"), lambda t: t != F.lit(""))
 
 
 def ngrams(toks: str | Column, n: int) -> Column:

@@ -105,6 +105,22 @@ def tokenize_with(text: str | Column, tokenizer: Callable[[list[str]], list[list
     return _tok(text if isinstance(text, Column) else F.col(text))
 
 
+def map_batches(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str | T.StructType,
+                columns: Sequence[str] | None = None) -> DataFrame:
+    """Batched preprocessing plug-in: ``fn(pandas batch) -> pandas batch`` over Arrow batches.
+
+    Only ``columns`` are shipped to Python; the output has exactly ``schema``
+    (raw columns not in it are dropped, like ``remove_columns``).
+    """
+    src = df.select(*columns) if columns else df
+
+    def run(batches):
+        for pdf in batches:
+            yield fn(pdf)
+
+    return src.mapInPandas(run, schema)
+
+
 # --- literal columns (Python repr text) -----------------------------------------------------
 
 def _safe_literal(s: str | None):
@@ -151,14 +167,16 @@ def decode_token_literal(col: str | Column) -> Column:
     for the rows it cannot read (Python escapes such as \\xa0, ``None``)."""
     c = F.col(col) if isinstance(col, str) else col
     fast = F.from_json(c, T.ArrayType(T.StringType()), _JSON_OPTS)
-    return F.when(c.isNull(), F.lit(None)).when(fast.isNotNull(), fast).otherwise(_literal_list(c))
+    # Spark evaluates a Python UDF for every input row even inside CASE WHEN, so the fallback
+    # receives NULL for rows the JSON parser already read: Python work ~ rows that need it.
+    return F.coalesce(fast, _literal_list(F.when(fast.isNull(), c)))
 
 
 def decode_argument_literal(col: str | Column) -> Column:
     """Argument literal -> array<struct<start, end, type, text>> (same two-step decoding)."""
     c = F.col(col) if isinstance(col, str) else col
     fast = F.from_json(c, ARGUMENT_TYPE, _JSON_OPTS)
-    return F.when(c.isNull(), F.lit(None)).when(fast.isNotNull(), fast).otherwise(_literal_arguments(c))
+    return F.coalesce(fast, _literal_arguments(F.when(fast.isNull(), c)))
 
 
 def py_repr_string(s: Column) -> Column:

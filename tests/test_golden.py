@@ -331,3 +331,12 @@ def test_augment_with_sparse_ids(spark):
     assert [r.id for r in out] == list(range(12))
     assert [r.source_doc_id for r in out[4:]] == [0, 0, 1, 1, 2, 2, 3, 3]
     assert out[0].text == "A0. B0." and out[4].text == "A0." and out[5].text == "A0. B0."
+
+
+def test_map_batches_and_case(spark):
+    df = spark.createDataFrame([(1, "Ab cD"), (2, "x")], "id long, text string")
+    out = plugins.map_batches(df, lambda p: p.assign(n=p.text.str.len())[["id", "n"]], "id long, n long",
+                              columns=["id", "text"])
+    assert sorted((r.id, r.n) for r in out.collect()) == [(1, 5), (2, 1)]
+    r = df.select(tx.tokens("text", lowercase=False).alias("t")).orderBy("t").collect()
+    assert [x.t for x in r] == [["Ab", "cD"], ["x"]]
