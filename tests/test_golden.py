@@ -340,3 +340,43 @@ def test_map_batches_and_case(spark):
     assert sorted((r.id, r.n) for r in out.collect()) == [(1, 5), (2, 1)]
     r = df.select(tx.tokens("text", lowercase=False).alias("t")).orderBy("t").collect()
     assert [x.t for x in r] == [["Ab", "cD"], ["x"]]
+
+
+def test_assignment_is_partitioning_independent(spark):
+    """Permutation test: a different physical layout gives the same splits, folds and samples."""
+    from hypothesis import given, settings, strategies as st
+    base = spark.range(400).select(F.col("id"), (F.col("id") % 3).cast("string").alias("event_type"))
+
+    def answer(df):
+        s = {r.id: r.split for r in splits.split_stratified(df, ["a", "b"], [0.7, 0.3], seed=9).collect()}
+        f = {r.id: r.fold for r in splits.kfold_stratified(df, 4, seed=9).collect()}
+        o = sorted(r.id for r in trainset.random_subset(df, 17, seed=9).collect())
+        return s, f, o
+
+    ref = answer(base)
+
+    @settings(max_examples=3, deadline=None)
+    @given(st.integers(min_value=1, max_value=13))
+    def check(n):
+        assert answer(base.repartition(n).sortWithinPartitions(F.rand(n))) == ref
+
+    check()
+
+
+def test_leakage_property_random_provenance(spark):
+    from hypothesis import given, settings, strategies as st
+
+    @settings(max_examples=4, deadline=None)
+    @given(st.lists(st.integers(min_value=0, max_value=39), min_size=1, max_size=60), st.integers(2, 5))
+    def check(sources, k):
+        rows = [(i, "t", "x", "ab"[i % 2], None, None) for i in range(40)]
+        rows += [(100 + j, "t", "y", "ab"[s % 2], None, s) for j, s in enumerate(sources)]
+        df = corpus(spark, rows)
+        a = splits.kfold_leakage_safe(df, k, seed=3).collect()
+        src = {r[0]: r[5] for r in rows}
+        tested = {(r.fold, r.id) for r in a if r.role == "test"}
+        assert sorted(i for _, i in tested) == list(range(40))
+        assert not any(r.role == "train" and src[r.id] is not None and (r.fold, src[r.id]) in tested for r in a)
+        assert len([r for r in a if r.id >= 100]) == len(sources) * (k - 1)
+
+    check()
