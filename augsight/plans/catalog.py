@@ -329,13 +329,12 @@ def _round(df, cols=("precision", "recall", "f1", "old", "new", "delta", "mean",
 
 
 def predictions(spark, d):
-    """Rule-classifier predictions of two experiments: on the title only and on the full text."""
+    """Rule-classifier predictions of two experiments (title only, full text) from one scan."""
     c = corpus(spark, d)
-    t = c.select(F.lit("title").alias("experiment"), "id", F.col("event_type").alias("y_true"),
-                 predict_language("title").alias("y_pred"))
-    x = c.select(F.lit("text").alias("experiment"), "id", F.col("event_type").alias("y_true"),
-                 predict_language("text").alias("y_pred"))
-    return t.unionByName(x)
+    runs = F.array(F.struct(F.lit("title").alias("experiment"), predict_language("title").alias("y_pred")),
+                   F.struct(F.lit("text").alias("experiment"), predict_language("text").alias("y_pred")))
+    return (c.select("id", F.col("event_type").alias("y_true"), F.explode(runs).alias("r"))
+            .select("r.experiment", "id", "y_true", "r.y_pred"))
 
 
 @register("classification_report")
