@@ -601,6 +601,30 @@ def q_svm_cv(spark, d):
     return _round(metrics.score_stats(scores))
 
 
+
+# --- coverage per batch, filtered experiment analysis ---------------------------------------
+
+@register("batch_label_coverage")
+def q_batch_label_coverage(spark, d):
+    b = trainset.batches(corpus(spark, d).select("id", "event_type"), BATCH_A, SEED)
+    return imbalance.label_coverage(b, split_col="batch")
+
+
+@register("batch_missing_labels")
+def q_batch_missing_labels(spark, d):
+    b = trainset.batches(corpus(spark, d).select("id", "event_type"), BATCH_A, SEED)
+    return imbalance.missing_labels(b, split_col="batch")
+
+
+@register("filtered_group_box_stats")
+def q_filtered_group_box_stats(spark, d):
+    """Experiment analysis with a filter first: drop top-k decoding runs, then decoding groups."""
+    s = metrics.score_stats(cv_fold_scores(spark, d).where(~F.col("experiment").contains("top_k")))
+    m = metrics.tag_groups(s.select("experiment", "mean"), grouping="decoding")
+    b = metrics.box_stats(m, "mean", ["grouping", "group_name"])
+    return _round(b, ("q25", "q50", "q75", "iqr", "whisker_low", "whisker_high"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

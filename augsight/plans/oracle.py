@@ -583,5 +583,34 @@ SELECT id, CAST(type AS INTEGER) AS type, CAST(strpos(text, sent) - 1 AS INTEGER
        CAST(strpos(text, sent) - 1 + length(sent) AS INTEGER) AS "end", sent AS text FROM u"""
 
 
+
+# --- coverage per batch, filtered experiment analysis ---------------------------------------
+BATCHES = f"""
+bt AS (SELECT id, event_type, (ROW_NUMBER() OVER (ORDER BY {hkey(42)}, id) - 1) // 8 AS batch FROM corpus)"""
+
+SQL["batch_label_coverage"] = w(CORPUS, BATCHES) + """
+SELECT batch, COUNT(*) AS n_rows, COUNT(DISTINCT event_type) AS n_labels,
+       (SELECT COUNT(DISTINCT event_type) FROM bt) - COUNT(DISTINCT event_type) AS n_missing_labels
+FROM bt GROUP BY batch"""
+
+SQL["batch_missing_labels"] = w(CORPUS, BATCHES) + """
+SELECT b.batch, l.event_type FROM (SELECT DISTINCT batch FROM bt) b, (SELECT DISTINCT event_type FROM bt) l
+WHERE NOT EXISTS (SELECT 1 FROM bt x WHERE x.batch = b.batch AND x.event_type = l.event_type)"""
+
+SQL["filtered_group_box_stats"] = w(CORPUS) + "," + SCORES.replace(
+    "FROM scores GROUP BY experiment)", "FROM scores WHERE NOT contains(experiment, 'top_k') GROUP BY experiment)") + """,
+dg AS (SELECT * FROM groups WHERE grouping = 'decoding'),
+q AS (SELECT grouping, group_name, quantile_cont(mean, 0.25) AS q25, quantile_cont(mean, 0.5) AS q50,
+             quantile_cont(mean, 0.75) AS q75 FROM dg GROUP BY ALL),
+qi AS (SELECT *, q75 - q25 AS iqr FROM q)
+SELECT g.grouping, g.group_name, round(q25, 6) AS q25, round(q50, 6) AS q50, round(q75, 6) AS q75,
+       round(iqr, 6) AS iqr, COUNT(*) AS n,
+       round(MIN(mean) FILTER (WHERE mean >= q25 - 1.5 * iqr AND mean <= q75 + 1.5 * iqr), 6) AS whisker_low,
+       round(MAX(mean) FILTER (WHERE mean >= q25 - 1.5 * iqr AND mean <= q75 + 1.5 * iqr), 6) AS whisker_high,
+       COUNT(*) FILTER (WHERE NOT (mean >= q25 - 1.5 * iqr AND mean <= q75 + 1.5 * iqr)) AS n_fliers
+FROM dg g JOIN qi USING (grouping, group_name)
+GROUP BY g.grouping, g.group_name, q25, q50, q75, iqr"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
