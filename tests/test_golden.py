@@ -380,3 +380,21 @@ def test_leakage_property_random_provenance(spark):
         assert len([r for r in a if r.id >= 100]) == len(sources) * (k - 1)
 
     check()
+
+
+def test_hot_group_of_a_third(spark):
+    """One text / one class holds a third of all rows: results stay whole and exact."""
+    n = 3000
+    rows = [(i, "t", "HOT" if i % 3 == 0 else f"doc {i}", "hot" if i % 3 == 0 else "c%d" % (i % 7), None, None)
+            for i in range(n)]
+    df = corpus(spark, rows)
+    assert dedup.keep_none(df).count() == n - n // 3
+    assert dedup.duplicates(df).where("n_copies = 1000").count() == 1000
+    aug = corpus(spark, rows[:30] + [(10000 + i, "t", "HOT", "hot", None, i % 30) for i in range(900)])
+    one = augment.subsample_unique_text(augment.augmented(aug)).collect()
+    assert len(one) == 1 and one[0].text == "HOT"
+    f = splits.kfold_stratified(df.select("id", "event_type"), 5, seed=1)
+    sizes = sorted(r["count"] for r in f.where("event_type = 'hot'").groupBy("fold").count().collect())
+    assert sizes == [200] * 5
+    s = splits.split_stratified(df.select("id", "event_type"), ["a", "b"], [0.5, 0.5], seed=1)
+    assert s.where("event_type = 'hot' and split = 'a'").count() == 500
