@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from augsight.functions.keys import hash_bucket, hash_key
 from augsight.operators.ranks import bucketed_rank
-from augsight.operators.small import collect_small, small_table
+from augsight.operators.small import collect_small
 
 LABEL = "event_type"
 GLOBAL_HEX = 4      # 65 536 buckets for table-wide ranks
