@@ -21,17 +21,38 @@ DEFAULT_CONF = {
 }
 
 
+# Additional settings for the ~100 TB / ~1000-executor scale.  Shuffle stages start with many
+# partitions and AQE coalesces them to ~256 MB each; scans split files at 256 MB; a partition
+# 5x the median and above 512 MB counts as skewed and is split in joins; Arrow batches for
+# model plug-ins stay small enough for a model's working memory.
+CLUSTER_CONF = {
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "20000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2048",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+}
+
+
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
-                app_name: str = "augsight", extra: dict | None = None) -> SparkSession:
+                app_name: str = "augsight", extra: dict | None = None,
+                profile: str = "local") -> SparkSession:
     """Return (or create) a session with the defaults above.
 
-    On a cluster the master and resources come from spark-submit; locally
-    ``master`` defaults to ``local[*]``.
+    On a cluster the master and resources come from spark-submit
+    (``profile="cluster"`` adds :data:`CLUSTER_CONF`); locally ``master``
+    defaults to ``local[*]``.
     """
     builder = SparkSession.builder.appName(app_name)
     if master or not os.environ.get("SPARK_MASTER"):
         builder = builder.master(master or "local[*]")
     conf = dict(DEFAULT_CONF)
+    if profile == "cluster":
+        conf.update(CLUSTER_CONF)
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
