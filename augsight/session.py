@@ -48,8 +48,11 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     defaults to ``local[*]``.
     """
     builder = SparkSession.builder.appName(app_name)
-    if master or not os.environ.get("SPARK_MASTER"):
-        builder = builder.master(master or "local[*]")
+    # Under spark-submit (a JVM gateway already exists) the master comes from the submit.
+    if master:
+        builder = builder.master(master)
+    elif profile == "local" and "PYSPARK_GATEWAY_PORT" not in os.environ:
+        builder = builder.master("local[*]")
     conf = dict(DEFAULT_CONF)
     if profile == "cluster":
         conf.update(CLUSTER_CONF)
