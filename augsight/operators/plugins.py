@@ -23,6 +23,27 @@ from augsight.functions import text as tx
 from augsight.functions.rules import DEFAULT, RULES
 
 
+_WORKER_MODELS: dict = {}
+
+
+def worker_cached(factory: Callable[[], Callable], key: str | None = None) -> Callable:
+    """Wrap a model factory so each Python worker builds the model once, on first use.
+
+    Only the (small) factory is pickled into the task; the model itself is
+    created inside the worker and kept in a module-level cache, so Arrow
+    batches after the first reuse it.
+    """
+    cache_key = key or f"{getattr(factory, '__module__', '')}.{getattr(factory, '__qualname__', id(factory))}"
+
+    def call(batch):
+        model = _WORKER_MODELS.get(cache_key)
+        if model is None:
+            model = _WORKER_MODELS[cache_key] = factory()
+        return model(batch)
+
+    return call
+
+
 class RuleModel:
     """Stand-in text classifier with a model-hub-like output (``LABEL_<k>``)."""
 

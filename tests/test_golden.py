@@ -398,3 +398,10 @@ def test_hot_group_of_a_third(spark):
     assert sizes == [200] * 5
     s = splits.split_stratified(df.select("id", "event_type"), ["a", "b"], [0.5, 0.5], seed=1)
     assert s.where("event_type = 'hot' and split = 'a'").count() == 500
+
+
+def test_worker_cached_model(spark):
+    c = corpus(spark, [(i, "t", "é" if i % 2 else "plain", "fr" if i % 2 else "en", None, None) for i in range(50)])
+    model = plugins.worker_cached(lambda: plugins.RuleModel(["en", "fr"]), key="rule-en-fr")
+    out = plugins.classify_with(c, model).groupBy("model_label").count().collect()
+    assert {r.model_label: r["count"] for r in out} == {"LABEL_0": 25, "LABEL_1": 25}
