@@ -29,7 +29,7 @@ def id_bucket(id_col: str | Column, bits: int = ID_BUCKET_BITS) -> Column:
     return F.shiftright(c, bits)
 
 
-def _offsets(counts: DataFrame, part: list[str], max_rows: int) -> tuple[DataFrame, int | None]:
+def _offsets(counts: DataFrame, part: list[str], max_rows: int) -> tuple[DataFrame, int | None, list | None]:
     """(part..., _bucket, _off) with _off = rows in earlier buckets of the same part."""
     rows = counts.limit(max_rows + 1).collect()
     spark = counts.sparkSession
@@ -37,7 +37,7 @@ def _offsets(counts: DataFrame, part: list[str], max_rows: int) -> tuple[DataFra
         # Beyond the bound: distributed prefix sums, joined without broadcast.
         before = Window.partitionBy(*part).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
         return counts.select(*part, "_bucket",
-                             F.coalesce(F.sum("_n").over(before), F.lit(0)).cast("long").alias("_off")), None
+                             F.coalesce(F.sum("_n").over(before), F.lit(0)).cast("long").alias("_off")), None, None
     key = lambda r: tuple(r[c] for c in part)
     out, total = [], 0
     for _, grp in groupby(sorted(rows, key=lambda r: (key(r), r["_bucket"])), key=key):
@@ -48,22 +48,24 @@ def _offsets(counts: DataFrame, part: list[str], max_rows: int) -> tuple[DataFra
         total += acc
     schema = T.StructType([f for f in counts.schema.fields if f.name != "_n"]
                           + [T.StructField("_off", T.LongType(), False)])
-    return F.broadcast(spark.createDataFrame(out, schema)), total
+    return F.broadcast(spark.createDataFrame(out, schema)), total, rows
 
 
 def bucketed_rank(df: DataFrame, bucket: Column, order: Sequence[Column],
                   partition: Sequence[str] = (), out: str = "rank",
-                  max_rows: int = DEFAULT_MAX_ROWS, return_total: bool = False):
+                  max_rows: int = DEFAULT_MAX_ROWS, return_total: bool = False,
+                  return_counts: bool = False):
     """Add a 0-based rank over ``order`` (within ``partition``) to ``df``.
 
     ``bucket`` must be non-decreasing along ``order`` inside each partition.
     With ``return_total`` also returns the row count (known from the bucket
-    table, no extra pass).
+    table, no extra pass); with ``return_counts`` the collected bucket-count
+    rows (None beyond the size bound).
     """
     part = list(partition)
     b = df.withColumn("_bucket", bucket)
     counts = b.groupBy(*part, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    offsets, total = _offsets(counts, part, max_rows)
+    offsets, total, count_rows = _offsets(counts, part, max_rows)
     in_bucket = Window.partitionBy(*part, "_bucket").orderBy(*order)
     ranked = (b.withColumn("_r", F.row_number().over(in_bucket) - 1)
               .join(offsets, [*part, "_bucket"])
@@ -73,6 +75,8 @@ def bucketed_rank(df: DataFrame, bucket: Column, order: Sequence[Column],
         if total is None:
             total = df.count()
         return ranked, total
+    if return_counts:
+        return ranked, count_rows
     return ranked
 
 

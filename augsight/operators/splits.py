@@ -125,16 +125,24 @@ def kfold_stratified(df: DataFrame, k: int, seed: int = 18091999, label: str = L
                      id_col: str = "id", out: str = "fold") -> DataFrame:
     """Stratified k-fold: rows in (label, hash) order are dealt round-robin over k folds.
 
-    Per class the fold sizes differ by at most one.
+    Per class the fold sizes differ by at most one.  Class sizes for the
+    checks come from the same (class, hash-bucket) count table the ranking
+    collects, so no extra pass is made.
     """
-    sizes = {r[0]: r[1] for r in collect_small(df.groupBy(label).count())}
+    h = _with_hash(df, seed, id_col)
+    bucket = F.struct(F.col(label), hash_bucket(F.col("_h"), CLASS_HEX))
+    ranked, rows = bucketed_rank(h, bucket, [F.col(label), F.col("_h"), F.col(id_col)], out="_rank",
+                                 return_counts=True)
+    if rows is None:
+        rows = collect_small(df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+                             .select(F.struct(label).alias("_bucket"), "_n"))
+    sizes: dict = {}
+    for r in rows:
+        sizes[r["_bucket"][0]] = sizes.get(r["_bucket"][0], 0) + r["_n"]
     if sizes and all(v < k for v in sizes.values()):
         raise ValueError(f"n_splits={k} is greater than the number of members in every class")
     if sizes and min(sizes.values()) < k:
         warnings.warn(f"the least populated class has fewer than n_splits={k} members")
-    h = _with_hash(df, seed, id_col)
-    bucket = F.struct(F.col(label), hash_bucket(F.col("_h"), CLASS_HEX))
-    ranked = bucketed_rank(h, bucket, [F.col(label), F.col("_h"), F.col(id_col)], out="_rank")
     return ranked.withColumn(out, (F.col("_rank") % k).cast("int")).drop("_h", "_rank")
 
 
