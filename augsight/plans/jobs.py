@@ -25,7 +25,9 @@ def augment_job(spark: SparkSession, corpus: DataFrame, out: str, n: int = 3,
     result = augment.augment_corpus(corpus, n, cutoff, generator)
     write_corpus(result, out, mode=mode)
     write_params(spark, {"n": n, "low_resource_cutoff": cutoff}, out.rstrip("/") + ".params", mode="overwrite")
-    return spark.read.parquet(out)
+    written = spark.read.parquet(out)
+    augment.check_augmented_count(written, n)  # invariant: every source has exactly n variants
+    return written
 
 
 def extract_low_resource_job(corpus: DataFrame, out: str, cutoff: int | float, news_only: bool = False,
