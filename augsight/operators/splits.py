@@ -53,17 +53,20 @@ def _case(rank: str, bounds: list, names: Sequence[str]):
 
 def split_plain(df: DataFrame, names: Sequence[str], sizes: Sequence[float], seed: int = 42,
                 id_col: str = "id", out: str = "split") -> DataFrame:
-    """n-way unstratified split: stage i takes floor(f_i * remaining) rows in hash order."""
+    """n-way unstratified split: stage i takes floor(f_i * remaining) rows in hash order.
+
+    The row count comes from the bucket table the ranking collects anyway.
+    """
     validate_sizes(names, sizes)
-    n = df.count()
+    h = _with_hash(df, seed, id_col)
+    ranked, n = bucketed_rank(h, hash_bucket(F.col("_h"), GLOBAL_HEX), [F.col("_h"), F.col(id_col)],
+                              out="_rank", return_total=True)
     bounds, start, remaining = [], 0, n
     for f in stage_fractions(sizes):
         take = math.floor(f * remaining)
         start += take
         remaining -= take
         bounds.append(start)
-    h = _with_hash(df, seed, id_col)
-    ranked = bucketed_rank(h, hash_bucket(F.col("_h"), GLOBAL_HEX), [F.col("_h"), F.col(id_col)], out="_rank")
     return ranked.withColumn(out, _case("_rank", bounds, names)).drop("_h", "_rank")
 
 
@@ -100,8 +103,14 @@ def split_stratified(df: DataFrame, names: Sequence[str], sizes: Sequence[float]
                      label: str = LABEL, id_col: str = "id", out: str = "split") -> DataFrame:
     """n-way split with per-class proportional targets (largest remainder)."""
     validate_sizes(names, sizes)
-    rows = collect_small(df.groupBy(label).count())
-    counts = {r[0]: r[1] for r in rows}
+    h = _with_hash(df, seed, id_col)
+    ranked, rows = bucketed_rank(h, hash_bucket(F.col("_h"), CLASS_HEX), [F.col("_h"), F.col(id_col)],
+                                 partition=[label], out="_rank", return_counts=True)
+    if rows is None:
+        rows = collect_small(df.groupBy(label).agg(F.count(F.lit(1)).alias("_n")))
+    counts: dict = {}
+    for r in rows:
+        counts[r[label]] = counts.get(r[label], 0) + r["_n"]
     if any(v < 2 for v in counts.values()):
         raise ValueError("stratified split needs at least 2 rows in every class")
     bounds = stratified_bounds(counts, sizes)
@@ -109,15 +118,12 @@ def split_stratified(df: DataFrame, names: Sequence[str], sizes: Sequence[float]
     bcols = [f"_b{i}" for i in range(len(names) - 1)]
     btable = spark.createDataFrame([(k, *v) for k, v in bounds.items()],
                                    f"{label} string, " + ", ".join(f"{c} long" for c in bcols))
-    h = _with_hash(df, seed, id_col)
-    ranked = bucketed_rank(h, hash_bucket(F.col("_h"), CLASS_HEX), [F.col("_h"), F.col(id_col)],
-                           partition=[label], out="_rank")
     expr = None
     for c, name in zip(bcols, names[:-1]):
         cond = F.col("_rank") < F.col(c)
         expr = F.when(cond, F.lit(name)) if expr is None else expr.when(cond, F.lit(name))
     expr = expr.otherwise(F.lit(names[-1])) if expr is not None else F.lit(names[-1])
-    return (ranked.join(F.broadcast(btable), label)
+    return (ranked.join(F.broadcast(btable), label)  # one row per class, already collected
             .withColumn(out, expr).drop("_h", "_rank", *bcols))
 
 
