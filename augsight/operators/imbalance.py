@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from augsight.operators.small import small_table
+from augsight.operators.small import collect_small, small_table
 
 LABEL = "event_type"
 
@@ -111,12 +111,14 @@ def label_coverage(df: DataFrame, split_col: str = "split", label: str = LABEL)
 
 
 def missing_labels(df: DataFrame, split_col: str = "split", label: str = LABEL) -> DataFrame:
-    """(split, label) pairs absent from the data: per label, the splits it never reaches.
+    """(split, label) pairs absent from the data: per split, the labels it never contains.
 
-    Each label gathers the set of splits it occurs in (at most the number of
-    splits), so no split x label grid is materialised.
+    The label list is bounded by the number of classes and size-checked; the
+    splits (which may be as many as there are batches) stay distributed: each
+    split gathers the set of labels it holds (at most the number of classes),
+    so no split x label grid is materialised.
     """
-    splits = [r[0] for r in df.select(split_col).distinct().collect()]  # a handful of names
-    all_splits = F.array(*[F.lit(s) for s in sorted(splits)])
-    return (df.groupBy(label).agg(F.collect_set(split_col).alias("_present"))
-            .select(F.explode(F.array_except(all_splits, F.col("_present"))).alias(split_col), label))
+    labels = sorted(r[0] for r in collect_small(df.select(label).distinct()) if r[0] is not None)
+    all_labels = F.array(*[F.lit(v) for v in labels]) if labels else F.array().cast("array<string>")
+    return (df.groupBy(split_col).agg(F.collect_set(label).alias("_present"))
+            .select(split_col, F.explode(F.array_except(all_labels, F.col("_present"))).alias(label)))
