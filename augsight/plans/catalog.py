@@ -625,6 +625,22 @@ def q_filtered_group_box_stats(spark, d):
     return _round(b, ("q25", "q50", "q75", "iqr", "whisker_low", "whisker_high"))
 
 
+
+# --- other tables: uniform classes (events), summary references (benchmark) ----------------
+
+@register("event_class_counts")
+def q_event_class_counts(spark, d):
+    return imbalance.class_counts(table(spark, d, "events", "event_type"))
+
+
+@register("rouge_lead_benchmark")
+def q_rouge_lead_benchmark(spark, d):
+    """ROUGE-1 of an extractive lead-sentence summary against the full benchmark passage."""
+    b = table(spark, d, "benchmark", "item_id", "text")
+    pairs = b.select("item_id", tx.first_sentences("text", 1).alias("prediction"), F.col("text").alias("reference"))
+    return _rounded(rouge.rouge_n(pairs, 1, ["item_id"]), ["precision", "recall", "fmeasure"])
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

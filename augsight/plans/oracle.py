@@ -332,18 +332,19 @@ pairs AS (SELECT a.conv_id, a.turn, a.text AS prediction, u.text AS reference
           WHERE a.role = 'assistant' AND u.role = 'user')"""
 
 
-def rouge_n_sql(n: int) -> str:
+def rouge_n_sql(n: int, pairs: str = PAIRS, key: str = "conv_id, turn") -> str:
+    """CTE chain ending in ``m(key..., p, r)`` over a ``pairs(key..., prediction, reference)`` CTE."""
     tp = TOKENS.format(c=normalised("prediction"))
     tr = TOKENS.format(c=normalised("reference"))
-    return w(PAIRS) + f""",
-tk AS (SELECT conv_id, turn, {grams('tp', n)} AS gp, {grams('tr', n)} AS gr
-       FROM (SELECT conv_id, turn, {tp} AS tp, {tr} AS tr FROM pairs)),
-cp AS (SELECT conv_id, turn, g, COUNT(*) AS c FROM (SELECT conv_id, turn, unnest(gp) AS g FROM tk) GROUP BY ALL),
-cr AS (SELECT conv_id, turn, g, COUNT(*) AS c FROM (SELECT conv_id, turn, unnest(gr) AS g FROM tk) GROUP BY ALL),
-ov AS (SELECT conv_id, turn, SUM(least(cp.c, cr.c)) AS o FROM cp JOIN cr USING (conv_id, turn, g) GROUP BY ALL),
-s AS (SELECT tk.conv_id, tk.turn, COALESCE(ov.o, 0) AS o, len(gp) AS np, len(gr) AS nr
-      FROM tk LEFT JOIN ov USING (conv_id, turn)),
-m AS (SELECT conv_id, turn, CASE WHEN np > 0 THEN o / np ELSE 0.0 END AS p,
+    return w(pairs) + f""",
+tk AS (SELECT {key}, {grams('tp', n)} AS gp, {grams('tr', n)} AS gr
+       FROM (SELECT {key}, {tp} AS tp, {tr} AS tr FROM pairs)),
+cp AS (SELECT {key}, g, COUNT(*) AS c FROM (SELECT {key}, unnest(gp) AS g FROM tk) GROUP BY ALL),
+cr AS (SELECT {key}, g, COUNT(*) AS c FROM (SELECT {key}, unnest(gr) AS g FROM tk) GROUP BY ALL),
+ov AS (SELECT {key}, SUM(least(cp.c, cr.c)) AS o FROM cp JOIN cr USING ({key}, g) GROUP BY ALL),
+s AS (SELECT {key}, COALESCE(ov.o, 0) AS o, len(gp) AS np, len(gr) AS nr
+      FROM tk LEFT JOIN ov USING ({key})),
+m AS (SELECT {key}, CASE WHEN np > 0 THEN o / np ELSE 0.0 END AS p,
              CASE WHEN nr > 0 THEN o / nr ELSE 0.0 END AS r FROM s)
 """
 
@@ -612,5 +613,22 @@ FROM dg g JOIN qi USING (grouping, group_name)
 GROUP BY g.grouping, g.group_name, q25, q50, q75, iqr"""
 
 
+
+# --- other tables: uniform classes (events), summary references (benchmark) ----------------
+SQL["event_class_counts"] = """
+SELECT event_type, COUNT(*) AS n,
+       CAST(COUNT(*) OVER () AS BIGINT) AS n_classes,
+       CAST(SUM(COUNT(*)) OVER () AS BIGINT) AS total
+FROM events GROUP BY event_type"""
+
+BENCH_PAIRS = f"""
+pairs AS (SELECT item_id, array_to_string({SENTS.format(c='text')}[1:1], ' ') AS prediction, text AS reference
+          FROM benchmark)"""
+
+SQL["rouge_lead_benchmark"] = rouge_n_sql(1, BENCH_PAIRS, "item_id") + """
+SELECT item_id, round(p, 6) AS precision, round(r, 6) AS recall,
+       round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END, 6) AS fmeasure FROM m"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
