@@ -405,3 +405,21 @@ def test_worker_cached_model(spark):
     model = plugins.worker_cached(lambda: plugins.RuleModel(["en", "fr"]), key="rule-en-fr")
     out = plugins.classify_with(c, model).groupBy("model_label").count().collect()
     assert {r.model_label: r["count"] for r in out} == {"LABEL_0": 25, "LABEL_1": 25}
+
+
+def test_svm_fit_and_cv_properties(spark):
+    """SVM scores are checked by property: near-perfect on separable train data, better than majority."""
+    from augsight.operators import classify
+    words = {0: "alpha beta gamma", 1: "delta epsilon zeta", 2: "eta theta iota"}
+    rows = [(i, ["w%d" % (i % 5)] + words[i % 3].split() * 2, i % 3) for i in range(60)]
+    docs = spark.createDataFrame(rows, "id long, tokens array<string>, label_id int")
+    train, test = docs.where("id < 45"), docs.where("id >= 45")
+    pred = classify.fit_predict(train, {"test": test}, min_df=1, max_df=1.0, max_iter=10)
+    rep = {(r.split, r.label): r for r in metrics.classification_report(pred, "label_id", "pred_id", by=["split"]).collect()}
+    assert rep[("train", "accuracy")].f1 == 1.0
+    assert rep[("test", "macro avg")].f1 > 1 / 3
+    folds = splits.kfold_leakage_safe(docs.select("id", F.col("label_id").cast("string").alias("event_type"),
+                                                  F.lit(None).cast("long").alias("source_doc_id")), 2, seed=1)
+    cv = classify.cross_validate(docs, folds, 2, min_df=1, max_df=1.0, max_iter=10)
+    assert cv.count() == 60
+    assert metrics.macro_metrics(cv, "label_id", "pred_id").first().f1_macro > 0.9
