@@ -17,7 +17,7 @@ from augsight.functions import arrays
 from augsight.functions.rules import predict_language
 from augsight.operators import augment, classify, dedup, features, imbalance, metrics, plugins, rouge, splits, trainset
 from augsight.sources.tables import table
-from augsight.sources.corpus import corpus
+from augsight.sources.corpus import corpus, rejected_labels
 
 # Fixed parameters shared with the oracle SQL.
 LOW_RESOURCE_SHARE = 0.129     # classes with <= 12.9 % of the rows are low-resource
@@ -641,6 +641,13 @@ def q_rouge_lead_benchmark(spark, d):
     return _rounded(rouge.rouge_n(pairs, 1, ["item_id"]), ["precision", "recall", "fmeasure"])
 
 
+
+@register("rejected_labels")
+def q_rejected_labels(spark, d):
+    """How many documents the corpus boundary rejects for a null label."""
+    return rejected_labels(spark, d)
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

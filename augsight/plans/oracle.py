@@ -630,5 +630,9 @@ SELECT item_id, round(p, 6) AS precision, round(r, 6) AS recall,
        round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END, 6) AS fmeasure FROM m"""
 
 
+SQL["rejected_labels"] = """
+SELECT COUNT(*) FILTER (WHERE lang IS NULL) AS n_null_label, COUNT(*) AS n_documents FROM documents"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
