@@ -114,6 +114,18 @@ def translate_chunks(text: str | Column, translator: Callable[[list[str]], list[
     return F.array_join(_tr(tx.chunks(text, chunk_chars)), "")
 
 
+_SENTENCE_END = re.compile(r"([.!?])[ \t\n\r\f]+")
+
+
+def lead_generator(texts: list[str], n: int) -> list[list[str]]:
+    """Stand-in generator plug-in: variant j = the first j+1 sentences (same rule as SQL)."""
+    out = []
+    for t in texts:
+        sents = _SENTENCE_END.sub("\\1\x01", t).split("\x01")
+        out.append([" ".join(sents[:j + 1]) for j in range(n)])
+    return out
+
+
 def regex_tokenizer(texts: list[str]) -> list[list[str]]:
     """Stand-in tokenizer plug-in (same token definition as the SQL default)."""
     return [[t for t in re.split("[^a-z0-9]+", (x or "").lower()) if t] for x in texts]

@@ -648,6 +648,14 @@ def q_rejected_labels(spark, d):
     return rejected_labels(spark, d)
 
 
+
+@register("augment_generator_plugin")
+def q_augment_generator_plugin(spark, d):
+    """L1 through the generator plug-in path (Arrow UDF) with a Python lead-sentence generator."""
+    gen = augment.generate_with(plugins.lead_generator, VARIANTS)
+    return _date_str(augment.augment_corpus(corpus(spark, d), VARIANTS, None, generator=gen))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -634,5 +634,8 @@ SQL["rejected_labels"] = """
 SELECT COUNT(*) FILTER (WHERE lang IS NULL) AS n_null_label, COUNT(*) AS n_documents FROM documents"""
 
 
+SQL["augment_generator_plugin"] = SQL["augment_lead_k"]
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
