@@ -2,7 +2,10 @@
 
 Parameters are fixed here (and mirrored in :mod:`augsight.plans.oracle`).
 Cutoffs are expressed as a share of the corpus so the work and the answer
-scale with the tables.
+scale with the tables.  Every query reads whole tables and whole texts; the
+only limits and truncations are the operators themselves (top-k bounded
+read, hash-ordered random subsets, first-N sentences, character / token
+truncation).
 """
 
 from __future__ import annotations
