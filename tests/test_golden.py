@@ -423,3 +423,28 @@ def test_svm_fit_and_cv_properties(spark):
     cv = classify.cross_validate(docs, folds, 2, min_df=1, max_df=1.0, max_iter=10)
     assert cv.count() == 60
     assert metrics.macro_metrics(cv, "label_id", "pred_id").first().f1_macro > 0.9
+
+
+def test_tfidf_ngrams_and_pruning_brute_force(spark):
+    rng = np.random.default_rng(4)
+    docs = [[str(x) for x in rng.choice(list("abcde"), rng.integers(0, 9))] for _ in range(25)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(docs)], "id long, tokens array<string>")
+    w, vocab, n = features.tfidf(df, n_min=1, n_max=3, min_df=2, max_df=0.8)
+    got = {(r.id, r.term): r.weight for r in w.collect()}
+
+    def grams(t):
+        return [" ".join(t[i:i + k]) for k in (1, 2, 3) for i in range(len(t) - k + 1)]
+    dfreq = {}
+    for t in docs:
+        for g in set(grams(t)):
+            dfreq[g] = dfreq.get(g, 0) + 1
+    keep = {g for g, c in dfreq.items() if 2 <= c <= 0.8 * len(docs)}
+    expected = {}
+    for i, t in enumerate(docs):
+        gs = [g for g in grams(t) if g in keep]
+        raw = {g: gs.count(g) * (math.log((1 + len(docs)) / (1 + dfreq[g])) + 1) for g in set(gs)}
+        norm = math.sqrt(sum(v * v for v in raw.values()))
+        expected.update({(i, g): v / norm for g, v in raw.items()})
+    assert set(got) == set(expected)
+    assert all(math.isclose(got[k], expected[k], rel_tol=1e-9) for k in expected)
+    assert {r.term for r in vocab.collect()} == keep
