@@ -448,3 +448,40 @@ def test_tfidf_ngrams_and_pruning_brute_force(spark):
     assert set(got) == set(expected)
     assert all(math.isclose(got[k], expected[k], rel_tol=1e-9) for k in expected)
     assert {r.term for r in vocab.collect()} == keep
+
+
+def test_rouge_n_brute_force(spark):
+    rng = np.random.default_rng(7)
+    vocab = ["the", "cat", "sat", "on", "mat", "A", "dog."]
+    rows = [(i, " ".join(rng.choice(vocab, rng.integers(0, 12))), " ".join(rng.choice(vocab, rng.integers(0, 12))))
+            for i in range(40)]
+    pairs = spark.createDataFrame(rows, "k long, prediction string, reference string")
+    import re as _re
+    from collections import Counter
+
+    def toks(s):
+        return [t for t in _re.split("[^a-z0-9]+", s.lower()) if t]
+    for n in (1, 2):
+        got = {r.k: r for r in rouge.rouge_n(pairs, n, ["k"]).collect()}
+        for k, p, r in rows:
+            gp = Counter(tuple(toks(p)[i:i + n]) for i in range(len(toks(p)) - n + 1))
+            gr = Counter(tuple(toks(r)[i:i + n]) for i in range(len(toks(r)) - n + 1))
+            ov = sum((gp & gr).values())
+            P = ov / max(sum(gp.values()), 1)
+            R = ov / max(sum(gr.values()), 1)
+            F1 = 2 * P * R / (P + R) if P + R else 0.0
+            assert math.isclose(got[k].precision, P) and math.isclose(got[k].recall, R)
+            assert math.isclose(got[k].fmeasure, F1)
+
+
+def test_split_sizes_formula(spark):
+    for n in (1, 2, 7, 19, 50):
+        got = splits.split_plain(spark.range(n), ["a", "b", "c"], [0.6, 0.25, 0.15], seed=2)
+        c = {r.split: r["count"] for r in got.groupBy("split").count().collect()}
+        rem, exp = n, []
+        for f in splits.stage_fractions([0.6, 0.25, 0.15]):
+            take = math.floor(f * rem)
+            exp.append(take)
+            rem -= take
+        exp.append(rem)
+        assert [c.get(s, 0) for s in "abc"] == exp
