@@ -176,6 +176,31 @@ def kfold_leakage_safe(df: DataFrame, k: int, seed: int = 18091999, label: str =
     return orig_rows.unionByName(aug_rows)
 
 
+def fold_assignment(df: DataFrame, k: int, seed: int = 18091999, label: str = LABEL,
+                    id_col: str = "id", source_col: str = "source_doc_id") -> DataFrame:
+    """Compact leakage-safe assignment: one row per document, ``(id, is_augmented, test_fold)``.
+
+    ``test_fold`` is the fold an original is tested in, or for an augmentation
+    the fold its source is tested in (null for an orphan).  Every fold's train
+    and test sets follow by a filter (:func:`fold_members`), so the k-times
+    larger long table never has to be materialised.
+    """
+    originals = df.where(F.col(source_col).isNull())
+    folds = kfold_stratified(originals.select(id_col, label), k, seed, label, id_col).select(id_col, "fold")
+    orig = folds.select(id_col, F.lit(False).alias("is_augmented"), F.col("fold").alias("test_fold"))
+    aug = (df.where(F.col(source_col).isNotNull()).select(id_col, source_col)
+           .join(folds.select(F.col(id_col).alias(source_col), F.col("fold").alias("test_fold")), source_col, "left")
+           .select(id_col, F.lit(True).alias("is_augmented"), "test_fold"))
+    return orig.unionByName(aug)
+
+
+def fold_members(assignment: DataFrame, fold: int) -> tuple[DataFrame, DataFrame]:
+    """(train ids, test ids) of one fold from a compact assignment."""
+    test = assignment.where(~F.col("is_augmented") & (F.col("test_fold") == fold)).select("id")
+    train = assignment.where(F.col("test_fold").isNull() | (F.col("test_fold") != fold)).select("id")
+    return train, test
+
+
 def leakage_audit(assignment: DataFrame, df: DataFrame, id_col: str = "id",
                   source_col: str = "source_doc_id") -> DataFrame:
     """Per fold: test/train sizes and the number of train augmentations whose source is tested."""

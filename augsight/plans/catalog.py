@@ -597,7 +597,7 @@ def q_svm_cv(spark, d):
     mapping = trainset.label_mapping(aug)
     docs = (trainset.encode_labels(aug, mapping)
             .select("id", "label_id", "source_doc_id", tx.tokens("text").alias("tokens")))
-    folds = splits.kfold_leakage_safe(aug.select("id", "event_type", "source_doc_id"), K, CV_SEED)
+    folds = splits.fold_assignment(aug.select("id", "event_type", "source_doc_id"), K, CV_SEED)
     pred = classify.cross_validate(docs.drop("source_doc_id"), folds, K, min_df=MIN_DF, max_df=MAX_DF, max_iter=50)
     scores = metrics.macro_metrics(pred, "label_id", "pred_id", by=["fold"]).select(
         F.lit("svm").alias("experiment"), "fold", F.col("f1_macro").alias("score"))
@@ -659,6 +659,14 @@ def q_augment_generator_plugin(spark, d):
     return _date_str(augment.augment_corpus(corpus(spark, d), VARIANTS, None, generator=gen))
 
 
+
+@register("kfold_assignment_compact")
+def q_kfold_assignment_compact(spark, d):
+    """X1 as one row per document: (id, is_augmented, test_fold)."""
+    aug = augmented_corpus(spark, d).select("id", "event_type", "source_doc_id")
+    return splits.fold_assignment(aug, K, CV_SEED)
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

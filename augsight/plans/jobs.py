@@ -101,7 +101,7 @@ def svm_cv_job(docs: DataFrame, k: int, out: str, seed: int = 18091999, subsampl
         docs = augment.subsample_augmented(docs, subsample)
     mapping = trainset.label_mapping(docs)
     enc = trainset.encode_labels(docs, mapping).withColumn("tokens", tx.tokens("text"))
-    folds = splits.kfold_leakage_safe(docs.select("id", "event_type", "source_doc_id"), k, seed)
+    folds = splits.fold_assignment(docs.select("id", "event_type", "source_doc_id"), k, seed)
     pred = classify.cross_validate(enc.select("id", "label_id", "tokens"), folds, k, min_df=min_df, max_df=max_df)
     scores = metrics.macro_metrics(pred, "label_id", "pred_id", by=["fold"]).select(
         F.lit("svm").alias("experiment"), "fold", F.col("f1_macro").alias("score"))

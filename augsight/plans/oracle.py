@@ -637,5 +637,10 @@ SELECT COUNT(*) FILTER (WHERE lang IS NULL) AS n_null_label, COUNT(*) AS n_docum
 SQL["augment_generator_plugin"] = SQL["augment_lead_k"]
 
 
+SQL["kfold_assignment_compact"] = w(CORPUS, COUNTS, AUG_LOW, KFOLD_SAFE) + """
+SELECT id, FALSE AS is_augmented, fold AS test_fold FROM f
+UNION ALL SELECT id, TRUE, src_fold FROM a"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)

@@ -485,3 +485,13 @@ def test_split_sizes_formula(spark):
             rem -= take
         exp.append(rem)
         assert [c.get(s, 0) for s in "abc"] == exp
+
+
+def test_compact_assignment_equals_long_table(spark):
+    df = _aug_fixture(spark)
+    long_ = splits.kfold_leakage_safe(df, 3, seed=5).collect()
+    compact = splits.fold_assignment(df, 3, seed=5)
+    for f in range(3):
+        train, test = splits.fold_members(compact, f)
+        assert sorted(r.id for r in train.collect()) == sorted(r.id for r in long_ if r.fold == f and r.role == "train")
+        assert sorted(r.id for r in test.collect()) == sorted(r.id for r in long_ if r.fold == f and r.role == "test")
