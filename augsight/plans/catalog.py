@@ -240,17 +240,16 @@ def dictionary_stub(chunk):
 
 @register("chunk_rejoin")
 def q_chunk_rejoin(spark, d):
-    c = corpus(spark, d)
-    parts = tx.chunks("text", CHUNK_CHARS)
-    return c.select("id", F.size(parts).alias("n_chunks"),
-                    F.md5(F.array_join(F.transform(parts, dictionary_stub), "")).alias("out_md5"))
+    c = corpus(spark, d).select("id", tx.chunks("text", CHUNK_CHARS).alias("parts"))
+    return c.select("id", F.size("parts").alias("n_chunks"),
+                    F.md5(F.array_join(F.transform("parts", dictionary_stub), "")).alias("out_md5"))
 
 
 @register("first_n_sentences")
 def q_first_n_sentences(spark, d):
-    c = corpus(spark, d)
-    return c.select("id", F.size(tx.sentences("text")).alias("n_sentences"),
-                    tx.first_sentences("text", LEAD_SENTENCES).alias("lead"))
+    c = corpus(spark, d).select("id", tx.sentences("text").alias("s"))
+    return c.select("id", F.size("s").alias("n_sentences"),
+                    F.array_join(F.slice("s", 1, LEAD_SENTENCES), " ").alias("lead"))
 
 
 @register("summary_normalise")
