@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -56,3 +58,48 @@ def running_total(df: DataFrame, groups: list[str], bucket: str, order: list[Col
         cond = cond & k
     return (within.join(offsets, cond)
             .select(*[within[c] for c in df.columns], (F.col("_offset") + F.col("_within")).alias(out)))
+
+
+#: Bits of a fixed-size filter: 2 MB for every task, whatever the number of members.
+FILTER_BITS = 1 << 24
+
+
+def bitmap(members: DataFrame, column: str, bits: int = FILTER_BITS) -> bytes:
+    """Filter of the longs in ``column`` by their low bits; at most ``bits / 8`` short rows reach the driver.
+
+    It never misses a member; with more members it only lets more others pass.
+    """
+    slot = members.select(F.col(column).bitwiseAND(bits - 1).alias("slot")).distinct()
+    rows = (slot.groupBy(F.shiftright("slot", 3).alias("byte"))
+            .agg(F.bit_or(F.expr("shiftleft(1, cast(slot & 7 as int))")).alias("bits")).toPandas())
+    out = np.zeros(bits >> 3, np.uint8)
+    out[rows["byte"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.uint8)
+    return out.tobytes()
+
+
+def in_bitmap(table: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which uint64 values the filter (its bytes as an array) lets pass."""
+    slot = (values & np.uint64(table.size * 8 - 1)).astype(np.int64)
+    return (table[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+
+
+def components(links: DataFrame, max_rounds: int = 100) -> DataFrame:
+    """``(node, component)`` of every node in ``links (a, b)``: the smallest node it can reach.
+
+    Every round each node takes the smallest label among its neighbours and
+    then that label's own label, so labels travel twice as far each time.
+    Rounds are written tables; only the number of changes reaches the driver.
+    """
+    both = staged(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
+    labels = staged(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
+    for _ in range(max_rounds):
+        near = (both.join(labels, both["b"] == labels["node"]).groupBy(F.col("a").alias("node"))
+                .agg(F.min("component").alias("near")))
+        step = (labels.join(near, "node")
+                .select("node", F.col("component").alias("old"), F.least("component", "near").alias("to")))
+        jump = labels.select(F.col("node").alias("to"), F.col("component").alias("far"))
+        new = staged(step.join(jump, "to").select("node", "old", F.least("to", "far").alias("component")), "labels")
+        labels = new.select("node", "component")
+        if new.filter("component <> old").isEmpty():
+            return labels
+    raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -9,7 +9,7 @@ shared window shares a fingerprint at the same place.  Items of fewer than
 their length), since any shared span of that length must be found.
 
 Test and training fingerprints are joined by Spark.  A bitmap of fixed size
-(``FILTER_BITS`` whatever the size of the benchmark) lets a task forget
+(2 MB whatever the size of the benchmark) lets a task forget
 fingerprints that no item has; it can only pass too many.  Each survivor
 carries the words around it, so hits are extended on the words themselves,
 left and right, to the shared span.  Spans of one document are merged to
@@ -33,13 +33,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from augsight.llm.common import staged, text_key
+from augsight.llm.common import bitmap, in_bitmap, staged, text_key
 from augsight.llm.words import ALNUM_FOLDED, Words, signed, slices, split_words
 
 WINDOW = 10
 K = 5
-#: Bits of the filter of benchmark fingerprints that every task gets: 2 MB at any size of the benchmark.
-FILTER_BITS = 1 << 24
 
 
 def fingerprints(words: Words, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -90,8 +88,8 @@ def _item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ["fp", "len", "back", "around", "item_id"])
 
 
-def _doc_rows(lengths: list[int], bitmap: bytes):
-    bits = np.frombuffer(bitmap, np.uint8)
+def _doc_rows(lengths: list[int], known_bits: bytes):
+    bits = np.frombuffer(known_bits, np.uint8)
     hit = pa.list_(pa.struct([("fp", pa.int64()), ("len", pa.int32()), ("at", pa.int32()), ("back", pa.int32()),
                               ("around", pa.string())]))
 
@@ -101,8 +99,7 @@ def _doc_rows(lengths: list[int], bitmap: bytes):
             hits: list[list] = [[] for _ in range(part.num_rows)]
             for length in lengths:
                 at, h = fingerprints(words, length)
-                slot = (h % np.uint64(FILTER_BITS)).astype(np.int64)
-                known = (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+                known = in_bitmap(bits, h)
                 for p, x in zip(at[known].tolist(), signed(h[known]).tolist()):
                     lo, hi = _around(words, p, length)
                     d = int(words.doc[p])
@@ -115,16 +112,6 @@ def _doc_rows(lengths: list[int], bitmap: bytes):
     return run
 
 
-def _bitmap(items: DataFrame) -> bytes:
-    """The fixed-size filter: only the bytes that have bits set reach the driver."""
-    rows = (items.select(F.col("fp").bitwiseAND(FILTER_BITS - 1).alias("slot")).distinct()
-            .groupBy(F.shiftright("slot", 3).alias("byte"))
-            .agg(F.bit_or(F.expr("shiftleft(1, cast(slot & 7 as int))")).alias("bits")).toPandas())
-    out = np.zeros(FILTER_BITS >> 3, np.uint8)
-    out[rows["byte"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.uint8)
-    return out.tobytes()
-
-
 def contamination(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(rows, spans)``: rows ``(_row, doc_id, text_key, n_words)``; spans ``(_row, start, end, items)``, end exclusive, in words.
 
@@ -137,7 +124,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, Dat
     lengths = sorted(r[0] for r in items.select("len").distinct().collect())  # 1 to WINDOW
     schema = (f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_key string, n_words long, "
               "hits array<struct<fp:long,len:int,at:int,back:int,around:string>>")
-    rows = staged(docs.select("doc_id", "text", text_key(F.col("text")).alias("text_key")).mapInArrow(_doc_rows(lengths, _bitmap(items)), schema), "fingerprints")
+    rows = staged(docs.select("doc_id", "text", text_key(F.col("text")).alias("text_key")).mapInArrow(_doc_rows(lengths, bitmap(items, "fp")), schema), "fingerprints")
     rows = rows.withColumn("_row", F.monotonically_increasing_id())
     hits = rows.filter(F.size("hits") > 0).select("_row", F.explode("hits").alias("h"))
     both = hits.join(items.alias("i"), (F.col("h.fp") == F.col("i.fp")) & (F.col("h.len") == F.col("i.len")))

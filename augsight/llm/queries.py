@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from augsight.llm import decontaminate, mixing, sharding
+from augsight.llm import decontaminate, jaccard_join, mixing, sharding
 from augsight.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,12 +23,16 @@ def op2_decontamination(spark, d):
     return decontaminate.contamination_digest(documents(spark, d), bench).drop("text_key")
 
 
+def op5_jaccard_join(spark, d):
+    return jaccard_join.group_digest(documents(spark, d))
+
+
 def op7_mixing(spark, d):
     return mixing.mix_digest(documents(spark, d))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_sharding, op2_decontamination, op7_mixing)}
+    return {f.__name__: f for f in (op1_sharding, op2_decontamination, op5_jaccard_join, op7_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
