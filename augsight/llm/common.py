@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -62,19 +64,33 @@ def running_total(df: DataFrame, groups: list[str], bucket: str, order: list[Col
 
 #: Bits of a fixed-size filter: 2 MB for every task, whatever the number of members.
 FILTER_BITS = 1 << 24
+_PAGE_BITS = 1 << 15
 
 
 def bitmap(members: DataFrame, column: str, bits: int = FILTER_BITS) -> bytes:
-    """Filter of the longs in ``column`` by their low bits; at most ``bits / 8`` short rows reach the driver.
+    """Filter of the longs in ``column`` by their low bits; at most ``bits / 8`` bytes reach the driver.
 
     It never misses a member; with more members it only lets more others pass.
     """
-    slot = members.select(F.col(column).bitwiseAND(bits - 1).alias("slot")).distinct()
-    rows = (slot.groupBy(F.shiftright("slot", 3).alias("byte"))
-            .agg(F.bit_or(F.expr("shiftleft(1, cast(slot & 7 as int))")).alias("bits")).toPandas())
-    out = np.zeros(bits >> 3, np.uint8)
-    out[rows["byte"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.uint8)
-    return out.tobytes()
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lows = batch.column("lows")
+            flat, ends = lows.flatten().to_numpy(zero_copy_only=False), lows.value_lengths().to_numpy().cumsum()
+            rows = []
+            for own in np.split(flat, ends[:-1]):
+                page = np.zeros(_PAGE_BITS, np.uint8)
+                page[own] = 1
+                rows.append(np.packbits(page, bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("page"), pa.array(rows, pa.binary())], ["page", "bits"])
+
+    slot = F.col(column).bitwiseAND(bits - 1)
+    pages = (members.select((slot / _PAGE_BITS).cast("int").alias("page"), (slot % _PAGE_BITS).cast("int").alias("low"))
+             .filter("page is not null").groupBy("page").agg(F.collect_set("low").alias("lows"))
+             .mapInArrow(packed, "page int, bits binary").collect())
+    out = bytearray(bits >> 3)
+    for r in pages:
+        out[r["page"] * (_PAGE_BITS >> 3):(r["page"] + 1) * (_PAGE_BITS >> 3)] = r["bits"]
+    return bytes(out)
 
 
 def in_bitmap(table: np.ndarray, values: np.ndarray) -> np.ndarray:

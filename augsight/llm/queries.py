@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from augsight.llm import decontaminate, jaccard_join, mixing, sharding
+from augsight.llm import decontaminate, jaccard_join, mixing, sharding, substring_dedup
 from augsight.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,16 +27,21 @@ def op5_jaccard_join(spark, d):
     return jaccard_join.group_digest(documents(spark, d))
 
 
+def op6_substring_dedup(spark, d):
+    return substring_dedup.without_repeats(documents(spark, d)).drop("text")
+
+
 def op7_mixing(spark, d):
     return mixing.mix_digest(documents(spark, d))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_sharding, op2_decontamination, op5_jaccard_join, op7_mixing)}
+    return {f.__name__: f for f in (op1_sharding, op2_decontamination, op5_jaccard_join, op6_substring_dedup,
+                                   op7_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2_SQL, "op7_mixing": OP7_SQL}
+    return {"op2_decontamination": OP2_SQL, "op6_substring_dedup": OP6_SQL, "op7_mixing": OP7_SQL}
 
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -61,6 +66,20 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN hw USING (r) LEFT JOIN hi USING (r)
 """
 
+OP6_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+win AS (SELECT r, doc_id, p, array_to_string(w[p:p + 12], ' ') AS s FROM d, range(1, greatest(len(w) - 12, 0) + 1) AS x(p)),
+least_of AS (SELECT s, min(doc_id) AS least_id FROM win GROUP BY s),
+hit AS (SELECT DISTINCT r, q FROM win JOIN least_of USING (s), range(p, p + 13) AS y(q) WHERE least_id < doc_id),
+gone AS (SELECT r, list(q) AS q FROM hit GROUP BY r),
+kept AS (SELECT doc_id, w, coalesce(len(q), 0) AS n_removed,
+                CASE WHEN q IS NULL THEN w ELSE list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda x: NOT list_contains(q, x[2])), lambda x: x[1]) END AS k
+         FROM d LEFT JOIN gone USING (r))
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n_removed,
+       sha256(array_to_string(k, ' ')) AS kept_sha256
+FROM kept
+"""
+
 OP7_SQL = rf"""
 WITH RECURSIVE s AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size,
                             md5('{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS k FROM documents),

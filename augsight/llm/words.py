@@ -64,6 +64,7 @@ class Words:
     end: np.ndarray
     hash: np.ndarray
     first: np.ndarray
+    bounds: np.ndarray
 
     def text(self, i: int, j: int, sep: bytes = b" ") -> bytes:
         """Words i to j - 1 joined."""
@@ -76,13 +77,36 @@ class Words:
             return np.empty(0, np.int64), np.empty(0, np.uint64)
         m = len(self.hash) - n + 1
         at = np.flatnonzero(self.doc[:m] == self.doc[n - 1:])
-        acc = self.hash[:m] + np.uint64(seed * 2 + 1)
+        factor = np.uint64((int(_GRAM) + seed * 0x5851F42D4C957F2E) % (1 << 64))  # odd for every seed
+        acc = self.hash[:m].copy()
         for j in range(1, n):
-            acc *= _GRAM
+            acc *= factor
             acc += self.hash[j:j + m]
         return at, mix(acc)[at]
 
 
+    def range_hash(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Hashes of the word sequences ``lo[i]:hi[i]``."""
+        up, down = _powers(len(self.hash) + 1)
+        sums = np.zeros(len(self.hash) + 1, np.uint64)
+        np.cumsum(self.hash * up[:len(self.hash)], out=sums[1:])
+        return mix((sums[hi] - sums[lo]) * down[lo] + (hi - lo).astype(np.uint64))
+
+    def joined(self) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of all texts with their words joined by one space, and the texts' bounds in them."""
+        inside = np.zeros(len(self.data) + 1, np.int8)
+        inside[self.start] += 1
+        inside[self.end] -= 1
+        keep = np.cumsum(inside[:-1], dtype=np.int8).astype(bool)
+        out = self.data.copy()
+        gap = self.end[:-1][self.doc[:-1] == self.doc[1:]]  # the byte after a word that another follows
+        keep[gap] = True
+        out[gap] = 32
+        total = np.zeros(len(keep) + 1, np.int64)
+        np.cumsum(keep, out=total[1:])
+        return out[keep], total[self.bounds]
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Parts of the batches with their text bytes and the texts' offsets; a null text has no bytes."""
     for batch in batches:
@@ -138,7 +162,7 @@ def split_words(data: np.ndarray, bounds: np.ndarray, kind: tuple[np.ndarray, np
         lo = hi
     hashes ^= (end - start).astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
     first = np.searchsorted(doc, np.arange(len(bounds)))
-    return Words(data, doc, start, end, mix(hashes), first)
+    return Words(data, doc, start, end, mix(hashes), first, bounds)
 
 
 def signed(x: np.ndarray) -> np.ndarray:
