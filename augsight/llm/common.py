@@ -40,6 +40,17 @@ def text_key(text: Column) -> Column:
     return F.coalesce(F.md5(text.cast("binary")), F.lit("null"))
 
 
+def bounded_sample(rows: DataFrame, id_col: str, n: int) -> DataFrame:
+    """The rows with the ``n`` smallest hashes of ``id_col`` (all rows of the ids on the edge).
+
+    Only ids are sorted, each task keeping its ``n`` smallest; the chosen
+    ids, at most ``n``, go to every task.
+    """
+    key = F.md5(F.col(id_col).cast("string").cast("binary"))
+    ids = rows.select(F.col(id_col).alias("_id"), key.alias("_k")).distinct().orderBy("_k").limit(n).select("_id")
+    return rows.join(F.broadcast(ids), rows[id_col] == F.col("_id"), "left_semi")
+
+
 def running_total(df: DataFrame, groups: list[str], bucket: str, order: list[Column], value: Column,
                   out: str) -> DataFrame:
     """Add ``out``: the sum of ``value`` over the rows before this one in its group.
