@@ -8,8 +8,8 @@ ones share at least ``c``.  Light sets (small) enumerate all pairs (``c =
 would have too many pairs and scan the inverted lists of their first single
 shingles (``c = 1``).  Light sets near the boundary are in the lists too, so
 no pair across it is missed.  The boundary is where the rows of an
-enumeration cost more than the entries that scanning its lists is expected to
-read, from measured list lengths.
+enumeration cost more than a set's list entries and the entries that reading
+those lists is expected to give, from measured list lengths.
 
 The global order puts shingles that many documents share last, so a passage
 found everywhere is no join key.  Its statistics are counted over all
@@ -18,9 +18,11 @@ documents in hash buckets of fixed number and only steer the cost.
 Equal sets are one node (their copies never meet each other).  In short lists
 all pairs are candidates.  A long list is first chained: each set with the
 next one in size order; verified links give components, and only pairs of
-still different components are enumerated afterwards.  So a group of a
-million near copies costs a million checks, and no link between components
-is missed.  All candidates are verified on whole sets.
+still different components are enumerated afterwards, those whose parity
+sketches (a lower bound of the number of shingles they differ in) allow a
+link.  So near copies that form one component cost one check each, and no
+link between components is missed.  All candidates are verified on whole
+sets.
 
 Defined results: a null or empty text, or one without words, has an empty
 set and is its own component; fewer than four words are one shingle; equal
@@ -50,8 +52,12 @@ LEAST = 6
 BUCKETS = 1 << 22
 #: A bucket is frequent in a task from this count, and from this multiple of the mean count.
 FREQUENT, FREQUENT_MEANS = 4, 8
+#: What a shuffled row costs, in entries read from a list.
+ROW_COST = 4
 #: Lists up to this length are joined pair by pair at once.
 SHORT_LIST = 24
+#: Bits of a set's parity sketch.
+PARITIES = 4096
 #: Entries of a frequent key that are chained in one piece, about.
 PIECE_BITS = 12
 
@@ -93,24 +99,29 @@ def _set_ids(values: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each text, and one for the task with the frequent buckets and the sums of counts and squares."""
+    """A row for each text, and one for the task with the frequent buckets and, of the others, the sums of counts
+    and squares; equal sets of a task count once."""
+    seen: set[int] = set()
     counts = np.zeros(BUCKETS, np.int32)
     frequent = pa.list_(pa.struct([("bucket", pa.int32()), ("n", pa.int64())]))
     names = ["doc_id", "text_key", "n_shingles", "set_id", "frequent", "shingles", "squares"]
     doc_type = None
     for part, data, bounds in slices(batches):
         values, first = _sets(split_words(data, bounds, FOLDED))
-        np.add.at(counts, (values & np.uint64(BUCKETS - 1)).astype(np.int32), 1)
+        ids = _set_ids(values, first)
+        new = np.array([len(seen) < (seen.add(x) or len(seen)) for x in ids.tolist()], bool)
+        np.add.at(counts, (values[np.repeat(new, np.diff(first))] & np.uint64(BUCKETS - 1)).astype(np.int32), 1)
         rows, doc_type = part.num_rows, part.column("doc_id").type
         yield pa.RecordBatch.from_arrays(
             [part.column("doc_id"), part.column("text_key"), pa.array(np.diff(first), pa.int64()),
-             pa.array(signed(_set_ids(values, first)), pa.int64()), pa.nulls(rows, frequent),
+             pa.array(signed(ids), pa.int64()), pa.nulls(rows, frequent),
              pa.nulls(rows, pa.float64()), pa.nulls(rows, pa.float64())], names)
     if doc_type is None:
         return
-    total, squares = float(counts.sum()), float((counts.astype(np.float64) ** 2).sum())
-    most = np.flatnonzero(counts >= max(FREQUENT, FREQUENT_MEANS * total / BUCKETS))
+    most = np.flatnonzero(counts >= max(FREQUENT, FREQUENT_MEANS * counts.sum() / BUCKETS))
     listed = [{"bucket": b, "n": n} for b, n in zip(most.tolist(), counts[most].tolist())]
+    counts[most] = 0
+    total, squares = float(counts.sum()), float((counts.astype(np.float64) ** 2).sum())
     yield pa.RecordBatch.from_arrays(
         [pa.nulls(1, doc_type), pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()),
          pa.array([listed], frequent), pa.array([total]), pa.array([squares])], names)
@@ -181,16 +192,30 @@ def _members(wanted: bytes):
                     rows.append(d)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(signed(ids[rows]), pa.int64()), pa.array(np.diff(first)[rows], pa.int32()),
-                 pa.array([values[first[d]:first[d + 1]].view(np.int64) for d in rows], pa.list_(pa.int64()))],
-                ["set_id", "size", "shingles"])
+                 pa.array([values[first[d]:first[d + 1]].view(np.int64) for d in rows], pa.list_(pa.int64())),
+                 pa.array([_parities(values[first[d]:first[d + 1]]) for d in rows], pa.list_(pa.int64()))],
+                ["set_id", "size", "shingles", "parities"])
     return run
 
 
-def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def _parities(values: np.ndarray) -> np.ndarray:
+    """For each of ``PARITIES`` hash buckets, one bit: whether an odd number of the shingles falls into it.
+
+    Two sets that differ in n shingles differ in n bits at most.
+    """
+    odd = np.bincount((values & np.uint64(PARITIES - 1)).astype(np.int64), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _whole_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``(set_id, size, shingles, parities)`` of the sets named in the only column of ``ids``, and maybe some more."""
+    members = _members(bitmap(ids.toDF("id"), "id"))
+    return staged(docs.select("text").mapInArrow(members, "set_id long, size int, shingles array<long>, parities array<long>")
+                  .dropDuplicates(["set_id", "size"]), "members")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs ``(a, asize, b, bsize)`` whose whole sets are similar enough."""
-    ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
-    sets = staged(docs.select("text").mapInArrow(_members(bitmap(ends, "id")), "set_id long, size int, shingles array<long>"), "members")
-    sets = sets.groupBy("set_id", "size").agg(F.first("shingles").alias("shingles"))
     a = sets.select(F.col("set_id").alias("a"), F.col("size").alias("asize"), F.col("shingles").alias("u"))
     b = sets.select(F.col("set_id").alias("b"), F.col("size").alias("bsize"), F.col("shingles").alias("v"))
     common = F.size(F.array_intersect("u", "v"))
@@ -210,11 +235,11 @@ def _pairs(entries: DataFrame, condition: str) -> DataFrame:
 
 
 def boundary_size(list_length: float) -> int:
-    """The largest size whose pairs of first shingles are no more rows than its lists' expected entries."""
+    """The largest size whose pairs of first shingles cost no more than its list entries and reading their lists."""
     size = LEAST - 1
     while size < 10_000:
         p = int(_first_ones(np.array([size + 1]))[0])
-        if p * (p + 1) / 2 > p * (1 + list_length):
+        if ROW_COST * p * (p + 1) / 2 > p * (ROW_COST + list_length):
             break
         size += 1
     return size
@@ -256,7 +281,8 @@ def similar_groups(docs: DataFrame) -> DataFrame:
                        F.greatest("set_id", "before.set_id").alias("b"),
                        F.when(F.col("set_id") < F.col("before.set_id"), F.col("before.size")).otherwise(F.col("size")).alias("bsize")))
     first_pairs = staged(_pairs(short, "true").union(chained).distinct(), "pairs")
-    similar = staged(_verified(docs, first_pairs), "similar")
+    ends = first_pairs.select("a").union(first_pairs.select("b"))
+    similar = staged(_verified(first_pairs, _whole_sets(docs, ends)), "similar")
 
     # Long lists: pairs of sets that are not yet in one component.
     joined = components(similar)
@@ -265,10 +291,14 @@ def similar_groups(docs: DataFrame) -> DataFrame:
                .withColumn("component", F.coalesce("component", "set_id")))
     open_keys = entries.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y")
     entries = staged(entries.join(open_keys.select("key"), "key", "left_semi"), "open")
-    late = _pairs(entries, "u.component <> v.component").join(first_pairs, ["a", "asize", "b", "bsize"], "left_anti")
-    late = staged(late, "late_pairs")
-    if not late.isEmpty():
-        joined = components(similar.select("a", "b").union(_verified(docs, late).select("a", "b")))
+    if not entries.isEmpty():
+        sets = _whole_sets(docs, entries.select("set_id"))
+        entries = entries.join(sets.select("set_id", "size", "parities"), ["set_id", "size"])
+        # Similar sets differ in at most 15 of 185 of their sizes' sum.
+        close = ("u.component <> v.component and aggregate(zip_with(u.parities, v.parities, (x, y) -> bit_count(x ^ y)), 0, "
+                 f"(n, x) -> n + x) * {100 + J} <= {100 - J} * (u.size + v.size)")
+        late = staged(_pairs(entries, close).join(first_pairs, ["a", "asize", "b", "bsize"], "left_anti"), "late_pairs")
+        joined = components(similar.select("a", "b").union(_verified(late, sets).select("a", "b")))
 
     rows = described.filter("shingles is null").select("doc_id", "text_key", "n_shingles", "set_id")
     smallest = rows.filter("n_shingles > 0").groupBy("set_id", "n_shingles").agg(F.min("doc_id").alias("least_id"))
