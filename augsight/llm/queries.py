@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from augsight.llm import decontaminate, jaccard_join, language, mixing, sharding, substring_dedup, toxicity
+from augsight.llm import decontaminate, jaccard_join, language, mixing, quality, sharding, substring_dedup, toxicity
 from augsight.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,10 @@ def op2_decontamination(spark, d):
     return decontaminate.contamination_digest(documents(spark, d), bench).drop("text_key")
 
 
+def op3_quality(spark, d):
+    return quality.quality(documents(spark, d), spark.read.parquet(f"{d.rstrip('/')}/labels.parquet"))
+
+
 def op4_language_id(spark, d):
     return language.language_digest(documents(spark, d))
 
@@ -45,7 +49,7 @@ def op9_toxicity(spark, d):
 
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
-        op1_sharding, op2_decontamination, op4_language_id, op5_jaccard_join, op6_substring_dedup, op7_mixing, op9_toxicity)}
+        op1_sharding, op2_decontamination, op3_quality, op4_language_id, op5_jaccard_join, op6_substring_dedup, op7_mixing, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
