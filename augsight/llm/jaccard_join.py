@@ -18,10 +18,10 @@ documents in hash buckets of fixed number and only steer the cost.
 Equal sets are one node (their copies never meet each other).  In short lists
 all pairs are candidates.  A long list is first chained: each set with the
 next one in size order; verified links give components, and only pairs of
-still different components are enumerated afterwards, those whose parity
-sketches (a lower bound of the number of shingles they differ in) allow a
-link.  So near copies that form one component cost one check each, and no
-link between components is missed.  All candidates are verified on whole
+still different components are enumerated afterwards.  So near copies that
+form one component cost one check each, and no link between components is
+missed.  Candidates must pass parity sketches (a lower bound of the number
+of shingles in which two sets differ); those that do are verified on whole
 sets.
 
 Defined results: a null or empty text, or one without words, has an empty
@@ -56,6 +56,8 @@ FREQUENT, FREQUENT_MEANS = 4, 8
 ROW_COST = 4
 #: Lists up to this length are joined pair by pair at once.
 SHORT_LIST = 24
+#: Bits of the filter of sets to fetch: 8 MB for every task at any size of the corpus.
+ID_BITS = 1 << 26
 #: Bits of a set's parity sketch.
 PARITIES = 4096
 #: Entries of a frequent key that are chained in one piece, about.
@@ -176,8 +178,8 @@ def _keys(order: bytes, boundary: int):
     return run
 
 
-def _members(wanted: bytes):
-    """(set_id, size, shingles) of the sets that the filter lets pass, once in a task."""
+def _members(wanted: bytes, whole: bool):
+    """(set_id, size, shingles or parities) of the sets that the filter lets pass, once in a task."""
     bits = np.frombuffer(wanted, np.uint8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,11 +192,11 @@ def _members(wanted: bytes):
                 if (x := int(ids[d])) not in seen:
                     seen.add(x)
                     rows.append(d)
+            sets = [values[first[d]:first[d + 1]] for d in rows]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(signed(ids[rows]), pa.int64()), pa.array(np.diff(first)[rows], pa.int32()),
-                 pa.array([values[first[d]:first[d + 1]].view(np.int64) for d in rows], pa.list_(pa.int64())),
-                 pa.array([_parities(values[first[d]:first[d + 1]]) for d in rows], pa.list_(pa.int64()))],
-                ["set_id", "size", "shingles", "parities"])
+                 pa.array([v.view(np.int64) if whole else _parities(v) for v in sets], pa.list_(pa.int64()))],
+                ["set_id", "size", "shingles" if whole else "parities"])
     return run
 
 
@@ -207,15 +209,29 @@ def _parities(values: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def _whole_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``(set_id, size, shingles, parities)`` of the sets named in the only column of ``ids``, and maybe some more."""
-    members = _members(bitmap(ids.toDF("id"), "id"))
-    return staged(docs.select("text").mapInArrow(members, "set_id long, size int, shingles array<long>, parities array<long>")
-                  .dropDuplicates(["set_id", "size"]), "members")
+def _fetch(docs: DataFrame, ids: DataFrame, whole: bool) -> DataFrame:
+    """``(set_id, size, shingles)``, or its ``parities``, of the sets named in the only column of ``ids``."""
+    column = "shingles" if whole else "parities"
+    members = _members(bitmap(ids.toDF("id"), "id", ID_BITS), whole)
+    return staged(docs.select("text").mapInArrow(members, f"set_id long, size int, {column} array<long>")
+                  .dropDuplicates(["set_id", "size"]), column)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs ``(a, asize, b, bsize)`` whose whole sets are similar enough."""
+#: Similar sets differ in at most 15 of 185 of their sizes' sum; sketches show at most what differs.
+_CLOSE = ("aggregate(zip_with(u.parities, v.parities, (x, y) -> bit_count(x ^ y)), 0, (n, x) -> n + x) "
+          f"* {100 + J} <= {100 - J} * (u.size + v.size)")
+
+
+def _close(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs ``(a, asize, b, bsize)`` that their sketches do not rule out."""
+    u, v = sketches.alias("u"), sketches.alias("v")
+    return (pairs.join(u, F.expr("a = u.set_id and asize = u.size")).join(v, F.expr("b = v.set_id and bsize = v.size"))
+            .filter(_CLOSE).select("a", "asize", "b", "bsize"))
+
+
+def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs whose whole sets are similar enough."""
+    sets = _fetch(docs, pairs.select("a").union(pairs.select("b")), True)
     a = sets.select(F.col("set_id").alias("a"), F.col("size").alias("asize"), F.col("shingles").alias("u"))
     b = sets.select(F.col("set_id").alias("b"), F.col("size").alias("bsize"), F.col("shingles").alias("v"))
     common = F.size(F.array_intersect("u", "v"))
@@ -281,8 +297,9 @@ def similar_groups(docs: DataFrame) -> DataFrame:
                        F.greatest("set_id", "before.set_id").alias("b"),
                        F.when(F.col("set_id") < F.col("before.set_id"), F.col("before.size")).otherwise(F.col("size")).alias("bsize")))
     first_pairs = staged(_pairs(short, "true").union(chained).distinct(), "pairs")
-    ends = first_pairs.select("a").union(first_pairs.select("b"))
-    similar = staged(_verified(first_pairs, _whole_sets(docs, ends)), "similar")
+    ends = first_pairs.select("a").union(first_pairs.select("b")).union(long.select("set_id"))
+    sketches = _fetch(docs, ends, False)
+    similar = staged(_verified(docs, staged(_close(first_pairs, sketches), "close")), "similar")
 
     # Long lists: pairs of sets that are not yet in one component.
     joined = components(similar)
@@ -291,14 +308,11 @@ def similar_groups(docs: DataFrame) -> DataFrame:
                .withColumn("component", F.coalesce("component", "set_id")))
     open_keys = entries.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y")
     entries = staged(entries.join(open_keys.select("key"), "key", "left_semi"), "open")
-    if not entries.isEmpty():
-        sets = _whole_sets(docs, entries.select("set_id"))
-        entries = entries.join(sets.select("set_id", "size", "parities"), ["set_id", "size"])
-        # Similar sets differ in at most 15 of 185 of their sizes' sum.
-        close = ("u.component <> v.component and aggregate(zip_with(u.parities, v.parities, (x, y) -> bit_count(x ^ y)), 0, "
-                 f"(n, x) -> n + x) * {100 + J} <= {100 - J} * (u.size + v.size)")
-        late = staged(_pairs(entries, close).join(first_pairs, ["a", "asize", "b", "bsize"], "left_anti"), "late_pairs")
-        joined = components(similar.select("a", "b").union(_verified(late, sets).select("a", "b")))
+    entries = entries.join(sketches, ["set_id", "size"])
+    late = staged(_pairs(entries, f"u.component <> v.component and {_CLOSE}")
+                  .join(first_pairs, ["a", "asize", "b", "bsize"], "left_anti"), "late_pairs")
+    if not late.isEmpty():
+        joined = components(similar.select("a", "b").union(_verified(docs, late).select("a", "b")))
 
     rows = described.filter("shingles is null").select("doc_id", "text_key", "n_shingles", "set_id")
     smallest = rows.filter("n_shingles > 0").groupBy("set_id", "n_shingles").agg(F.min("doc_id").alias("least_id"))
