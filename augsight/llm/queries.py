@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from augsight.llm import decontaminate, jaccard_join, language, mixing, quality, sharding, substring_dedup, toxicity
+from augsight.llm import decontaminate, jaccard_join, language, mixing, pii, quality, sharding, substring_dedup, toxicity
 from augsight.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,9 +47,13 @@ def op9_toxicity(spark, d):
     return toxicity.toxicity_digest(documents(spark, d), spark.read.parquet(f"{d.rstrip('/')}/labels.parquet"))
 
 
+def op10_pii(spark, d):
+    return pii.pii_digest(documents(spark, d))
+
+
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
-        op1_sharding, op2_decontamination, op3_quality, op4_language_id, op5_jaccard_join, op6_substring_dedup, op7_mixing, op9_toxicity)}
+        op1_sharding, op2_decontamination, op3_quality, op4_language_id, op5_jaccard_join, op6_substring_dedup, op7_mixing, op9_toxicity, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
