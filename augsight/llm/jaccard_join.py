@@ -336,8 +336,16 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     stays; rows that agree in both are one row.
     """
     groups = similar_groups(docs).withColumn("unnamed", F.when(F.col("component_id").isNull(), F.col("text_key")))
+    groups = staged(groups, "groups")
     kept = (groups.groupBy("component_id", "unnamed").agg(F.min(F.struct("doc_id", "text_key")).alias("k"))
-            .select(F.col("k.doc_id").alias("_id"), F.col("k.text_key").alias("_text")).distinct())
+            .select("k.doc_id", "k.text_key").distinct())
+    kept = staged(kept, "kept")
+    ids = kept.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_text"))
     rows = docs.withColumn("_digest", text_key(F.col("text")))
-    rows = rows.join(kept, rows["doc_id"].eqNullSafe(kept["_id"]) & (rows["_digest"] == kept["_text"]), "left_semi")
-    return rows.dropDuplicates(["doc_id", "_digest"]).drop("_digest")
+    rows = rows.join(ids, rows["doc_id"].eqNullSafe(ids["_id"]) & (rows["_digest"] == ids["_text"]), "left_semi")
+    # Whole rows are sorted only if some kept row is there twice.
+    twice = (groups.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    same = twice["doc_id"].eqNullSafe(ids["_id"]) & (twice["text_key"] == ids["_text"])
+    if not twice.join(ids, same, "left_semi").isEmpty():
+        rows = rows.dropDuplicates(["doc_id", "_digest"])
+    return rows.drop("_digest")

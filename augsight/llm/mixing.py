@@ -126,7 +126,7 @@ def mixed(docs: DataFrame, seed: int = SEED) -> DataFrame:
         raise ValueError(f"columns {clash} begin with an underscore; rename them first")
     sized = docs.select("*", F.col("source").alias("_source"), mix_key(F.col("doc_id"), seed).alias("_key"),
                         n_words(F.col("text")).alias("_size"))
-    cuts = source_cuts(sized.select("source", F.col("_key").alias("key"), F.col("_size").alias("size")))
+    cuts = source_cuts(staged(sized.select("source", F.col("_key").alias("key"), F.col("_size").alias("size")), "sizes"))
     full = (F.col("_key") < F.col("_cut.cut_key")) | ((F.col("_last") == F.col("_size")) & (F.col("_size") > 0))
     copies = F.col("_cut.epochs") + F.when(full | (F.col("_last") > 0), 1).otherwise(0)
     rows = (_with_cut(sized, cuts).withColumn("_copies", copies.cast("int"))

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from augsight.llm import decontaminate, jaccard_join, language, mixing, pii, quality, sharding, substring_dedup, toxicity
-from augsight.llm.common import documents
+from augsight.llm import decontaminate, jaccard_join, language, mixing, pii, quality, sharding, substring_dedup, token_store, toxicity
+from augsight.llm.common import documents, scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,6 +43,10 @@ def op7_mixing(spark, d):
     return mixing.mix_digest(documents(spark, d))
 
 
+def op8_token_output(spark, d):
+    return token_store.training_order(documents(spark, d), scratch(spark, "shards"))
+
+
 def op9_toxicity(spark, d):
     return toxicity.toxicity_digest(documents(spark, d), spark.read.parquet(f"{d.rstrip('/')}/labels.parquet"))
 
@@ -53,7 +57,8 @@ def op10_pii(spark, d):
 
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
-        op1_sharding, op2_decontamination, op3_quality, op4_language_id, op5_jaccard_join, op6_substring_dedup, op7_mixing, op9_toxicity, op10_pii)}
+        op1_sharding, op2_decontamination, op3_quality, op4_language_id, op5_jaccard_join, op6_substring_dedup, op7_mixing,
+        op8_token_output, op9_toxicity, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
