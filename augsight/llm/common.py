@@ -35,6 +35,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
 
 
+def packed(docs: DataFrame, **columns: Column) -> DataFrame:
+    """``row`` (all columns of ``docs``) beside ``columns``, so that no name of a caller's column can clash."""
+    row = F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])
+    return docs.select(row.alias("row"), *[c.alias(name) for name, c in columns.items()])
+
+
 def text_key(text: Column) -> Column:
     """Digest of a text; null texts share one that no text has."""
     return F.coalesce(F.md5(text.cast("binary")), F.lit("null"))

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from augsight.llm.common import bitmap, in_bitmap, staged, text_key
+from augsight.llm.common import bitmap, in_bitmap, packed, staged, text_key
 from augsight.llm.words import ALNUM_FOLDED, Words, signed, slices, split_words
 
 WINDOW = 10
@@ -161,7 +161,7 @@ def contamination_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, without those that hold a benchmark window."""
-    hit = (contamination_digest(docs, benchmark).filter("contaminated")
-           .select(F.col("doc_id").alias("_hit_id"), F.col("text_key").alias("_hit_key")).distinct())
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("_hit_id"))
-                     & (text_key(F.col("text")) == F.col("_hit_key")), "left_anti")
+    hit = contamination_digest(docs, benchmark).filter("contaminated").select("doc_id", "text_key").distinct().alias("h")
+    rows = packed(docs, doc_id=F.col("doc_id"), text_key=text_key(F.col("text"))).alias("d")
+    same = F.col("d.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("d.text_key") == F.col("h.text_key"))
+    return rows.join(hit, same, "left_anti").select("row.*")

@@ -37,10 +37,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from augsight.llm.common import bitmap, components, in_bitmap, staged, text_key
+from augsight.llm.common import bitmap, components, in_bitmap, packed, staged, text_key
 from augsight.llm.words import FOLDED, mix, signed, slices, split_words
 
 SHINGLE = 4
@@ -340,12 +340,14 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     kept = (groups.groupBy("component_id", "unnamed").agg(F.min(F.struct("doc_id", "text_key")).alias("k"))
             .select("k.doc_id", "k.text_key").distinct())
     kept = staged(kept, "kept")
-    ids = kept.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_text"))
-    rows = docs.withColumn("_digest", text_key(F.col("text")))
-    rows = rows.join(ids, rows["doc_id"].eqNullSafe(ids["_id"]) & (rows["_digest"] == ids["_text"]), "left_semi")
+    ids, rows = kept.alias("k"), packed(docs, doc_id=F.col("doc_id"), text_key=text_key(F.col("text"))).alias("d")
+
+    def same(side: str) -> Column:
+        return F.col(f"{side}.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col(f"{side}.text_key") == F.col("k.text_key"))
+
+    rows = rows.join(ids, same("d"), "left_semi")
     # Whole rows are sorted only if some kept row is there twice.
-    twice = (groups.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    same = twice["doc_id"].eqNullSafe(ids["_id"]) & (twice["text_key"] == ids["_text"])
-    if not twice.join(ids, same, "left_semi").isEmpty():
-        rows = rows.dropDuplicates(["doc_id", "_digest"])
-    return rows.drop("_digest")
+    twice = groups.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").alias("t")
+    if not twice.join(ids, same("t"), "left_semi").isEmpty():
+        rows = rows.dropDuplicates(["doc_id", "text_key"])
+    return rows.select("row.*")

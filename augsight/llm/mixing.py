@@ -28,7 +28,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from augsight.llm.common import running_total, staged
+from augsight.llm.common import packed, running_total, staged
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -96,24 +96,22 @@ def source_cuts(rows: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: i
 
 
 def _with_cut(rows: DataFrame, cuts: DataFrame) -> DataFrame:
-    """``rows`` (with ``_source, _key, _size``) and, after their columns, ``_cut`` and ``_last``: words of the last epoch."""
-    c = cuts.select(F.struct("*").alias("_cut"))
-    joined = rows.join(c, rows["_source"].eqNullSafe(c["_cut.source"]))
-    size, key = F.col("_size"), F.col("_key")
-    last = (F.when(key < F.col("_cut.cut_key"), size)
-            .when(key == F.col("_cut.cut_key"), F.expr("_size * _cut.cut_words div _cut.cut_size"))
+    """``rows`` (with ``source, key, size``) and, after their columns, ``cut`` and ``last``: words of the last epoch."""
+    c = cuts.select(F.struct("*").alias("cut"))
+    joined = rows.join(c, rows["source"].eqNullSafe(c["cut.source"]))
+    last = (F.when(F.col("key") < F.col("cut.cut_key"), F.col("size"))
+            .when(F.col("key") == F.col("cut.cut_key"), F.expr("size * cut.cut_words div cut.cut_size"))
             .otherwise(F.lit(0)))
-    return joined.withColumn("_last", last.cast("long"))
+    return joined.withColumn("last", last.cast("long"))
 
 
 def mix_digest(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """``(doc_id, size, source_size, target, taken)`` of every row of ``docs``."""
     rows = staged(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"),
                               mix_key(F.col("doc_id"), seed).alias("key")), "sizes")
-    out = _with_cut(rows.select("doc_id", F.col("source").alias("_source"), F.col("key").alias("_key"),
-                                F.col("size").alias("_size")), source_cuts(rows))
-    return out.select("doc_id", F.col("_size").alias("size"), "_cut.source_size", "_cut.target",
-                      (F.col("_cut.epochs") * F.col("_size") + F.col("_last")).alias("taken"))
+    return _with_cut(rows, source_cuts(rows)).select(
+        "doc_id", "size", "cut.source_size", "cut.target",
+        (F.col("cut.epochs") * F.col("size") + F.col("last")).alias("taken"))
 
 
 def mixed(docs: DataFrame, seed: int = SEED) -> DataFrame:
@@ -122,19 +120,17 @@ def mixed(docs: DataFrame, seed: int = SEED) -> DataFrame:
     The document on a source's cut comes once more with its first words only
     (joined by one space, ``n_chars`` set anew if there is one).
     """
-    if clash := [c for c in docs.columns if c.startswith("_")]:
-        raise ValueError(f"columns {clash} begin with an underscore; rename them first")
-    sized = docs.select("*", F.col("source").alias("_source"), mix_key(F.col("doc_id"), seed).alias("_key"),
-                        n_words(F.col("text")).alias("_size"))
-    cuts = source_cuts(staged(sized.select("source", F.col("_key").alias("key"), F.col("_size").alias("size")), "sizes"))
-    full = (F.col("_key") < F.col("_cut.cut_key")) | ((F.col("_last") == F.col("_size")) & (F.col("_size") > 0))
-    copies = F.col("_cut.epochs") + F.when(full | (F.col("_last") > 0), 1).otherwise(0)
-    rows = (_with_cut(sized, cuts).withColumn("_copies", copies.cast("int"))
-            .filter("_copies > 0")
-            .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))))
-    part = (F.col("_copy") > F.col("_cut.epochs")) & ~full
-    text = F.when(part, F.concat_ws(" ", F.slice(words_of(F.col("text")), F.lit(1), F.col("_last").cast("int"))))
-    cut = {"text": text.otherwise(F.col("text"))}
+    sized = packed(docs, source=F.col("source"), key=mix_key(F.col("doc_id"), seed), size=n_words(F.col("text")))
+    cuts = source_cuts(staged(sized.select("source", "key", "size"), "sizes"))
+    full = (F.col("key") < F.col("cut.cut_key")) | ((F.col("last") == F.col("size")) & (F.col("size") > 0))
+    copies = F.col("cut.epochs") + F.when(full | (F.col("last") > 0), 1).otherwise(0)
+    rows = (_with_cut(sized, cuts).withColumn("copies", copies.cast("int")).filter("copies > 0")
+            .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))))
+    part = (F.col("copy") > F.col("cut.epochs")) & ~full
+    first_words = F.concat_ws(" ", F.slice(words_of(F.col("row.text")), F.lit(1), F.col("last").cast("int")))
+    rows = rows.select("row", F.when(part, first_words).alias("first_words"))
+    row = F.col("row").withField("text", F.coalesce("first_words", "row.text"))
     if "n_chars" in docs.columns:
-        cut["n_chars"] = F.when(part, F.char_length(text)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return rows.select(*[cut[c].alias(c) if c in cut else F.col(f"`{c}`") for c in docs.columns])
+        n = F.coalesce(F.char_length("first_words"), "row.n_chars").cast(docs.schema["n_chars"].dataType)
+        row = row.withField("n_chars", n)
+    return rows.select(row.alias("row")).select("row.*")
