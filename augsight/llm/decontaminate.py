@@ -80,7 +80,7 @@ def _item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = np.minimum(sizes[words.doc[at]], WINDOW) == length
             for p, x in zip(at[own].tolist(), signed(h[own]).tolist()):
                 lo, hi = _around(words, p, length)
-                for v, c in zip(out, (x, length, p - lo, words.text(lo, hi).decode(), int(words.doc[p]))):
+                for v, c in zip(out, (x, length, p - lo, words.text(lo, hi).lower().decode(), int(words.doc[p]))):
                     v.append(c)
         yield pa.RecordBatch.from_arrays(
             [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32()),
@@ -103,7 +103,7 @@ def _doc_rows(lengths: list[int], known_bits: bytes):
                 for p, x in zip(at[known].tolist(), signed(h[known]).tolist()):
                     lo, hi = _around(words, p, length)
                     d = int(words.doc[p])
-                    hits[d].append((x, length, p - int(words.first[d]), p - lo, words.text(lo, hi).decode()))
+                    hits[d].append((x, length, p - int(words.first[d]), p - lo, words.text(lo, hi).lower().decode()))
             fields = ("fp", "len", "at", "back", "around")
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), part.column("text_key"), pa.array(np.diff(words.first), pa.int64()),
