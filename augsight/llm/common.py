@@ -116,23 +116,37 @@ def in_bitmap(table: np.ndarray, values: np.ndarray) -> np.ndarray:
     return (table[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
 
 
-def components(links: DataFrame, max_rounds: int = 100) -> DataFrame:
+def components(links: DataFrame, max_rounds: int = 200) -> DataFrame:
     """``(node, component)`` of every node in ``links (a, b)``: the smallest node it can reach.
 
-    Every round each node takes the smallest label among its neighbours and
-    then that label's own label, so labels travel twice as far each time.
-    Rounds are written tables; only the number of changes reaches the driver.
+    A round contracts the graph: each node moves to the neighbour with the
+    smallest hash (or stays if its own is smaller), and on to where that one
+    moved; links inside what has come together vanish.  Hash order keeps the
+    chains short, so few rounds are needed and links get fewer in each.
+    Rounds are written tables; only "is it empty" reaches the driver.
     """
-    both = staged(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
-    labels = staged(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
+    ends = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    edges, labels = staged(ends.filter("a <> b").distinct(), "links"), None
     for _ in range(max_rounds):
-        near = (both.join(labels, both["b"] == labels["node"]).groupBy(F.col("a").alias("node"))
-                .agg(F.min("component").alias("near")))
-        step = (labels.join(near, "node")
-                .select("node", F.col("component").alias("old"), F.least("component", "near").alias("to")))
-        jump = labels.select(F.col("node").alias("to"), F.col("component").alias("far"))
-        new = staged(step.join(jump, "to").select("node", "old", F.least("to", "far").alias("component")), "labels")
-        labels = new.select("node", "component")
-        if new.filter("component <> old").isEmpty():
-            return labels
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        if edges.isEmpty():
+            break
+        both = edges.union(edges.select("b", "a"))
+        best = F.min(F.struct(F.xxhash64("b").alias("h"), F.col("b").alias("n")))
+        own = F.struct(F.xxhash64("a").alias("h"), F.col("a").alias("n"))
+        moves = staged(both.groupBy("a").agg(best.alias("best")).select("a", F.least("best", own)["n"].alias("to")), "moves")
+        on = moves.select(F.col("a").alias("to"), F.col("to").alias("then"))
+        moves = staged(moves.join(on, "to").select("a", F.col("then").alias("to")), "moves")
+        x, y = moves.select("a", F.col("to").alias("x")), moves.select(F.col("a").alias("b"), F.col("to").alias("y"))
+        edges = staged(edges.join(x, "a").join(y, "b").filter("x <> y")
+                       .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
+        if labels is None:
+            labels = moves.select(F.col("a").alias("node"), F.col("to").alias("name"))
+        else:
+            moved = moves.select(F.col("a").alias("name"), "to")
+            labels = staged(labels.join(moved, "name", "left").select("node", F.coalesce("to", "name").alias("name")), "names")
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    if labels is None:
+        return links.select(F.col("a").alias("node"), F.col("a").alias("component")).filter("false")
+    least = labels.groupBy("name").agg(F.min("node").alias("component"))
+    return staged(labels.join(least, "name").select("node", "component"), "components")

@@ -312,7 +312,16 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     late = staged(_pairs(entries, f"u.component <> v.component and {_CLOSE}")
                   .join(first_pairs, ["a", "asize", "b", "bsize"], "left_anti"), "late_pairs")
     if not late.isEmpty():
-        joined = components(similar.select("a", "b").union(_verified(docs, late).select("a", "b")))
+        # Links between components, named by them, join components into larger ones.
+        more = _verified(docs, late)
+        for end in ("a", "b"):
+            name = joined.select(F.col("node").alias(end), F.col("component").alias(f"{end}_name"))
+            more = more.join(name, end, "left").withColumn(f"{end}_name", F.coalesce(f"{end}_name", end))
+        larger = components(more.select(F.col("a_name").alias("a"), F.col("b_name").alias("b")).distinct())
+        larger = larger.select(F.col("node").alias("component"), F.col("component").alias("larger"))
+        alone = larger.select(F.col("component").alias("node"), "component").join(joined, "node", "left_anti")
+        joined = (joined.union(alone).join(larger, "component", "left")
+                  .select("node", F.coalesce("larger", "component").alias("component")))
 
     rows = described.filter("shingles is null").select("doc_id", "text_key", "n_shingles", "set_id")
     smallest = rows.filter("n_shingles > 0").groupBy("set_id", "n_shingles").agg(F.min("doc_id").alias("least_id"))
