@@ -42,8 +42,10 @@ def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def _threshold(cutoff: int | float, total: str) -> F.Column:
-    # int = absolute row count; float in (0, 1) = share of all rows (in the same part).
-    if isinstance(cutoff, float) and 0 < cutoff < 1:
+    # int = absolute row count; float in (0, 1] = share of all rows (in the same part).
+    if isinstance(cutoff, float):
+        if not 0 <= cutoff <= 1:
+            raise ValueError(f"a share must be between 0 and 1, got {cutoff}; give a number of rows as an int")
         return F.floor(F.lit(cutoff) * F.col(total))
     return F.lit(int(cutoff))
 
@@ -87,11 +89,6 @@ def wiki_only(df: DataFrame, date_col: str = "date") -> DataFrame:
     return df.where(F.col(date_col).isNull())
 
 
-def map_parts(df: DataFrame, fn, part_col: str = "part") -> DataFrame:
-    """Apply one transform to both halves: ``fn(df, by=[part])`` must honour ``by``."""
-    return fn(df, by=[part_col])
-
-
 def extract_before_splitting(df: DataFrame, cutoff: int | float, label: str = LABEL) -> DataFrame:
     """Low-resource over all rows, then tag the parts."""
     return news_wiki(low_resource_slice(df, cutoff, label))

@@ -107,7 +107,9 @@ def q_duplicates(spark, d):
 
 @register("duplicate_label_conflicts")
 def q_duplicate_label_conflicts(spark, d):
-    return dedup.label_conflicts(corpus(spark, d), subset=["title"])
+    """Equal texts that come from several sources (the label whose copies differ here)."""
+    docs = table(spark, d, "documents", "text", "source").where("text is not null")
+    return dedup.label_conflicts(docs, subset=["text"], label="source")
 
 
 # --- M2/M3: splits, folds, augmentation, ids ------------------------------------------------
@@ -319,10 +321,10 @@ def q_rouge_l(spark, d):
 # --- M5: evaluation -------------------------------------------------------------------------
 
 # Experiments of the score analysis: (name, use title in the view, keep the lead line in the body,
-# characters the classifier sees).  Names carry the tags the group analysis looks for.
-EXPERIMENTS = [(f"bart.{t}.{dec}.{sp}", t == "title", sp == "spacytitle", win)
+# decision rule over the whole view).  Names carry the tags the group analysis looks for.
+EXPERIMENTS = [(f"bart.{t}.{dec}.{sp}", t == "title", sp == "spacytitle", rule)
                for t in ("title", "notitle")
-               for dec, win in (("greedy", 40), ("beam", 80), ("top_k", 160))
+               for dec, rule in (("greedy", "first"), ("beam", "most"), ("top_k", "weighted"))
                for sp in ("spacytitle", "spacynotitle")]
 
 
@@ -330,11 +332,17 @@ def _round(df, cols=("precision", "recall", "f1", "old", "new", "delta", "mean",
     return df.select(*[F.round(c, 6).alias(c) if c in cols else c for c in df.columns])
 
 
+def _body():
+    """The text after its lead line, which is the title."""
+    return F.expr("substring(text, length(title) + 2)")
+
+
 def predictions(spark, d):
-    """Rule-classifier predictions of two experiments (title only, full text) from one scan."""
+    """Rule-classifier predictions of two experiments (title and text, text alone) from one scan."""
     c = corpus(spark, d)
-    runs = F.array(F.struct(F.lit("title").alias("experiment"), predict_language("title").alias("y_pred")),
-                   F.struct(F.lit("text").alias("experiment"), predict_language("text").alias("y_pred")))
+    both = tx.assemble(F.col("title"), _body())
+    runs = F.array(F.struct(F.lit("title").alias("experiment"), predict_language(both).alias("y_pred")),
+                   F.struct(F.lit("text").alias("experiment"), predict_language(_body()).alias("y_pred")))
     return (c.select("id", F.col("event_type").alias("y_true"), F.explode(runs).alias("r"))
             .select("r.experiment", "id", "y_true", "r.y_pred"))
 
@@ -380,13 +388,14 @@ def cv_fold_scores(spark, d):
     """(experiment, fold, score): macro F1 of every experiment on every stratified test fold."""
     c = corpus(spark, d)
     folds = splits.kfold_stratified(c.select("id", "event_type"), K, CV_SEED).select("id", "fold")
-    exps = F.array(*[F.struct(F.lit(n).alias("experiment"), F.lit(t).alias("use_title"),
-                              F.lit(sp).alias("lead"), F.lit(wn).alias("win")) for n, t, sp, wn in EXPERIMENTS])
-    body = F.when(F.col("e.lead"), F.col("text")).otherwise(F.expr("substring(text, length(title) + 2)"))
-    view = F.when(F.col("e.use_title"), F.concat_ws(". ", F.col("title"), body)).otherwise(body)
-    rows = (c.join(folds, "id").select("fold", "title", "text", "event_type", F.explode(exps).alias("e"))
-            .select(F.col("e.experiment").alias("experiment"), "fold", F.col("event_type").alias("y_true"),
-                    predict_language(view.substr(F.lit(1), F.col("e.win"))).alias("y_pred")))
+    runs = []
+    for name, use_title, lead, rule in EXPERIMENTS:
+        body = F.col("text") if lead else _body()
+        view = tx.assemble(F.col("title"), body) if use_title else body
+        runs.append(F.struct(F.lit(name).alias("experiment"), predict_language(view, rule).alias("y_pred")))
+    # Predictions first: the join then carries ids and labels, not texts.
+    rows = (c.select("id", F.col("event_type").alias("y_true"), F.array(*runs).alias("runs")).join(folds, "id")
+            .select("fold", "y_true", F.explode("runs").alias("r")).select("r.experiment", "fold", "y_true", "r.y_pred"))
     m = metrics.macro_metrics(rows, by=["experiment", "fold"])
     return m.select("experiment", "fold", F.col("f1_macro").alias("score"))
 
@@ -419,11 +428,13 @@ def q_group_box_stats(spark, d):
 
 @register("run_consistency")
 def q_run_consistency(spark, d):
+    """Do the SQL generator and the Arrow plug-in generator give the same texts for every (source, variant)?"""
     c = corpus(spark, d).select("id", "text")
-    def run(df, r):
-        return df.select("id", F.lit(r).alias("run"),
-                         F.posexplode(augment.lead_variants(F.col("text"), VARIANTS)).alias("variant", "out"))
-    runs = run(c, 0).unionByName(run(c.repartition(13), 1))
+    gen = augment.generate_with(plugins.lead_generator, VARIANTS)
+
+    def run(out, r):
+        return c.select("id", F.lit(r).alias("run"), F.posexplode(out).alias("variant", "out"))
+    runs = run(augment.lead_variants(F.col("text"), VARIANTS), 0).unionByName(run(gen(F.col("text")), 1))
     return metrics.consistency(runs, ["id", "variant"], "out")
 
 
@@ -477,48 +488,57 @@ def q_label_encoded_dev(spark, d):
 @register("truncate_tokens")
 def q_truncate_tokens(spark, d):
     t = corpus(spark, d).select("id", tx.tokens("text").alias("t"))
-    return t.select("id", F.size("t").alias("n_tokens"),
-                    F.size(arrays.truncate("t", MAX_INPUT_TOKENS)).alias("n_kept"))
+    kept = t.select("id", F.size("t").alias("n_tokens"), arrays.truncate("t", MAX_INPUT_TOKENS).alias("k"))
+    return kept.select("id", "n_tokens", F.size("k").alias("n_kept"), F.md5(F.array_join("k", " ")).alias("kept_md5"))
 
 
 @register("pad_batches")
 def q_pad_batches(spark, d):
     t = corpus(spark, d).select("id", arrays.truncate(tx.tokens("text"), MAX_INPUT_TOKENS).alias("t"))
     b = trainset.pad_batch(trainset.batches(t, BATCH_A, SEED), "t", "<pad>")
-    return b.select("id", "batch", F.size("t").alias("length"), F.size("padded").alias("padded_length"))
+    return b.select("id", "batch", F.size("t").alias("length"), F.size("padded").alias("padded_length"),
+                    F.md5(F.array_join("padded", " ")).alias("padded_md5"))
 
 
 def _pair_keys(spark, d):
-    return _pairs(spark, d).withColumn("pair_key", F.col("conv_id") * 100000 + F.col("turn"))
+    """Pairs with one text key for (conversation, turn): no arithmetic that could collide."""
+    return _pairs(spark, d).withColumn("pair_key", F.concat_ws("-", "conv_id", "turn"))
 
 
 @register("interleave_tasks")
 def q_interleave_tasks(spark, d):
+    """Training rows of both tasks in the order of their batches: which row a step reads."""
     a = _pair_keys(spark, d).select("pair_key")
-    b = corpus(spark, d).select("id")
+    b = corpus(spark, d).select(F.col("id").cast("string").alias("id"))
     return trainset.interleave(a, b, BATCH_A, BATCH_B, SEED, key_a="pair_key", key_b="id")
 
 
 @register("docee_trainset")
 def q_docee_trainset(spark, d):
+    """Encoded classification rows: input tokens and label id of the sampled training documents."""
     sp = _split_plain(spark, d)
     train = sp.where(F.col("split") == "train")
-    enc = trainset.encode_labels(train, trainset.label_mapping(train))
+    # Ids are sampled before any text is read for tokens; only they are encoded.
+    ids = trainset.random_subset(trainset.encode_labels(train, trainset.label_mapping(train)).select("id", "label_id"),
+                                 DOCEE_N, SEED)
     c = corpus(spark, d).select("id", "title", "text")
-    rows = enc.select("id", "label_id").join(c, "id").select(
+    return c.join(ids, "id").select(
         "id", "label_id",
-        F.size(arrays.truncate(tx.tokens(tx.assemble(F.col("title"), F.col("text"))), MAX_INPUT_TOKENS))
-        .alias("n_input_tokens"))
-    return trainset.random_subset(rows, DOCEE_N, SEED)
+        arrays.truncate(tx.tokens(tx.assemble(F.col("title"), F.col("text"))), MAX_INPUT_TOKENS).alias("t")).select(
+        "id", "label_id", F.size("t").alias("n_input_tokens"), F.array_join("t", " ").alias("input_tokens"))
 
 
 @register("summary_trainset")
 def q_summary_trainset(spark, d):
+    """Encoded summarisation rows: article and highlight tokens of the sampled pairs."""
     p = _pair_keys(spark, d)
-    rows = p.select("conv_id", "turn", "pair_key",
-                    F.size(arrays.truncate(tx.tokens("reference"), MAX_INPUT_TOKENS)).alias("n_article_tokens"),
-                    F.size(arrays.truncate(tx.tokens("prediction"), MAX_TARGET_TOKENS)).alias("n_highlight_tokens"))
-    return trainset.random_subset(rows, CNN_N, SEED, id_col="pair_key").drop("pair_key")
+    keys = trainset.random_subset(p.select("pair_key"), CNN_N, SEED, id_col="pair_key")
+    return p.join(keys, "pair_key").select(
+        "conv_id", "turn",
+        arrays.truncate(tx.tokens("reference"), MAX_INPUT_TOKENS).alias("a"),
+        arrays.truncate(tx.tokens("prediction"), MAX_TARGET_TOKENS).alias("h")).select(
+        "conv_id", "turn", F.size("a").alias("n_article_tokens"), F.size("h").alias("n_highlight_tokens"),
+        F.array_join("a", " ").alias("article_tokens"), F.array_join("h", " ").alias("highlight_tokens"))
 
 
 @register("preprocess_tokens")
@@ -545,36 +565,40 @@ def q_translate_plugin(spark, d):
 @register("batch_inference_report")
 def q_batch_inference_report(spark, d):
     c = corpus(spark, d)
-    mapping = trainset.label_mapping(c)
+    train = _split_plain(spark, d).where(F.col("split") == "train")
+    mapping = trainset.label_mapping(train)
     labels = [r[0] for r in mapping.orderBy("label_id").collect()]
     raw = plugins.classify_with(c.select("id", "text", "event_type"), plugins.RuleModel(labels))
     pred = plugins.decode_predictions(raw, mapping)
     return _round(metrics.classification_report(pred, "event_type", "y_pred"))
 
 
-def _literal_title(c):
-    words = F.split(F.col("title"), " ")
-    return F.concat(F.lit("["), F.array_join(F.transform(words, plugins.py_repr_string), ", "), F.lit("]"))
+def _literal_words(text):
+    """A whole text as Python writes its list of words; as a tuple where the text has an even length."""
+    words = F.array_join(F.transform(F.split(text, " "), plugins.py_repr_string), ", ")
+    return (F.when(F.length(text) % 2 == 0, F.concat(F.lit("("), words, F.lit(",)")))
+            .otherwise(F.concat(F.lit("["), words, F.lit("]"))))
 
 
 @register("literal_tokens")
 def q_literal_tokens(spark, d):
-    c = corpus(spark, d).select("id", _literal_title(corpus(spark, d)).alias("lit"))
+    """Lists go through the JSON parser, tuples through the literal-only Python fallback."""
+    c = corpus(spark, d).select("id", _literal_words(F.col("text")).alias("lit"))
     dec = c.select("id", plugins.decode_token_literal("lit").alias("v"))
     return dec.select("id", F.size("v").alias("n_items"), F.md5(F.array_join("v", "\u0001")).alias("items_md5"))
 
 
 @register("literal_arguments")
 def q_literal_arguments(spark, d):
-    c = corpus(spark, d).select("id", "text")
-    first = F.slice(tx.sentences("text"), 1, 2)
+    """Every sentence of a text as an argument (where it first starts, its place as type)."""
+    c = corpus(spark, d).select("id", "text", tx.sentences("text").alias("s"))
 
     def arg(s, i):
         start = F.instr(F.col("text"), s) - 1
         return F.concat(F.lit("{'start': "), start.cast("string"), F.lit(", 'end': "),
                         (start + F.length(s)).cast("string"), F.lit(", 'type': "), i.cast("string"),
                         F.lit(", 'text': "), plugins.py_repr_string(s), F.lit("}"))
-    lit = F.concat(F.lit("["), F.array_join(F.transform(first, arg), ", "), F.lit("]"))
+    lit = F.concat(F.lit("["), F.array_join(F.transform("s", arg), ", "), F.lit("]"))
     dec = c.select("id", plugins.decode_argument_literal(lit).alias("a"))
     return dec.select("id", F.inline("a")).select("id", "type", "start", "end", "text")
 
@@ -597,7 +621,7 @@ def q_svm_cv(spark, d):
     docs = (trainset.encode_labels(aug, mapping)
             .select("id", "label_id", "source_doc_id", tx.tokens("text").alias("tokens")))
     folds = splits.fold_assignment(aug.select("id", "event_type", "source_doc_id"), K, CV_SEED)
-    pred = classify.cross_validate(docs.drop("source_doc_id"), folds, K, min_df=MIN_DF, max_df=MAX_DF, max_iter=50)
+    pred = classify.cross_validate(docs.drop("source_doc_id"), folds, K, min_df=MIN_DF, max_df=MAX_DF)
     scores = metrics.macro_metrics(pred, "label_id", "pred_id", by=["fold"]).select(
         F.lit("svm").alias("experiment"), "fold", F.col("f1_macro").alias("score"))
     return _round(metrics.score_stats(scores))

@@ -89,9 +89,9 @@ SQL["duplicates"] = w(CORPUS) + """
 SELECT c.id, g.n AS n_copies FROM corpus c
 JOIN (SELECT text, COUNT(*) AS n FROM corpus GROUP BY text HAVING COUNT(*) > 1) g ON c.text = g.text"""
 
-SQL["duplicate_label_conflicts"] = w(CORPUS) + """
-SELECT md5(title) AS text_md5, COUNT(*) AS n_rows, COUNT(DISTINCT event_type) AS n_labels
-FROM corpus GROUP BY title HAVING COUNT(DISTINCT event_type) > 1"""
+SQL["duplicate_label_conflicts"] = """
+SELECT md5(text) AS text_md5, COUNT(*) AS n_rows, COUNT(DISTINCT source) AS n_labels
+FROM documents WHERE text IS NOT NULL GROUP BY text HAVING COUNT(DISTINCT source) > 1"""
 
 
 
@@ -365,10 +365,19 @@ SQL["rouge_summary"] = (
 # --- M5: evaluation -------------------------------------------------------------------------
 
 
+CLASSES = {"de": "[äöüß]", "es": "[ñ¿¡áíóú]", "fr": "[éèêàçùâîô]"}
+
+
 def rule(x: str) -> str:
-    return (f"CASE WHEN regexp_matches({x}, '[äöüß]') THEN 'de' "
-            f"WHEN regexp_matches({x}, '[ñ¿¡áíóú]') THEN 'es' "
-            f"WHEN regexp_matches({x}, '[éèêàçùâîô]') THEN 'fr' ELSE 'en' END")
+    """First class with a hit."""
+    return "CASE " + " ".join(f"WHEN regexp_matches({x}, '{p}') THEN '{k}'" for k, p in CLASSES.items()) + " ELSE 'en' END"
+
+
+def hits_rule(x: str, weights: dict[str, int]) -> str:
+    """Class with most (weighted) hits over the whole text; ties in the order of the classes."""
+    n = {k: f"len(regexp_extract_all({x}, '{p}')) * {weights[k]}" for k, p in CLASSES.items()}
+    top = f"greatest({', '.join(n.values())})"
+    return (f"CASE WHEN {top} = 0 THEN 'en' " + " ".join(f"WHEN {v} = {top} THEN '{k}'" for k, v in n.items()) + " END")
 
 
 def report_ctes(src: str, by: str) -> str:
@@ -392,9 +401,10 @@ report AS (
 
 
 PREDS = f"""
-preds AS (SELECT 'title' AS experiment, id, event_type AS y_true, {rule('title')} AS y_pred FROM corpus
+bodies AS (SELECT *, substring(text, length(title) + 2) AS body FROM corpus),
+preds AS (SELECT 'title' AS experiment, id, event_type AS y_true, {rule("concat_ws('. ', title, body)")} AS y_pred FROM bodies
           UNION ALL
-          SELECT 'text', id, event_type, {rule('text')} FROM corpus)"""
+          SELECT 'text', id, event_type, {rule('body')} FROM bodies)"""
 
 SQL["classification_report"] = w(CORPUS, PREDS, report_ctes("preds", "experiment")) + """
 SELECT experiment, label, round(precision, 6) AS precision, round(recall, 6) AS recall,
@@ -431,19 +441,20 @@ SELECT label, support, round(old, 6) AS old, round(new, 6) AS new, round(delta,
 FROM cmp WHERE metric = 'f1' AND label NOT IN ('accuracy', 'macro avg', 'weighted avg')"""
 
 EXPS = ", ".join(
-    f"('bart.{t}.{dec}.{sp}', {str(t == 'title').upper()}, {str(sp == 'spacytitle').upper()}, {win})"
-    for t in ("title", "notitle") for dec, win in (("greedy", 40), ("beam", 80), ("top_k", 160))
-    for sp in ("spacytitle", "spacynotitle"))
+    f"('bart.{t}.{dec}.{sp}', {str(t == 'title').upper()}, {str(sp == 'spacytitle').upper()}, '{dec}')"
+    for t in ("title", "notitle") for dec in ("greedy", "beam", "top_k") for sp in ("spacytitle", "spacynotitle"))
 
 CV = f"""
 kf AS (SELECT id, CAST((ROW_NUMBER() OVER (ORDER BY event_type, {hkey(18091999)}, id) - 1) % 5 AS INTEGER) AS fold
        FROM corpus),
-exps AS (SELECT * FROM (VALUES {EXPS}) e(experiment, use_title, lead, win)),
+exps AS (SELECT * FROM (VALUES {EXPS}) e(experiment, use_title, lead, rule)),
 v AS (SELECT e.experiment, kf.fold, c.event_type AS y_true,
-             CASE WHEN e.use_title THEN concat_ws('. ', c.title, b.body) ELSE b.body END AS view, e.win
+             CASE WHEN e.use_title THEN concat_ws('. ', c.title, b.body) ELSE b.body END AS view, e.rule
       FROM corpus c JOIN kf USING (id), exps e,
            LATERAL (SELECT CASE WHEN e.lead THEN c.text ELSE substring(c.text, length(c.title) + 2) END AS body) b),
-cvp AS (SELECT experiment, fold, y_true, {rule('substring(view, 1, win)')} AS y_pred FROM v)"""
+cvp AS (SELECT experiment, fold, y_true,
+               CASE rule WHEN 'greedy' THEN {rule('view')} WHEN 'beam' THEN {hits_rule('view', dict(de=1, es=1, fr=1))}
+                         ELSE {hits_rule('view', dict(de=2, es=3, fr=1))} END AS y_pred FROM v)"""
 
 SCORES = CV + "," + report_ctes("cvp", "experiment, fold") + """,
 scores AS (SELECT experiment, fold, f1 AS score FROM report WHERE label = 'macro avg'),
@@ -516,42 +527,43 @@ SELECT sp.id, mp.label_id FROM sp JOIN mp USING (event_type) WHERE sp.split = 'd
 TOK = TOKENS.format(c="text")
 
 SQL["truncate_tokens"] = w(CORPUS) + f"""
-SELECT id, CAST(len({TOK}) AS INTEGER) AS n_tokens, CAST(least(len({TOK}), 512) AS INTEGER) AS n_kept FROM corpus"""
+SELECT id, CAST(len({TOK}) AS INTEGER) AS n_tokens, CAST(least(len({TOK}), 512) AS INTEGER) AS n_kept,
+       md5(array_to_string({TOK}[1:512], ' ')) AS kept_md5 FROM corpus"""
 
 SQL["pad_batches"] = w(CORPUS) + f""",
-b AS (SELECT id, least(len({TOK}), 512) AS length,
-             (ROW_NUMBER() OVER (ORDER BY {hkey(42)}, id) - 1) // 8 AS batch FROM corpus)
-SELECT id, batch, CAST(length AS INTEGER) AS length,
-       CAST(MAX(length) OVER (PARTITION BY batch) AS INTEGER) AS padded_length FROM b"""
+b AS (SELECT id, {TOK}[1:512] AS t, (ROW_NUMBER() OVER (ORDER BY {hkey(42)}, id) - 1) // 8 AS batch FROM corpus),
+p AS (SELECT *, MAX(len(t)) OVER (PARTITION BY batch) AS longest FROM b)
+SELECT id, batch, CAST(len(t) AS INTEGER) AS length, CAST(longest AS INTEGER) AS padded_length,
+       md5(array_to_string(list_resize(t, longest, '<pad>'), ' ')) AS padded_md5 FROM p"""
 
 SQL["interleave_tasks"] = w(PAIRS, CORPUS) + f""",
-ka AS (SELECT conv_id * 100000 + turn AS k FROM pairs),
+ka AS (SELECT conv_id || '-' || turn AS k FROM pairs),
 ab AS (SELECT k, (ROW_NUMBER() OVER (ORDER BY {hkey(42, 'k')}, k) - 1) // 8 AS batch FROM ka),
 nb AS (SELECT ((SELECT COUNT(*) FROM ka) + 7) // 8 AS na, ((SELECT COUNT(*) FROM corpus) + 63) // 64 AS nbb),
 cyc AS (SELECT range AS cycle FROM range(0, (SELECT (na + nbb - 1) // nbb FROM nb))),
 bb AS (SELECT cycle, id, (ROW_NUMBER() OVER (PARTITION BY cycle
-                            ORDER BY md5('42:' || CAST(cycle AS VARCHAR) || ':' || CAST(id AS VARCHAR)), id) - 1) // 64 AS batch
-       FROM corpus, cyc),
-sa AS (SELECT 2 * batch + 1 AS step, 'A' AS task, CAST(0 AS BIGINT) AS cycle, batch, COUNT(*) AS n_rows,
-              CAST(SUM(k) AS BIGINT) AS key_sum FROM ab GROUP BY batch),
-sb AS (SELECT cycle, batch, cycle * (SELECT nbb FROM nb) + batch AS kk, COUNT(*) AS n_rows,
-              CAST(SUM(id) AS BIGINT) AS key_sum FROM bb GROUP BY cycle, batch)
-SELECT step, task, cycle, batch, n_rows, key_sum FROM sa
+                            ORDER BY md5('42:' || CAST(cycle AS VARCHAR) || ':' || CAST(id AS VARCHAR)), CAST(id AS VARCHAR)) - 1) // 64 AS batch
+       FROM corpus, cyc)
+SELECT 2 * batch + 1 AS step, 'A' AS task, CAST(0 AS BIGINT) AS cycle, batch, k AS key FROM ab
 UNION ALL
-SELECT 2 * kk + 2, 'B', cycle, batch, n_rows, key_sum FROM sb WHERE kk < (SELECT na FROM nb)"""
+SELECT 2 * (cycle * (SELECT nbb FROM nb) + batch) + 2, 'B', cycle, batch, CAST(id AS VARCHAR)
+FROM bb WHERE cycle * (SELECT nbb FROM nb) + batch < (SELECT na FROM nb)"""
 
 ASM_TOK = TOKENS.format(c="concat_ws('. ', c.title, c.text)")
 
 SQL["docee_trainset"] = w(CORPUS, SPLIT_PLAIN_LABELLED, MAPPING) + f"""
-SELECT sp.id, mp.label_id, CAST(least(len({ASM_TOK}), 512) AS INTEGER) AS n_input_tokens
+SELECT sp.id, mp.label_id, CAST(least(len({ASM_TOK}), 512) AS INTEGER) AS n_input_tokens,
+       array_to_string({ASM_TOK}[1:512], ' ') AS input_tokens
 FROM sp JOIN mp USING (event_type) JOIN corpus c ON c.id = sp.id
 WHERE sp.split = 'train'
 ORDER BY {hkey(42, 'sp.id')}, sp.id LIMIT 200"""
 
 SQL["summary_trainset"] = w(PAIRS) + f"""
 SELECT conv_id, turn, CAST(least(len({TOKENS.format(c='reference')}), 512) AS INTEGER) AS n_article_tokens,
-       CAST(least(len({TOKENS.format(c='prediction')}), 100) AS INTEGER) AS n_highlight_tokens
-FROM pairs ORDER BY {hkey(42, 'conv_id * 100000 + turn')}, conv_id * 100000 + turn LIMIT 100"""
+       CAST(least(len({TOKENS.format(c='prediction')}), 100) AS INTEGER) AS n_highlight_tokens,
+       array_to_string({TOKENS.format(c='reference')}[1:512], ' ') AS article_tokens,
+       array_to_string({TOKENS.format(c='prediction')}[1:100], ' ') AS highlight_tokens
+FROM pairs ORDER BY {hkey(42, "(conv_id || '-' || turn)")}, conv_id || '-' || turn LIMIT 100"""
 
 _ASM = "concat_ws('. ', title, text)"
 LEAD25 = f"array_to_string({SENTS.format(c=_ASM)}[1:25], ' ')"
@@ -574,11 +586,11 @@ SELECT label, round(precision, 6) AS precision, round(recall, 6) AS recall, roun
 FROM report"""
 
 SQL["literal_tokens"] = w(CORPUS) + """
-SELECT id, CAST(len(string_split(title, ' ')) AS INTEGER) AS n_items,
-       md5(array_to_string(string_split(title, ' '), chr(1))) AS items_md5 FROM corpus"""
+SELECT id, CAST(len(string_split(text, ' ')) AS INTEGER) AS n_items,
+       md5(array_to_string(string_split(text, ' '), chr(1))) AS items_md5 FROM corpus"""
 
 SQL["literal_arguments"] = w(CORPUS) + f""",
-s AS (SELECT id, text, {SENTS.format(c='text')}[1:2] AS ss FROM corpus),
+s AS (SELECT id, text, {SENTS.format(c='text')} AS ss FROM corpus),
 u AS (SELECT id, text, unnest(ss) AS sent, unnest(range(0, len(ss))) AS type FROM s)
 SELECT id, CAST(type AS INTEGER) AS type, CAST(strpos(text, sent) - 1 AS INTEGER) AS start,
        CAST(strpos(text, sent) - 1 + length(sent) AS INTEGER) AS "end", sent AS text FROM u"""
