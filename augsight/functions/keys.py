@@ -22,9 +22,3 @@ def hash_key(seed: int | str, *cols: str | Column) -> Column:
 def hash_bucket(key: Column, hex_digits: int = 3) -> Column:
     """Leading hex digits of a hex hash: a bucket whose order agrees with the key's order."""
     return F.substring(key, 1, hex_digits)
-
-
-def text_key(text: Column | str) -> Column:
-    """Fixed-width 256-bit key of a text; null texts share one key (pandas semantics)."""
-    c = F.col(text) if isinstance(text, str) else text
-    return F.coalesce(F.sha2(c, 256), F.lit("null"))

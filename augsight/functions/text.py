@@ -95,12 +95,9 @@ def ngram_range(toks: str | Column, n_min: int = 1, n_max: int = 3) -> Column:
     return F.flatten(F.array(*[ngrams(toks, n) for n in range(n_min, n_max + 1)]))
 
 
-def join_tokens(toks: str | Column, sep: str = " ") -> Column:
-    return F.array_join(_c(toks), sep)
-
-
 def chunks(text: str | Column, size: int) -> Column:
-    """Consecutive ``size``-character pieces of a text (empty text -> one empty piece)."""
+    """Consecutive ``size``-character pieces of a text (empty text -> one empty piece, null -> null)."""
     t = _c(text)
     n = F.greatest(F.ceil(F.length(t) / F.lit(size)).cast("int"), F.lit(1))
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(t, i * size + 1, size))
+    pieces = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(t, i * size + 1, size))
+    return F.when(t.isNotNull(), pieces)

@@ -1,9 +1,8 @@
 """Plug points for user models: generator, classifier, translator, tokenizer.
 
 Each plug-in is a plain Python callable over a *batch* of strings.  It is
-wrapped in an Arrow-batched pandas UDF, so it is shipped to each Python
-worker once (load models lazily inside the callable and cache them in a
-module global) and called once per Arrow batch, never per row.  The
+wrapped in an Arrow-batched pandas UDF and called once per Arrow batch, never
+per row; :class:`worker_cached` makes a model once per worker process.  The
 defaults are small deterministic stand-ins.
 """
 
@@ -21,27 +20,34 @@ from pyspark.sql import types as T
 from augsight.functions import arrays
 from augsight.functions import text as tx
 from augsight.functions.rules import DEFAULT, RULES
+from augsight.operators.small import small_table
 
 
 _WORKER_MODELS: dict = {}
 
 
-def worker_cached(factory: Callable[[], Callable], key: str | None = None) -> Callable:
-    """Wrap a model factory so each Python worker builds the model once, on first use.
+def worker_model(key: str, factory: Callable[[], Callable]) -> Callable:
+    """The model of ``key`` in this process, made on first use."""
+    if key not in _WORKER_MODELS:
+        _WORKER_MODELS[key] = factory()
+    return _WORKER_MODELS[key]
 
-    Only the (small) factory is pickled into the task; the model itself is
-    created inside the worker and kept in a module-level cache, so Arrow
-    batches after the first reuse it.
+
+class worker_cached:  # noqa: N801 - used like a decorator
+    """Wrap a model factory so that each Python worker makes the model once.
+
+    The wrapper pickles to its key and factory; the cache is this imported
+    module's, so all tasks that a worker process runs share it.  ``key``
+    names the model: two factories with one key are one model.  Works for
+    every plug-in, whatever its arguments.
     """
-    cache_key = key or f"{getattr(factory, '__module__', '')}.{getattr(factory, '__qualname__', id(factory))}"
 
-    def call(batch):
-        model = _WORKER_MODELS.get(cache_key)
-        if model is None:
-            model = _WORKER_MODELS[cache_key] = factory()
-        return model(batch)
+    def __init__(self, factory: Callable[[], Callable], key: str):
+        self.factory, self.key = factory, key
 
-    return call
+    def __call__(self, *args):
+        from augsight.operators.plugins import worker_model as shared  # the worker's own module, not a pickled copy
+        return shared(self.key, self.factory)(*args)
 
 
 class RuleModel:
@@ -73,10 +79,11 @@ def classify_with(df: DataFrame, model: Callable[[list[str]], list[dict]], text_
 
 def decode_predictions(df: DataFrame, mapping: DataFrame, raw: str = "model_label",
                        out: str = "y_pred", label: str = "event_type") -> DataFrame:
-    """``LABEL_7`` -> label id 7 -> label name via the training mapping."""
+    """``LABEL_7`` -> label id 7 -> label name via the training mapping; a label it does not have raises."""
     names = mapping.select(F.col("label_id").alias("_pid"), F.col(label).alias(out))
-    return (df.withColumn("_pid", arrays.decode_model_label(raw))
-            .join(F.broadcast(names), "_pid", "left").drop("_pid"))
+    named = df.withColumn("_pid", arrays.decode_model_label(raw)).join(small_table(names), "_pid", "left")
+    unknown = F.raise_error(F.concat(F.lit("the model's label is not in the mapping: "), F.coalesce(F.col(raw), F.lit("null"))))
+    return named.withColumn(out, F.coalesce(F.when(F.col(out).isNull(), unknown).cast("string"), F.col(out))).drop("_pid")
 
 
 def dictionary_translator(mapping: dict[str, str]) -> Callable[[list[str]], list[str]]:
@@ -85,7 +92,7 @@ def dictionary_translator(mapping: dict[str, str]) -> Callable[[list[str]], list
         out = []
         for t in texts:
             for src, dst in mapping.items():
-                t = t.replace(src, dst)
+                t = None if t is None else t.replace(src, dst)
             out.append(t)
         return out
     return translate
@@ -101,15 +108,14 @@ def translate_chunks(text: str | Column, translator: Callable[[list[str]], list[
     def _tr(parts: pd.Series) -> pd.Series:
         flat, sizes = [], []
         for p in parts:
-            p = list(p)
-            flat.extend(p)
-            sizes.append(len(p))
+            flat.extend([] if p is None else p)
+            sizes.append(None if p is None else len(p))
         done = translator(flat) if flat else []
         out, i = [], 0
-        for n in sizes:
-            out.append(done[i:i + n])
-            i += n
-        return pd.Series(out)
+        for n in sizes:  # a null text has no chunks and stays null
+            out.append(None if n is None else done[i:i + n])
+            i += n or 0
+        return pd.Series(out, dtype=object)
 
     return F.array_join(_tr(tx.chunks(text, chunk_chars)), "")
 

@@ -1,102 +1,117 @@
 """Scalable row numbering.
 
 ``row_number() over (order by ...)`` without a partition moves the whole
-table into one task.  Here a global (or per-group) rank is built as
-``offset(bucket) + row_number() within bucket`` where the bucket is a
-monotone function of the sort key (leading hex digits of a hash key, or the
-high bits of an integer id).  Windows then run per bucket in parallel, and
-only the bucket-count table (bounded by groups x buckets) is prefix-summed.
+table into one task.  Here a rank is ``rows in earlier buckets +
+row_number() within the bucket``, with a bucket that is monotone in the sort
+key (leading hex digits of a hash key, or equal ranges of the actual ids).
+Windows over rows run per bucket.  Rows in earlier buckets are prefix sums in
+two levels, the same at every size: inside a group of buckets by a window
+per group (or per partition of the rank), and across groups from at most
+:data:`GROUPS` sums.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import groupby
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from augsight.operators.small import DEFAULT_MAX_ROWS
+#: Ranges that the ids between the smallest and the largest one are cut into.
+ID_RANGES = 1 << 16
+#: Groups of buckets at most; their sums are what the driver sees.
+GROUPS = 1 << 10
 
-# Integer ids are bucketed by their high bits: a bucket spans 2**16 consecutive
-# values, so (ids being unique) no window partition ever holds more than 65 536 rows.
-ID_BUCKET_BITS = 16
 
+@dataclass(frozen=True)
+class IdRange:
+    """Smallest and largest id, number of rows and of different ids."""
 
-def id_bucket(id_col: str | Column, bits: int = ID_BUCKET_BITS) -> Column:
-    c = F.col(id_col) if isinstance(id_col, str) else id_col
-    return F.shiftright(c, bits)
+    lo: int
+    hi: int
+    rows: int
+    distinct: int
 
+    def bucket(self, id_col: str) -> Column:
+        """Number of the range (of ``ID_RANGES``) that holds an id."""
+        width = (self.hi - self.lo) // ID_RANGES + 1
+        return F.expr(f"cast((`{id_col}` - {self.lo}) div {width} as int)")
 
-def _offsets(counts: DataFrame, part: list[str], max_rows: int) -> tuple[DataFrame, int | None, list | None]:
-    """(part..., _bucket, _off) with _off = rows in earlier buckets of the same part."""
-    rows = counts.limit(max_rows + 1).collect()
-    spark = counts.sparkSession
-    if len(rows) > max_rows:
-        # Beyond the bound: distributed prefix sums, joined without broadcast.
-        before = Window.partitionBy(*part).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-        return counts.select(*part, "_bucket",
-                             F.coalesce(F.sum("_n").over(before), F.lit(0)).cast("long").alias("_off")), None, None
-    key = lambda r: tuple(r[c] for c in part)
-    out, total = [], 0
-    for _, grp in groupby(sorted(rows, key=lambda r: (key(r), r["_bucket"])), key=key):
-        acc = 0
-        for r in grp:
-            out.append((*key(r), r["_bucket"], acc))
-            acc += r["_n"]
-        total += acc
-    schema = T.StructType([f for f in counts.schema.fields if f.name != "_n"]
-                          + [T.StructField("_off", T.LongType(), False)])
-    return F.broadcast(spark.createDataFrame(out, schema)), total, rows
-
-
-def bucketed_rank(df: DataFrame, bucket: Column, order: Sequence[Column],
-                  partition: Sequence[str] = (), out: str = "rank",
-                  max_rows: int = DEFAULT_MAX_ROWS, return_total: bool = False,
-                  return_counts: bool = False):
+
+def id_range(df: DataFrame, id_col: str = "id") -> IdRange | None:
+    """From one aggregate over the id column alone; None for an empty table.  A null id is an error."""
+    lo, hi, rows, with_id, distinct = df.agg(F.min(id_col), F.max(id_col), F.count(F.lit(1)), F.count(id_col),
+                                             F.count_distinct(id_col)).first()
+    if rows != with_id:
+        raise ValueError(f"{rows - with_id} rows have no {id_col}; ranks need one")
+    return IdRange(int(lo), int(hi), int(rows), int(distinct)) if rows else None
+
+
+def bucketed_rank(df: DataFrame, bucket: Column, order: Sequence[Column], partition: Sequence[str] = (),
+                  out: str = "rank", group: Column | None = None, return_total: bool = False):
     """Add a 0-based rank over ``order`` (within ``partition``) to ``df``.
 
-    ``bucket`` must be non-decreasing along ``order`` inside each partition.
-    With ``return_total`` also returns the row count (known from the bucket
-    table, no extra pass); with ``return_counts`` the collected bucket-count
-    rows (None beyond the size bound).
+    ``bucket`` must not decrease along ``order``; ``group`` is a function of
+    the column ``_bucket`` that does not decrease either and has at most
+    :data:`GROUPS` values (default: two leading hex digits).  It is needed
+    without a ``partition`` only.  ``return_total`` also returns the number
+    of rows (without a ``partition``).
     """
     part = list(partition)
     b = df.withColumn("_bucket", bucket)
     counts = b.groupBy(*part, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    offsets, total, count_rows = _offsets(counts, part, max_rows)
+    total = None
+    if part:
+        before = Window.partitionBy(*part).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    else:
+        counts = counts.withColumn("_group", F.substring("_bucket", 1, 2) if group is None else group)
+        sums = counts.groupBy("_group").agg(F.sum("_n").alias("_n")).collect()
+        starts, total = [], 0
+        for r in sorted(sums, key=lambda r: r["_group"]):
+            starts.append((r["_group"], total))
+            total += r["_n"]
+        kind = counts.schema["_group"].dataType.simpleString()
+        groups = F.broadcast(df.sparkSession.createDataFrame(starts, f"_group {kind}, _start long"))
+        before = Window.partitionBy("_group").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = (counts.withColumn("_in", F.coalesce(F.sum("_n").over(before), F.lit(0))).join(groups, "_group")
+                   .withColumn("_off", F.col("_start") + F.col("_in")))
     in_bucket = Window.partitionBy(*part, "_bucket").orderBy(*order)
     ranked = (b.withColumn("_r", F.row_number().over(in_bucket) - 1)
-              .join(offsets, [*part, "_bucket"])
+              .join(offsets.select(*part, "_bucket", "_off"), [*part, "_bucket"])
               .withColumn(out, (F.col("_off") + F.col("_r")).cast("long"))
               .drop("_bucket", "_r", "_off"))
-    if return_total:
-        if total is None:
-            total = df.count()
-        return ranked, total
-    if return_counts:
-        return ranked, count_rows
-    return ranked
+    return (ranked, total) if return_total else ranked
+
+
+def id_rank(df: DataFrame, ids: IdRange | None, id_col: str = "id", out: str = "rank", before: Column | None = None) -> DataFrame:
+    """Rank by id; with ``before`` (a 0/1 column) its 0 rows come first.  ``ids`` must cover the table's ids."""
+    if ids is None:
+        return df.withColumn(out, F.lit(None).cast("long"))
+    bucket, order = ids.bucket(id_col), [F.col(id_col)]
+    if before is not None:
+        bucket, order = bucket + before * ID_RANGES, [before, *order]
+    bits = (2 * ID_RANGES // GROUPS).bit_length() - 1
+    return bucketed_rank(df, bucket, order, out=out, group=F.shiftright("_bucket", bits))
 
 
 def dense_reindex(df: DataFrame, order: Sequence[str], out: str = "new_id") -> DataFrame:
     """Dense 0..N-1 ids following ``order`` (first column an integer id, the rest tie-breaks)."""
-    return bucketed_rank(df, id_bucket(order[0]), [F.col(c) for c in order], out=out)
+    ids = id_range(df, order[0])
+    if ids is None:
+        return df.withColumn(out, F.lit(None).cast("long"))
+    bits = (2 * ID_RANGES // GROUPS).bit_length() - 1
+    return bucketed_rank(df, ids.bucket(order[0]), [F.col(c) for c in order], out=out, group=F.shiftright("_bucket", bits))
 
 
-def dense_ids(df: DataFrame, id_col: str = "id", out: str = "new_id") -> tuple[DataFrame, int]:
-    """0..N-1 ids in ``id_col`` order, and N.
+def dense_ids(df: DataFrame, id_col: str = "id", out: str = "new_id") -> tuple[DataFrame, IdRange | None]:
+    """0..N-1 ids in ``id_col`` order, and the range of the old ids.
 
-    One aggregate over the id column alone (a pruned scan plus an 8-byte
-    distinct) tells whether the ids already are 0..N-1; then the ids are
-    reused as they are and the rows are never shuffled.  Otherwise the rows
-    are ranked with :func:`bucketed_rank`.
+    If the ids already are 0..N-1 they are reused as they are and the rows
+    are never shuffled.
     """
-    lo, hi, n, nd = df.agg(F.min(id_col), F.max(id_col), F.count(F.lit(1)),
-                           F.count_distinct(id_col)).first()
-    if n == 0:
-        return df.withColumn(out, F.col(id_col).cast("long")), 0
-    if lo == 0 and hi == n - 1 and nd == n:
-        return df.withColumn(out, F.col(id_col).cast("long")), int(n)
-    return bucketed_rank(df, id_bucket(id_col), [F.col(id_col)], out=out), int(n)
+    ids = id_range(df, id_col)
+    if ids is None or (ids.lo == 0 and ids.hi == ids.rows - 1 and ids.distinct == ids.rows):
+        return df.withColumn(out, F.col(id_col).cast("long")), ids
+    return id_rank(df, ids, id_col, out), ids

@@ -8,6 +8,7 @@ pandas UDF on the two token arrays of each pair.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
 import pandas as pd
@@ -30,22 +31,19 @@ def rouge_n(pairs: DataFrame, n: int, key: Sequence[str], pred: str = "predictio
             ref: str = "reference") -> DataFrame:
     """(key..., precision, recall, fmeasure) of ROUGE-n per pair."""
     k = list(key)
-    toks = (pairs.select(*k, tx.tokens(tx.normalise_summary(F.col(pred))).alias("_tp"),
-                         tx.tokens(tx.normalise_summary(F.col(ref))).alias("_tr"))
+    # Partitioned by pair once: both aggregates below then stay in place.
+    toks = (pairs.select(*k, pred, ref).repartition(*k)
+            .select(*k, tx.tokens(tx.normalise_summary(F.col(pred))).alias("_tp"),
+                    tx.tokens(tx.normalise_summary(F.col(ref))).alias("_tr"))
             .select(*k, tx.ngrams("_tp", n).alias("_gp"), tx.ngrams("_tr", n).alias("_gr")))
-    sizes = toks.select(*k, F.size("_gp").alias("n_pred"), F.size("_gr").alias("n_ref"))
-    grams = (toks.select(*k, F.explode(F.array(
-        F.struct(F.lit(0).alias("side"), F.col("_gp").alias("g")),
-        F.struct(F.lit(1).alias("side"), F.col("_gr").alias("g")))).alias("s"))
-        .select(*k, F.col("s.side").alias("side"), F.explode("s.g").alias("gram")))
-    overlap = (grams.groupBy(*k, "gram")
-               .agg(F.count(F.when(F.col("side") == 0, 1)).alias("cp"),
-                    F.count(F.when(F.col("side") == 1, 1)).alias("cr"))
-               .groupBy(*k).agg(F.sum(F.least("cp", "cr")).alias("overlap")))
-    out = sizes.join(overlap, k, "left").fillna(0, ["overlap"])
+    side = lambda a, i: F.transform(a, lambda g: F.struct(F.lit(i).alias("side"), g.alias("gram")))
+    grams = toks.select(*k, F.explode_outer(F.concat(side("_gp", 0), side("_gr", 1))).alias("s"))
+    counts = (grams.groupBy(*k, F.col("s.gram").alias("gram"))
+              .agg(F.count_if(F.col("s.side") == 0).alias("cp"), F.count_if(F.col("s.side") == 1).alias("cr"))
+              .groupBy(*k).agg(F.sum(F.least("cp", "cr")).alias("overlap"), F.sum("cp").alias("n_pred"), F.sum("cr").alias("n_ref")))
     p = _ratio(F.col("overlap"), F.col("n_pred"))
     r = _ratio(F.col("overlap"), F.col("n_ref"))
-    return out.select(*k, p.alias("precision"), r.alias("recall"), _f(p, r).alias("fmeasure"))
+    return counts.select(*k, p.alias("precision"), r.alias("recall"), _f(p, r).alias("fmeasure"))
 
 
 def lcs_length(a: Sequence[str], b: Sequence[str]) -> int:
@@ -85,6 +83,60 @@ def rouge_l(pairs: DataFrame, key: Sequence[str], pred: str = "prediction", ref:
     return out.select(*k, p.alias("precision"), r.alias("recall"), _f(p, r).alias("fmeasure"))
 
 
+def _lcs_places(ref: Sequence[str], cand: Sequence[str]) -> list[int]:
+    """Places in ``ref`` of one longest common subsequence with ``cand``."""
+    rows = [[0] * (len(cand) + 1)]
+    for x in ref:
+        last, row = rows[-1], [0]
+        for j, y in enumerate(cand):
+            row.append(last[j] + 1 if x == y else max(last[j + 1], row[-1]))
+        rows.append(row)
+    i, j, out = len(ref), len(cand), []
+    while i and j:
+        if ref[i - 1] == cand[j - 1]:
+            out.append(i - 1)
+            i, j = i - 1, j - 1
+        elif rows[i][j - 1] > rows[i - 1][j]:
+            j -= 1
+        else:
+            i -= 1
+    return out
+
+
+def summary_lcs(ref_sentences: Sequence[Sequence[str]], cand_sentences: Sequence[Sequence[str]]) -> int:
+    """Tokens of the reference in the union, per sentence, of its common subsequences with all candidate sentences.
+
+    A token counts at most as often as either whole text has it.
+    """
+    left_r, left_c = (Counter(t for s in side for t in s) for side in (ref_sentences, cand_sentences))
+    hits = 0
+    for r in ref_sentences:
+        for i in sorted({i for c in cand_sentences for i in _lcs_places(r, c)}):
+            if left_r[r[i]] > 0 and left_c[r[i]] > 0:
+                hits += 1
+                left_r[r[i]] -= 1
+                left_c[r[i]] -= 1
+    return hits
+
+
+@F.pandas_udf(T.LongType())
+def _summary_lcs_udf(ref: pd.Series, cand: pd.Series) -> pd.Series:
+    return pd.Series([summary_lcs([list(s) for s in r], [list(s) for s in c]) for r, c in zip(ref, cand)], dtype="int64")
+
+
+def rouge_lsum(pairs: DataFrame, key: Sequence[str], pred: str = "prediction", ref: str = "reference") -> DataFrame:
+    """(key..., precision, recall, fmeasure) of ROUGE-Lsum: one sentence per line, longest subsequences per sentence."""
+    k = list(key)
+
+    def lines(c: str):
+        return F.transform(F.split(tx.normalise_summary(F.col(c)), "\n"), tx.tokens)
+    s = pairs.select(*k, lines(pred).alias("_p"), lines(ref).alias("_r"))
+    n = s.select(*k, _summary_lcs_udf("_r", "_p").alias("hits"), F.size(F.flatten("_p")).alias("n_pred"),
+                 F.size(F.flatten("_r")).alias("n_ref"))
+    p, r = _ratio(F.col("hits"), F.col("n_pred")), _ratio(F.col("hits"), F.col("n_ref"))
+    return n.select(*k, p.alias("precision"), r.alias("recall"), _f(p, r).alias("fmeasure"))
+
+
 def rouge_summary(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Corpus score: mean per-pair F x 100, rounded to 4 decimals."""
     return scores.groupBy(*by).agg(F.round(F.avg("fmeasure") * 100, 4).alias("score"))

@@ -55,7 +55,7 @@ def split_plain(df: DataFrame, names: Sequence[str], sizes: Sequence[float], see
                 id_col: str = "id", out: str = "split") -> DataFrame:
     """n-way unstratified split: stage i takes floor(f_i * remaining) rows in hash order.
 
-    The row count comes from the bucket table the ranking collects anyway.
+    The row count comes from the bucket sums that the ranking makes anyway.
     """
     validate_sizes(names, sizes)
     h = _with_hash(df, seed, id_col)
@@ -99,18 +99,22 @@ def stratified_bounds(counts: dict, sizes: Sequence[float]) -> dict:
     return bounds
 
 
+def class_sizes(df: DataFrame, label: str = LABEL) -> dict:
+    """Rows per class in label order: one row per class reaches the driver.  A null label is an error."""
+    rows = collect_small(df.groupBy(label).agg(F.count(F.lit(1)).alias("_n")))
+    if any(r[label] is None for r in rows):
+        raise ValueError(f"rows without a {label} cannot be stratified; filter them out first")
+    return {r[label]: r["_n"] for r in sorted(rows, key=lambda r: r[label])}
+
+
 def split_stratified(df: DataFrame, names: Sequence[str], sizes: Sequence[float], seed: int = 42,
                      label: str = LABEL, id_col: str = "id", out: str = "split") -> DataFrame:
     """n-way split with per-class proportional targets (largest remainder)."""
     validate_sizes(names, sizes)
     h = _with_hash(df, seed, id_col)
-    ranked, rows = bucketed_rank(h, hash_bucket(F.col("_h"), CLASS_HEX), [F.col("_h"), F.col(id_col)],
-                                 partition=[label], out="_rank", return_counts=True)
-    if rows is None:
-        rows = collect_small(df.groupBy(label).agg(F.count(F.lit(1)).alias("_n")))
-    counts: dict = {}
-    for r in rows:
-        counts[r[label]] = counts.get(r[label], 0) + r["_n"]
+    ranked = bucketed_rank(h, hash_bucket(F.col("_h"), CLASS_HEX), [F.col("_h"), F.col(id_col)],
+                           partition=[label], out="_rank")
+    counts = class_sizes(df, label)
     if any(v < 2 for v in counts.values()):
         raise ValueError("stratified split needs at least 2 rows in every class")
     bounds = stratified_bounds(counts, sizes)
@@ -131,25 +135,26 @@ def kfold_stratified(df: DataFrame, k: int, seed: int = 18091999, label: str = L
                      id_col: str = "id", out: str = "fold") -> DataFrame:
     """Stratified k-fold: rows in (label, hash) order are dealt round-robin over k folds.
 
-    Per class the fold sizes differ by at most one.  Class sizes for the
-    checks come from the same (class, hash-bucket) count table the ranking
-    collects, so no extra pass is made.
+    Per class the fold sizes differ by at most one.  Ranks are made inside
+    each class; a class starts where the smaller labels' rows end, which its
+    size table (collected for the checks) tells.
     """
     h = _with_hash(df, seed, id_col)
-    bucket = F.struct(F.col(label), hash_bucket(F.col("_h"), CLASS_HEX))
-    ranked, rows = bucketed_rank(h, bucket, [F.col(label), F.col("_h"), F.col(id_col)], out="_rank",
-                                 return_counts=True)
-    if rows is None:
-        rows = collect_small(df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-                             .select(F.struct(label).alias("_bucket"), "_n"))
-    sizes: dict = {}
-    for r in rows:
-        sizes[r["_bucket"][0]] = sizes.get(r["_bucket"][0], 0) + r["_n"]
+    ranked = bucketed_rank(h, hash_bucket(F.col("_h"), CLASS_HEX), [F.col("_h"), F.col(id_col)],
+                           partition=[label], out="_rank")
+    sizes = class_sizes(df, label)
     if sizes and all(v < k for v in sizes.values()):
         raise ValueError(f"n_splits={k} is greater than the number of members in every class")
     if sizes and min(sizes.values()) < k:
         warnings.warn(f"the least populated class has fewer than n_splits={k} members")
-    return ranked.withColumn(out, (F.col("_rank") % k).cast("int")).drop("_h", "_rank")
+    starts, at = [], 0
+    for name, n in sizes.items():
+        starts.append((name, at % k))
+        at += n
+    kind = df.schema[label].dataType.simpleString()
+    first = F.broadcast(df.sparkSession.createDataFrame(starts, f"{label} {kind}, _first int"))  # one row per class
+    return (ranked.join(first, label)
+            .withColumn(out, ((F.col("_first") + F.col("_rank")) % k).cast("int")).drop("_h", "_rank", "_first"))
 
 
 def kfold_leakage_safe(df: DataFrame, k: int, seed: int = 18091999, label: str = LABEL,
@@ -203,15 +208,24 @@ def fold_members(assignment: DataFrame, fold: int) -> tuple[DataFrame, DataFrame
 
 def leakage_audit(assignment: DataFrame, df: DataFrame, id_col: str = "id",
                   source_col: str = "source_doc_id") -> DataFrame:
-    """Per fold: test/train sizes and the number of train augmentations whose source is tested."""
-    prov = df.select(id_col, source_col)
-    a = assignment.join(prov, id_col)
-    test = a.where(F.col("role") == "test").select("fold", F.col(id_col).alias(source_col))
-    train_aug = a.where((F.col("role") == "train") & F.col(source_col).isNotNull())
-    leaks = train_aug.join(test, ["fold", source_col]).groupBy("fold").agg(F.count(F.lit(1)).alias("n_leaks"))
-    sizes = a.groupBy("fold").agg(
-        F.count(F.when(F.col("role") == "test", 1)).alias("n_test"),
-        F.count(F.when((F.col("role") == "train") & F.col(source_col).isNull(), 1)).alias("n_train_original"),
-        F.count(F.when((F.col("role") == "train") & F.col(source_col).isNotNull(), 1)).alias("n_train_augmented"))
-    return (sizes.join(leaks, "fold", "left")
-            .withColumn("n_leaks", F.coalesce(F.col("n_leaks"), F.lit(0)).cast("long")))
+    """Per fold: test/train sizes and the number of train augmentations whose source is tested.
+
+    Each document's folds by role are gathered once (at most k of them);
+    provenance and the source's test fold are joined to that row, so the
+    k-times larger assignment is read once and never joined to itself.
+    """
+    per_doc = assignment.groupBy(id_col).agg(
+        F.collect_list(F.when(F.col("role") == "train", F.col("fold"))).alias("_train"),
+        F.collect_list(F.when(F.col("role") == "test", F.col("fold"))).alias("_test"))
+    docs = per_doc.join(df.select(id_col, source_col), id_col)
+    tested = per_doc.where(F.size("_test") > 0).select(F.col(id_col).alias(source_col), F.col("_test").alias("_leak"))
+    docs = docs.join(tested, source_col, "left")
+    no_folds = F.array().cast(per_doc.schema["_train"].dataType)
+    is_aug = F.col(source_col).isNotNull()
+    rows = docs.select(F.explode(F.concat(
+        F.transform("_test", lambda f: F.struct(f.alias("fold"), F.lit("n_test").alias("what"))),
+        F.transform("_train", lambda f: F.struct(f.alias("fold"), F.when(is_aug, "n_train_augmented").otherwise("n_train_original").alias("what"))),
+        F.transform(F.array_intersect(F.when(is_aug, F.col("_train")).otherwise(no_folds), F.coalesce("_leak", no_folds)),
+                    lambda f: F.struct(f.alias("fold"), F.lit("n_leaks").alias("what"))))).alias("r")).select("r.*")
+    return rows.groupBy("fold").agg(*[F.count_if(F.col("what") == w).alias(w)
+                                      for w in ("n_test", "n_train_original", "n_train_augmented", "n_leaks")])

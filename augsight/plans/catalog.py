@@ -287,6 +287,17 @@ def q_tfidf(spark, d):
     return weights.select("id", "term", F.round("weight", 6).alias("weight"))
 
 
+@register("tfidf_transform")
+def q_tfidf_transform(spark, d):
+    """Weights of the dev and test documents under the training documents' vocabulary and idf."""
+    docs = _token_docs(spark, d).join(q_split_plain(spark, d), "id")
+    train = docs.where(F.col("split") == "train").select("id", "tokens")
+    _, vocab, n_docs = features.tfidf(train, min_df=MIN_DF, max_df=MAX_DF)
+    rest = docs.where(F.col("split") != "train").select("id", "tokens")
+    weights, _, _ = features.tfidf(rest, vocab=vocab, n_docs=n_docs)
+    return weights.select("id", "term", F.round("weight", 6).alias("weight"))
+
+
 def _pairs(spark, d):
     return rouge.conversation_pairs(table(spark, d, "conversations", "conv_id", "turn", "role", "text"))
 
@@ -318,6 +329,24 @@ def q_rouge_l(spark, d):
     return _rounded(rouge.rouge_l(_pairs(spark, d), ["conv_id", "turn"]), ["precision", "recall", "fmeasure"])
 
 
+@register("rouge_lsum")
+def q_rouge_lsum(spark, d):
+    return _rounded(rouge.rouge_lsum(_pairs(spark, d), ["conv_id", "turn"]), ["precision", "recall", "fmeasure"])
+
+
+@register("rouge_summary_all")
+def q_rouge_summary_all(spark, d):
+    """Corpus score of every ROUGE variant: 1, 2, L and Lsum."""
+    p, key = _pairs(spark, d), ["conv_id", "turn"]
+    tables = {"rouge1": rouge.rouge_n(p, 1, key), "rouge2": rouge.rouge_n(p, 2, key),
+              "rougeL": rouge.rouge_l(p, key), "rougeLsum": rouge.rouge_lsum(p, key)}
+    out = None
+    for name, scores in tables.items():
+        one = rouge.rouge_summary(scores).withColumn("metric", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 # --- M5: evaluation -------------------------------------------------------------------------
 
 # Experiments of the score analysis: (name, use title in the view, keep the lead line in the body,

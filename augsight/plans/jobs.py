@@ -24,12 +24,20 @@ def augment_job(spark: SparkSession, corpus: DataFrame, out: str, n: int = 3,
     """L1: originals + n generated variants of the (low-resource) sources, written with parameters."""
     result = augment.augment_corpus(corpus, n, cutoff, generator)
     write_corpus(result, out, mode=mode)
-    write_params(spark, {"n": n, "low_resource_cutoff": cutoff}, out.rstrip("/") + ".params", mode="overwrite")
+    # An output that was kept keeps its parameters too.
+    write_params(spark, {"n": n, "low_resource_cutoff": cutoff}, out.rstrip("/") + ".params",
+                 mode="ignore" if mode == "ignore" else "overwrite")
     written = spark.read.parquet(out)
     augment.check_augmented_count(written, n)  # invariant: every source has exactly n variants
     return written
 
 
+def _written(df: DataFrame, out: str, mode: str) -> DataFrame:
+    """Write once and return what was written, so that a model runs once."""
+    sc.write_json(df, out, mode=mode)
+    return sc.read_json(df.sparkSession, out, df.schema)
+
+
 def extract_low_resource_job(corpus: DataFrame, out: str, cutoff: int | float, news_only: bool = False,
                              mode: str = "errorifexists") -> None:
     """L9: low-resource rows (optionally news only: filter first, then count)."""
@@ -71,32 +79,36 @@ def inference_job(test: DataFrame, mapping: DataFrame, model: Callable, out: str
     raw = plugins.classify_with(test.withColumn("_doc", doc), model, "_doc")
     pred = plugins.decode_predictions(raw, mapping)
     report = metrics.classification_report(pred, "event_type", "y_pred")
-    sc.write_json(report, out, mode=mode)
-    return report
+    return _written(report, out, mode)
 
 
 def compare_job(spark: SparkSession, old_path: str, new_path: str, out: str,
                 keys: Sequence[str] = (), section_cols: Sequence[str] = (), mode: str = "errorifexists") -> DataFrame:
-    """L7: two long reports (optionally drilled by a key path) -> delta table (JSON)."""
-    old = sc.navigate(spark.read.json(old_path), list(keys), list(section_cols))
-    new = sc.navigate(spark.read.json(new_path), list(keys), list(section_cols))
-    cmp = metrics.compare_reports(old, new)
-    sc.write_json(cmp, out, mode=mode)
-    return cmp
+    """L7: two reports -> delta table (JSON).
+
+    Long reports are filtered by ``keys`` in ``section_cols``; without
+    ``section_cols`` the keys are a path into nested report files.
+    """
+    def read(path: str) -> DataFrame:
+        if keys and not section_cols:
+            return sc.read_nested_report(spark, path, list(keys))
+        return sc.navigate(spark.read.json(path), list(keys), list(section_cols))
+    return _written(metrics.compare_reports(read(old_path), read(new_path)), out, mode)
 
 
 def svm_job(train: DataFrame, others: dict[str, DataFrame], out: str, min_df=3, max_df=1.0, C: float = 1.0,
             mode: str = "errorifexists") -> DataFrame:
     """L3: TF-IDF + one-vs-rest linear SVM; report per split (JSON)."""
     pred = classify.fit_predict(train, others, min_df=min_df, max_df=max_df, C=C)
-    report = metrics.classification_report(pred, "label_id", "pred_id", by=["split"])
-    sc.write_json(report, out, mode=mode)
-    return report
+    return _written(metrics.classification_report(pred, "label_id", "pred_id", by=["split"]), out, mode)
 
 
 def svm_cv_job(docs: DataFrame, k: int, out: str, seed: int = 18091999, subsample: str | None = None,
-               min_df=3, max_df=1.0, mode: str = "errorifexists") -> DataFrame:
-    """L4: (optionally augmented + subsampled) corpus -> leakage-safe folds -> per-fold macro F1 -> stats."""
+               min_df=3, max_df=1.0, mode: str = "errorifexists", experiment: str = "svm") -> DataFrame:
+    """L4: (optionally augmented + subsampled) corpus -> leakage-safe folds -> per-fold macro F1 -> stats.
+
+    The fold scores are written as a score directory that :func:`experiment_analysis` reads.
+    """
     if subsample:
         docs = augment.subsample_augmented(docs, subsample)
     mapping = trainset.label_mapping(docs)
@@ -104,9 +116,9 @@ def svm_cv_job(docs: DataFrame, k: int, out: str, seed: int = 18091999, subsampl
     folds = splits.fold_assignment(docs.select("id", "event_type", "source_doc_id"), k, seed)
     pred = classify.cross_validate(enc.select("id", "label_id", "tokens"), folds, k, min_df=min_df, max_df=max_df)
     scores = metrics.macro_metrics(pred, "label_id", "pred_id", by=["fold"]).select(
-        F.lit("svm").alias("experiment"), "fold", F.col("f1_macro").alias("score"))
-    sc.write_json(scores, out, mode=mode)
-    return metrics.score_stats(scores)
+        F.lit(experiment).alias("experiment"), "fold", F.col("f1_macro").alias("score"))
+    sc.write_score_dir(scores, out, mode=mode)
+    return metrics.score_stats(sc.read_score_dir(docs.sparkSession, out))
 
 
 def experiment_analysis(spark: SparkSession, score_dir: str, grouping: str = "title",

@@ -325,6 +325,20 @@ raw AS (SELECT tf.id, tf.term,
         FROM tf JOIN vocab v USING (term))
 SELECT id, term, round(w / sqrt(SUM(w * w) OVER (PARTITION BY id)), 6) AS weight FROM raw"""
 
+SQL["tfidf_transform"] = w(CORPUS) + f""",
+sp AS (SELECT id, ROW_NUMBER() OVER (ORDER BY {hkey(42)}, id) - 1 AS r, COUNT(*) OVER () AS n FROM corpus),
+tr AS (SELECT id, r < floor({F1} * n) AS train FROM sp),
+toks AS (SELECT id, train, {TOKENS.format(c='text')} AS t FROM corpus JOIN tr USING (id)),
+g AS (SELECT id, train, unnest({grams('t', 1)}) AS term FROM toks
+      UNION ALL SELECT id, train, unnest({grams('t', 2)}) FROM toks
+      UNION ALL SELECT id, train, unnest({grams('t', 3)}) FROM toks),
+tf AS (SELECT id, train, term, COUNT(*) AS tf FROM g GROUP BY ALL),
+nd AS (SELECT COUNT(*) AS n FROM tr WHERE train),
+vocab AS (SELECT term, COUNT(*) AS df FROM tf WHERE train GROUP BY term HAVING COUNT(*) >= 3),
+raw AS (SELECT tf.id, tf.term, tf.tf * (ln(CAST(1 + (SELECT n FROM nd) AS DOUBLE) / (v.df + 1.0)) + 1.0) AS w
+        FROM tf JOIN vocab v USING (term) WHERE NOT tf.train)
+SELECT id, term, round(w / sqrt(SUM(w * w) OVER (PARTITION BY id)), 6) AS weight FROM raw"""
+
 PAIRS = """
 pairs AS (SELECT a.conv_id, a.turn, a.text AS prediction, u.text AS reference
           FROM conversations a JOIN conversations u
@@ -354,6 +368,21 @@ for _n in (1, 2):
 SELECT conv_id, turn, round(p, 6) AS precision, round(r, 6) AS recall,
        round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END, 6) AS fmeasure FROM m"""
 
+# Longest common subsequence as a fold over the reference's tokens: a row of lengths per token, where
+# row'[j] = max(row[j], row[p - 1] + 1 for the latest match p <= j).
+SQL["rouge_l"] = w(PAIRS).replace("WITH", "WITH RECURSIVE", 1) + f""",
+tk AS MATERIALIZED (SELECT conv_id, turn, {TOKENS.format(c=normalised("prediction"))} AS a, {TOKENS.format(c=normalised("reference"))} AS b FROM pairs),
+st AS (SELECT conv_id, turn, a, b, 0 AS i, list_transform(range(0, len(b) + 1), lambda x: 0) AS lens FROM tk
+       UNION ALL
+       SELECT conv_id, turn, a, b, i + 1,
+              list_transform(range(1, len(b) + 2), lambda j: greatest(lens[j], coalesce(list_max(list_transform(
+                  list_filter(range(2, CAST(j AS BIGINT) + 1), lambda p: b[p - 1] = a[i + 1]), lambda p: lens[p - 1] + 1)), 0)))
+       FROM st WHERE i < len(a)),
+l AS (SELECT conv_id, turn, CAST(lens[len(b) + 1] AS DOUBLE) AS l, len(a) AS n, len(b) AS m FROM st WHERE i = len(a)),
+m AS (SELECT conv_id, turn, CASE WHEN n > 0 THEN l / n ELSE 0.0 END AS p, CASE WHEN m > 0 THEN l / m ELSE 0.0 END AS r FROM l)
+SELECT conv_id, turn, round(p, 6) AS precision, round(r, 6) AS recall,
+       round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END, 6) AS fmeasure FROM m"""
+
 SQL["rouge_summary"] = (
     "SELECT 'rouge1' AS metric, round(AVG(f) * 100, 4) AS score FROM (" + rouge_n_sql(1)
     + " SELECT CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END AS f FROM m)"

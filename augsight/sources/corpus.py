@@ -34,7 +34,8 @@ CORPUS_SCHEMA = T.StructType([
     T.StructField("source_doc_id", T.LongType(), True),
 ])
 
-# CSV layout written by the reference scripts (header row, multi-line quoted text).
+# Columns that a corpus CSV may have, in any order (header row, multi-line quoted text).  Token arrays and
+# arguments are written as text.
 CSV_SCHEMA = T.StructType([
     T.StructField("id", T.LongType(), True),
     T.StructField("title", T.StringType(), True),
@@ -42,6 +43,8 @@ CSV_SCHEMA = T.StructType([
     T.StructField("event_type", T.StringType(), True),
     T.StructField("date", T.StringType(), True),
     T.StructField("arguments", T.StringType(), True),
+    T.StructField("source_doc_id", T.LongType(), True),
+    T.StructField("tokens", T.StringType(), True),
 ])
 
 DATE_ORIGIN = "2024-01-01"
@@ -79,9 +82,18 @@ def rejected_labels(spark: SparkSession, data_dir: str) -> DataFrame:
 
 
 def read_corpus_csv(spark: SparkSession, path: str, schema: T.StructType = CSV_SCHEMA) -> DataFrame:
-    """Read a corpus CSV with an explicit schema (no inference) and multi-line fields."""
-    return (spark.read.schema(schema).option("header", True).option("multiLine", True)
-            .option("quote", '"').option("escape", '"').csv(path))
+    """Read a corpus CSV by its header's names, with the types of ``schema`` and no inference.
+
+    Columns of ``schema`` that the file lacks are null; others (an index
+    column, say) stay as text, except that ``Unnamed`` ones go.  Multi-line
+    fields make each file one task: convert a large CSV to Parquet once.
+    """
+    raw = drop_unnamed(spark.read.option("header", True).option("multiLine", True)
+                       .option("quote", '"').option("escape", '"').csv(path))
+    typed = [(F.col(f.name).try_cast(f.dataType) if f.name in raw.columns else F.lit(None).cast(f.dataType)).alias(f.name)
+             for f in schema.fields]
+    names = {f.name for f in schema.fields}
+    return raw.select(*typed, *[F.col(f"`{c}`") for c in raw.columns if c not in names])
 
 
 def drop_unnamed(df: DataFrame) -> DataFrame:
@@ -102,6 +114,11 @@ def write_corpus(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "er
     if partition_by:
         w = w.partitionBy(*partition_by)
     if fmt == "csv":
+        # CSV has no arrays: they are written as JSON text.
+        flat = df.select(*[F.to_json(c).alias(c) if k.startswith("array") else F.col(f"`{c}`") for c, k in df.dtypes])
+        w = flat.write.mode(mode)
+        if partition_by:
+            w = w.partitionBy(*partition_by)
         w.option("header", True).option("quote", '"').option("escape", '"').csv(path)
     else:
         w.format(fmt).save(path)
@@ -118,6 +135,7 @@ def named_splits(spark: SparkSession, paths: dict[str, str], fmt: str = "parquet
     """Read several files as named splits (``split`` column) in one DataFrame."""
     out = None
     for name, p in paths.items():
-        part = spark.read.format(fmt).load(p).withColumn("split", F.lit(name))
+        part = read_corpus_csv(spark, p) if fmt == "csv" else spark.read.format(fmt).load(p)
+        part = part.withColumn("split", F.lit(name))
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out

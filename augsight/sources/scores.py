@@ -19,21 +19,43 @@ def read_json(spark: SparkSession, path: str, schema: str | None = None) -> Data
 
 
 def read_score_dir(spark: SparkSession, path: str) -> DataFrame:
-    """Directory of one-JSON-document-per-experiment score files -> (experiment, fold, score).
+    """Directory with one JSON document per experiment -> (experiment, fold, score).
 
-    Each file holds ``{"test_score": [...], ...}``; the file name is the
-    experiment name (it carries the tags used for grouping).
+    A document is ``{"test_score": [...], ...}``.  Its experiment is the
+    folder ``experiment=...`` that :func:`write_score_dir` puts it in, or else
+    its file name; both carry the tags used for grouping.
     """
-    raw = (spark.read.option("multiLine", True).schema("test_score array<double>").json(path)
-           .select(F.col("_metadata.file_name").alias("experiment"), F.posexplode("test_score")))
+    raw = (spark.read.option("multiLine", True).schema("test_score array<double>, experiment string").json(path)
+           .select(F.coalesce("experiment", F.col("_metadata.file_name")).alias("experiment"), F.posexplode("test_score")))
     return raw.select("experiment", F.col("pos").cast("int").alias("fold"), F.col("col").alias("score"))
 
 
-def write_score_dir(scores: DataFrame, path: str) -> None:
-    """One JSON document ``{"test_score": [...]}`` per experiment, in fold order."""
+def write_score_dir(scores: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """One JSON document ``{"test_score": [...]}`` per experiment, in fold order, in a folder of its name."""
     per = scores.groupBy("experiment").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("fold", "score"))), lambda s: s["score"]).alias("test_score"))
-    per.write.mode("errorifexists").partitionBy("experiment").json(path)
+    per.write.mode(mode).partitionBy("experiment").json(path)
+
+
+def read_nested_report(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """One report out of a nested JSON file, as a long table (label, precision, recall, f1, support).
+
+    ``keys`` is the path to an object ``{label: {"precision": ..., "recall":
+    ..., "f1-score": ..., "support": ...}, ..., "accuracy": x}``.
+    """
+    doc = spark.read.option("multiLine", True).json(path)
+    node = doc
+    for k in keys:
+        if k not in node.columns:
+            raise KeyError(f"{k} is not in the report; it has {node.columns}")
+        node = node.select(F.col(f"`{k}`.*"))
+    rows = []
+    for f in node.schema.fields:
+        at = {x.name: F.col(f"`{f.name}`.`{x.name}`") for x in f.dataType.fields} if hasattr(f.dataType, "fields") else {"f1-score": F.col(f"`{f.name}`")}
+        f1 = at.get("f1-score", at.get("f1", F.lit(None)))
+        rows.append(F.struct(F.lit(f.name).alias("label"), *[at.get(m, F.lit(None)).cast("double").alias(m) for m in ("precision", "recall")],
+                             f1.cast("double").alias("f1"), at.get("support", F.lit(None)).cast("long").alias("support")))
+    return node.select(F.inline(F.array(*rows)))
 
 
 def navigate(df: DataFrame, keys: list[str], section_cols: list[str]) -> DataFrame:
