@@ -21,6 +21,9 @@ LABEL = "event_type"
 def class_counts(df: DataFrame, label: str = LABEL, by: Sequence[str] = ()) -> DataFrame:
     """(by..., label, n, n_classes, total): rows per class plus the class count and total."""
     counts = df.groupBy(*by, label).agg(F.count(F.lit(1)).alias("n"))
+    if not by:  # scalar subqueries: one partial sum per task meets, not the table of classes
+        return counts.select(label, "n", counts.agg(F.count(F.lit(1))).scalar().alias("n_classes"),
+                             counts.agg(F.coalesce(F.sum("n"), F.lit(0))).scalar().cast("long").alias("total"))
     whole = Window.partitionBy(*by)
     return counts.select(*by, label, "n",
                          F.count(F.lit(1)).over(whole).alias("n_classes"),

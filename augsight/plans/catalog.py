@@ -636,21 +636,21 @@ def q_literal_arguments(spark, d):
 def q_svm_report(spark, d):
     sp = _split_plain(spark, d)
     mapping = trainset.label_mapping(sp.where(F.col("split") == "train"))
-    docs = (trainset.encode_labels(sp, mapping)
-            .join(_token_docs(spark, d), "id").select("id", "split", "label_id", "tokens"))
+    docs = features.materialize(trainset.encode_labels(sp, mapping).join(_token_docs(spark, d), "id")
+                                .select("id", "split", "label_id", "tokens"), "augsight-docs")
     parts = {s: docs.where(F.col("split") == s).drop("split") for s in ("train", "dev", "test")}
     pred = classify.fit_predict(parts.pop("train"), parts, min_df=MIN_DF, max_df=MAX_DF)
-    return _round(metrics.classification_report(pred, "label_id", "pred_id", by=["split"]))
+    return _round(metrics.classification_report(features.materialize(pred, "augsight-predictions"),
+                                                "label_id", "pred_id", by=["split"]))
 
 
 @register("svm_cv")
 def q_svm_cv(spark, d):
-    aug = augment.subsample_augmented(augmented_corpus(spark, d), "one_per_source")
+    aug = features.materialize(augment.subsample_augmented(augmented_corpus(spark, d), "one_per_source"), "augsight-docs")
     mapping = trainset.label_mapping(aug)
-    docs = (trainset.encode_labels(aug, mapping)
-            .select("id", "label_id", "source_doc_id", tx.tokens("text").alias("tokens")))
+    docs = trainset.encode_labels(aug, mapping).select("id", "label_id", tx.tokens("text").alias("tokens"))
     folds = splits.fold_assignment(aug.select("id", "event_type", "source_doc_id"), K, CV_SEED)
-    pred = classify.cross_validate(docs.drop("source_doc_id"), folds, K, min_df=MIN_DF, max_df=MAX_DF)
+    pred = classify.cross_validate(docs, folds, K, min_df=MIN_DF, max_df=MAX_DF)
     scores = metrics.macro_metrics(pred, "label_id", "pred_id", by=["fold"]).select(
         F.lit("svm").alias("experiment"), "fold", F.col("f1_macro").alias("score"))
     return _round(metrics.score_stats(scores))

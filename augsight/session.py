@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -63,9 +64,27 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("WARN")
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package's source to the executors, once per session, so that workers started anywhere import it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_augsight_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="augsight-src-"), "augsight.zip")  # the driver serves it
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.join("augsight", os.path.relpath(full, root)))
+    sc.addPyFile(path)
+    sc._augsight_shipped = True
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Directory for reliable checkpoints / intermediate tables.
 
