@@ -129,7 +129,7 @@ def rouge_lsum(pairs: DataFrame, key: Sequence[str], pred: str = "prediction", r
     k = list(key)
 
     def lines(c: str):
-        return F.transform(F.split(tx.normalise_summary(F.col(c)), "\n"), tx.tokens)
+        return F.transform(F.split(tx.normalise_summary(F.col(c)), "\n"), lambda x: tx.tokens(x))
     s = pairs.select(*k, lines(pred).alias("_p"), lines(ref).alias("_r"))
     n = s.select(*k, _summary_lcs_udf("_r", "_p").alias("hits"), F.size(F.flatten("_p")).alias("n_pred"),
                  F.size(F.flatten("_r")).alias("n_ref"))
