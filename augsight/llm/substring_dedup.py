@@ -114,7 +114,9 @@ def _anchors(words: Words):
                 cand = rank[first[open_] + j]
                 win = cand < best[open_]
                 best[open_[win]], at[open_[win]] = cand[win], first[open_[win]] + j
-            used = np.unique(at)
+            anchors = np.zeros(len(name), bool)
+            anchors[at] = True
+            used = np.flatnonzero(anchors)
             names = np.zeros(len(name), np.uint64)
             names[used] = mix(name[used] + words.range_hash(need_lo[used], need_hi[used]) + np.uint64(level))
             key[own], place[own] = names[at], at * (ROUNDS + 2) + level
@@ -174,30 +176,25 @@ def _second_pass(shared: bytes, varied: bytes):
     return run
 
 
-def _kept_words(text: str | None, starts: np.ndarray, counts: np.ndarray) -> tuple[int, bytes]:
-    """Number of removed words and the others joined, from removed stretches of windows."""
-    raw = np.frombuffer((text or "").encode(), np.uint8)
-    words = split_words(raw, np.array([0, len(raw)]), AS_IS)
-    edge = np.zeros(len(words.hash) + 1, np.int64)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, starts + counts + WINDOW - 1, -1)
-    gone = np.cumsum(edge[:-1]) > 0
-    left = np.flatnonzero(~gone)
-    blob = raw.tobytes()
-    return int(gone.sum()), b" ".join([blob[s:e] for s, e in zip(words.start[left].tolist(), words.end[left].tolist())])
-
-
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i in range(batch.num_rows):  # one text at a time: its words are in memory once
-            row = batch.slice(i, 1)
-            spans = row.column("spans")[0].as_py()
-            gone, kept = _kept_words(row.column("text")[0].as_py(), np.array([s["first"] for s in spans]),
-                                     np.array([s["n"] for s in spans]))
-            yield pa.RecordBatch.from_arrays(
-                [row.column("doc_id"), row.column("text_key"), pa.array([gone], pa.int64()),
-                 pa.array([hashlib.sha256(kept).hexdigest()]), pa.array([kept.decode()])],
-                ["doc_id", "text_key", "n_removed", "sha256", "text"])
+    """Texts without the words of their removed stretches of windows."""
+    for part, data, bounds in slices(batches):
+        words = split_words(data, bounds, AS_IS)
+        spans = part.column("spans")
+        flat, text = spans.flatten(), np.repeat(np.arange(part.num_rows), np.asarray(spans.value_lengths()))
+        start = words.first[text] + np.asarray(flat.field("first"))
+        edge = np.zeros(len(words.hash) + 1, np.int64)
+        np.add.at(edge, start, 1)
+        np.add.at(edge, start + np.asarray(flat.field("n")) + WINDOW - 1, -1)
+        gone = np.cumsum(edge[:-1]) > 0
+        out, ends = words.joined(~gone)
+        raw, ends = out.tobytes(), ends.tolist()
+        kept = [raw[a:b] for a, b in zip(ends, ends[1:])]
+        yield pa.RecordBatch.from_arrays(
+            [part.column("doc_id"), part.column("text_key"),
+             pa.array(np.bincount(words.doc[gone], minlength=part.num_rows), pa.int64()),
+             pa.array([hashlib.sha256(x).hexdigest() for x in kept]), pa.array(kept, pa.binary()).cast(pa.string())],
+            ["doc_id", "text_key", "n_removed", "sha256", "text"])
 
 
 def _only(wanted: bytes, column: str):

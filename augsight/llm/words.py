@@ -92,14 +92,15 @@ class Words:
         np.cumsum(self.hash * up[:len(self.hash)], out=sums[1:])
         return mix((sums[hi] - sums[lo]) * down[lo] + (hi - lo).astype(np.uint64))
 
-    def joined(self) -> tuple[np.ndarray, np.ndarray]:
-        """Bytes of all texts with their words joined by one space, and the texts' bounds in them."""
-        inside = np.zeros(len(self.data) + 1, np.int8)
-        inside[self.start] += 1
-        inside[self.end] -= 1
-        keep = np.cumsum(inside[:-1], dtype=np.int8).astype(bool)
+    def joined(self, kept: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of all texts with their (``kept``) words joined by one space, and the texts' bounds in them."""
+        start, end, doc = (self.start, self.end, self.doc) if kept is None else (self.start[kept], self.end[kept], self.doc[kept])
+        edge = np.zeros(len(self.data) + 1, np.int8)
+        edge[start] += 1
+        edge[end] -= 1
+        keep = np.cumsum(edge[:-1], dtype=np.int8).astype(bool)
         out = self.data.copy()
-        gap = self.end[:-1][self.doc[:-1] == self.doc[1:]]  # the byte after a word that another follows
+        gap = end[:-1][doc[:-1] == doc[1:]]  # the byte after a word that another follows
         keep[gap] = True
         out[gap] = 32
         total = np.zeros(len(keep) + 1, np.int64)
