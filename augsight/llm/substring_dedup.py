@@ -220,22 +220,21 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     anchors_type = "array<struct<key:long,stretch:long,first:int,n:int,h1:array<long>,h2:array<long>>>"
     passed = _second_pass(bitmap(shared, "key", ANCHOR_BITS), bitmap(shared.filter("varied"), "key", ANCHOR_BITS))
     rows = staged(keyed.mapInArrow(passed, f"doc_id {kind}, text_key string, n_words long, sha256 string, anchors {anchors_type}"), "rows")
-    found = rows.filter("doc_id is not null").select("doc_id", "text_key", F.inline("anchors"))
+    rows = rows.withColumn("row", F.monotonically_increasing_id())
+    found = rows.filter("doc_id is not null").select("row", "doc_id", F.inline("anchors"))
     least = found.groupBy("key", "stretch").agg(F.min("doc_id").alias("least_id"))
     found = found.join(least, ["key", "stretch"])
-    whole = found.filter("least_id < doc_id").select("doc_id", "text_key", "first", "n")
+    whole = found.filter("least_id < doc_id").select("row", "first", "n")
     # One document for each different stretch of an anchor, window by window.
     windows = (found.filter("least_id = doc_id and h1 is not null")
-               .select("doc_id", "text_key", "first", F.posexplode(F.arrays_zip("h1", "h2")).alias("i", "h"))
-               .select("doc_id", "text_key", (F.col("first") + F.col("i")).cast("int").alias("first"), "h.h1", "h.h2"))
-    windows = staged(windows, "windows")
+               .select("row", "doc_id", "first", F.posexplode(F.arrays_zip("h1", "h2")).alias("i", "h"))
+               .select("row", "doc_id", (F.col("first") + F.col("i")).cast("int").alias("first"), "h.h1", "h.h2"))
     smallest = (windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("least_id"), F.max("doc_id").alias("most_id"))
                 .filter("least_id < most_id").select("h1", "h2", "least_id"))
-    single = (windows.join(smallest, ["h1", "h2"]).filter("least_id < doc_id")
-              .select("doc_id", "text_key", "first", F.lit(1).alias("n")))
-    removed = (whole.union(single).distinct().groupBy("doc_id", "text_key")
-               .agg(F.collect_list(F.struct("first", "n")).alias("spans")))
-    return rows.drop("anchors"), staged(removed, "removed")
+    single = windows.join(smallest, ["h1", "h2"]).filter("least_id < doc_id").select("row", "first", F.lit(1).alias("n"))
+    removed = whole.union(single).distinct().groupBy("row").agg(F.collect_list(F.struct("first", "n")).alias("spans"))
+    removed = rows.select("row", "doc_id", "text_key").join(removed, "row").drop("row").dropDuplicates(["doc_id", "text_key"])
+    return rows.drop("anchors", "row"), staged(removed, "removed")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
