@@ -2,8 +2,9 @@
 
 A term is a word (A-Z lower-cased, without punctuation) or the first four or
 six bytes of a longer word, hashed to 64 bits; a text is the set of its
-terms.  The machine keeps the ``TERMS`` terms whose presence tells most
-about the label (log-likelihood ratio of the training counts), and scores
+terms.  The machine keeps the ``TERMS`` terms that speak most for the label
+(more frequent with it; log-likelihood ratio of the training counts), so no
+harmless passage can outweigh an insult, and scores
 
     w0 + sum of w[i] + sum over pairs of <v[i], v[j]>
 
@@ -38,7 +39,7 @@ TRAIN_ROWS = 20_000
 #: Terms of the machine at most, and the least log-likelihood ratio of one.
 TERMS, LEAST_LLR = 4096, 12.0
 FACTORS = 4
-EPOCHS, RATE, DECAY = 200, 0.05, 1e-3
+EPOCHS, RATE, DECAY = 400, 0.1, 1e-3
 #: A text is called toxic from this score.
 THRESHOLD = 0.7
 PREFIXES = (4, 6)
@@ -140,7 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine |
     share = (F.col("a") + F.col("b")) / (one + zero)
     present = part(F.col("a"), F.lit(one), share) + part(F.col("b"), F.lit(zero), share)
     absent = part(one - F.col("a"), F.lit(one), 1 - share) + part(zero - F.col("b"), F.lit(zero), 1 - share)
-    best = (counts.withColumn("llr", 2 * (present + absent)).filter(F.col("llr") >= LEAST_LLR)
+    best = (counts.withColumn("llr", 2 * (present + absent)).filter((F.col("llr") >= LEAST_LLR) & (F.col("a") * zero > F.col("b") * one))
             .orderBy(F.desc("llr"), "term").limit(TERMS).select("term").collect())
     chosen = np.sort(np.array([r["term"] for r in best], np.int64).view(np.uint64))
     kept = F.array_intersect("terms", F.lit(signed(chosen).tolist()).cast("array<long>"))
