@@ -219,7 +219,7 @@ def _fetch(docs: DataFrame, ids: DataFrame, whole: bool) -> DataFrame:
 
 #: Similar sets differ in at most 15 of 185 of their sizes' sum; sketches show at most what differs.
 _CLOSE = ("aggregate(zip_with(u.parities, v.parities, (x, y) -> bit_count(x ^ y)), 0, (n, x) -> n + x) "
-          f"* {100 + J} <= {100 - J} * (u.size + v.size)")
+          f"* {100 + J}L <= {100 - J}L * (u.size + v.size)")
 
 
 def _close(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -236,14 +236,14 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     b = sets.select(F.col("set_id").alias("b"), F.col("size").alias("bsize"), F.col("shingles").alias("v"))
     common = F.size(F.array_intersect("u", "v"))
     return (pairs.join(a, ["a", "asize"]).join(b, ["b", "bsize"]).withColumn("common", common)
-            .filter(f"100 * common >= {J} * (asize + bsize - common)").select("a", "asize", "b", "bsize"))
+            .filter(f"100L * common >= {J}L * (asize + bsize - common)").select("a", "asize", "b", "bsize"))
 
 
 def _pairs(entries: DataFrame, condition: str) -> DataFrame:
     """Distinct pairs of sets in one list that sizes and places do not rule out."""
     u, v = entries.alias("u"), entries.alias("v")
     # At the first shared shingle, what lies behind it bounds the overlap.
-    possible = (f"least(u.size - u.pos, v.size - v.pos) * {100 + J} >= {J} * (u.size + v.size) "
+    possible = (f"least(u.size - u.pos, v.size - v.pos) * {100 + J}L >= {J}L * (u.size + v.size) "
                 "and u.set_id < v.set_id")
     return (u.join(v, F.expr(f"u.key = v.key and {possible} and {condition}"))
             .select(F.col("u.set_id").alias("a"), F.col("u.size").alias("asize"),
@@ -291,7 +291,7 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     links = long.filter("before is not null").select("set_id", "size", "before")
     links = links.union(long.filter("before is null").withColumn("before", F.lag(F.struct("set_id", "size")).over(heads))
                         .filter("before is not null").select("set_id", "size", "before"))
-    chained = (links.filter(f"100 * least(size, before.size) >= {J} * greatest(size, before.size) and before.set_id <> set_id")
+    chained = (links.filter(f"100L * least(size, before.size) >= {J}L * greatest(size, before.size) and before.set_id <> set_id")
                .select(F.least("set_id", "before.set_id").alias("a"),
                        F.when(F.col("set_id") < F.col("before.set_id"), F.col("size")).otherwise(F.col("before.size")).alias("asize"),
                        F.greatest("set_id", "before.set_id").alias("b"),

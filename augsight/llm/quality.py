@@ -95,7 +95,7 @@ def gram_weights(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``(bucket, weight)``: log-likelihood ratio of every bucket that the corpus has."""
     trusted = bounded_sample(labels.filter("quality = 1 and doc_id is not null").select("doc_id"), "doc_id", TRUSTED_ROWS)
     trusted = F.broadcast(trusted.distinct().select(F.col("doc_id").alias("_trusted")))
-    flagged = docs.join(trusted, docs["doc_id"] == trusted["_trusted"], "left")
+    flagged = docs.select("doc_id", "text").join(trusted, F.col("doc_id") == F.col("_trusted"), "left")
     grams = flagged.select(F.col("_trusted").isNotNull().cast("int").alias("t"), words_of(F.col("text")).alias("w"))
     counts = (grams.select("t", F.explode(let(F.col("w"), _gram_buckets)).alias("bucket"))
               .groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("t").alias("target")))
