@@ -102,12 +102,17 @@ def split_before_extracting(df: DataFrame, cutoff: int | float, label: str = LAB
     return low_resource_slice(news_wiki(df), cutoff, label, by=["part"])
 
 
-def label_coverage(df: DataFrame, split_col: str = "split", label: str = LABEL) -> DataFrame:
-    """Per split: rows, distinct labels, and how many labels of the whole table it lacks."""
-    n_all = df.agg(F.count_distinct(label)).first()[0]
+def label_coverage(df: DataFrame, split_col: str = "split", label: str = LABEL,
+                   whole: DataFrame | None = None) -> DataFrame:
+    """Per split: rows, distinct labels, and how many labels of the whole table it lacks.
+
+    ``whole`` is the table before it was split, if there is one: its labels
+    are counted without splitting again.  No job runs while the plan is made.
+    """
+    n_all = (df if whole is None else whole).agg(F.count_distinct(label)).scalar()
     return (df.groupBy(split_col)
             .agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(label).alias("n_labels"))
-            .withColumn("n_missing_labels", F.lit(int(n_all)) - F.col("n_labels")))
+            .withColumn("n_missing_labels", n_all - F.col("n_labels")))
 
 
 def missing_labels(df: DataFrame, split_col: str = "split", label: str = LABEL) -> DataFrame:

@@ -133,7 +133,7 @@ def q_split_stratified(spark, d):
 
 @register("split_label_coverage")
 def q_split_label_coverage(spark, d):
-    return imbalance.label_coverage(q_split_plain_labelled(spark, d))
+    return imbalance.label_coverage(q_split_plain_labelled(spark, d), whole=corpus(spark, d))
 
 
 def q_split_plain_labelled(spark, d):
@@ -578,6 +578,38 @@ def q_preprocess_tokens(spark, d):
     return t.select("id", F.size("t").alias("n_tokens"), F.md5(F.array_join("t", " ")).alias("tokens_md5"))
 
 
+@register("unnamed_dropped")
+def q_unnamed_dropped(spark, d):
+    """A corpus that was saved with an index column, without it."""
+    from augsight.sources.corpus import drop_unnamed
+    c = corpus(spark, d).select(F.col("id").alias("Unnamed: 0"), "id", "title", "event_type")
+    return drop_unnamed(c)
+
+
+@register("ignore_index_replaced")
+def q_ignore_index_replaced(spark, d):
+    """Word lengths as label ids, every third length ignored (-100), with the pad id in its place."""
+    n = F.transform(tx.tokens("text"), lambda t: F.when(F.length(t) % 3 == 0, -100).otherwise(F.length(t)))
+    c = corpus(spark, d).select("id", arrays.replace_ignore_index(n, PAD_ID).alias("ids"))
+    return c.select("id", F.size("ids").alias("n_ids"), F.md5(F.array_join("ids", " ")).alias("ids_md5"))
+
+
+@register("cased_tokens")
+def q_cased_tokens(spark, d):
+    """Tokens of the text as it is written, without lower-casing."""
+    t = corpus(spark, d).select("id", tx.tokens("text", lowercase=False).alias("t"))
+    return t.select("id", F.size("t").alias("n_tokens"), F.md5(F.array_join("t", " ")).alias("tokens_md5"))
+
+
+@register("map_batches_plugin")
+def q_map_batches_plugin(spark, d):
+    """Batched preprocessing plug-in: words and characters of every text."""
+    def count(pdf):
+        text = pdf["text"].fillna("")
+        return pdf[["id"]].assign(n_words=text.str.split(" ").str.len().astype("int64"), n_chars=text.str.len().astype("int64"))
+    return plugins.map_batches(corpus(spark, d), count, "id long, n_words long, n_chars long", columns=["id", "text"])
+
+
 @register("tokenize_plugin")
 def q_tokenize_plugin(spark, d):
     t = corpus(spark, d).select("id", plugins.tokenize_with("text", plugins.regex_tokenizer).alias("t"))
@@ -662,7 +694,7 @@ def q_svm_cv(spark, d):
 @register("batch_label_coverage")
 def q_batch_label_coverage(spark, d):
     b = trainset.batches(corpus(spark, d).select("id", "event_type"), BATCH_A, SEED)
-    return imbalance.label_coverage(b, split_col="batch")
+    return imbalance.label_coverage(b, split_col="batch", whole=corpus(spark, d))
 
 
 @register("batch_missing_labels")

@@ -601,6 +601,20 @@ SQL["preprocess_tokens"] = w(CORPUS) + f""",
 t AS (SELECT id, {TOKENS.format(c=LEAD25)} AS t FROM corpus)
 SELECT id, CAST(len(t) AS INTEGER) AS n_tokens, md5(array_to_string(t, ' ')) AS tokens_md5 FROM t"""
 
+SQL["unnamed_dropped"] = w(CORPUS) + """
+SELECT id, title, event_type FROM corpus"""
+
+SQL["ignore_index_replaced"] = w(CORPUS) + f""",
+n AS (SELECT id, list_transform({TOK}, lambda t: CASE WHEN length(t) % 3 = 0 THEN 1 ELSE length(t) END) AS ids FROM corpus)
+SELECT id, CAST(len(ids) AS INTEGER) AS n_ids, md5(array_to_string(ids, ' ')) AS ids_md5 FROM n"""
+
+SQL["cased_tokens"] = w(CORPUS) + """,
+t AS (SELECT id, list_filter(string_split_regex(text, '[^A-Za-z0-9]+'), lambda x: x <> '') AS t FROM corpus)
+SELECT id, CAST(len(t) AS INTEGER) AS n_tokens, md5(array_to_string(t, ' ')) AS tokens_md5 FROM t"""
+
+SQL["map_batches_plugin"] = w(CORPUS) + """
+SELECT id, CAST(len(string_split(text, ' ')) AS BIGINT) AS n_words, CAST(length(text) AS BIGINT) AS n_chars FROM corpus"""
+
 SQL["tokenize_plugin"] = w(CORPUS) + f""",
 t AS (SELECT id, {TOK} AS t FROM corpus)
 SELECT id, CAST(len(t) AS INTEGER) AS n_tokens, md5(array_to_string(t, ' ')) AS tokens_md5 FROM t"""
