@@ -19,7 +19,7 @@ anchor, and a hash of the stretch of words whose windows it anchors.
 Documents that share a whole stretch with a smaller doc_id lose its windows
 at once.  Only where one anchor stands in different stretches (edges of a
 repeat) the smallest document of each stretch is verified window by window,
-with 128-bit hashes of the words.  Every step is an aggregate with map-side
+by hashes of the words.  Every step is an aggregate with map-side
 combination; no pairs of documents are made.
 
 Defined results: a null or empty text has no words and loses none; fewer
@@ -143,13 +143,20 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 _ANCHOR = pa.list_(pa.struct([("key", pa.int64()), ("stretch", pa.int64()), ("first", pa.int32()), ("n", pa.int32()),
-                              ("h1", pa.list_(pa.int64())), ("h2", pa.list_(pa.int64()))]))
+                              ("varied", pa.bool_()), ("windows", pa.list_(pa.int64()))]))
 
 
 def _second_pass(shared: bytes, varied: bytes):
+    """Rows with each text's shared anchors.
+
+    Hashes of the windows themselves go with an anchor that stands in several
+    stretches, and only for the smallest doc_id so far that has its stretch
+    in this task: the smallest of all has them for certain.
+    """
     shared_bits, varied_bits = np.frombuffer(shared, np.uint8), np.frombuffer(varied, np.uint8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least: dict[int, object] = {}
         for part, data, bounds in slices(batches):
             words = split_words(data, bounds, AS_IS)
             key, first, count, doc = _anchors(words)
@@ -157,15 +164,18 @@ def _second_pass(shared: bytes, varied: bytes):
             key, first, count, doc = key[known], first[known], count[known], doc[known]
             stretch = signed(_stretch(words, first, count)).tolist()
             detail = in_bitmap(varied_bits, key)
+            ids = part.column("doc_id").to_pylist()
             anchors: list[list] = [[] for _ in range(part.num_rows)]
             if detail.any():
-                at, h1 = words.grams(WINDOW)
-                _, h2 = words.grams(WINDOW, seed=1)
-                h1, h2, at = signed(h1), signed(h2), np.searchsorted(at, first)
+                place, hashes = words.grams(WINDOW)
+                hashes, place = signed(hashes), np.searchsorted(place, first)
             for i, (k, f, n, d) in enumerate(zip(signed(key).tolist(), first.tolist(), count.tolist(), doc.tolist())):
-                own = slice(at[i], at[i] + n) if detail[i] else None
+                own, doc_id = None, ids[d]
+                if detail[i] and doc_id is not None and doc_id <= least.get(stretch[i], doc_id):
+                    least[stretch[i]] = doc_id
+                    own = hashes[place[i]:place[i] + n]
                 anchors[d].append({"key": k, "stretch": stretch[i], "first": f - int(words.first[d]), "n": n,
-                                   "h1": h1[own] if own else None, "h2": h2[own] if own else None})
+                                   "varied": bool(detail[i]), "windows": own})
             out, ends = words.joined()
             raw, ends = out.tobytes(), ends.tolist()
             digests = [hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(ends, ends[1:])]
@@ -213,26 +223,33 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     kind = docs.schema["doc_id"].dataType.simpleString()
     keyed = docs.select("doc_id", "text", text_key(F.col("text")).alias("text_key"))
     shared = (docs.select("doc_id", "text").mapInArrow(_first_pass, f"key long, stretch long, doc_id {kind}")
-              .groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"),
+              .groupBy("key").agg(F.min("doc_id").alias("least_id"), F.max("doc_id").alias("most_id"),
                                   (F.min("stretch") < F.max("stretch")).alias("varied"))
-              .filter("least < most").select("key", "varied"))
+              .filter("least_id < most_id").select("key", "least_id", "varied"))
     shared = staged(shared, "shared")
-    anchors_type = "array<struct<key:long,stretch:long,first:int,n:int,h1:array<long>,h2:array<long>>>"
+    anchors_type = "array<struct<key:long,stretch:long,first:int,n:int,varied:boolean,windows:array<long>>>"
     passed = _second_pass(bitmap(shared, "key", ANCHOR_BITS), bitmap(shared.filter("varied"), "key", ANCHOR_BITS))
     rows = staged(keyed.mapInArrow(passed, f"doc_id {kind}, text_key string, n_words long, sha256 string, anchors {anchors_type}"), "rows")
     rows = rows.withColumn("row", F.monotonically_increasing_id())
     found = rows.filter("doc_id is not null").select("row", "doc_id", F.inline("anchors"))
-    least = found.groupBy("key", "stretch").agg(F.min("doc_id").alias("least_id"))
-    found = found.join(least, ["key", "stretch"])
-    whole = found.filter("least_id < doc_id").select("row", "first", "n")
-    # One document for each different stretch of an anchor, window by window.
-    windows = (found.filter("least_id = doc_id and h1 is not null")
-               .select("row", "doc_id", "first", F.posexplode(F.arrays_zip("h1", "h2")).alias("i", "h"))
-               .select("row", "doc_id", (F.col("first") + F.col("i")).cast("int").alias("first"), "h.h1", "h.h2"))
-    smallest = (windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("least_id"), F.max("doc_id").alias("most_id"))
-                .filter("least_id < most_id").select("h1", "h2", "least_id"))
-    single = windows.join(smallest, ["h1", "h2"]).filter("least_id < doc_id").select("row", "first", F.lit(1).alias("n"))
-    removed = whole.union(single).distinct().groupBy("row").agg(F.collect_list(F.struct("first", "n")).alias("spans"))
+    # An anchor that always stands in one stretch: its smallest document keeps it.
+    plain = (found.filter("not varied").select("row", "doc_id", "key", "first", "n")
+             .join(shared.filter("not varied").select("key", "least_id"), "key")
+             .filter("least_id < doc_id").select("row", "first", "n"))
+    # Others: the same for each stretch, and its smallest document window by window.
+    many = found.filter("varied").drop("varied")
+    many = staged(many.join(many.groupBy("key", "stretch").agg(F.min("doc_id").alias("least_id")), ["key", "stretch"])
+                  .select("row", "doc_id", "key", "first", "n", "least_id",
+                          F.when(F.col("least_id") == F.col("doc_id"), F.col("windows")).alias("windows")), "stretches")
+    whole = many.filter("least_id < doc_id").select("row", "first", "n")
+    windows = (many.filter("windows is not null").select("row", "doc_id", "key", "first", F.posexplode("windows").alias("i", "h"))
+               .select("row", "doc_id", "key", (F.col("first") + F.col("i")).cast("int").alias("first"), "h"))
+    # Equal windows have equal anchors: key and hash of the words name a window with 128 bits.
+    smallest = staged(windows.groupBy("key", "h").agg(F.min("doc_id").alias("least_id"), F.max("doc_id").alias("most_id"))
+                      .filter("least_id < most_id").select("key", "h", "least_id"), "windows")
+    again = windows.mapInArrow(_only(bitmap(smallest, "h"), "h"), windows.schema)
+    single = again.join(smallest, ["key", "h"]).filter("least_id < doc_id").select("row", "first", F.lit(1).alias("n"))
+    removed = plain.union(whole).union(single).groupBy("row").agg(F.collect_list(F.struct("first", "n")).alias("spans"))
     removed = rows.select("row", "doc_id", "text_key").join(removed, "row").drop("row").dropDuplicates(["doc_id", "text_key"])
     return rows.drop("anchors", "row"), staged(removed, "removed")
 
