@@ -43,7 +43,7 @@ SWITCH = 8.0
 #: A language may stand in a script that holds at least this share of its training letters.
 SCRIPT_SHARE = 0.005
 #: Below this share of its letters the winning language is not trusted by :func:`identified`.
-REJECT_BELOW = 0.5
+REJECT_BELOW = 0.4
 
 # First and last code points of scripts (other letters are one more script).
 SCRIPTS = (
@@ -243,7 +243,7 @@ def language_digest(docs: DataFrame) -> DataFrame:
 
 
 def identified(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, whose language is known: not ``und``, and at least half of the letters in it."""
+    """The rows of ``docs``, all columns, whose language is known: not ``und``, and at least two fifths of the letters in it."""
     model = fit(docs)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

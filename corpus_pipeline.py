@@ -4,8 +4,8 @@ Each stage takes the documents that its predecessor wrote, decides about all
 of them, and returns those that stay, with the columns of ``documents``; the
 last returns one row for each sequence that it wrote.
 
-1. ``language_id``: documents without a letter, or with less than half of
-   their letters in one language, go.
+1. ``language_id``: documents without a letter, or with less than two
+   fifths of their letters in any one language, go.
 2. ``jaccard_join``: of each group of similar documents the one with the
    smallest doc_id stays.
 3. ``decontamination``: documents that hold a benchmark window go.
