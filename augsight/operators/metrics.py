@@ -145,28 +145,15 @@ def tag_groups(df: DataFrame, name_col: str = "experiment", groups: dict | None
 
 
 def quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
-    """Exact linear-interpolation quantiles per group, from a distinct-value histogram.
+    """Exact linear-interpolation quantiles per group.
 
-    Rows are first reduced to (group, value, count) by a partially aggregated
-    ``groupBy`` — a hot group costs one row per distinct value — and the
-    positions floor/ceil(p * (n - 1)) are located on cumulative counts.
+    The aggregate keeps counts of distinct values and combines them map-side,
+    so a hot group costs one entry per distinct value in a task, and no
+    group's rows are sorted in one place.
     """
     k = list(by)
-    hist = df.groupBy(*k, value).agg(F.count(F.lit(1)).alias("_c"))
-    cum = F.sum("_c").over(Window.partitionBy(*k).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    hist = hist.withColumn("_cum", cum).withColumn("_n", F.sum("_c").over(Window.partitionBy(*k)))
-    aggs = []
-    for i, p in enumerate(probs):
-        pos = F.lit(p) * (F.col("_n") - 1)
-        aggs += [F.min(F.when(F.col("_cum") > F.floor(pos), F.col(value))).alias(f"_lo{i}"),
-                 F.min(F.when(F.col("_cum") > F.ceil(pos), F.col(value))).alias(f"_hi{i}")]
-    q = hist.groupBy(*k).agg(F.max("_n").alias("_n"), *aggs)
-    outs = []
-    for i, p in enumerate(probs):
-        pos = F.lit(p) * (F.col("_n") - 1)
-        lo, hi = F.col(f"_lo{i}").cast("double"), F.col(f"_hi{i}").cast("double")
-        outs.append((lo + (hi - lo) * (pos - F.floor(pos))).alias(f"q{int(round(p * 100))}"))
-    return q.select(*k, *outs)
+    q = df.groupBy(*k).agg(F.percentile(F.col(value), [float(p) for p in probs]).alias("_q"))
+    return q.select(*k, *[F.col("_q")[i].alias(f"q{int(round(p * 100))}") for i, p in enumerate(probs)])
 
 
 def box_stats(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
