@@ -268,9 +268,9 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     described = staged(texts.mapInArrow(_describe, f"doc_id {kind}, text_key string, n_shingles long, set_id long, "
                        "frequent array<struct<bucket:int,n:long>>, shingles double, squares double"), "described")
     tasks = described.filter("shingles is not null")
-    counts = tasks.select(F.explode("frequent").alias("f")).groupBy("f.bucket").agg(F.sum("f.n").alias("n")).toPandas()
-    order = np.zeros(BUCKETS, np.uint8)
-    order[counts["bucket"].to_numpy(np.int64)] = np.log2(counts["n"].to_numpy(np.float64)).astype(np.uint8)
+    counts = tasks.select(F.explode("frequent").alias("f")).groupBy("f.bucket").agg(F.sum("f.n").alias("n")).toArrow()
+    order = np.zeros(BUCKETS, np.uint8)  # BUCKETS rows of 12 bytes at most reach the driver
+    order[counts.column("bucket").to_numpy()] = np.log2(counts.column("n").to_numpy()).astype(np.uint8)
     # Entries of other sets that a shingle's list is expected to have: what squares hold beyond chance and itself.
     chance = F.col("squares") - F.col("shingles") * F.col("shingles") / BUCKETS - F.col("shingles")
     r = tasks.agg(F.sum(chance).alias("extra"), F.sum("shingles").alias("n"), F.count(F.lit(1)).alias("tasks")).first()
