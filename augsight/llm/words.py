@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are worked on at once; a longer text is worked on alone.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Words are hashed in blocks of about so many bytes.
 BLOCK_BYTES = 1 << 20
 
@@ -123,6 +123,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tu
             own = bounds[lo:hi + 1] - bounds[lo]
             yield batch.slice(lo, hi - lo), data[bounds[lo]:bounds[hi]], own
             lo = hi
+        pa.default_memory_pool().release_unused()
 
 
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
