@@ -21,8 +21,8 @@ _ARROW_KEY, _ARROW_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", 64 <<
 
 
 def small_batches(spark: SparkSession) -> None:
-    size = spark.conf.get(_ARROW_KEY, "").lower()
-    if size in ("", f"{_ARROW_DEFAULT}b", f"{_ARROW_DEFAULT}", "64m", "64mb"):
+    size = spark.conf.get(_ARROW_KEY).lower()
+    if size in (f"{_ARROW_DEFAULT}b", f"{_ARROW_DEFAULT}", "64m", "64mb"):
         spark.conf.set(_ARROW_KEY, ARROW_BYTES)
 
 
