@@ -43,8 +43,8 @@ from augsight.llm.words import AS_IS, Words, mix, signed, slices, split_words
 
 WINDOW = 13
 ROUNDS = 3
-#: Bits of the filter of shared anchors: 16 MB for every task at any size of the corpus.
-ANCHOR_BITS = 1 << 27
+#: Bits of the filter of shared anchors: 4 MB for every task at any size of the corpus.
+ANCHOR_BITS = 1 << 25
 
 _RUN = np.uint64(0x8CB92BA72F3D8DD7)
 _PAIR = np.uint64(0xC2B2AE3D27D4EB4F)
