@@ -1,23 +1,34 @@
 """Operator 10, PII: candidate gradient boosting over the base patterns, with DataFrame functions only.
 
 Base spans follow fixed patterns and checks and always stay.  Around them,
-generators of high recall propose further spans that may overlap: anything
-around an ``@``, dotted numbers, runs of digits with separators.  Each
-candidate gets features of its format (length, digits, groups, separators,
-check digit) and of its context (characters and words beside it).  Boosted
-trees learn from candidates that meet a base span of their kind against
-those that do not, on at most ``TRAIN_CANDIDATES`` of them (smallest hashes
-outside the calibration fold).  Thresholds are calibrated per kind on the
-other fold, the lowest with a precision of ``PRECISION``; candidates above
-that meet no base span are added, leftmost first.
+generators of high recall propose further spans that may overlap: Unicode
+words around an ``@``, dotted numbers, runs of digits with separators.
+Candidates that meet a base span of their kind are positive; candidates that
+cannot be of their kind are negative (:func:`_wrong`: dates, decimals, plain
+numbers without a word such as "call" before them, failed check digits, spans
+of another kind, hosts without a dot); all others are unlabelled, and only
+those can be added.  The trees see no feature that restates a base pattern
+(plus sign, ASCII, number of parts): positives are also shown without their
+country code and with other separators, and each brings near misses made from
+its own digits or host, so that both classes are there wherever base spans are.
+
+Boosted trees learn from format (length, digits, group sizes, separators,
+check digit) and context (characters and words beside the span), classes of
+a kind weighed equally, on at most ``TRAIN_CANDIDATES`` of them (smallest
+hashes outside the calibration fold).  Thresholds are calibrated per kind on
+the other fold: the lowest score from one half up where labelled candidates
+with that score or more reach ``PRECISION``, classes weighed equally; a kind
+without both classes in that fold uses all labelled ones.  Unlabelled candidates
+above that meet no base span are added, leftmost first.
 
 Texts without a digit or an ``@`` can hold none of this and are not searched
 further.  Positions come from the gaps between matches, summed per text, so
 a text with very many matches is sorted once and not rescanned.
 
 Defined results: a null text is empty and has no spans; positions count code
-points, the end is exclusive; repeated rows are rows; without candidates of
-both classes nothing is added; other columns are ignored.
+points, the end is exclusive; repeated rows are rows; a kind without a base
+span gets nothing added, and so does ``ip``, whose pattern leaves nothing
+out; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,7 +52,7 @@ BASE = {
 KINDS = list(BASE)
 #: Generators of candidates.
 WIDE = {
-    "email": r"(?:(?<![^\s@<>()\[\],;:\"])|\G)[^\s@<>()\[\],;:\"]++@[^\s@<>()\[\],;:\"]++",
+    "email": r"(?:(?<![\p{L}\p{M}\p{N}._%+-])|\G)[\p{L}\p{M}\p{N}._%+-]++@[\p{L}\p{M}\p{N}.-]*[\p{L}\p{M}\p{N}]",
     "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++)++",
     "card": r"[0-9](?:[\x20./-]?[0-9])++",
     "phone": r"(?:\+|\()?[0-9][\x20()./0-9-]*[0-9]",
@@ -52,6 +63,12 @@ BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 #: Characters beside a candidate that are context.
 CONTEXT = 24
 HINTS = r"(?i)(mail|contact|phone|tel|call|fax|mobile|card|visa|credit|account|ip|host|server|address)"
+#: Words before a phone number, and before numbers that are none.
+PHONE_HINTS = r"(?i)(phone|tel|call|fax|mobil|cell|dial|ring|contact|sms|whatsapp)"
+OTHER_HINTS = r"(?i)(isbn|issn|doi|order|invoice|version|date|page|since|until)"
+DATE = r"^\(?(?:[0-9]{4}([./-])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([./-])[0-9]{1,2}\2[0-9]{2,4})(?:$|[\s)])"
+#: Plain and decimal numbers, thousands.
+NUMBER = r"^[0-9]+(?:\.[0-9]+)?$|^[0-9]{1,3}(?:\.[0-9]{3}){2,}$"
 TRAIN_CANDIDATES = 50_000
 TREES, DEPTH = 10, 4
 CALIBRATION_FOLDS = 4
@@ -119,31 +136,86 @@ def _features(c: DataFrame) -> tuple[DataFrame, list[str]]:
 
     made = {f"is_{k}": (F.col("kind") == k).cast("double") for k in KINDS}
     made |= {"length": F.char_length(m).cast("double"), "digits": F.length(digits).cast("double"),
-             "groups": F.size(groups).cast("double"), "largest": F.array_max(sizes).cast("double"),
+             "largest": F.array_max(sizes).cast("double"),
              "smallest": F.array_min(sizes).cast("double"),
-             "byte_parts": F.rlike(m, F.lit(rf"^{BYTE}(?:\.{BYTE})*$")).cast("double"),
              "check_digit": F.when(F.length(digits).between(1, 40), _luhn(digits)).otherwise(F.lit(False)).cast("double"),
              "hint": F.rlike("before", F.lit(HINTS)).cast("double"),
-             "ascii": (~F.rlike(m, F.lit(r"[^\x00-\x7F]"))).cast("double"),
-             "host_dots": F.coalesce(F.regexp_count(F.regexp_extract(m, "@(.*)$", 1), F.lit(r"\.[A-Za-z]")), F.lit(0)).cast("double")}
+             "phone_hint": F.rlike("before", F.lit(PHONE_HINTS)).cast("double"),
+             "other_hint": F.rlike("before", F.lit(OTHER_HINTS)).cast("double"),
+             "dotted_host": F.rlike(m, F.lit(r"@.*[\p{L}\p{N}]\.\p{L}")).cast("double")}
     made |= {f"n_{n}": F.regexp_count(m, F.lit(p)).cast("double") for n, p in
-             (("dot", r"\."), ("hyphen", "-"), ("space", " "), ("paren", r"[()]"), ("plus", r"\+"), ("letter", r"\p{L}"))}
+             (("dot", r"\."), ("hyphen", "-"), ("space", " "), ("paren", r"[()]"), ("letter", r"\p{L}"))}
     made |= side(F.reverse("before"), "before") | side(F.col("after"), "after")
     return c.withColumns(made), list(made)
 
 
+def _wrong() -> Column:
+    """Whether a candidate that meets no base span of its kind cannot be of its kind."""
+    m, n = F.col("match"), F.length(_digits(F.col("match")))
+    inside = F.rlike("before", F.lit(r"[\p{L}\p{N}_]$")) | F.rlike("after", F.lit(r"^[\p{L}\p{N}_]"))
+    phone = (F.rlike(m, F.lit(DATE)) | F.rlike(m, F.lit(r"^[12][0-9]{3} ?- ?[12][0-9]{3}$")) | (n > 15) | inside
+             | (F.rlike(m, F.lit(NUMBER)) & ~F.rlike("before", F.lit(PHONE_HINTS)))
+             | F.rlike("before", F.lit(r"(?i)is[bs]n[\s:-]*$")))
+    card = ~n.between(13, 19) | ~_luhn(_digits(m)) | F.rlike(m, F.lit(r"^[0-9]+\.[0-9]+$|[./ -][0-9]{1,2}[./ -]")) | inside
+    email = ~F.rlike(m, F.lit(r"[\p{L}\p{N}].*@[\p{L}\p{N}][^@]*\.[\p{L}\p{M}]{2,}$"))
+    return (F.col("taken") | F.when(F.col("kind") == "phone", phone).when(F.col("kind") == "card", card)
+            .when(F.col("kind") == "email", email).otherwise(F.lit(True)))
+
+
+def _views() -> Column:
+    """What a labelled candidate shows the trees: (label, match), without what only says that it meets a base pattern."""
+    m, digits = F.col("match"), F.substring(_digits(F.col("match")), -10, 10)
+
+    def view(label: int, match: Column) -> Column:
+        return F.struct(F.lit(label).alias("label"), match.alias("match"))
+
+    own = F.array(view(1, m))
+    local, host = F.regexp_extract(m, "^(.*)@", 1), F.regexp_extract(m, "@(.*)$", 1)
+    short = F.regexp_extract(host, r"([^.]*\.[^.]*)$", 1)
+    email = F.array(view(1, m), view(1, F.concat_ws("@", F.regexp_replace(local, r"[^\p{L}]", ""), short)),
+                    view(1, F.concat_ws("@", local, short)), view(0, F.concat_ws("@", local, F.translate(host, ".", "-"))),
+                    view(0, F.concat_ws("@", local, F.regexp_extract(host, r"^([^.]*)", 1))))
+    national = F.regexp_replace(m, r"^\+[0-9]{1,3}(?:[\x20.-]+|(?=\())", "")
+    national = F.when(F.length(_digits(national)) >= LEAST_DIGITS["phone"], national).otherwise(m)
+    national = F.regexp_replace(national, r"^\+", "")
+    parts = F.trim(F.regexp_replace(national, "[^0-9]+", " "))
+    plain = F.when(F.rlike("before", F.lit(PHONE_HINTS)), F.lit(1)).otherwise(F.lit(0))
+    phone = F.array(
+        view(1, F.regexp_replace(m, r"^\+", "")), view(1, national), view(1, F.translate(parts, " ", "-")),
+        view(1, F.translate(parts, " ", ".")), view(1, parts), F.struct(plain.alias("label"), digits.alias("match")),
+        view(0, F.concat(F.lit("20"), F.substring(digits, 1, 2), F.lit("-0"), F.substring(digits, 3, 1), F.lit("-1"), F.substring(digits, 4, 1))),
+        view(0, F.concat(F.lit("1"), F.substring(digits, 1, 1), F.lit(".0"), F.substring(digits, 2, 1), F.lit(".20"), F.substring(digits, 3, 2))),
+        view(0, F.concat(F.substring(digits, 1, 6), F.lit("."), F.substring(digits, 7, 4))))
+    # One digit more: the check digit fails
+    card = F.array(view(1, m), view(0, F.regexp_replace(m, "[0-9]$", ((F.right(m, F.lit(1)).cast("int") + 1) % 10).cast("string"))))
+    made = (F.when(F.col("kind") == "phone", phone).when(F.col("kind") == "email", email)
+            .when(F.col("kind") == "card", card).otherwise(own))
+    return F.when(F.col("label") == 1, made).otherwise(F.array(view(0, m)))
+
+
 def _thresholds(scored: DataFrame) -> dict[str, float]:
-    """Per kind the lowest score whose candidates and all above meet a base span with ``PRECISION``."""
-    bins = (scored.groupBy("kind", F.floor(F.col("p") * BINS).cast("int").alias("bin"))
-            .agg(F.sum("label").alias("hit"), F.count(F.lit(1)).alias("n")).collect())  # 4 * (BINS + 1) rows at most
+    """Per kind the lowest score from one half up that labelled candidates at or above reach ``PRECISION`` with.
+
+    ``scored`` has kind, label, p, and whether a row is of the calibration fold (``apart``).  Classes weigh equally.
+    """
+    bins = (scored.groupBy("kind", "apart", F.floor(F.col("p") * BINS).cast("int").alias("bin"))
+            .agg(F.sum("label").alias("hit"), F.count(F.lit(1)).alias("n")).collect())  # 8 * (BINS + 1) rows at most
     out = {}
     for kind in KINDS:
-        hit = n = 0
-        for b in sorted((r for r in bins if r["kind"] == kind), key=lambda r: -r["bin"]):
-            hit, n = hit + b["hit"], n + b["n"]
-            if hit < PRECISION * (n + 1) or b["bin"] < BINS // 2:
+        every = [r for r in bins if r["kind"] == kind]
+        for own in ([r for r in every if r["apart"]], every):
+            ones = sum(r["hit"] for r in own)
+            zeros = sum(r["n"] for r in own) - ones
+            if ones and zeros:
                 break
-            out[kind] = b["bin"] / BINS
+        else:
+            continue
+        hit = miss = 0.0
+        for b in sorted({r["bin"] for r in own if r["bin"] >= BINS // 2}, reverse=True):
+            hit += sum(r["hit"] for r in own if r["bin"] == b) / ones
+            miss += sum(r["n"] - r["hit"] for r in own if r["bin"] == b) / zeros
+            if hit and hit >= PRECISION * (hit + miss):
+                out[kind] = b / BINS
     return out
 
 
@@ -165,24 +237,36 @@ def _added(candidates: DataFrame, base: DataFrame) -> DataFrame:
     for kind in KINDS:
         own = own | ((F.col("kind") == kind) & meets(F.col("is_base") & (F.col("kind") == kind)))
     judged = both.withColumn("label", own.cast("int")).withColumn("taken", meets(F.col("is_base"))).filter("not is_base")
-    table, names = _features(judged)
-    table = staged(table.withColumn("h", F.xxhash64("row", "kind", "start")), "candidates")
+    judged = judged.withColumn("h", F.xxhash64("row", "kind", "start")).withColumn("wrong", (F.col("label") == 0) & _wrong())
+    judged = staged(judged, "candidates")
     fold = F.pmod("h", F.lit(CALIBRATION_FOLDS))
-    train = table.filter(fold != 0).orderBy("h").limit(TRAIN_CANDIDATES)
+    views = judged.filter("label = 1 or wrong").withColumn("view", F.explode(_views()))
+    views, names = _features(views.select("kind", "before", "after", (fold == 0).alias("apart"), "h", "view.*"))
+    views = staged(views.select("kind", "apart", "h", "label", *names), "views")
     assemble = VectorAssembler(inputCols=names, outputCol="features")
-    train = staged(train.select("label", *names), "training")
-    if train.select("label").distinct().count() < 2:
-        return table.filter("false").select("row", "kind", "start", "end")
-    model = GBTClassifier(labelCol="label", maxIter=TREES, maxDepth=DEPTH, seed=10, subsamplingRate=1.0).fit(
-        assemble.transform(train).select("label", "features"))
-    scored = staged(model.transform(assemble.transform(table)).select(
-        "row", "kind", "start", "end", "label", "taken", "h", vector_to_array("probability")[1].alias("p")), "scored")
-    limits = _thresholds(scored.filter(fold == 0))
+    train = staged(views.filter("not apart").orderBy("h").limit(TRAIN_CANDIDATES), "training")
+    n = {(r["kind"], r["label"]): r["n"] for r in train.groupBy("kind", "label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    learned = [k for k in KINDS if (k, 0) in n and (k, 1) in n]
+    if not learned:
+        return judged.filter("false").select("row", "kind", "start", "end")
+    weight = F.lit(0.0)
+    for (kind, label), count in n.items():
+        weight = F.when((F.col("kind") == kind) & (F.col("label") == label), F.lit(sum(n.values()) / count)).otherwise(weight)
+    train = train.filter(F.col("kind").isin(learned)).withColumn("weight", weight)
+    model = GBTClassifier(labelCol="label", weightCol="weight", maxIter=TREES, maxDepth=DEPTH, seed=10, subsamplingRate=1.0).fit(
+        assemble.transform(train).select("label", "weight", "features"))
+
+    def scores(rows: DataFrame, *columns: str) -> DataFrame:
+        return model.transform(assemble.transform(rows)).select(*columns, vector_to_array("probability")[1].alias("p"))
+
+    limits = _thresholds(scores(views.filter(F.col("kind").isin(learned)), "kind", "apart", "label"))
     chosen = F.lit(False)
     for kind, p in limits.items():
         chosen = chosen | ((F.col("kind") == kind) & (F.col("p") >= p))
+    unlabelled, _ = _features(judged.filter("label = 0 and not wrong"))
+    scored = staged(scores(unlabelled, "row", "kind", "start", "end").filter(chosen), "scored")
     along = Window.partitionBy("row").orderBy("start", F.desc("end"), "kind").rowsBetween(Window.unboundedPreceding, -1)
-    return (scored.filter(chosen & ~F.col("taken")).withColumn("reach", F.max("end").over(along))
+    return (scored.withColumn("reach", F.max("end").over(along))
             .filter("reach is null or reach <= start").select("row", "kind", "start", "end"))
 
 

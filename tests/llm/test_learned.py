@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from augsight.llm import language, token_store, toxicity
+from augsight.llm import language, pii, token_store, toxicity
 from augsight.llm.common import staged
 
 from .test_exact import plain_contamination, plain_groups, plain_targets
@@ -139,6 +139,28 @@ def test_toxicity_without_two_classes(spark):
     assert toxicity.toxicity_digest(table(spark, rows), marks.filter("false")).count() == 30
 
 
+# --- PII --------------------------------------------------------------------------------------
+
+def test_personal_data_that_no_base_pattern_meets(spark):
+    """Few base spans teach: national phone numbers and e-mails with a letter beyond ASCII before the @ are added."""
+    rng = random.Random(14)
+    rows, wrong = [], ["2023-11-05", "05.11.2023", "1990-2000", "12345.6789", "1234567890", "name@host", "4111.1111.1111.1112", "1.2.3.400"]
+    for i in range(160):
+        near = f"({rng.randrange(200, 999)}) 555-{rng.randrange(1000, 9999)}"
+        planted = rng.choice([f"+1 {near}", f"who.{i}@mail{i % 7}.example.com", rng.choice(wrong)])
+        rows.append((i, f"{sentences(rng, 'en', 5)} {planted} {sentences(rng, 'en', 5)}", "en", "a"))
+    unseen = {1000: ("phone", "(555) 123-4567"), 1001: ("phone", "743-555-3824"), 1002: ("email", "josé@firma.es"), 1003: ("email", "rené@mail.example.com")}
+    rows += [(i, f"{sentences(rng, 'en', 4)} {x} {sentences(rng, 'en', 4)}", "en", "a") for i, (_, x) in unseen.items()]
+    rows += [(2000 + i, f"{sentences(rng, 'en', 4)} {x} {sentences(rng, 'en', 4)}", "en", "a") for i, x in enumerate(wrong)]
+    got = {r["doc_id"]: r["spans"] for r in pii.pii_digest(table(spark, rows)).collect()}
+    for i, text, _, _ in rows:
+        if i in unseen:
+            kind, x = unseen[i]
+            assert got[i] == f"{kind}:{text.index(x)}:{text.index(x) + len(x)}"
+        if i >= 2000:
+            assert got[i] == ""
+
+
 # --- pipeline ---------------------------------------------------------------------------------
 
 def test_pipeline_against_plain_steps(spark, tmp_path):
