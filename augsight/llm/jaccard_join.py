@@ -339,14 +339,15 @@ def group_digest(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, that stand for their group: its smallest doc_id, once.
+    """The rows of ``docs``, all columns, that stand for their group: its smallest doc_id, once (null only if it has no other).
 
     Of several rows with that doc_id the one with the smallest text digest
     stays; rows that agree in both are one row.
     """
     groups = similar_groups(docs).withColumn("unnamed", F.when(F.col("component_id").isNull(), F.col("text_key")))
     groups = staged(groups, "groups")
-    kept = (groups.groupBy("component_id", "unnamed").agg(F.min(F.struct("doc_id", "text_key")).alias("k"))
+    kept = (groups.groupBy("component_id", "unnamed")
+            .agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed_id"), "doc_id", "text_key")).alias("k"))
             .select("k.doc_id", "k.text_key").distinct())
     kept = staged(kept, "kept")
     ids, rows = kept.alias("k"), packed(docs, doc_id=F.col("doc_id"), text_key=text_key(F.col("text"))).alias("d")

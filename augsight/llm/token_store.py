@@ -17,12 +17,13 @@ them.  One count per input partition makes the numbers global; the second
 read must see the same partitions, as reads of files do, and checks it.
 
 A record is, little-endian: permuted number (8 bytes), doc_id (8), piece
-(4), ids that are not padding (4), ``SEQ_LEN`` ids of 2 bytes (4 if the
-vocabulary needs it), and a line feed, which Spark's text writer puts after
-each record.  Its commit protocol keeps the parts of lost tasks out.
+(4), ids that are not padding (4; its highest bit is set for a null doc_id,
+whose field is 0), ``SEQ_LEN`` ids of 2 bytes (4 if the vocabulary needs it),
+and a line feed, which Spark's text writer puts after each record.  Its commit protocol keeps the parts of lost tasks out.
 
 Defined results: an empty text is one sequence with the end token only; a
-null text or a null doc_id has no sequence; repeated rows are rows; equal
+null text has no sequence; rows with a null doc_id are written like others by
+``training_order``, and by ``write_shards`` if ``unnamed`` is set; repeated rows are rows; equal
 permuted numbers cannot occur; an empty table gives no shard with records;
 other columns are ignored.
 """
@@ -51,6 +52,8 @@ SEQ_LEN = 512
 SHARD_BYTES = 64 << 20
 KEY = 2024
 FEISTEL_ROUNDS = 6
+#: Bit of the header's last field that stands for a null doc_id.
+UNNAMED = 1 << 31
 HEADER = np.dtype([("key", "<u8"), ("doc_id", "<i8"), ("piece", "<u4"), ("n", "<u4")])
 
 
@@ -86,7 +89,8 @@ def stride(seq_len: int, end: int) -> int:
     return HEADER.itemsize + seq_len * np.dtype(_id_type(end)).itemsize + 1
 
 
-def _records(tokenizer: str, seq_len: int, offsets: dict[int, tuple[int, int]], size: int, width: int, key: int):
+def _records(tokenizer: str, seq_len: int, offsets: dict[int, tuple[int, int]], size: int, width: int, key: int,
+             unnamed: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = _encoder(tokenizer, PATTERN)
         start, reserved = offsets.get(TaskContext.get().partitionId(), (0, 0))
@@ -95,7 +99,7 @@ def _records(tokenizer: str, seq_len: int, offsets: dict[int, tuple[int, int]],
             ids = part.column("doc_id").to_pylist()
             numbers, rows, tokens = [], [], []
             for i, (doc_id, text) in enumerate(zip(ids, part.column("text").to_pylist())):
-                if text is None or doc_id is None:
+                if text is None or (doc_id is None and not unnamed):
                     continue
                 own = encoder.encode_ordinary(text)
                 own.append(end)
@@ -105,8 +109,10 @@ def _records(tokenizer: str, seq_len: int, offsets: dict[int, tuple[int, int]],
                 block = np.zeros(pieces * seq_len, _id_type(end))
                 block[:len(own)] = own
                 head = np.zeros(pieces, HEADER)
-                head["doc_id"], head["piece"], head["n"] = doc_id, np.arange(pieces), seq_len
+                head["doc_id"], head["piece"], head["n"] = doc_id or 0, np.arange(pieces), seq_len
                 head["n"][-1] = len(own) - (pieces - 1) * seq_len
+                if doc_id is None:
+                    head["n"] |= np.uint32(UNNAMED)
                 rows.append(head)
                 tokens.append(block.reshape(pieces, seq_len))
             if not rows:
@@ -127,15 +133,17 @@ def _records(tokenizer: str, seq_len: int, offsets: dict[int, tuple[int, int]],
 
 
 def write_shards(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, seq_len: int = SEQ_LEN,
-                 shard_bytes: int = SHARD_BYTES, key: int = KEY) -> dict:
+                 shard_bytes: int = SHARD_BYTES, key: int = KEY, unnamed: bool = False) -> dict:
     """Write the shards below ``path``; ``docs`` must come straight from files.
 
+    Rows with a null doc_id are written if ``unnamed`` is set.
+
     Returns what a reader needs: the stride, the number of shards and of
     reserved numbers, and how many of them a shard spans.
     """
     texts = docs.select("doc_id", "text")
     most = F.ceil((F.octet_length("text") + 1) / F.lit(seq_len))
-    counted = (texts.filter("doc_id is not null and text is not null").groupBy(F.spark_partition_id().alias("p"))
+    counted = (texts.filter("text is not null" + ("" if unnamed else " and doc_id is not null")).groupBy(F.spark_partition_id().alias("p"))
                .agg(F.sum(most).alias("n")).orderBy("p").collect())  # one row for each input partition
     offsets, size = {}, 0
     for r in counted:
@@ -146,7 +154,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, seq_len
     # About two in five reserved numbers are used.
     shards = max(1, -(-size * length * 2 // (5 * shard_bytes)))
     width = max(1, -(-size // shards))
-    records = texts.mapInArrow(_records(tokenizer, seq_len, offsets, size, width, key), "shard int, key long, record binary")
+    records = texts.mapInArrow(_records(tokenizer, seq_len, offsets, size, width, key, unnamed), "shard int, key long, record binary")
     (records.repartitionById(shards, F.col("shard")).sortWithinPartitions("key")
      .select(F.col("record").cast("string").alias("value"))
      .write.option("lineSep", "\n").option("compression", "none").text(path))
@@ -162,11 +170,11 @@ def shard_files(spark: SparkSession, path: str, layout: dict) -> DataFrame:
     return files.select("*", F.coalesce(F.sum("records").over(before), F.lit(0)).alias("first_slot"))
 
 
-def decode(record: bytes, layout: dict) -> tuple[int, int, int, list[int]]:
-    """(permuted number, doc_id, piece, ids) of one record."""
+def decode(record: bytes, layout: dict) -> tuple[int, int | None, int, list[int]]:
+    """(permuted number, doc_id or None, piece, ids) of one record."""
     head = np.frombuffer(record, HEADER, 1)[0]
-    ids = np.frombuffer(record, _id_type(layout["end"]), int(head["n"]), HEADER.itemsize)
-    return int(head["key"]), int(head["doc_id"]), int(head["piece"]), ids.tolist()
+    ids = np.frombuffer(record, _id_type(layout["end"]), int(head["n"]) & ~UNNAMED, HEADER.itemsize)
+    return int(head["key"]), None if int(head["n"]) & UNNAMED else int(head["doc_id"]), int(head["piece"]), ids.tolist()
 
 
 def read_sequences(spark: SparkSession, path: str, layout: dict) -> DataFrame:
@@ -175,7 +183,8 @@ def read_sequences(spark: SparkSession, path: str, layout: dict) -> DataFrame:
         for r in records:
             if r[-1] != 10:
                 raise RuntimeError("a record does not end where the stride says")
-            yield (*struct.unpack_from("<qqii", r), zlib.crc32(r))
+            key, doc_id, piece, n = struct.unpack_from("<qqII", r)
+            yield key, None if n & UNNAMED else doc_id, piece, n & ~UNNAMED, zlib.crc32(r)
 
     rows = spark.sparkContext.binaryRecords(path, layout["stride"]).mapPartitions(parse)
     return spark.createDataFrame(rows, "key long, doc_id long, piece int, n_tokens int, crc32 long", verifySchema=False)
@@ -189,7 +198,7 @@ def training_order(docs: DataFrame, path: str, **options) -> DataFrame:
     ``shard``.
     """
     spark = docs.sparkSession
-    layout = write_shards(docs, path, **options)
+    layout = write_shards(docs, path, unnamed=True, **options)
     sequences = read_sequences(spark, path, layout)
     sequences = sequences.withColumn("shard", F.expr(f"key div {layout['width']}").cast("int"))
     files = shard_files(spark, path, layout).select("shard", "first_slot")

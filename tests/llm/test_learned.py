@@ -209,3 +209,21 @@ def test_pipeline_against_plain_steps(spark, tmp_path):
             assert dict(got) == dict(tokens)
             assert sorted(r["slot"] for r in docs.collect()) == list(range(len(after)))
     assert all(n for _, n in kept)
+
+
+def test_pipeline_keeps_texts_without_doc_id(spark, tmp_path):
+    """A group of copies with a null doc_id goes by its smallest doc_id; a text that is there with a null one only is written."""
+    import corpus_pipeline
+    rng = random.Random(15)
+    rows = [(i, sentences(rng, "en", 40) + f" only{i}", "en", "s") for i in range(40)]
+    copies, alone = sentences(rng, "en", 40) + " copies", sentences(rng, "en", 40) + " alone"
+    rows += [(None, copies, "en", "s"), (71, copies, "en", "s"), (70, copies, "en", "s"), (None, alone, "en", "s")]
+    table(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    bench = spark.createDataFrame([(1, "nothing of this stands in any of the documents at all today")], "item_id long, text string")
+    bench.write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = Counter()
+    for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        got[r["doc_id"]] += r["n_tokens"]
+    encoder, _ = token_store._encoder(token_store.TOKENIZER, token_store.PATTERN)
+    want = {i: len(encoder.encode_ordinary(t)) + 1 for i, t, _, _ in rows if i != 71 and t != copies}
+    assert got == want | {70: len(encoder.encode_ordinary(copies)) + 1}
