@@ -1,7 +1,8 @@
 """Operator 5, n-gram Jaccard join: a size-aware heavy-light join.
 
-A document's set holds its distinct 4-word shingles.  Two sets with Jaccard
-similarity of at least ``J`` share ``t = ceil(J * size)`` shingles of either
+A document's set holds its distinct shingles of a number of words (operator
+5: ``SHINGLE``).  Two sets with Jaccard similarity of at least ``j`` (operator
+5: ``J``; both are parameters) share ``t = ceil(j * size)`` shingles of either
 side, so under any global order of shingles their first ``size - t + c``
 ones share at least ``c``.  Light sets (small) enumerate all pairs (``c =
 2``) of their first ones as join keys, which are rare; heavy sets (large)
@@ -25,7 +26,7 @@ of shingles in which two sets differ); those that do are verified on whole
 sets.
 
 Defined results: a null or empty text, or one without words, has an empty
-set and is its own component; fewer than four words are one shingle; equal
+set and is its own component; fewer words than a shingle are one; equal
 doc_ids are one document's rows and repeated rows get one row each; a null
 doc_id is a row, never a component's name unless alone; other columns are
 ignored.
@@ -34,6 +35,8 @@ ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -43,11 +46,9 @@ from pyspark.sql import functions as F
 from augsight.llm.common import bitmap, components, in_bitmap, packed, staged, text_key
 from augsight.llm.words import FOLDED, mix, signed, slices, split_words
 
+#: Operator 5: words of a shingle, and similarity in percent.
 SHINGLE = 4
-#: Similarity in percent.
 J = 85
-#: Sets below this size have no partner but equal sets: 5 of 6 is less than 85 %.
-LEAST = 6
 #: Buckets of the shingle counts that order shingles; a table of 4 MB.
 BUCKETS = 1 << 22
 #: A bucket is frequent in a task from this count, and from this multiple of the mean count.
@@ -64,12 +65,24 @@ PARITIES = 4096
 PIECE_BITS = 12
 
 
-def _sets(words, order: np.ndarray | None = None):
+class Lists(NamedTuple):
+    """What the boundary follows from: the expected length of a shingle's list, and the similarity in percent."""
+
+    length: float
+    j: int
+
+
+def least_size(j: int) -> int:
+    """Sets below this size have no partner but equal sets: for 85 % 6, since 5 of 6 is less."""
+    return -(-j // (100 - j))
+
+
+def _sets(words, shingle: int, order: np.ndarray | None = None):
     """Sorted distinct shingles (58 bits) of each text: (values, first); with ``order``, frequent ones last."""
-    at, h = words.grams(SHINGLE)
+    at, h = words.grams(shingle)
     doc = words.doc[at]
     sizes = np.diff(words.first)
-    if (few := np.flatnonzero((sizes > 0) & (sizes < SHINGLE))).size:
+    if (few := np.flatnonzero((sizes > 0) & (sizes < shingle))).size:
         extra = []
         for d in few.tolist():
             i, n = int(words.first[d]), int(sizes[d])
@@ -100,7 +113,7 @@ def _set_ids(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return mix(sums[first[1:]] - sums[first[:-1]])
 
 
-def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _describe(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     """A row for each text, and one for the task with the frequent buckets and, of the others, the sums of counts
     and squares; equal sets of a task count once."""
     seen: set[int] = set()
@@ -109,7 +122,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "text_key", "n_shingles", "set_id", "frequent", "shingles", "squares"]
     doc_type = None
     for part, data, bounds in slices(batches):
-        values, first = _sets(split_words(data, bounds, FOLDED))
+        values, first = _sets(split_words(data, bounds, FOLDED), shingle)
         ids = _set_ids(values, first)
         new = np.array([len(seen) < (seen.add(x) or len(seen)) for x in ids.tolist()], bool)
         np.add.at(counts, (values[np.repeat(new, np.diff(first))] & np.uint64(BUCKETS - 1)).astype(np.int32), 1)
@@ -129,28 +142,28 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
          pa.array([listed], frequent), pa.array([total]), pa.array([squares])], names)
 
 
-def _first_ones(size: np.ndarray) -> np.ndarray:
+def _first_ones(size: np.ndarray, j: int) -> np.ndarray:
     """How many first shingles hold one that any partner shares."""
-    return size - (J * size + 99) // 100 + 1
+    return size - (j * size + 99) // 100 + 1
 
 
-def _keys(order: bytes, boundary: int):
+def _keys(order: bytes, boundary: int, shingle: int, similarity: int):
     """(key, salt, set_id, size, pos): pairs of light sets' first shingles, and list entries of the others."""
     ranks = np.frombuffer(order, np.uint8)
-    listed_from = (J * (boundary + 1) + 99) // 100
+    listed_from, least = (similarity * (boundary + 1) + 99) // 100, least_size(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for part, data, bounds in slices(batches):
-            values, first = _sets(split_words(data, bounds, FOLDED), ranks)
+            values, first = _sets(split_words(data, bounds, FOLDED), shingle, ranks)
             ids = _set_ids(values, first)
             size = np.diff(first)
             new = np.zeros(len(size), bool)
-            for d in np.flatnonzero(size >= LEAST).tolist():  # an equal set gives the same keys
+            for d in np.flatnonzero(size >= least).tolist():  # an equal set gives the same keys
                 if (x := int(ids[d])) not in seen:
                     seen.add(x)
                     new[d] = True
-            p = np.where(new, _first_ones(size), 0)
+            p = np.where(new, _first_ones(size, similarity), 0)
             # List entries.
             n = np.where(size >= listed_from, p, 0)
             doc = np.repeat(np.arange(len(size)), n)
@@ -178,17 +191,17 @@ def _keys(order: bytes, boundary: int):
     return run
 
 
-def _members(wanted: bytes, whole: bool):
+def _members(wanted: bytes, whole: bool, shingle: int, j: int):
     """(set_id, size, shingles or parities) of the sets that the filter lets pass, once in a task."""
-    bits = np.frombuffer(wanted, np.uint8)
+    bits, least = np.frombuffer(wanted, np.uint8), least_size(j)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for _, data, bounds in slices(batches):
-            values, first = _sets(split_words(data, bounds, FOLDED))
+            values, first = _sets(split_words(data, bounds, FOLDED), shingle)
             ids = _set_ids(values, first)
             rows = []
-            for d in np.flatnonzero(in_bitmap(bits, ids) & (np.diff(first) >= LEAST)).tolist():
+            for d in np.flatnonzero(in_bitmap(bits, ids) & (np.diff(first) >= least)).tolist():
                 if (x := int(ids[d])) not in seen:
                     seen.add(x)
                     rows.append(d)
@@ -209,63 +222,67 @@ def _parities(values: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def _fetch(docs: DataFrame, ids: DataFrame, whole: bool) -> DataFrame:
+def _fetch(docs: DataFrame, ids: DataFrame, whole: bool, shingle: int, j: int) -> DataFrame:
     """``(set_id, size, shingles)``, or its ``parities``, of the sets named in the only column of ``ids``."""
     column = "shingles" if whole else "parities"
-    members = _members(bitmap(ids.toDF("id"), "id", ID_BITS), whole)
+    members = _members(bitmap(ids.toDF("id"), "id", ID_BITS), whole, shingle, j)
     return staged(docs.select("text").mapInArrow(members, f"set_id long, size int, {column} array<long>")
                   .dropDuplicates(["set_id", "size"]), column)
 
 
-#: Similar sets differ in at most 15 of 185 of their sizes' sum; sketches show at most what differs.
-_CLOSE = ("aggregate(zip_with(u.parities, v.parities, (x, y) -> bit_count(x ^ y)), 0, (n, x) -> n + x) "
-          f"* {100 + J}L <= {100 - J}L * (u.size + v.size)")
+def _differ_little(j: int) -> str:
+    """Similar sets differ in at most (for 85 %) 15 of 185 of their sizes' sum; sketches show at most what differs."""
+    return ("aggregate(zip_with(u.parities, v.parities, (x, y) -> bit_count(x ^ y)), 0, (n, x) -> n + x) "
+            f"* {100 + j}L <= {100 - j}L * (u.size + v.size)")
 
 
-def _close(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+def _close(pairs: DataFrame, sketches: DataFrame, j: int) -> DataFrame:
     """The pairs ``(a, asize, b, bsize)`` that their sketches do not rule out."""
     u, v = sketches.alias("u"), sketches.alias("v")
     return (pairs.join(u, F.expr("a = u.set_id and asize = u.size")).join(v, F.expr("b = v.set_id and bsize = v.size"))
-            .filter(_CLOSE).select("a", "asize", "b", "bsize"))
+            .filter(_differ_little(j)).select("a", "asize", "b", "bsize"))
 
 
-def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def _verified(docs: DataFrame, pairs: DataFrame, shingle: int, j: int) -> DataFrame:
     """The pairs whose whole sets are similar enough."""
-    sets = _fetch(docs, pairs.select("a").union(pairs.select("b")), True)
+    sets = _fetch(docs, pairs.select("a").union(pairs.select("b")), True, shingle, j)
     a = sets.select(F.col("set_id").alias("a"), F.col("size").alias("asize"), F.col("shingles").alias("u"))
     b = sets.select(F.col("set_id").alias("b"), F.col("size").alias("bsize"), F.col("shingles").alias("v"))
     common = F.size(F.array_intersect("u", "v"))
     return (pairs.join(a, ["a", "asize"]).join(b, ["b", "bsize"]).withColumn("common", common)
-            .filter(f"100L * common >= {J}L * (asize + bsize - common)").select("a", "asize", "b", "bsize"))
+            .filter(f"100L * common >= {j}L * (asize + bsize - common)").select("a", "asize", "b", "bsize"))
 
 
-def _pairs(entries: DataFrame, condition: str) -> DataFrame:
+def _pairs(entries: DataFrame, condition: str, j: int) -> DataFrame:
     """Distinct pairs of sets in one list that sizes and places do not rule out."""
     u, v = entries.alias("u"), entries.alias("v")
     # At the first shared shingle, what lies behind it bounds the overlap.
-    possible = (f"least(u.size - u.pos, v.size - v.pos) * {100 + J}L >= {J}L * (u.size + v.size) "
+    possible = (f"least(u.size - u.pos, v.size - v.pos) * {100 + j}L >= {j}L * (u.size + v.size) "
                 "and u.set_id < v.set_id")
     return (u.join(v, F.expr(f"u.key = v.key and {possible} and {condition}"))
             .select(F.col("u.set_id").alias("a"), F.col("u.size").alias("asize"),
                     F.col("v.set_id").alias("b"), F.col("v.size").alias("bsize")).distinct())
 
 
-def boundary_size(list_length: float) -> int:
+def boundary_size(lists: Lists) -> int:
     """The largest size whose pairs of first shingles cost no more than its list entries and reading their lists."""
-    size = LEAST - 1
+    size = least_size(lists.j) - 1
     while size < 10_000:
-        p = int(_first_ones(np.array([size + 1]))[0])
-        if ROW_COST * p * (p + 1) / 2 > p * (ROW_COST + list_length):
+        p = int(_first_ones(np.array([size + 1]), lists.j)[0])
+        if ROW_COST * p * (p + 1) / 2 > p * (ROW_COST + lists.length):
             break
         size += 1
     return size
 
 
-def similar_groups(docs: DataFrame) -> DataFrame:
-    """``(doc_id, text_key, n_shingles, component_id)`` of every row of ``docs``; components by similarity >= 85 %."""
+def similar_groups(docs: DataFrame, shingle: int = SHINGLE, j: int = J) -> DataFrame:
+    """``(doc_id, text_key, n_shingles, component_id)`` of every row of ``docs``; components by similarity >= ``j`` %
+    of sets of ``shingle``-word shingles."""
+    if shingle < 1 or not 1 <= j < 100:
+        raise ValueError(f"shingle={shingle}, j={j}")
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", "text", text_key(F.col("text")).alias("text_key"))
-    described = staged(texts.mapInArrow(_describe, f"doc_id {kind}, text_key string, n_shingles long, set_id long, "
+    described = staged(texts.mapInArrow(partial(_describe, shingle=shingle), f"doc_id {kind}, text_key string, n_shingles long, set_id long, "
                        "frequent array<struct<bucket:int,n:long>>, shingles double, squares double"), "described")
     tasks = described.filter("shingles is not null")
     counts = tasks.select(F.explode("frequent").alias("f")).groupBy("f.bucket").agg(F.sum("f.n").alias("n")).toArrow()
@@ -274,9 +291,9 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     # Entries of other sets that a shingle's list is expected to have: what squares hold beyond chance and itself.
     chance = F.col("squares") - F.col("shingles") * F.col("shingles") / BUCKETS - F.col("shingles")
     r = tasks.agg(F.sum(chance).alias("extra"), F.sum("shingles").alias("n"), F.count(F.lit(1)).alias("tasks")).first()
-    boundary = boundary_size(max(0.0, r["extra"] / r["n"] * r["tasks"]) if r["n"] else 0.0)
+    boundary = boundary_size(Lists(max(0.0, r["extra"] / r["n"] * r["tasks"]) if r["n"] else 0.0, j))
 
-    keys = docs.select("text").mapInArrow(_keys(order.tobytes(), boundary), "key long, salt int, set_id long, size int, pos int")
+    keys = docs.select("text").mapInArrow(_keys(order.tobytes(), boundary, shingle, j), "key long, salt int, set_id long, size int, pos int")
     piece = Window.partitionBy("key", "salt")
     chain = piece.orderBy("size", "set_id", "pos")
     lists = (keys.withColumn("lo", F.min("set_id").over(piece)).withColumn("hi", F.max("set_id").over(piece))
@@ -291,15 +308,15 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     links = long.filter("before is not null").select("set_id", "size", "before")
     links = links.union(long.filter("before is null").withColumn("before", F.lag(F.struct("set_id", "size")).over(heads))
                         .filter("before is not null").select("set_id", "size", "before"))
-    chained = (links.filter(f"100L * least(size, before.size) >= {J}L * greatest(size, before.size) and before.set_id <> set_id")
+    chained = (links.filter(f"100L * least(size, before.size) >= {j}L * greatest(size, before.size) and before.set_id <> set_id")
                .select(F.least("set_id", "before.set_id").alias("a"),
                        F.when(F.col("set_id") < F.col("before.set_id"), F.col("size")).otherwise(F.col("before.size")).alias("asize"),
                        F.greatest("set_id", "before.set_id").alias("b"),
                        F.when(F.col("set_id") < F.col("before.set_id"), F.col("before.size")).otherwise(F.col("size")).alias("bsize")))
-    first_pairs = staged(_pairs(short, "true").union(chained).distinct(), "pairs")
+    first_pairs = staged(_pairs(short, "true", j).union(chained).distinct(), "pairs")
     ends = first_pairs.select("a").union(first_pairs.select("b")).union(long.select("set_id"))
-    sketches = _fetch(docs, ends, False)
-    similar = staged(_verified(docs, staged(_close(first_pairs, sketches), "close")), "similar")
+    sketches = _fetch(docs, ends, False, shingle, j)
+    similar = staged(_verified(docs, staged(_close(first_pairs, sketches, j), "close"), shingle, j), "similar")
 
     # Long lists: pairs of sets that are not yet in one component.
     joined = components(similar)
@@ -309,11 +326,11 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     open_keys = entries.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y")
     entries = staged(entries.join(open_keys.select("key"), "key", "left_semi"), "open")
     entries = entries.join(sketches, ["set_id", "size"])
-    late = staged(_pairs(entries, f"u.component <> v.component and {_CLOSE}")
+    late = staged(_pairs(entries, f"u.component <> v.component and {_differ_little(j)}", j)
                   .join(first_pairs, ["a", "asize", "b", "bsize"], "left_anti"), "late_pairs")
     if not late.isEmpty():
         # Links between components, named by them, join components into larger ones.
-        more = _verified(docs, late)
+        more = _verified(docs, late, shingle, j)
         for end in ("a", "b"):
             name = joined.select(F.col("node").alias(end), F.col("component").alias(f"{end}_name"))
             more = more.join(name, end, "left").withColumn(f"{end}_name", F.coalesce(f"{end}_name", end))
@@ -335,16 +352,16 @@ def similar_groups(docs: DataFrame) -> DataFrame:
 
 def group_digest(docs: DataFrame) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` of every row of ``docs``."""
-    return similar_groups(docs).select("doc_id", "n_shingles", "component_id")
+    return similar_groups(docs, SHINGLE, J).select("doc_id", "n_shingles", "component_id")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, j: int = J) -> DataFrame:
     """The rows of ``docs``, all columns, that stand for their group: its smallest doc_id, once (null only if it has no other).
 
     Of several rows with that doc_id the one with the smallest text digest
     stays; rows that agree in both are one row.
     """
-    groups = similar_groups(docs).withColumn("unnamed", F.when(F.col("component_id").isNull(), F.col("text_key")))
+    groups = similar_groups(docs, shingle, j).withColumn("unnamed", F.when(F.col("component_id").isNull(), F.col("text_key")))
     groups = staged(groups, "groups")
     kept = (groups.groupBy("component_id", "unnamed")
             .agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed_id"), "doc_id", "text_key")).alias("k"))

@@ -6,8 +6,8 @@ last returns one row for each sequence that it wrote.
 
 1. ``language_id``: documents without a letter, or with less than two
    fifths of their letters in any one language, go.
-2. ``jaccard_join``: of each group of similar documents the one with the
-   smallest doc_id stays.
+2. ``jaccard_join``: of each group of similar documents (five-word shingles,
+   80 % or more) the one with the smallest doc_id stays.
 3. ``decontamination``: documents that hold a benchmark window go.
 4. ``mixing``: sources come to their target weights; documents are left out
    or repeated, and the one on a source's cut gives its first words.
@@ -21,13 +21,16 @@ from pyspark.sql import DataFrame, SparkSession
 from augsight.llm import decontaminate, jaccard_join, language, mixing, token_store
 from augsight.llm.common import documents, scratch, staged
 
+#: Near-duplicate stage: words of a shingle, and similarity in percent.  Operator 5 has its own, 4 and 85.
+SHINGLE, SIMILARITY = 5, 80
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return language.identified(docs)
 
 
 def similar_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard_join.one_of_each(docs)
+    return jaccard_join.one_of_each(docs, SHINGLE, SIMILARITY)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -257,6 +257,46 @@ def test_one_of_each(spark):
     assert jaccard_join.one_of_each(table(spark, [(1, None, None, None)])).count() == 1
 
 
+@pytest.mark.parametrize("boundary", [None, 30])
+def test_similar_documents_of_the_pipeline(spark, monkeypatch, boundary):
+    """Five words and 80 % for the stage, four and 85 for operator 5, against all pairs."""
+    import corpus_pipeline
+    if boundary:
+        monkeypatch.setattr(jaccard_join, "boundary_size", lambda _: boundary)
+    rng = random.Random(16)
+    rows = [(5_000_000 + i, *r[1:]) for i, r in enumerate(near_copies(random.Random(9)))]
+    for g in range(30):  # a text, with a fifth to a quarter appended, or with scattered changes
+        base = [f"t{rng.randrange(10 ** 6)}" for _ in range(200)]
+        appended = base + [f"t{rng.randrange(10 ** 6)}" for _ in range(rng.randrange(30, 60))]
+        changed = [f"t{rng.randrange(10 ** 6)}" if i % rng.choice([43, 47, 51]) == 20 else w for i, w in enumerate(base)]
+        rows += [(10 * g + i, " ".join(w), "en", "a") for i, w in enumerate((base, appended, changed))]
+    docs = table(spark, rows)
+
+    def names(shingle, j):
+        sets, root = [], list(range(len(rows)))
+        for r in rows:
+            w = words(lower(r[1]))
+            sets.append({tuple(w[i:i + shingle]) for i in range(max(1, len(w) - shingle + 1))})
+
+        def find(i):
+            while root[i] != i:
+                i = root[i]
+            return i
+        for i, a in enumerate(sets):
+            for k in range(i):
+                n = len(a & sets[k])
+                if n and 100 * n >= j * (len(a) + len(sets[k]) - n):
+                    root[max(find(i), find(k), key=lambda x: rows[x][0])] = min(find(i), find(k), key=lambda x: rows[x][0])
+        return [rows[find(i)][0] for i in range(len(rows))]
+
+    wide, narrow = names(5, 80), names(4, 85)
+    assert wide != narrow
+    kept = corpus_pipeline.similar_documents(spark, docs, "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(wide))
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.group_digest(docs).collect()}
+    assert got == {r[0]: c for r, c in zip(rows, narrow)}
+
+
 def test_components(spark):
     rng = random.Random(8)
     links = [(i, i + 1) for i in range(0, 60)] + [(100, 200 + i) for i in range(30)] + [(rng.randrange(1000, 1200), rng.randrange(1000, 1200)) for _ in range(120)]
