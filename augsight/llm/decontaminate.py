@@ -124,8 +124,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, Dat
     lengths = sorted(r[0] for r in items.select("len").distinct().collect())  # 1 to WINDOW
     schema = (f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_key string, n_words long, "
               "hits array<struct<fp:long,len:int,at:int,back:int,around:string>>")
-    rows = staged(docs.select("doc_id", "text", text_key(F.col("text")).alias("text_key")).mapInArrow(_doc_rows(lengths, bitmap(items, "fp")), schema), "fingerprints")
-    rows = rows.withColumn("_row", F.monotonically_increasing_id())
+    rows = docs.select("doc_id", "text", text_key(F.col("text")).alias("text_key")).mapInArrow(_doc_rows(lengths, bitmap(items, "fp")), schema)
+    # The number is stored with the row: made anew by each job it would follow that job's packing of the files.
+    rows = staged(rows.withColumn("_row", F.monotonically_increasing_id()), "fingerprints")
     hits = rows.filter(F.size("hits") > 0).select("_row", F.explode("hits").alias("h"))
     both = hits.join(items.alias("i"), (F.col("h.fp") == F.col("i.fp")) & (F.col("h.len") == F.col("i.len")))
     # Extend: equal words to the left of the fingerprint, and from it to the right.

@@ -285,8 +285,9 @@ def personal_data(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     found = F.struct(*[_found(text, p).alias(k) for k, p in BASE.items()])
     wide = F.struct(*[_found(text, p).alias(k) for k, p in WIDE.items()])
     may = F.rlike(text, F.lit("[0-9@]"))
-    rows = staged(docs.select("doc_id", F.when(may, found).alias("found"), F.when(may, wide).alias("wide")), "found")
-    rows = rows.withColumn("row", F.monotonically_increasing_id())
+    # The number is stored with the row: made anew by each job it would follow that job's packing of the files.
+    rows = staged(docs.select("doc_id", F.when(may, found).alias("found"), F.when(may, wide).alias("wide"),
+                              F.monotonically_increasing_id().alias("row")), "found")
     base = _spans(rows.filter("found is not null"), "found")
     checks = F.lit(False)
     for kind in KINDS:

@@ -229,8 +229,9 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     shared = staged(shared, "shared")
     anchors_type = "array<struct<key:long,stretch:long,first:int,n:int,varied:boolean,windows:array<long>>>"
     passed = _second_pass(bitmap(shared, "key", ANCHOR_BITS), bitmap(shared.filter("varied"), "key", ANCHOR_BITS))
-    rows = staged(keyed.mapInArrow(passed, f"doc_id {kind}, text_key string, n_words long, sha256 string, anchors {anchors_type}"), "rows")
-    rows = rows.withColumn("row", F.monotonically_increasing_id())
+    rows = keyed.mapInArrow(passed, f"doc_id {kind}, text_key string, n_words long, sha256 string, anchors {anchors_type}")
+    # The number is stored with the row: made anew by each job it would follow that job's packing of the files.
+    rows = staged(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
     found = rows.filter("doc_id is not null").select("row", "doc_id", F.inline("anchors"))
     # An anchor that always stands in one stretch: its smallest document keeps it.
     plain = (found.filter("not varied").select("row", "doc_id", "key", "first", "n")
