@@ -13,8 +13,14 @@ uses the first ones.  The permutation runs over all reserved numbers; unused
 ones leave no hole, because a shard's file holds only sequences that exist,
 and a sequence's global slot is its shard's first slot plus its place there.
 That spares tokenising twice, or storing the tokens once more, only to count
-them.  One count per input partition makes the numbers global; the second
-read must see the same partitions, as reads of files do, and checks it.
+them.  One count per input partition makes the numbers global.  Both reads
+pack the files alike: what the packing follows besides the files, the number
+of cores, is held for both (:func:`same_packing`).
+
+A run of white space is a token's text but for its last character, and is cut
+out before the tokenizer's pattern sees it if it is longer than ``RUN``
+characters: the pattern looks ahead once for each character of a run, which
+overflows its stack on a million of them.  The ids are those of the whole text.
 
 A record is, little-endian: permuted number (8 bytes), doc_id (8), piece
 (4), ids that are not padding (4; its highest bit is set for a null doc_id,
@@ -31,9 +37,11 @@ other columns are ignored.
 from __future__ import annotations
 
 import base64
+import re
 import struct
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -48,6 +56,10 @@ from augsight.llm.words import mix, slices
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: how that tokenizer cuts a text before it merges bytes.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# Fixed value: the white space of that pattern; a run of more characters is cut out.
+SPACE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+RUN = 1000
+LONG_RUN = re.compile(f"{SPACE}{{{RUN + 1},}}")
 SEQ_LEN = 512
 SHARD_BYTES = 64 << 20
 KEY = 2024
@@ -81,6 +93,32 @@ def _encoder(path: str, pattern: str):
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), max(ranks.values()) + 1
 
 
+def encode(encoder, text: str) -> list[int]:
+    """The ids of a text of any length."""
+    out, at = [], 0
+    for run in LONG_RUN.finditer(text):
+        # Before other characters a run's last one starts the next token.
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        out += encoder.encode_ordinary(text[at:run.start()])
+        out += encoder._encode_single_piece(text[run.start():end])
+        at = end
+    return out + encoder.encode_ordinary(text[at:]) if at else encoder.encode_ordinary(text)
+
+
+@contextmanager
+def same_packing(spark: SparkSession):
+    """Reads of files inside see the same partitions, also if executors come or go meanwhile."""
+    key = "spark.sql.files.minPartitionNum"
+    before = spark.conf.get(key, None)
+    if before is None:
+        spark.conf.set(key, spark.conf.get("spark.sql.leafNodeDefaultParallelism", None) or spark.sparkContext.defaultParallelism)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+
+
 def _id_type(end: int) -> str:
     return "<u2" if end < 1 << 16 else "<u4"
 
@@ -101,7 +139,7 @@ def _records(tokenizer: str, seq_len: int, offsets: dict[int, tuple[int, int]],
             for i, (doc_id, text) in enumerate(zip(ids, part.column("text").to_pylist())):
                 if text is None or (doc_id is None and not unnamed):
                     continue
-                own = encoder.encode_ordinary(text)
+                own = encode(encoder, text)
                 own.append(end)
                 pieces = -(-len(own) // seq_len)
                 numbers.append(np.arange(start + used, start + used + pieces, dtype=np.uint64))
@@ -127,8 +165,8 @@ def _records(tokenizer: str, seq_len: int, offsets: dict[int, tuple[int, int]],
                  pa.Array.from_buffers(pa.binary(), len(head), [None, pa.py_buffer(ends), pa.py_buffer(record.tobytes())])],
                 ["shard", "key", "record"])
         if used != reserved:
-            raise RuntimeError(f"a partition has {used} numbers in this read and had {reserved}; "
-                               "write the documents to a table first")
+            raise RuntimeError(f"a partition has {used} numbers in this read and had {reserved}: the files have changed, "
+                               "or the documents do not come straight from files")
     return run
 
 
@@ -141,23 +179,24 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, seq_len
     Returns what a reader needs: the stride, the number of shards and of
     reserved numbers, and how many of them a shard spans.
     """
-    texts = docs.select("doc_id", "text")
-    most = F.ceil((F.octet_length("text") + 1) / F.lit(seq_len))
-    counted = (texts.filter("text is not null" + ("" if unnamed else " and doc_id is not null")).groupBy(F.spark_partition_id().alias("p"))
-               .agg(F.sum(most).alias("n")).orderBy("p").collect())  # one row for each input partition
-    offsets, size = {}, 0
-    for r in counted:
-        offsets[r["p"]] = (size, r["n"])
-        size += r["n"]
-    _, end = _encoder(tokenizer, PATTERN)
-    length = stride(seq_len, end)
-    # About two in five reserved numbers are used.
-    shards = max(1, -(-size * length * 2 // (5 * shard_bytes)))
-    width = max(1, -(-size // shards))
-    records = texts.mapInArrow(_records(tokenizer, seq_len, offsets, size, width, key, unnamed), "shard int, key long, record binary")
-    (records.repartitionById(shards, F.col("shard")).sortWithinPartitions("key")
-     .select(F.col("record").cast("string").alias("value"))
-     .write.option("lineSep", "\n").option("compression", "none").text(path))
+    with same_packing(docs.sparkSession):
+        texts = docs.select("doc_id", "text")
+        most = F.ceil((F.octet_length("text") + 1) / F.lit(seq_len))
+        counted = (texts.filter("text is not null" + ("" if unnamed else " and doc_id is not null")).groupBy(F.spark_partition_id().alias("p"))
+                   .agg(F.sum(most).alias("n")).orderBy("p").collect())  # one row for each input partition
+        offsets, size = {}, 0
+        for r in counted:
+            offsets[r["p"]] = (size, r["n"])
+            size += r["n"]
+        _, end = _encoder(tokenizer, PATTERN)
+        length = stride(seq_len, end)
+        # About two in five reserved numbers are used.
+        shards = max(1, -(-size * length * 2 // (5 * shard_bytes)))
+        width = max(1, -(-size // shards))
+        records = texts.mapInArrow(_records(tokenizer, seq_len, offsets, size, width, key, unnamed), "shard int, key long, record binary")
+        (records.repartitionById(shards, F.col("shard")).sortWithinPartitions("key")
+         .select(F.col("record").cast("string").alias("value"))
+         .write.option("lineSep", "\n").option("compression", "none").text(path))
     return {"stride": length, "seq_len": seq_len, "shards": shards, "size": size, "width": width, "end": end, "key": key}
 
 
