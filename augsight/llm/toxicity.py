@@ -4,7 +4,11 @@ A term is a word (A-Z lower-cased, without punctuation) or the first four or
 six bytes of a longer word, hashed to 64 bits; a text is the set of its
 terms.  The machine keeps the ``TERMS`` terms that speak most for the label
 (more frequent with it; log-likelihood ratio of the training counts), so no
-harmless passage can outweigh an insult, and scores
+harmless passage can outweigh an insult, and the words of the ``PAIRS`` pairs
+that speak most for or against it beyond what their words do alone, so that
+words which only mean something together are learned too.  (With all terms,
+chosen by frequency, the machine learns the training texts by heart; the
+README has figures.)  It scores
 
     w0 + sum of w[i] + sum over pairs of <v[i], v[j]>
 
@@ -30,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from augsight.llm.common import bounded_sample, staged, text_key
+from augsight.llm.common import bitmap, bounded_sample, in_bitmap, staged, text_key
 from augsight.llm.words import ALNUM_FOLDED, Words, mix, signed, slices, split_words
 
 FOLDS, HELD_OUT = 3, 1
@@ -38,6 +42,8 @@ FOLDS, HELD_OUT = 3, 1
 TRAIN_ROWS = 20_000
 #: Terms of the machine at most, and the least log-likelihood ratio of one.
 TERMS, LEAST_LLR = 4096, 12.0
+#: Pairs whose words are kept, words between two of a pair at most, least ratio beyond that of its words, least rows of a word.
+PAIRS, WINDOW, LEAST_PAIR_LLR, LEAST_ROWS = 512, 8, 30.0, 8
 FACTORS = 4
 EPOCHS, RATE, DECAY = 400, 0.1, 1e-3
 #: A text is called toxic from this score.
@@ -61,16 +67,57 @@ def terms(words: Words) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _labelled_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The set of terms of each labelled text, and its words in order."""
     for part, data, bounds in slices(batches):
-        doc, term = terms(split_words(data, bounds, ALNUM_FOLDED))
+        words = split_words(data, bounds, ALNUM_FOLDED)
+        doc, term = terms(words)
         by = np.lexsort((term, doc))
         doc, term = doc[by], term[by]
         new = np.ones(len(term), bool)
         new[1:] = (term[1:] != term[:-1]) | (doc[1:] != doc[:-1])
         ends = np.searchsorted(doc[new], np.arange(part.num_rows + 1))
         yield pa.RecordBatch.from_arrays(
-            [part.column("toxic"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(signed(term[new])))],
-            ["toxic", "terms"])
+            [part.column("toxic"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(signed(term[new]))),
+             pa.ListArray.from_arrays(pa.array(words.first, pa.int32()), pa.array(signed(words.hash)))],
+            ["toxic", "terms", "words"])
+
+
+def _near_pairs(frequent: bytes):
+    """Distinct pairs of words that stand within ``WINDOW`` of one another in a text; only words that the filter lets pass."""
+    bits = np.frombuffer(frequent, np.uint8)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for toxic, words in zip(batch.column("toxic").to_pylist(), batch.column("words")):
+                w = words.values.to_numpy().view(np.uint64)
+                at = np.flatnonzero(in_bitmap(bits, w))
+                names, w = np.unique(w[at], return_inverse=True)
+                found = []
+                for gap in range(1, WINDOW + 1):
+                    near = np.flatnonzero(at[gap:] - at[:-gap] <= WINDOW) if len(at) > gap else np.empty(0, np.int64)
+                    a, b = w[near], w[near + gap]
+                    found.append(np.unique(np.minimum(a, b)[a != b] * len(names) + np.maximum(a, b)[a != b]))
+                pairs = np.unique(np.concatenate(found))
+                if len(pairs):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pairs), toxic, np.int32)), pa.array(signed(names[pairs // len(names)])),
+                                                      pa.array(signed(names[pairs % len(names)]))], ["toxic", "x", "y"])
+    return run
+
+
+def _ratio(one: float, zero: float) -> Column:
+    """Log-likelihood ratio of being in ``a`` of ``one`` texts with the label and ``b`` of ``zero`` without it."""
+    def part(seen, total, share):
+        return F.when(seen > 0, seen * F.log(seen / (total * share))).otherwise(F.lit(0.0))
+
+    share = (F.col("a") + F.col("b")) / (one + zero)
+    present = part(F.col("a"), F.lit(one), share) + part(F.col("b"), F.lit(zero), share)
+    absent = part(one - F.col("a"), F.lit(one), 1 - share) + part(zero - F.col("b"), F.lit(zero), 1 - share)
+    return 2 * (present + absent)
+
+
+def _by_label(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows with the label (``a``) and without it (``b``)."""
+    return rows.groupBy(*keys).agg(F.sum("toxic").cast("double").alias("a"), F.sum(1 - F.col("toxic")).cast("double").alias("b"))
 
 
 @dataclass
@@ -126,26 +173,26 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine |
               .select("doc_id", F.col("toxic").cast("int").alias("toxic")))
     sample = F.broadcast(bounded_sample(marked, "doc_id", rows).groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
     texts = docs.select("doc_id", "text").join(sample, "doc_id").select("toxic", "text")
-    listed = staged(texts.mapInArrow(_labelled_terms, "toxic int, terms array<long>"), "labelled_terms")
+    listed = staged(texts.mapInArrow(_labelled_terms, "toxic int, terms array<long>, words array<long>"), "labelled_terms")
     n = {r["toxic"]: r["n"] for r in listed.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(n) < 2:
         return None
     one, zero = float(n[1]), float(n[0])
-    counts = (listed.select("toxic", F.explode("terms").alias("term")).groupBy("term")
-              .agg(F.sum("toxic").cast("double").alias("a"), F.sum(1 - F.col("toxic")).cast("double").alias("b"))
-              .filter("a + b >= 2"))
-
-    def part(seen, total, share):
-        return F.when(seen > 0, seen * F.log(seen / (total * share))).otherwise(F.lit(0.0))
-
-    share = (F.col("a") + F.col("b")) / (one + zero)
-    present = part(F.col("a"), F.lit(one), share) + part(F.col("b"), F.lit(zero), share)
-    absent = part(one - F.col("a"), F.lit(one), 1 - share) + part(zero - F.col("b"), F.lit(zero), 1 - share)
-    best = (counts.withColumn("llr", 2 * (present + absent)).filter((F.col("llr") >= LEAST_LLR) & (F.col("a") * zero > F.col("b") * one))
+    counts = _by_label(listed.select("toxic", F.explode("terms").alias("term")), "term").filter("a + b >= 2")
+    counts = staged(counts.withColumn("llr", _ratio(one, zero)), "term_counts")
+    best = (counts.filter((F.col("llr") >= LEAST_LLR) & (F.col("a") * zero > F.col("b") * one))
             .orderBy(F.desc("llr"), "term").limit(TERMS).select("term").collect())
-    chosen = np.sort(np.array([r["term"] for r in best], np.int64).view(np.uint64))
+    frequent = bitmap(counts.filter(F.col("a") + F.col("b") >= LEAST_ROWS), "term")
+    pairs = _by_label(listed.select("toxic", "words").mapInArrow(_near_pairs(frequent), "toxic int, x long, y long"), "x", "y")
+    pairs = pairs.filter(F.col("a") + F.col("b") >= LEAST_ROWS).withColumn("llr", _ratio(one, zero)).filter(F.col("llr") >= LEAST_PAIR_LLR)
+    own = lambda c: counts.select(F.col("term").alias(c), F.col("llr").alias(f"llr_{c}"))
+    beyond = F.col("llr") - F.col("llr_x") - F.col("llr_y")
+    together = (pairs.join(own("x"), "x").join(own("y"), "y").withColumn("beyond", beyond).filter(F.col("beyond") >= LEAST_PAIR_LLR)
+                .orderBy(F.desc("beyond"), "x", "y").limit(PAIRS).select("x", "y").collect())
+    chosen = {r["term"] for r in best} | {x for r in together for x in r}
+    chosen = np.sort(np.array(sorted(chosen), np.int64).view(np.uint64))
     kept = F.array_intersect("terms", F.lit(signed(chosen).tolist()).cast("array<long>"))
-    table = listed.select("toxic", kept.alias("terms")).toArrow()  # TRAIN_ROWS rows of TERMS terms at most
+    table = listed.select("toxic", kept.alias("terms")).toArrow()  # TRAIN_ROWS rows of TERMS + 2 * PAIRS terms at most
     label = table.column("toxic").to_numpy().astype(np.float64)
     found = table.column("terms").combine_chunks()
     text = np.repeat(np.arange(len(label)), np.asarray(found.value_lengths()))

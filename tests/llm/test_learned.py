@@ -130,6 +130,22 @@ def test_pair_weight_of_the_machine():
     assert ((raw > 0) == (label == 1)).mean() == 1.0
 
 
+def test_exclusive_or_through_the_fit(spark):
+    """Two words that are toxic only one without the other, among words that say nothing."""
+    rng = random.Random(6)
+    rows, labels = [], []
+    for i in range(2000):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        w = [f"noise{rng.randrange(20)}" for _ in range(20)] + ["ampel"] * a + ["brücke"] * b
+        rng.shuffle(w)
+        rows.append((i, " ".join(w), "en", "a"))
+        labels.append((i, 1, int(a != b)))
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = [r for r in toxicity.toxicity_digest(table(spark, rows), marks).collect() if r["held_out"]]
+    assert len(got) > 500
+    assert sum((r["score"] >= 0.5) == bool(labels[r["doc_id"]][2]) for r in got) >= 0.95 * len(got)
+
+
 def test_toxicity_without_two_classes(spark):
     rows, labels = toxic_table(spark, 30)
     marks = spark.createDataFrame([(i, 1, 0) for i, _, _ in labels], "doc_id long, quality int, toxic int")
