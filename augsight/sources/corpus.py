@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from augsight.operators.ranks import first_rows
 from augsight.sources.tables import table
 
 CORPUS_SCHEMA = T.StructType([
@@ -102,8 +103,8 @@ def drop_unnamed(df: DataFrame) -> DataFrame:
 
 
 def bounded(df: DataFrame, n: int, order: str = "id") -> DataFrame:
-    """First ``n`` rows by ``order`` (a top-k, not a full sort)."""
-    return df.orderBy(order).limit(n)
+    """First ``n`` rows by ``order``: ranges of rows up to the n-th, no full sort and no single task for many rows."""
+    return first_rows(df, n, order)
 
 
 def write_corpus(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists",
