@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from augsight.operators.quantiles import quantiles
 from augsight.operators.small import small_table
 
 SUMMARY_LABELS = ("accuracy", "macro avg", "weighted avg")
@@ -144,18 +145,6 @@ def tag_groups(df: DataFrame, name_col: str = "experiment", groups: dict | None
             .withColumn("grouping", F.lit(grouping)))
 
 
-def quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
-    """Exact linear-interpolation quantiles per group.
-
-    The aggregate keeps counts of distinct values and combines them map-side,
-    so a hot group costs one entry per distinct value in a task, and no
-    group's rows are sorted in one place.
-    """
-    k = list(by)
-    q = df.groupBy(*k).agg(F.percentile(F.col(value), [float(p) for p in probs]).alias("_q"))
-    return q.select(*k, *[F.col("_q")[i].alias(f"q{int(round(p * 100))}") for i, p in enumerate(probs)])
-
-
 def box_stats(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     """Box-plot statistics: quartiles, whiskers (extreme points within 1.5 IQR) and flier count."""
     k = list(by)
