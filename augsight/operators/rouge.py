@@ -8,6 +8,7 @@ pandas UDF on the two token arrays of each pair.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Sequence
 
@@ -84,19 +85,46 @@ def rouge_l(pairs: DataFrame, key: Sequence[str], pred: str = "prediction", ref:
 
 
 def _lcs_places(ref: Sequence[str], cand: Sequence[str]) -> list[int]:
-    """Places in ``ref`` of one longest common subsequence with ``cand``."""
-    rows = [[0] * (len(cand) + 1)]
-    for x in ref:
-        last, row = rows[-1], [0]
-        for j, y in enumerate(cand):
-            row.append(last[j] + 1 if x == y else max(last[j + 1], row[-1]))
-        rows.append(row)
-    i, j, out = len(ref), len(cand), []
+    """Places in ``ref`` of one longest common subsequence with ``cand``.
+
+    Of several the one is taken that reading back from both ends gives: equal
+    last tokens belong to it; else the last token of ``cand`` goes if that is
+    the only way to keep the length, and the last token of ``ref`` if not.
+
+    Lengths are kept as bit vectors over ``cand``, one for a token of ``ref``
+    (a clear bit where the length grows), but only every so many of them;
+    the vectors between are made again on the way back, so memory is the
+    square root of ``ref`` times ``cand`` bits.
+    """
+    full, masks = (1 << len(cand)) - 1, {}
+    for j, x in enumerate(cand):
+        masks[x] = masks.get(x, 0) | (1 << j)
+
+    def after(v: int, token: str) -> int:
+        u = v & masks.get(token, 0)
+        return ((v + u) | (v - u)) & full
+
+    every = math.isqrt(len(ref)) + 1
+    kept, v = [full], full
+    for i, x in enumerate(ref, 1):
+        v = after(v, x)
+        if i % every == 0:
+            kept.append(v)
+
+    def length(row: int, j: int) -> int:
+        return j - (row & ((1 << j) - 1)).bit_count()
+
+    i, j, out, first, rows = len(ref), len(cand), [], len(ref) + 1, []
     while i and j:
+        if i - 1 < first:  # the vectors of the stretch that ends with token i
+            first = (i - 1) // every * every
+            rows = [kept[first // every]]
+            for x in ref[first:i]:
+                rows.append(after(rows[-1], x))
         if ref[i - 1] == cand[j - 1]:
             out.append(i - 1)
             i, j = i - 1, j - 1
-        elif rows[i][j - 1] > rows[i - 1][j]:
+        elif rows[i - first] >> (j - 1) & 1 and length(rows[i - 1 - first], j) < length(rows[i - first], j):
             j -= 1
         else:
             i -= 1
