@@ -19,21 +19,11 @@ RULES = [
 DEFAULT = "en"
 
 
-#: Weights of the hits of each class in the weighted rule.
-WEIGHTS = {"de": 2, "es": 3, "fr": 1}
-
-
-def predict_language(text: str | Column, rule: str = "first") -> Column:
-    """Language of a whole text: the ``first`` class with a hit, the one with ``most`` hits, or with most ``weighted`` hits."""
+def predict_language(text: str | Column) -> Column:
+    """Language of a whole text: the first class with a hit."""
     t = F.col(text) if isinstance(text, str) else text
-    if rule == "first":
-        hits = [(label, F.coalesce(t.rlike(pattern), F.lit(False))) for label, pattern in RULES]
-    else:
-        weight = {label: WEIGHTS[label] if rule == "weighted" else 1 for label, _ in RULES}
-        counts = [(label, F.coalesce(F.regexp_count(t, F.lit(p)), F.lit(0)) * weight[label]) for label, p in RULES]
-        top = F.greatest(*[n for _, n in counts])
-        hits = [(label, (n > 0) & (n == top)) for label, n in counts]
     expr = None
-    for label, cond in hits:
-        expr = F.when(cond, F.lit(label)) if expr is None else expr.when(cond, F.lit(label))
+    for label, pattern in RULES:
+        hit = F.coalesce(t.rlike(pattern), F.lit(False))
+        expr = F.when(hit, F.lit(label)) if expr is None else expr.when(hit, F.lit(label))
     return expr.otherwise(F.lit(DEFAULT))

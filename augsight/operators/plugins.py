@@ -9,6 +9,7 @@ defaults are small deterministic stand-ins.
 from __future__ import annotations
 
 import ast
+import hashlib
 import re
 from collections.abc import Callable, Sequence
 
@@ -86,16 +87,52 @@ def decode_predictions(df: DataFrame, mapping: DataFrame, raw: str = "model_labe
     return named.withColumn(out, F.coalesce(F.when(F.col(out).isNull(), unknown).cast("string"), F.col(out))).drop("_pid")
 
 
-def dictionary_translator(mapping: dict[str, str]) -> Callable[[list[str]], list[str]]:
-    """Stand-in translator: literal substring substitutions, applied in order."""
-    def translate(texts: list[str]) -> list[str]:
-        out = []
-        for t in texts:
-            for src, dst in mapping.items():
-                t = None if t is None else t.replace(src, dst)
-            out.append(t)
-        return out
-    return translate
+class DictionaryTranslator:
+    """Translator that replaces dictionary entries: of entries that begin at one place the longest, the leftmost first.
+
+    Every text is read once by an automaton over all entries, so the time
+    does not grow with their number, and what one entry puts in is never
+    replaced by another.  The automaton is made once per worker process.
+    ``whole_words`` takes an entry only where no ASCII letter or digit adjoins
+    it.  Null texts stay null; an empty entry is none.
+    """
+
+    def __init__(self, mapping: dict[str, str], whole_words: bool = False):
+        self.mapping, self.whole_words = {k: v for k, v in mapping.items() if k}, whole_words
+        self.key = "dictionary:" + hashlib.md5(repr(sorted(self.mapping.items())).encode()).hexdigest()
+
+    def _automaton(self):
+        import ahocorasick
+        made = ahocorasick.Automaton()
+        for entry in self.mapping:
+            made.add_word(entry, len(entry))
+        made.make_automaton()
+        return made
+
+    def _one(self, text: str, automaton) -> str:
+        inside = (lambda i: 0 <= i < len(text) and text[i].isascii() and text[i].isalnum()) if self.whole_words else lambda i: False
+        longest: dict[int, int] = {}
+        for last, size in automaton.iter(text):
+            if not inside(last - size) and not inside(last + 1):
+                longest[last - size + 1] = max(size, longest.get(last - size + 1, 0))
+        out, at = [], 0
+        for start in sorted(longest):
+            if start >= at:
+                end = start + longest[start]
+                out += text[at:start], self.mapping[text[start:end]]
+                at = end
+        return "".join(out) + text[at:]
+
+    def __call__(self, texts: list[str]) -> list[str]:
+        if not self.mapping:
+            return texts
+        from augsight.operators.plugins import worker_model as shared  # the worker's own module, not a pickled copy
+        automaton = shared(self.key, self._automaton)
+        return [None if t is None else self._one(t, automaton) for t in texts]
+
+
+def dictionary_translator(mapping: dict[str, str], whole_words: bool = False) -> Callable[[list[str]], list[str]]:
+    return DictionaryTranslator(mapping, whole_words)
 
 
 def translate_chunks(text: str | Column, translator: Callable[[list[str]], list[str]], chunk_chars: int) -> Column:
@@ -123,11 +160,16 @@ def translate_chunks(text: str | Column, translator: Callable[[list[str]], list[
 _SENTENCE_END = re.compile(r"([.!?])[ \t\n\r\f]+")
 
 
+def split_lead(text: str) -> list[str]:
+    """The sentences of a text (same rule as SQL)."""
+    return _SENTENCE_END.sub("\\1\x01", text).split("\x01")
+
+
 def lead_generator(texts: list[str], n: int) -> list[list[str]]:
     """Stand-in generator plug-in: variant j = the first j+1 sentences (same rule as SQL)."""
     out = []
     for t in texts:
-        sents = _SENTENCE_END.sub("\\1\x01", t).split("\x01")
+        sents = split_lead(t)
         out.append([" ".join(sents[:j + 1]) for j in range(n)])
     return out
 
