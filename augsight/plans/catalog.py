@@ -10,6 +10,7 @@ truncation).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,9 +19,13 @@ from pyspark.sql import functions as F
 from augsight.functions import text as tx
 from augsight.functions import arrays
 from augsight.functions.rules import predict_language
-from augsight.operators import augment, classify, dedup, features, imbalance, metrics, plugins, rouge, splits, trainset
+from augsight.operators import (augment, bayes, classify, dedup, extract, features, imbalance, metrics, plugins, positions, rouge, sentences, splits,
+                                trainset)
 from augsight.sources.tables import table
-from augsight.sources.corpus import corpus, rejected_labels
+from augsight.operators.small import collect_small
+from augsight.session import checkpoint_dir
+from augsight.sources import scores as sc
+from augsight.sources.corpus import corpus, named_splits, read_corpus_csv, rejected_labels, write_corpus, write_params
 
 # Fixed parameters shared with the oracle SQL.
 LOW_RESOURCE_SHARE = 0.129     # classes with <= 12.9 % of the rows are low-resource
@@ -220,6 +225,7 @@ CHUNK_CHARS = 1000
 LEAD_SENTENCES = 3
 MIN_DF = 3
 MAX_DF = 1.0
+NB_SMOOTHING = 1.0
 
 
 @register("assemble_text")
@@ -349,12 +355,11 @@ def q_rouge_summary_all(spark, d):
 
 # --- M5: evaluation -------------------------------------------------------------------------
 
-# Experiments of the score analysis: (name, use title in the view, keep the lead line in the body,
-# decision rule over the whole view).  Names carry the tags the group analysis looks for.
-EXPERIMENTS = [(f"bart.{t}.{dec}.{sp}", t == "title", sp == "spacytitle", rule)
-               for t in ("title", "notitle")
-               for dec, rule in (("greedy", "first"), ("beam", "most"), ("top_k", "weighted"))
-               for sp in ("spacytitle", "spacynotitle")]
+# Experiments of the score analysis: naive Bayes with or without the title, n-grams up to 1 or 2, three smoothings.
+EXPERIMENT_GRAMS, EXPERIMENT_SMOOTHING = (1, 2), (0.01, 0.1, 1.0)
+# Groups of the experiments by what their names hold.
+EXPERIMENT_GROUPS = {"title": {"TITLE": (".title.",), "NO_TITLE": (".notitle.",)},
+                     "ngrams": {f"n{n}": (f".n{n}.",) for n in EXPERIMENT_GRAMS}}
 
 
 def _round(df, cols=("precision", "recall", "f1", "old", "new", "delta", "mean", "var", "std", "score")):
@@ -416,16 +421,18 @@ def q_delta_by_support(spark, d):
 def cv_fold_scores(spark, d):
     """(experiment, fold, score): macro F1 of every experiment on every stratified test fold."""
     c = corpus(spark, d)
-    folds = splits.kfold_stratified(c.select("id", "event_type"), K, CV_SEED).select("id", "fold")
-    runs = []
-    for name, use_title, lead, rule in EXPERIMENTS:
-        body = F.col("text") if lead else _body()
-        view = tx.assemble(F.col("title"), body) if use_title else body
-        runs.append(F.struct(F.lit(name).alias("experiment"), predict_language(view, rule).alias("y_pred")))
-    # Predictions first: the join then carries ids and labels, not texts.
-    rows = (c.select("id", F.col("event_type").alias("y_true"), F.array(*runs).alias("runs")).join(folds, "id")
-            .select("fold", "y_true", F.explode("runs").alias("r")).select("r.experiment", "fold", "y_true", "r.y_pred"))
-    m = metrics.macro_metrics(rows, by=["experiment", "fold"])
+    folds = splits.kfold_stratified(c.select("id", "event_type"), K, CV_SEED)
+    docs = features.materialize(folds.select("id", F.col("event_type").alias("label"), "fold"), "augsight-folds")
+    views = F.array(*[F.struct(F.lit(f"nb.{name}").alias("name"), tx.tokens(view).alias("tokens"))
+                      for name, view in (("title", tx.assemble(F.col("title"), _body())), ("notitle", _body()))])
+    tokens = features.materialize(c.select("id", F.inline(views)), "augsight-views")
+    grams = None
+    for n in EXPERIMENT_GRAMS:
+        one = bayes.gram_counts(tokens.withColumn("run", F.concat("name", F.lit(f".n{n}"))), "tokens", n, ["run", "id"])
+        grams = one if grams is None else grams.unionByName(one)
+    pred = bayes.cross_validate(features.materialize(grams, "augsight-grams"), docs, EXPERIMENT_SMOOTHING)
+    pred = pred.withColumn("experiment", F.concat("run", F.lit(".a"), F.col("smoothing").cast("string")))
+    m = metrics.macro_metrics(features.materialize(pred, "augsight-predictions"), by=["experiment", "fold"])
     return m.select("experiment", "fold", F.col("f1_macro").alias("score"))
 
 
@@ -441,7 +448,8 @@ def q_cv_score_stats(spark, d):
 
 def _experiment_means(spark, d):
     s = metrics.score_stats(cv_fold_scores(spark, d)).select("experiment", "mean")
-    return metrics.tag_groups(s, grouping="title").unionByName(metrics.tag_groups(s, grouping="decoding"))
+    title, ngrams = (metrics.tag_groups(s, groups=groups, grouping=name) for name, groups in EXPERIMENT_GROUPS.items())
+    return title.unionByName(ngrams)
 
 
 @register("experiment_group_means")
@@ -625,6 +633,20 @@ def q_translate_plugin(spark, d):
 
 @register("batch_inference_report")
 def q_batch_inference_report(spark, d):
+    """Every text by naive Bayes fitted on the train split."""
+    train = _split_plain(spark, d).where(F.col("split") == "train")
+    docs = features.materialize(_token_docs(spark, d), "augsight-docs")
+    mapping = trainset.label_mapping(train)
+    fitted = bayes.fit(docs.join(train.select("id", "event_type"), "id"), "tokens", "event_type", smoothing=NB_SMOOTHING)
+    pred = bayes.predict(docs, "tokens", fitted).join(trainset.small_table(mapping), F.col("y_pred") == F.col("event_type"))
+    raw = pred.select("id", F.concat(F.lit("LABEL_"), F.col("label_id")).alias("model_label"))
+    named = plugins.decode_predictions(corpus(spark, d).select("id", F.col("event_type").alias("y_true")).join(raw, "id"), mapping)
+    return _round(metrics.classification_report(features.materialize(named, "augsight-predictions")))
+
+
+@register("batch_inference_plugin")
+def q_batch_inference_plugin(spark, d):
+    """The same report for a model that runs as a plug-in, in Arrow batches."""
     c = corpus(spark, d)
     train = _split_plain(spark, d).where(F.col("split") == "train")
     mapping = trainset.label_mapping(train)
@@ -705,9 +727,9 @@ def q_batch_missing_labels(spark, d):
 
 @register("filtered_group_box_stats")
 def q_filtered_group_box_stats(spark, d):
-    """Experiment analysis with a filter first: drop top-k decoding runs, then decoding groups."""
-    s = metrics.score_stats(cv_fold_scores(spark, d).where(~F.col("experiment").contains("top_k")))
-    m = metrics.tag_groups(s.select("experiment", "mean"), grouping="decoding")
+    """Experiment analysis with a filter first: drop the runs with the strongest smoothing, then groups by n-grams."""
+    s = metrics.score_stats(cv_fold_scores(spark, d).where(~F.col("experiment").endswith(".a1.0")))
+    m = metrics.tag_groups(s.select("experiment", "mean"), groups=EXPERIMENT_GROUPS["ngrams"], grouping="ngrams")
     b = metrics.box_stats(m, "mean", ["grouping", "group_name"])
     return _round(b, ("q25", "q50", "q75", "iqr", "whisker_low", "whisker_high"))
 
@@ -751,6 +773,97 @@ def q_kfold_assignment_compact(spark, d):
     return splits.fold_assignment(aug, K, CV_SEED)
 
 
+# --- learned abbreviations, dictionary at size, sentence graph -------------------------------
+
+@register("abbreviations")
+def q_abbreviations(spark, d):
+    """Words that the corpus nearly always follows with a full stop."""
+    return sentences.abbreviations(corpus(spark, d)).select("word", "n_stop", "n", F.round("score", 6).alias("score"))
+
+
+@register("abbreviation_sentences")
+def q_abbreviation_sentences(spark, d):
+    """Sentences of every text that do not end after a learned abbreviation."""
+    c = corpus(spark, d).select("id", "text")
+    found = features.materialize(sentences.abbreviations(c), "augsight-abbreviations")
+    split = sentences.split_sentences(c, found)
+    return split.select("id", F.size("sentences").alias("n_sentences"), F.md5(F.array_join("sentences", "\n")).alias("sentences_md5"))
+
+
+@register("augment_ranked")
+def q_augment_ranked(spark, d):
+    """The low-resource classes augmented with summaries by the graph of a text's sentences."""
+    gen = augment.generate_with(extract.rank_generator, VARIANTS)
+    return _date_str(augment.augment_corpus(corpus(spark, d), VARIANTS, LOW_RESOURCE_SHARE, generator=gen))
+
+
+@register("dictionary_translation")
+def q_dictionary_translation(spark, d):
+    """Every text with the words of the benchmark's dictionary replaced, whole words only."""
+    words = table(spark, d, "benchmark", "text").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9]+"), F.lit(0))).alias("w"))
+    entries = {r["w"]: f"<{r['w'][::-1]}>" for r in collect_small(words.distinct())}
+    translate = plugins.dictionary_translator(entries, whole_words=True)
+    c = corpus(spark, d)
+    return c.select("id", F.md5(plugins.translate_chunks("text", translate, 1 << 30)).alias("out_md5"))
+
+
+# --- files: outputs without a key, and what is written comes back ----------------------------
+
+def _folder(spark, name: str) -> str:
+    """A new folder below the checkpoint folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/augsight-{name}-{uuid.uuid4().hex}"
+
+
+@register("positional_generator")
+def q_positional_generator(spark, d):
+    """Texts that a generator wrote to files in the order of its inputs, without ids, attached by position."""
+    docs = spark.read.parquet(f"{d.rstrip('/')}/documents.parquet").select("doc_id", "text")
+    made = positions.with_positions(docs).select("position", tx.first_sentences("text", 1).alias("generated"))
+    path = _folder(spark, "generated")
+    positions.in_position_order(made).write.json(path)  # the generator's own files
+    both = positions.positional_join(docs, spark.read.schema("generated string").json(path))
+    return both.select(F.col("doc_id").cast("long").alias("id"), "generated")
+
+
+@register("csv_round_trip")
+def q_csv_round_trip(spark, d):
+    """The corpus as CSV with header and quotes, read back by name with its types."""
+    path = _folder(spark, "csv")
+    write_corpus(_date_str(corpus(spark, d)), path, fmt="csv")
+    back = read_corpus_csv(spark, path)
+    return back.select("id", "title", "text", "event_type", F.col("date").cast("string").alias("date"))
+
+
+@register("named_splits_round_trip")
+def q_named_splits_round_trip(spark, d):
+    """Splits written to a file set each, the second time skipped, and read back by name."""
+    sp = q_split_plain(spark, d)
+    paths = {name: _folder(spark, name) for name in SPLIT_NAMES}
+    for name, path in paths.items():
+        write_corpus(sp.where(F.col("split") == name).drop("split"), path)
+        write_corpus(sp.where("false").drop("split"), path, mode="ignore")
+    return named_splits(spark, paths)
+
+
+@register("score_dir_round_trip")
+def q_score_dir_round_trip(spark, d):
+    """Fold scores as one JSON document per experiment, read back."""
+    path = _folder(spark, "scores")
+    sc.write_score_dir(cv_fold_scores(spark, d), path)
+    return _round(sc.read_score_dir(spark, path))
+
+
+@register("report_files_comparison")
+def q_report_files_comparison(spark, d):
+    """Reports of two experiments in one JSON file, each found by its key, compared from the files, with parameters beside them."""
+    path = _folder(spark, "reports")
+    sc.write_json(metrics.classification_report(predictions(spark, d), by=["experiment"]), path)
+    write_params(spark, {"old": "title", "new": "text"}, path + ".params")
+    keys = spark.read.json(path + ".params").first()
+    old, new = (sc.navigate(spark.read.json(path), [keys[k]], ["experiment"]) for k in ("old", "new"))
+    return _round(metrics.compare_reports(old, new))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

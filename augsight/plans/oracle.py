@@ -390,6 +390,46 @@ SQL["rouge_summary"] = (
     + " SELECT CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END AS f FROM m)")
 
 
+# Union of longest common subsequences per reference line: rows of lengths forward, then one path back for each
+# pair of lines (equal tokens belong to it, else the candidate's token goes where only that keeps the length).
+LSUM = w(PAIRS).replace("WITH", "WITH RECURSIVE", 1) + f""",
+pl AS MATERIALIZED (SELECT conv_id, turn, ci, {TOKENS.format(c='line')} AS c FROM
+  (SELECT conv_id, turn, unnest(x) AS line, generate_subscripts(x, 1) AS ci FROM (SELECT conv_id, turn, string_split({normalised("prediction")}, chr(10)) AS x FROM pairs))),
+rl AS MATERIALIZED (SELECT conv_id, turn, ri, {TOKENS.format(c='line')} AS r FROM
+  (SELECT conv_id, turn, unnest(x) AS line, generate_subscripts(x, 1) AS ri FROM (SELECT conv_id, turn, string_split({normalised("reference")}, chr(10)) AS x FROM pairs))),
+lines AS MATERIALIZED (SELECT conv_id, turn, ri, ci, r, c FROM rl JOIN pl USING (conv_id, turn) WHERE list_has_any(r, c)),
+fw AS (SELECT conv_id, turn, ri, ci, r, c, 0 AS i, [list_transform(range(0, len(c) + 1), lambda x: 0)] AS t FROM lines
+       UNION ALL
+       SELECT conv_id, turn, ri, ci, r, c, i + 1,
+              list_append(t, list_transform(range(1, len(c) + 2), lambda j: greatest(t[i + 1][j], coalesce(list_max(list_transform(
+                  list_filter(range(2, CAST(j AS BIGINT) + 1), lambda p: c[p - 1] = r[i + 1]), lambda p: t[i + 1][p - 1] + 1)), 0))))
+       FROM fw WHERE i < len(r)),
+bw AS (SELECT conv_id, turn, ri, ci, r, c, t, CAST(len(r) AS BIGINT) AS i, CAST(len(c) AS BIGINT) AS j, CAST([] AS BIGINT[]) AS taken FROM fw WHERE i = len(r)
+       UNION ALL
+       SELECT conv_id, turn, ri, ci, r, c, t,
+              CASE WHEN r[i] = c[j] OR t[i + 1][j] <= t[i][j + 1] THEN i - 1 ELSE i END,
+              CASE WHEN r[i] = c[j] OR t[i + 1][j] > t[i][j + 1] THEN j - 1 ELSE j END,
+              CASE WHEN r[i] = c[j] THEN list_append(taken, i) ELSE taken END
+       FROM bw WHERE i > 0 AND j > 0),
+places AS (SELECT DISTINCT conv_id, turn, ri, r, unnest(taken) AS q FROM bw WHERE i = 0 OR j = 0),
+un AS (SELECT conv_id, turn, r[q] AS g, COUNT(*) AS n FROM places GROUP BY ALL),
+cp AS (SELECT conv_id, turn, g, COUNT(*) AS n FROM (SELECT conv_id, turn, unnest(c) AS g FROM pl) GROUP BY ALL),
+cr AS (SELECT conv_id, turn, g, COUNT(*) AS n FROM (SELECT conv_id, turn, unnest(r) AS g FROM rl) GROUP BY ALL),
+hit AS (SELECT conv_id, turn, SUM(least(un.n, cp.n, cr.n)) AS h FROM un JOIN cp USING (conv_id, turn, g) JOIN cr USING (conv_id, turn, g) GROUP BY ALL),
+np AS (SELECT conv_id, turn, SUM(n) AS n FROM cp GROUP BY ALL),
+nr AS (SELECT conv_id, turn, SUM(n) AS n FROM cr GROUP BY ALL),
+m AS (SELECT conv_id, turn, CASE WHEN np.n > 0 THEN coalesce(h, 0) / np.n ELSE 0.0 END AS p, CASE WHEN nr.n > 0 THEN coalesce(h, 0) / nr.n ELSE 0.0 END AS r
+      FROM pairs LEFT JOIN hit USING (conv_id, turn) LEFT JOIN np USING (conv_id, turn) LEFT JOIN nr USING (conv_id, turn))
+"""
+FMEASURE = "CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END"
+SQL["rouge_lsum"] = LSUM + f"""
+SELECT conv_id, turn, round(p, 6) AS precision, round(r, 6) AS recall, round({FMEASURE}, 6) AS fmeasure FROM m"""
+
+SQL["rouge_summary_all"] = " UNION ALL ".join(
+    f"SELECT '{name}' AS metric, round(AVG({FMEASURE}) * 100, 4) AS score FROM (" + chain + " SELECT p, r FROM m)"
+    for name, chain in (("rouge1", rouge_n_sql(1)), ("rouge2", rouge_n_sql(2)),
+                        ("rougeL", SQL["rouge_l"].rsplit("SELECT conv_id, turn, round(p, 6)", 1)[0]), ("rougeLsum", LSUM)))
+
 
 # --- M5: evaluation -------------------------------------------------------------------------
 
@@ -402,13 +442,6 @@ def rule(x: str) -> str:
     return "CASE " + " ".join(f"WHEN regexp_matches({x}, '{p}') THEN '{k}'" for k, p in CLASSES.items()) + " ELSE 'en' END"
 
 
-def hits_rule(x: str, weights: dict[str, int]) -> str:
-    """Class with most (weighted) hits over the whole text; ties in the order of the classes."""
-    n = {k: f"len(regexp_extract_all({x}, '{p}')) * {weights[k]}" for k, p in CLASSES.items()}
-    top = f"greatest({', '.join(n.values())})"
-    return (f"CASE WHEN {top} = 0 THEN 'en' " + " ".join(f"WHEN {v} = {top} THEN '{k}'" for k, v in n.items()) + " END")
-
-
 def report_ctes(src: str, by: str) -> str:
     """CTEs pc (per class) and report (long) over ``src`` (columns {by}, y_true, y_pred)."""
     return f"""
@@ -469,35 +502,52 @@ SELECT label, support, round(old, 6) AS old, round(new, 6) AS new, round(delta,
        CAST(ROW_NUMBER() OVER (ORDER BY support DESC, label) AS INTEGER) AS position
 FROM cmp WHERE metric = 'f1' AND label NOT IN ('accuracy', 'macro avg', 'weighted avg')"""
 
-EXPS = ", ".join(
-    f"('bart.{t}.{dec}.{sp}', {str(t == 'title').upper()}, {str(sp == 'spacytitle').upper()}, '{dec}')"
-    for t in ("title", "notitle") for dec in ("greedy", "beam", "top_k") for sp in ("spacytitle", "spacynotitle"))
+
+
+def naive_bayes(docs: str) -> str:
+    """CTE ``nb`` (run, a, fold, id, y_true, y_pred) of the models without a fold, over ``docs`` (run, id, fold, label, g).
+
+    A fold of null is in every training set and is not predicted.
+    """
+    return f"""
+tfs AS MATERIALIZED (SELECT run, id, fold, label, term, COUNT(*) AS tf FROM (SELECT run, id, fold, label, unnest(g) AS term FROM {docs}) GROUP BY ALL),
+fo AS (SELECT DISTINCT fold FROM {docs} WHERE fold >= 0),
+tc AS MATERIALIZED (SELECT run, fo.fold AS f, term, label, SUM(tf) AS n FROM tfs, fo WHERE tfs.fold <> fo.fold GROUP BY ALL),
+sz AS (SELECT run, f, COUNT(DISTINCT term) AS v FROM tc GROUP BY ALL),
+cn AS (SELECT run, f, label, SUM(n) AS n FROM tc GROUP BY ALL),
+cd AS (SELECT run, fo.fold AS f, label, COUNT(*) AS d FROM {docs} x, fo WHERE x.fold <> fo.fold GROUP BY ALL),
+pr AS (SELECT *, SUM(d) OVER (PARTITION BY run, f) AS all_d FROM cd),
+par AS (SELECT run, f, label, a, ln(CAST(d AS DOUBLE) / CAST(all_d AS DOUBLE)) AS prior, CAST(coalesce(cn.n, 0) AS DOUBLE) + a * sz.v AS denominator
+        FROM pr JOIN sz USING (run, f) LEFT JOIN cn USING (run, f, label), (VALUES (CAST(0.01 AS DOUBLE)), (CAST(0.1 AS DOUBLE)), (CAST(1.0 AS DOUBLE))) s(a)),
+known AS (SELECT t.run, t.id, t.fold, t.term, t.tf FROM tfs t WHERE EXISTS (SELECT 1 FROM tc WHERE tc.run = t.run AND tc.f = t.fold AND tc.term = t.term)),
+len AS (SELECT run, id, SUM(tf) AS len FROM known GROUP BY ALL),
+gain AS (SELECT k.run, k.id, tc.label, a, SUM(k.tf * ln((tc.n + a) / a)) AS gain
+         FROM known k JOIN tc ON tc.run = k.run AND tc.f = k.fold AND tc.term = k.term, (VALUES (CAST(0.01 AS DOUBLE)), (CAST(0.1 AS DOUBLE)), (CAST(1.0 AS DOUBLE))) s(a) GROUP BY ALL),
+nb AS (SELECT x.run, par.a, x.fold, x.id, x.label AS y_true, par.label AS y_pred
+       FROM {docs} x JOIN par ON par.run = x.run AND par.f = x.fold LEFT JOIN len ON len.run = x.run AND len.id = x.id
+       LEFT JOIN gain ON gain.run = x.run AND gain.id = x.id AND gain.label = par.label AND gain.a = par.a
+       QUALIFY ROW_NUMBER() OVER (PARTITION BY x.run, par.a, x.id
+         ORDER BY prior + coalesce(len.len, 0) * ln(par.a / denominator) + coalesce(gain, 0) DESC, par.label) = 1)"""
+
 
 CV = f"""
 kf AS (SELECT id, CAST((ROW_NUMBER() OVER (ORDER BY event_type, {hkey(18091999)}, id) - 1) % 5 AS INTEGER) AS fold
        FROM corpus),
-exps AS (SELECT * FROM (VALUES {EXPS}) e(experiment, use_title, lead, rule)),
-v AS (SELECT e.experiment, kf.fold, c.event_type AS y_true,
-             CASE WHEN e.use_title THEN concat_ws('. ', c.title, b.body) ELSE b.body END AS view, e.rule
-      FROM corpus c JOIN kf USING (id), exps e,
-           LATERAL (SELECT CASE WHEN e.lead THEN c.text ELSE substring(c.text, length(c.title) + 2) END AS body) b),
-cvp AS (SELECT experiment, fold, y_true,
-               CASE rule WHEN 'greedy' THEN {rule('view')} WHEN 'beam' THEN {hits_rule('view', dict(de=1, es=1, fr=1))}
-                         ELSE {hits_rule('view', dict(de=2, es=3, fr=1))} END AS y_pred FROM v)"""
+bodies AS (SELECT id, event_type, fold, title, substring(text, length(title) + 2) AS body FROM corpus JOIN kf USING (id)),
+views AS (SELECT 'nb.title' AS view, id, fold, event_type AS label, {TOKENS.format(c="concat_ws('. ', title, body)")} AS t FROM bodies
+          UNION ALL SELECT 'nb.notitle', id, fold, event_type, {TOKENS.format(c='body')} FROM bodies),
+nd AS MATERIALIZED (SELECT view || '.n1' AS run, id, fold, label, t AS g FROM views
+       UNION ALL SELECT view || '.n2', id, fold, label, list_concat(t, {grams('t', 2)}) FROM views),{naive_bayes('nd')},
+cvp AS (SELECT run || '.a' || CAST(a AS VARCHAR) AS experiment, fold, y_true, y_pred FROM nb)"""
 
 SCORES = CV + "," + report_ctes("cvp", "experiment, fold") + """,
 scores AS (SELECT experiment, fold, f1 AS score FROM report WHERE label = 'macro avg'),
 st AS (SELECT experiment, COUNT(*) AS n_folds, AVG(score) AS mean, var_pop(score) AS var,
               stddev_pop(score) AS std FROM scores GROUP BY experiment),
 groups AS (
-  SELECT 'title' AS grouping, g.name AS group_name, st.experiment, st.mean FROM st
-  JOIN (VALUES ('BOTH_TITLES', '.title', 'spacytitle'), ('TITLE_SUMMARY_ONLY', '.title', 'spacynotitle'),
-               ('TITLE_SPACY_ONLY', '.notitle', 'spacytitle'), ('NO_TITLES', '.notitle', 'spacynotitle')) g(name, a, b)
-    ON contains(st.experiment, g.a) AND contains(st.experiment, g.b)
-  UNION ALL
-  SELECT 'decoding', g.name, st.experiment, st.mean FROM st
-  JOIN (VALUES ('greedy'), ('beam'), ('contrastive'), ('top_p'), ('top_k')) g(name)
-    ON contains(st.experiment, g.name))"""
+  SELECT g.grouping, g.name AS group_name, st.experiment, st.mean FROM st
+  JOIN (VALUES ('title', 'TITLE', '.title.'), ('title', 'NO_TITLE', '.notitle.'), ('ngrams', 'n1', '.n1.'), ('ngrams', 'n2', '.n2.')) g(grouping, name, tag)
+    ON contains(st.experiment, g.tag))"""
 
 SQL["cv_fold_scores"] = w(CORPUS) + "," + SCORES + """
 SELECT experiment, fold, round(score, 6) AS score FROM scores"""
@@ -570,9 +620,12 @@ ka AS (SELECT conv_id || '-' || turn AS k FROM pairs),
 ab AS (SELECT k, (ROW_NUMBER() OVER (ORDER BY {hkey(42, 'k')}, k) - 1) // 8 AS batch FROM ka),
 nb AS (SELECT ((SELECT COUNT(*) FROM ka) + 7) // 8 AS na, ((SELECT COUNT(*) FROM corpus) + 63) // 64 AS nbb),
 cyc AS (SELECT range AS cycle FROM range(0, (SELECT (na + nbb - 1) // nbb FROM nb))),
-bb AS (SELECT cycle, id, (ROW_NUMBER() OVER (PARTITION BY cycle
-                            ORDER BY md5('42:' || CAST(cycle AS VARCHAR) || ':' || CAST(id AS VARCHAR)), CAST(id AS VARCHAR)) - 1) // 64 AS batch
-       FROM corpus, cyc)
+num AS (SELECT id, ROW_NUMBER() OVER (ORDER BY {hkey(42, 'CAST(id AS VARCHAR)')}, CAST(id AS VARCHAR)) - 1 AS x, COUNT(*) OVER () AS n FROM corpus),
+-- 24 rounds that swap x with K - x modulo n, or not, by a hash of the larger one.
+bb AS (SELECT cycle, id, list_reduce(range(0, 24), lambda x, r: CASE
+         WHEN md5('b:42:' || cycle || ':' || r || ':' || greatest(x, (CAST('0x' || md5('k:42:' || cycle || ':' || r)[1:15] AS BIGINT) % n + n - x) % n))[1:1] >= '8'
+         THEN (CAST('0x' || md5('k:42:' || cycle || ':' || r)[1:15] AS BIGINT) % n + n - x) % n ELSE x END, x) // 64 AS batch
+       FROM num, cyc)
 SELECT 2 * batch + 1 AS step, 'A' AS task, CAST(0 AS BIGINT) AS cycle, batch, k AS key FROM ab
 UNION ALL
 SELECT 2 * (cycle * (SELECT nbb FROM nb) + batch) + 2, 'B', cycle, batch, CAST(id AS VARCHAR)
@@ -624,7 +677,16 @@ SQL["translate_plugin"] = SQL["chunk_rejoin"]
 INFER = f"""
 ip AS (SELECT event_type AS y_true, {rule('text')} AS y_pred, 1 AS one FROM corpus)"""
 
-SQL["batch_inference_report"] = w(CORPUS, INFER, report_ctes("ip", "one")) + """
+SQL["batch_inference_plugin"] = w(CORPUS, INFER, report_ctes("ip", "one")) + """
+SELECT label, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support
+FROM report"""
+
+# Fold -1 is the train split; the model without fold 0 is fitted on it alone and predicts every text, as fold 0.
+SQL["batch_inference_report"] = w(CORPUS) + f""",
+sp AS (SELECT id, ROW_NUMBER() OVER (ORDER BY {hkey(42)}, id) - 1 AS r, COUNT(*) OVER () AS n FROM corpus),
+own AS (SELECT id, event_type AS label, {TOK} AS g, r < floor({F1} * n) AS train FROM corpus JOIN sp USING (id)),
+nd AS MATERIALIZED (SELECT 'nb' AS run, id, 0 AS fold, label, g FROM own UNION ALL SELECT 'nb', id, -1, label, g FROM own WHERE train),{naive_bayes('nd')},
+ip AS (SELECT y_true, y_pred, 1 AS one FROM nb WHERE a = 1),{report_ctes("ip", "one")}
 SELECT label, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support
 FROM report"""
 
@@ -654,8 +716,8 @@ SELECT b.batch, l.event_type FROM (SELECT DISTINCT batch FROM bt) b, (SELECT DIS
 WHERE NOT EXISTS (SELECT 1 FROM bt x WHERE x.batch = b.batch AND x.event_type = l.event_type)"""
 
 SQL["filtered_group_box_stats"] = w(CORPUS) + "," + SCORES.replace(
-    "FROM scores GROUP BY experiment)", "FROM scores WHERE NOT contains(experiment, 'top_k') GROUP BY experiment)") + """,
-dg AS (SELECT * FROM groups WHERE grouping = 'decoding'),
+    "FROM scores GROUP BY experiment)", "FROM scores WHERE NOT ends_with(experiment, '.a1.0') GROUP BY experiment)") + """,
+dg AS (SELECT * FROM groups WHERE grouping = 'ngrams'),
 q AS (SELECT grouping, group_name, quantile_cont(mean, 0.25) AS q25, quantile_cont(mean, 0.5) AS q50,
              quantile_cont(mean, 0.75) AS q75 FROM dg GROUP BY ALL),
 qi AS (SELECT *, q75 - q25 AS iqr FROM q)
@@ -697,5 +759,72 @@ SELECT id, FALSE AS is_augmented, fold AS test_fold FROM f
 UNION ALL SELECT id, TRUE, src_fold FROM a"""
 
 
+WORD = r"""[^\s.,;:!?()"]+(\.[^\s.,;:!?()"]+)*\.?"""
+ABBREVIATIONS = rf"""
+aw AS (SELECT unnest(regexp_extract_all(text, '{WORD}')) AS x FROM corpus),
+ac AS (SELECT lower(regexp_replace(x, '\.$', '')) AS word, COUNT(*) FILTER (WHERE ends_with(x, '.')) AS n_stop, COUNT(*) AS n FROM aw GROUP BY 1),
+tot AS (SELECT CAST(SUM(n_stop) AS DOUBLE) / CAST(SUM(n) AS DOUBLE) AS share FROM ac),
+al AS (SELECT word, n_stop, n, length(word) - length(replace(word, '.', '')) AS inside, share FROM ac, tot
+       WHERE n_stop > 0 AND share < 1 AND NOT regexp_full_match(word, '[0-9.]+')),
+ab AS (SELECT word, n_stop, n,
+         -2 * (n_stop * ln(share) + (n - n_stop) * ln(1 - share) - n_stop * ln(CAST(0.99 AS DOUBLE)) - (n - n_stop) * ln(1 - CAST(0.99 AS DOUBLE)))
+         * exp(-CAST(length(word) - inside AS DOUBLE)) * (inside + 1) * pow(CAST(length(word) - inside AS DOUBLE), -CAST(n - n_stop AS DOUBLE)) AS score FROM al),
+abbr AS (SELECT * FROM ab WHERE score >= 0.3)"""
+
+SQL["abbreviations"] = w(CORPUS, ABBREVIATIONS) + """
+SELECT word, n_stop, n, round(score, 6) AS score FROM abbr"""
+
+SQL["abbreviation_sentences"] = w(CORPUS, ABBREVIATIONS) + rf""",
+sp AS (SELECT id, {SENTS.format(c='text')} AS ss FROM corpus),
+pc AS (SELECT id, unnest(ss) AS piece, generate_subscripts(ss, 1) AS pos FROM sp),
+lw AS (SELECT *, lower(regexp_extract(piece, '([^\s.,;:!?()"]+(\.[^\s.,;:!?()"]+)*)\.$', 1)) AS last_word FROM pc),
+op AS (SELECT id, pos, piece, CASE WHEN lag(last_word) OVER (PARTITION BY id ORDER BY pos) IN (SELECT word FROM abbr) THEN 0 ELSE 1 END AS opens FROM lw),
+sn AS (SELECT id, pos, piece, SUM(opens) OVER (PARTITION BY id ORDER BY pos) AS s FROM op),
+se AS (SELECT id, s, string_agg(piece, ' ' ORDER BY pos) AS t FROM sn GROUP BY id, s)
+SELECT id, CAST(COUNT(*) AS INTEGER) AS n_sentences, md5(string_agg(t, chr(10) ORDER BY s)) AS sentences_md5 FROM se GROUP BY id"""
+
+# Ranks of the sentences of the low-resource texts: 20 rounds, then three picks, each less half the greatest cosine with earlier ones.
+RANKS = f"""
+lr AS MATERIALIZED (SELECT id, {SENTS.format(c='text')} AS ss FROM corpus WHERE event_type IN (SELECT event_type FROM lowres)),
+st AS MATERIALIZED (SELECT id, generate_subscripts(ss, 1) AS s, unnest(ss) AS t, len(ss) AS n FROM lr),
+tk AS (SELECT id, s, unnest({TOKENS.format(c='t')}) AS g FROM st),
+ct AS (SELECT id, s, g, COUNT(*) AS c FROM tk GROUP BY ALL),
+wt AS MATERIALIZED (SELECT id, s, g, c / sqrt(SUM(c * c) OVER (PARTITION BY id, s)) AS w FROM ct),
+cs AS (SELECT id, g, SUM(w) AS x FROM wt GROUP BY id, g),
+dg AS MATERIALIZED (SELECT id, s, SUM(w * x) AS d FROM wt JOIN cs USING (id, g) GROUP BY id, s),
+p0 AS (SELECT id, s, n, CAST(1 AS DOUBLE) / n AS p FROM st),""" + ",".join(f"""
+z{i} AS (SELECT id, g, SUM(w * p / d) AS z FROM wt JOIN p{i} USING (id, s) JOIN dg USING (id, s) GROUP BY id, g),
+v{i} AS (SELECT id, s, SUM(w * z) AS v FROM wt JOIN z{i} USING (id, g) GROUP BY id, s),
+p{i + 1} AS MATERIALIZED (SELECT id, s, n, (1 - CAST(0.85 AS DOUBLE)) / n + CAST(0.85 AS DOUBLE) * coalesce(v, 0) AS p FROM p{i} LEFT JOIN v{i} USING (id, s))""" for i in range(20)) + """,
+k0 AS (SELECT id, s, p * n AS r, CAST(0 AS DOUBLE) AS near FROM p20),""" + ",".join(f"""
+b{i} AS MATERIALIZED (SELECT id, s FROM k{i} QUALIFY ROW_NUMBER() OVER (PARTITION BY id ORDER BY round(r - 0.5 * near, 9) DESC, s) = 1),
+c{i} AS (SELECT x.id, x.s, SUM(x.w * y.w) AS c FROM wt x JOIN b{i} ON b{i}.id = x.id JOIN wt y ON y.id = b{i}.id AND y.s = b{i}.s AND y.g = x.g GROUP BY x.id, x.s),
+k{i + 1} AS MATERIALIZED (SELECT k{i}.id, k{i}.s, r, greatest(near, coalesce(c, 0)) AS near FROM k{i} LEFT JOIN c{i} USING (id, s) ANTI JOIN b{i} USING (id, s))""" for i in range(3)) + """,
+pk AS (SELECT id, s, 0 AS j FROM b0 UNION ALL SELECT id, s, 1 FROM b1 UNION ALL SELECT id, s, 2 FROM b2),
+rv AS (SELECT pk.id, v.j, string_agg(t, ' ' ORDER BY pk.s) AS generated FROM pk JOIN st USING (id, s), (VALUES (0), (1), (2)) v(j) WHERE pk.j <= v.j GROUP BY pk.id, v.j)"""
+
+SQL["augment_ranked"] = w(CORPUS, COUNTS, RANKS) + """,
+orig AS (SELECT ROW_NUMBER() OVER (ORDER BY id) - 1 AS nid, * FROM corpus),
+src AS (SELECT *, ROW_NUMBER() OVER (ORDER BY nid) - 1 AS srank FROM orig WHERE event_type IN (SELECT event_type FROM lowres))
+SELECT nid AS id, title, text, event_type, CAST(date AS VARCHAR) AS date, CAST(NULL AS BIGINT) AS source_doc_id FROM orig
+UNION ALL
+SELECT (SELECT COUNT(*) FROM orig) + srank * 3 + j, title, generated, event_type, CAST(date AS VARCHAR), nid FROM src JOIN rv USING (id)"""
+
+SQL["dictionary_translation"] = w(CORPUS) + """,
+entries AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z0-9]+')) AS e FROM benchmark),
+runs AS (SELECT id, regexp_extract_all(text, '[A-Za-z0-9]+|[^A-Za-z0-9]+') AS x FROM corpus),
+pieces AS (SELECT id, unnest(x) AS p, generate_subscripts(x, 1) AS place FROM runs)
+SELECT c.id, md5(coalesce(string_agg(CASE WHEN e IS NULL THEN p ELSE '<' || reverse(p) || '>' END, '' ORDER BY place), '')) AS out_md5
+FROM corpus c LEFT JOIN pieces USING (id) LEFT JOIN entries ON p = e GROUP BY c.id"""
+
+SQL["positional_generator"] = f"""
+SELECT CAST(doc_id AS BIGINT) AS id, array_to_string({SENTS.format(c='text')}[1:1], ' ') AS generated FROM documents"""
+
+SQL["csv_round_trip"] = SQL["corpus"]
+SQL["named_splits_round_trip"] = SQL["split_plain"]
+SQL["score_dir_round_trip"] = SQL["cv_fold_scores"]
+SQL["report_files_comparison"] = SQL["report_comparison"]
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)

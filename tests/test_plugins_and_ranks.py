@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from augsight.functions.keys import hash_key
-from augsight.operators import augment, classify, features, imbalance, plugins, ranks, rouge, splits, trainset
+from augsight.operators import augment, features, imbalance, plugins, ranks, rouge, splits, svm, trainset
 from augsight.plans import jobs
 from augsight.sources import scores as sc
 from augsight.sources.corpus import corpus, named_splits, read_corpus_csv, write_corpus
@@ -203,12 +203,11 @@ def test_job_runs_its_model_once(spark, tmp_path):
 def test_svm_features_are_the_tfidf_table(spark):
     rows = [(i, [f"t{(i * j) % 7}" for j in range(1, 9)]) for i in range(25)] + [(99, [])]
     docs = spark.createDataFrame(rows, "id long, tokens array<string>")
-    weights, _, _ = features.tfidf(docs, min_df=2, max_df=0.9)
-    want = {(r["id"], r["term"]): r["weight"] for r in weights.collect()}
-    model = classify.TfidfModel(docs, "tokens", min_df=2, max_df=0.9)
-    got = {}
-    for r in model.transform(docs).collect():
-        got |= {(r["id"], model.counter.vocabulary[i]): v for i, v in zip(r["features"].indices, r["features"].values)}
+    want = {(r["id"], r["term"]): r["weight"] for r in features.tfidf(docs, min_df=2, max_df=0.9)[0].collect()}
+    members = docs.select(F.lit(0).alias("model"), F.lit("train").alias("role"), "id")
+    tf = features.term_frequencies(docs)
+    vocab = svm.numbered(svm.training_idf(tf, members, 2, 0.9), 2)
+    got = {(r["id"], r["term"]): r["weight"] for r in svm.weights(tf, members, vocab).join(vocab, ["model", "block", "place"]).collect()}
     assert got.keys() == want.keys()
     assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
