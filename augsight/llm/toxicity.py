@@ -44,6 +44,8 @@ TRAIN_ROWS = 20_000
 TERMS, LEAST_LLR = 4096, 12.0
 #: Pairs whose words are kept, words between two of a pair at most, least ratio beyond that of its words, least rows of a word.
 PAIRS, WINDOW, LEAST_PAIR_LLR, LEAST_ROWS = 512, 8, 30.0, 8
+#: Rows that pairs are looked for in, about: those with the smallest hashes of the rows that the machine is fitted on.
+PAIR_ROWS = 5_000
 FACTORS = 4
 EPOCHS, RATE, DECAY = 400, 0.1, 1e-3
 #: A text is called toxic from this score.
@@ -77,9 +79,9 @@ def _labelled_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         new[1:] = (term[1:] != term[:-1]) | (doc[1:] != doc[:-1])
         ends = np.searchsorted(doc[new], np.arange(part.num_rows + 1))
         yield pa.RecordBatch.from_arrays(
-            [part.column("toxic"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(signed(term[new]))),
+            [part.column("toxic"), part.column("place"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(signed(term[new]))),
              pa.ListArray.from_arrays(pa.array(words.first, pa.int32()), pa.array(signed(words.hash)))],
-            ["toxic", "terms", "words"])
+            ["toxic", "place", "terms", "words"])
 
 
 def _near_pairs(frequent: bytes):
@@ -172,8 +174,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine |
     marked = (labels.filter("toxic in (0, 1) and doc_id is not null").filter(~held_out(F.col("doc_id")))
               .select("doc_id", F.col("toxic").cast("int").alias("toxic")))
     sample = F.broadcast(bounded_sample(marked, "doc_id", rows).groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
-    texts = docs.select("doc_id", "text").join(sample, "doc_id").select("toxic", "text")
-    listed = staged(texts.mapInArrow(_labelled_terms, "toxic int, terms array<long>, words array<long>"), "labelled_terms")
+    texts = docs.select("doc_id", "text").join(sample, "doc_id").select("toxic", "text", F.shiftrightunsigned(F.xxhash64("doc_id"), 2).alias("place"))
+    listed = staged(texts.mapInArrow(_labelled_terms, "toxic int, place long, terms array<long>, words array<long>"), "labelled_terms")
     n = {r["toxic"]: r["n"] for r in listed.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(n) < 2:
         return None
@@ -183,9 +185,13 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine |
     best = (counts.filter((F.col("llr") >= LEAST_LLR) & (F.col("a") * zero > F.col("b") * one))
             .orderBy(F.desc("llr"), "term").limit(TERMS).select("term").collect())
     frequent = bitmap(counts.filter(F.col("a") + F.col("b") >= LEAST_ROWS), "term")
-    pairs = _by_label(listed.select("toxic", "words").mapInArrow(_near_pairs(frequent), "toxic int, x long, y long"), "x", "y")
-    pairs = pairs.filter(F.col("a") + F.col("b") >= LEAST_ROWS).withColumn("llr", _ratio(one, zero)).filter(F.col("llr") >= LEAST_PAIR_LLR)
-    own = lambda c: counts.select(F.col("term").alias(c), F.col("llr").alias(f"llr_{c}"))
+    some = listed.filter(F.col("place") < int(min(1.0, PAIR_ROWS / (one + zero)) * (1 << 62))).select("toxic", "words")
+    n = {r["toxic"]: float(r["n"]) for r in some.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    seen_one, seen_zero = n.get(1, 1.0), n.get(0, 1.0)
+    part = (seen_one + seen_zero) / (one + zero)  # a ratio grows with the rows
+    pairs = _by_label(some.mapInArrow(_near_pairs(frequent), "toxic int, x long, y long"), "x", "y")
+    pairs = pairs.filter(F.col("a") + F.col("b") >= LEAST_ROWS).withColumn("llr", _ratio(seen_one, seen_zero)).filter(F.col("llr") >= LEAST_PAIR_LLR)
+    own = lambda c: counts.select(F.col("term").alias(c), (F.col("llr") * part).alias(f"llr_{c}"))
     beyond = F.col("llr") - F.col("llr_x") - F.col("llr_y")
     together = (pairs.join(own("x"), "x").join(own("y"), "y").withColumn("beyond", beyond).filter(F.col("beyond") >= LEAST_PAIR_LLR)
                 .orderBy(F.desc("beyond"), "x", "y").limit(PAIRS).select("x", "y").collect())
