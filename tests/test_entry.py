@@ -5,6 +5,8 @@ import shutil
 import subprocess
 import sys
 
+import pytest
+
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
@@ -24,8 +26,9 @@ def copied(tmp_path, without=()):
     return folder
 
 
-def test_import_without_training_data_package(tmp_path):
-    out = names(copied(tmp_path, without=("llm", "corpus_pipeline.py")))
+@pytest.mark.parametrize("without", [("llm", "corpus_pipeline.py"), ("llm",)])
+def test_import_without_training_data_package(tmp_path, without):
+    out = names(copied(tmp_path, without=without))
     assert out.returncode == 0, out.stderr
     queries, oracle = (set(line.split()) for line in out.stdout.strip().splitlines()[-2:])
     assert "tfidf" in queries and oracle < queries
