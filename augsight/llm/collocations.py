@@ -11,7 +11,9 @@ which it came to ``least`` is kept, in an array of a fixed number of slots
 that goes to every task.  Two names that share a slot can only start a phrase
 early; it still sees every shard once, so its count is whole.
 
-Counts are kept by 64-bit names.  At the end the phrases with ``least`` or
+Counts are kept by 64-bit names, as sorted tables of ranges of names: a scan
+sends a task's counts on as one row for each range, and rows of one range are
+merged, a range being sized so that a task holds it.  At the end the phrases with ``least`` or
 more are spelled out and counted by their spelling in one more scan, so two
 phrases with one name cannot add up.
 
@@ -27,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from augsight.llm import grams
@@ -44,6 +46,8 @@ SHARE = 50
 SHARDS = 3
 #: Slots of the two arrays of scans, one byte each: a power of two near a 64th of the bytes of all texts, within these.
 SLOTS = (1 << 20, 1 << 26)
+#: A range of names stands for 2 to this many bytes of text (up to 2^24 ranges).
+BUCKET_BYTES = 21
 _NEVER = 255
 
 _SPLIT = np.zeros(256, bool)
@@ -69,16 +73,47 @@ class _Slice:
         self.whole = [np.ones(m, bool), near[:m - 1 if m else 0], (near[1:] & near[:-1]) if m > 2 else np.empty(0, bool)]
 
 
-def _scan(step: int, shards: int, seen: list[np.ndarray]):
+def _packed(x: np.ndarray) -> bytes:
+    """Numbers byte plane by byte plane, without the planes that are zero; the first byte counts the planes."""
+    width = max(1, (int(x.max()).bit_length() + 7) // 8)
+    return bytes([width]) + x.astype(np.uint64).view(np.uint8).reshape(-1, 8).T[:width].tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(raw, np.uint8, offset=1).reshape(raw[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :len(planes)] = planes.T
+    return out.view(np.uint64).ravel()
+
+
+def _tables(n: int, g: int, bits: int, names: np.ndarray, counts: np.ndarray, reached: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """A row for each range of names: the gaps between the sorted names, their counts, the scan in which each came to the threshold."""
+    if not len(names):
+        return
+    bucket = (names >> np.uint64(64 - bits)).astype(np.int64)
+    cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+    ends = np.append(cuts[1:], len(names))
+    yield pa.RecordBatch.from_pydict({
+        "n": pa.array(np.full(len(cuts), n, np.int8)), "g": pa.array(np.full(len(cuts), g, np.int16)), "bucket": pa.array(bucket[cuts].astype(np.int32)),
+        "names": pa.array([names[lo].tobytes() + _packed(np.diff(names[lo:hi], prepend=names[lo])) for lo, hi in zip(cuts, ends)], pa.binary()),
+        "counts": pa.array([_packed(counts[lo:hi]) for lo, hi in zip(cuts, ends)], pa.binary()),
+        "reached": pa.array([None if reached is None else reached[lo:hi].tobytes() for lo, hi in zip(cuts, ends)], pa.binary())})
+
+
+_TABLES = "n byte, g short, bucket int, names binary, counts binary, reached binary"
+
+
+def _table(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    names = np.cumsum(_unpacked(row["names"][8:]), dtype=np.uint64) + np.frombuffer(row["names"], np.uint64, 1)
+    reached = np.full(len(names), _NEVER, np.uint8) if row["reached"] is None else np.frombuffer(row["reached"], np.uint8)
+    return names, _unpacked(row["counts"]).astype(np.int64), reached
+
+
+def _scan(step: int, shards: int, bits: int, seen: list[np.ndarray]):
     """Counts of one scan: words in the first cycle, and the phrases whose generation is counted in this step."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salts: dict[str, int] = {}
         sums: dict[tuple[int, int], grams.Sums] = {}
-
-        def sent(n: int, g: int) -> Iterator[pa.RecordBatch]:
-            keys, counts = sums[n, g].rest()
-            yield from grams.rows({"n": np.full(len(keys), n, np.int8), "g": np.full(len(keys), g, np.int16), "key": keys, "c": counts})
-
         for part, data, bounds in slices(batches):
             s = _Slice(part, data, bounds, salts)
             if step < shards:
@@ -91,17 +126,61 @@ def _scan(step: int, shards: int, seen: list[np.ndarray]):
                 on = s.whole[n - 1] & (start <= step) & (step < start + shards)
                 for g in np.unique(start[on]).tolist():
                     sums.setdefault((n, g), grams.Sums()).add(s.names[n - 1][on & (start == g)])
-            for (n, g), x in list(sums.items()):
+            for (n, g), x in sums.items():
                 if x.ready():
-                    yield from sent(n, g)
-        for n, g in sums:
-            yield from sent(n, g)
+                    yield from _tables(n, g, bits, *x.rest())
+        for (n, g), x in sums.items():
+            yield from _tables(n, g, bits, *x.rest())
     return run
 
 
-def _slots(docs: DataFrame) -> int:
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0] >> 6
-    return min(max(SLOTS[0], 1 << max(0, size - 1).bit_length()), SLOTS[1])
+def _merge(step: int, least: int, bits: int):
+    """One row for each length, generation and range of names, from rows sorted by them."""
+    def merged(key: tuple, rows: list) -> Iterator[pa.RecordBatch]:
+        names, counts, reached = (np.concatenate(x) for x in zip(*map(_table, rows)))
+        order = np.argsort(names)
+        names = names[order]
+        first = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
+        counts, reached = np.add.reduceat(counts[order], first), np.minimum.reduceat(reached[order], first)
+        reached[(reached == _NEVER) & (counts >= least)] = step
+        yield from _tables(key[0], key[1], bits, names[first], counts, reached)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, []
+        for batch in batches:
+            for row in batch.to_pylist():
+                own = row["n"], row["g"], row["bucket"]
+                if own != key:
+                    if rows:
+                        yield from merged(key, rows)
+                    key, rows = own, []
+                rows.append(row)
+        if rows:
+            yield from merged(key, rows)
+    return run
+
+
+def _names(wanted):
+    """Names of the tables for which ``wanted(counts, reached)`` holds."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                names, counts, reached = _table(row)
+                names = names[wanted(counts, reached)]
+                yield from grams.rows({"n": np.full(len(names), row["n"], np.int8), "key": names})
+    return run
+
+
+def _bytes(docs: DataFrame) -> int:
+    return docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+
+
+def _came(step: int):
+    return lambda counts, reached: reached == step
+
+
+def _enough(least: int):
+    return lambda counts, reached: counts >= least
 
 
 def dealt(docs: DataFrame, shards: int) -> DataFrame:
@@ -118,23 +197,31 @@ def frequent(parts: DataFrame, least: int, shards: int) -> DataFrame:
 
     Two phrases that share a name count as one here.
     """
-    slots = _slots(parts)
+    size = _bytes(parts)
+    slots = min(max(SLOTS[0], 1 << max(0, (size >> 6) - 1).bit_length()), SLOTS[1])
+    bits = min(max(4, size.bit_length() - BUCKET_BYTES), 24)
     seen = [np.full(slots, _NEVER, np.uint8) for _ in range(2)]
-    state, found, step, latest = None, [], 0, 0
+    state, found, step, latest, old = None, [], 0, 0, None
     while step < shards or step < latest + shards + 1:
         rows = (parts.filter(F.col("shard") == step % shards).select("text", "lang")
-                .mapInArrow(_scan(step, shards, seen), "n byte, g short, key long, c long")
-                .withColumn("reached", F.lit(None).cast("short")))
+                .mapInArrow(_scan(step, shards, bits, seen), _TABLES))
         if state is not None:
             rows = rows.unionByName(state.filter(F.col("g") > step - shards))
-        total = rows.groupBy("n", "g", "key").agg(F.sum("c").alias("c"), F.min("reached").alias("reached"))
-        state = staged(total.withColumn("reached", F.coalesce("reached", F.when(F.col("c") >= least, F.lit(step).cast("short")))), "counts")
+        rows = rows.repartition("n", "g", "bucket").sortWithinPartitions("n", "g", "bucket")
+        path = scratch(parts.sparkSession, "counts")
+        rows.mapInArrow(_merge(step, least, bits), _TABLES).write.parquet(path)
+        state = parts.sparkSession.read.schema(_TABLES).parquet(path)
         for n in (1, 2):
-            new = np.unpackbits(np.frombuffer(bitmap(state.filter((F.col("n") == n) & (F.col("reached") == step)), "key", slots), np.uint8), bitorder="little").view(bool)
+            new = state.filter(F.col("n") == n).mapInArrow(_names(_came(step)), "n byte, key long")
+            new = np.unpackbits(np.frombuffer(bitmap(new, "key", slots), np.uint8), bitorder="little").view(bool)
             if new.any():
                 latest = step
                 seen[n - 1][new & (seen[n - 1] == _NEVER)] = step
-        found.append(state.filter((F.col("g") == step - shards + 1) & (F.col("c") >= least)).select("n", "key"))
+        done = state.filter(F.col("g") == step - shards + 1)
+        found.append(staged(done.mapInArrow(_names(_enough(least)), "n byte, key long"), "names"))
+        if old:  # its rows are in the table that was just written
+            _delete(parts.sparkSession, old)
+        old = path
         step += 1
     out = found[0]
     for more in found[1:]:
@@ -142,6 +229,17 @@ def frequent(parts: DataFrame, least: int, shards: int) -> DataFrame:
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    """Remove a table of this operator that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def _larger(parts: DataFrame) -> DataFrame:
+    """The same rows in a quarter of the partitions, but at least one for each core: a task sums more before it sends."""
+    return parts.coalesce(max(parts.sparkSession.sparkContext.defaultParallelism, parts.rdd.getNumPartitions() // 4))
+
+
 def _spell(filters: list[np.ndarray]):
     """Spelling and count of the phrases whose names a filter lets pass, and the number of words of each language (n = 0)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +263,7 @@ def _spell(filters: list[np.ndarray]):
                 at = np.flatnonzero(s.whole[n - 1] & in_bitmap(table, names)) if len(names) else np.empty(0, np.int64)
                 own, place, counts = grams.unique_counts(names[at])
                 first = at[place]
-                sums[n - 1].add(own, counts, lang[s.words.doc[first]], spelled.phrases(first, n))
+                sums[n - 1].add(own, counts, lang[s.words.doc[first]], lambda new, first=first, n=n: spelled.phrases(first[new], n))
                 if sums[n - 1].ready():
                     yield from sent(n)
         for n in range(1, len(filters) + 1):
@@ -179,14 +277,14 @@ def _spell(filters: list[np.ndarray]):
 def phrase_counts(docs: DataFrame, least: int = LEAST, shards: int = SHARDS) -> DataFrame:
     """``(n, lang, phrase, f)`` of all phrases of 1 to 3 words with ``least`` occurrences; n = 0: all words of a language."""
     parts = dealt(docs, shards)
-    names = staged(frequent(parts, least, shards), "names")
+    names = frequent(parts, least, shards)
     filters = []
     for n in range(1, LONGEST + 1):
         own = names.filter(F.col("n") == n)
         bits = min(1 << 27, 1 << max(20, (256 * own.count()).bit_length()))
         filters.append(np.frombuffer(bitmap(own, "key", bits), np.uint8))
     wanted = names.unionByName(docs.sparkSession.range(1).select(F.lit(0).cast("byte").alias("n"), F.lit(0).cast("long").alias("key")))
-    spelled = parts.select("text", "lang").mapInArrow(_spell(filters), "n byte, key long, lang string, phrase string, c long")
+    spelled = _larger(parts.select("text", "lang")).mapInArrow(_spell(filters), "n byte, key long, lang string, phrase string, c long")
     counted = (spelled.join(wanted, ["n", "key"], "left_semi").groupBy("n", "key", "lang", "phrase").agg(F.sum("c").alias("f"))
                .filter((F.col("f") >= least) | (F.col("n") == 0)))
     return staged(counted.select("n", "lang", "phrase", "f"), "phrases")

@@ -200,7 +200,8 @@ def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         name, place = name[new_doc], order[new_doc]
         first = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]])) if len(name) else np.empty(0, np.int64)
         at = place[first]
-        sums.add(name[first], np.diff(np.append(first, len(name))), lang[words.doc[at]], grams.Spelled(words, KIND[1]).phrases(at, 1))
+        sums.add(name[first], np.diff(np.append(first, len(name))), lang[words.doc[at]],
+                 lambda new: grams.Spelled(words, KIND[1]).phrases(at[new], 1))
         if sums.ready():
             yield from sent()
     yield from sent()

@@ -17,6 +17,8 @@ from augsight.llm.words import Words, mix, signed, split_words
 
 #: Names that wait in a task before they are summed and sent on, and rows of a batch that is sent.
 WAITING, ROWS = 1 << 21, 1 << 16
+#: New names that are sorted in at once.
+NEW = 1 << 17
 _NEXT = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -68,63 +70,97 @@ class Spelled:
 
 
 class Sums:
-    """Counts by key; ``ready`` gives the summed keys once many wait, ``rest`` those that are left."""
+    """Counts by key.  Keys wait until there are ``WAITING``, are summed then, and are ready once half as many differ."""
 
     def __init__(self):
-        self.keys, self.counts, self.waiting = [], [], 0
+        self.keys: list[np.ndarray] = []
+        self.counts: list[np.ndarray | None] = []
+        self.waiting = 0
 
     def add(self, keys: np.ndarray, counts: np.ndarray | None = None) -> None:
+        """Keys with their counts, or keys that count once each."""
         if len(keys):
             self.keys.append(keys)
-            self.counts.append(np.ones(len(keys), np.int64) if counts is None else counts)
+            self.counts.append(counts)
             self.waiting += len(keys)
 
     def rest(self) -> tuple[np.ndarray, np.ndarray]:
+        """The sorted keys and their sums."""
         if not self.keys:
             return np.empty(0, np.uint64), np.empty(0, np.int64)
-        keys, counts = np.concatenate(self.keys), np.concatenate(self.counts)
-        order = np.argsort(keys)
-        keys = keys[order]
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        keys, counts = np.concatenate(self.keys), self.counts
+        sizes = [len(k) for k in self.keys]
         self.__init__()
-        return keys[first], np.add.reduceat(counts[order], first)
+        if all(c is None for c in counts):
+            keys.sort()
+            first = _firsts(keys)
+            return keys[first], np.diff(np.append(first, len(keys)))
+        order = np.argsort(keys)
+        keys, first = keys[order], _firsts(keys[order])
+        every = np.concatenate([np.ones(n, np.int64) if c is None else c for n, c in zip(sizes, counts)])
+        return keys[first], np.add.reduceat(every[order], first)
 
     def ready(self) -> bool:
-        return self.waiting >= WAITING
+        if self.waiting < WAITING:
+            return False
+        self.add(*self.rest())
+        return self.waiting >= WAITING // 2
+
+
+def _firsts(ordered: np.ndarray) -> np.ndarray:
+    """Where each distinct value of a sorted array begins."""
+    return np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.empty(0, np.int64)
 
 
 class SpelledSums:
-    """Counts by name with the language and the spelling of each name."""
+    """Counts by name with the language and the spelling of each name, which is cut out only where a name is new."""
 
     def __init__(self):
+        self.names, self.counts, self.langs = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int32)
+        self.spelled = pa.array([], pa.large_string())
         self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]] = []
         self.waiting = 0
 
-    def add(self, names: np.ndarray, counts: np.ndarray, langs: np.ndarray, spelled: pa.Array) -> None:
-        if len(names):
-            self.parts.append((names, counts, langs, spelled))
-            self.waiting += len(names) + spelled.nbytes // 32
+    def add(self, names: np.ndarray, counts: np.ndarray, langs: np.ndarray, spell) -> None:
+        """Distinct sorted names; ``spell`` gives the spellings of some of them by place."""
+        at = np.searchsorted(self.names, names)
+        known = self.names[np.minimum(at, len(self.names) - 1)] == names if len(self.names) else np.zeros(len(names), bool)
+        self.counts[at[known]] += counts[known]
+        new = np.flatnonzero(~known)
+        if len(new):
+            self.parts.append((names[new], counts[new], langs[new].astype(np.int32), spell(new)))
+            self.waiting += len(new)
+        if self.waiting >= NEW:
+            self._settle()
+
+    def _settle(self) -> None:
+        """Sort the new names in."""
+        parts = [(self.names, self.counts, self.langs, self.spelled), *self.parts]
+        names, counts, langs = (np.concatenate(x) for x in list(zip(*parts))[:3])
+        spelled = pa.concat_arrays([p[3] for p in parts])
+        order = np.argsort(names, kind="stable")
+        names = names[order]
+        first = _firsts(names)
+        self.names, self.langs = names[first], langs[order[first]]
+        self.counts = np.add.reduceat(counts[order], first) if len(first) else counts
+        self.spelled = spelled.take(pa.array(order[first]))
+        self.parts, self.waiting = [], 0
 
     def ready(self) -> bool:
-        return self.waiting >= WAITING
+        return len(self.names) >= WAITING // 2
 
     def rest(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
-        if not self.parts:
-            return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), pa.array([], pa.large_string())
-        names, counts, langs = (np.concatenate(x) for x in list(zip(*self.parts))[:3])
-        spelled = pa.concat_arrays([p[3] for p in self.parts])
-        order = np.argsort(names, kind="stable")
-        ordered = names[order]
-        first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        self._settle()
+        out = self.names, self.counts, self.langs, self.spelled
         self.__init__()
-        return ordered[first], np.add.reduceat(counts[order], first), langs[order[first]], spelled.take(pa.array(order[first]))
+        return out
 
 
 def unique_counts(names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct names, a place of each, and how often each occurs."""
     order = np.argsort(names)
     ordered = names[order]
-    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(names) else np.empty(0, np.int64)
+    first = _firsts(ordered)
     return ordered[first], order[first], np.diff(np.append(first, len(names)))
 
 
