@@ -41,3 +41,18 @@ def test_models_of_one_view_share_its_grams(spark, monkeypatch):
         alone = bayes.cross_validate(grams.withColumn("n_max", F.lit(n)), docs, [0.1, 1.0]).collect()
         assert {(r.smoothing, r.id): r.y_pred for r in shared if r.run == name} == {(r.smoothing, r.id): r.y_pred for r in alone}
     assert len(shared) == 160
+
+
+def test_terms_stay_in_their_blocks(spark, monkeypatch):
+    monkeypatch.setattr(gr, "LEAST_BYTES", 64)
+    rows = [(i, [f"w{(i * j) % 7}" for j in range(i % 6)]) for i in range(30)] + [(3, ["w0", "w1"])]  # an id twice is one document
+    docs = features.materialize(spark.createDataFrame(rows, "id long, tokens array<string>"))
+    weights, vocab, n = features.tfidf(docs, n_max=2, min_df=2)
+    assert not [x for x in weights._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in x and "term" in x]
+    tf = features.term_frequencies(docs, n_max=2)
+    want = {(r.term, r.df) for r in features.document_frequency(tf, n, 2).collect()}
+    assert {(r.term, r.df) for r in vocab.collect()} == want == {tuple(r) for r in features.document_frequencies(docs, n, 2, n_max=2).collect()}
+    got = {(r.id, r.term): (r.tf, round(r.weight, 12)) for r in weights.collect()}
+    assert {k: v[0] for k, v in got.items()} == {(r.id, r.term): r.tf for r in tf.collect() if r.term in dict(want)}
+    again = features.tfidf(docs, n_max=2, vocab=vocab, n_docs=n)[0]
+    assert {(r.id, r.term): (r.tf, round(r.weight, 12)) for r in again.collect()} == got
