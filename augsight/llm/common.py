@@ -11,19 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from augsight.session import checkpoint_dir
-
-
-#: Bytes of an Arrow batch, unless the session names another size than Spark's own 64 MB: texts are worked on
-#: a part of a batch at a time, and smaller batches keep buffers small on both sides of the pipe.
-ARROW_BYTES = "4m"
-_ARROW_KEY, _ARROW_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
-
-
-def small_batches(spark: SparkSession) -> None:
-    size = spark.conf.get(_ARROW_KEY).lower()
-    if size in (f"{_ARROW_DEFAULT}b", f"{_ARROW_DEFAULT}", "64m", "64mb"):
-        spark.conf.set(_ARROW_KEY, ARROW_BYTES)
+from augsight.session import checkpoint_dir, small_batches
 
 
 def scratch(spark: SparkSession, name: str) -> str:

@@ -64,10 +64,24 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("WARN")
+    small_batches(spark)
     ship_package(spark)
     return spark
 
 
+#: Bytes of an Arrow batch, unless the session names another size than Spark's own 64 MB: a plug-in's Python
+#: objects take many times its texts.
+ARROW_BYTES = "4m"
+_ARROW_KEY, _ARROW_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Batches of ``ARROW_BYTES`` for every plug-in, whatever the length of the texts."""
+    size = spark.conf.get(_ARROW_KEY).lower()
+    if size in (f"{_ARROW_DEFAULT}b", f"{_ARROW_DEFAULT}", "64m", "64mb"):
+        spark.conf.set(_ARROW_KEY, ARROW_BYTES)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package's source to the executors, once per session, so that workers started anywhere import it."""
     sc = spark.sparkContext

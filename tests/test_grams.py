@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from augsight.operators import bayes, features
+from augsight.operators import bayes, features, plugins
 from augsight.operators import grams as gr
 
 TEXTS = [["a", "b", "a", "b", "a"], [], ["b"], ["é", "a\x00", "a", "b", "x" * 5000], ["a", "b"] * 40, None]
@@ -56,3 +56,16 @@ def test_terms_stay_in_their_blocks(spark, monkeypatch):
     assert {k: v[0] for k, v in got.items()} == {(r.id, r.term): r.tf for r in tf.collect() if r.term in dict(want)}
     again = features.tfidf(docs, n_max=2, vocab=vocab, n_docs=n)[0]
     assert {(r.id, r.term): (r.tf, round(r.weight, 12)) for r in again.collect()} == got
+
+
+def test_plugins_get_small_batches(spark):
+    import __spark_entry__ as e
+    from augsight import session
+    e._shipped(lambda s, d: None)(spark, "")
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == session.ARROW_BYTES
+
+    def tokenizer(texts):
+        return [[str(sum(map(len, texts)))] for _ in texts]
+    long = spark.range(0, 400, 1, 1).select(F.repeat(F.lit("a"), 100_000).alias("text"))
+    sizes = [int(r[0][0]) for r in long.select(plugins.tokenize_with("text", tokenizer).alias("t")).collect()]
+    assert len(sizes) == 400 and max(sizes) < 6 << 20  # 40 MB in one batch before
