@@ -260,13 +260,22 @@ def decode_argument_literal(col: str | Column) -> Column:
     return F.coalesce(fast, _literal_arguments(F.when(fast.isNull(), c)))
 
 
-def py_repr_string(s: Column) -> Column:
-    """Column rendering of Python's ``repr(str)`` (backslash, newline, tab, CR escaped)."""
+def _escaped(s: Column) -> Column:
     s = F.replace(s, F.lit("\\"), F.lit("\\\\"))
-    s = F.replace(F.replace(F.replace(s, F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r")),
-                  F.lit("\t"), F.lit("\\t"))
-    has_single = s.contains("'")
-    has_double = s.contains('"')
+    return F.replace(F.replace(F.replace(s, F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r")), F.lit("\t"), F.lit("\\t"))
+
+
+def _quoted(s: Column) -> Column:
     dq = F.concat(F.lit('"'), s, F.lit('"'))
     sq = F.concat(F.lit("'"), F.replace(s, F.lit("'"), F.lit("\\'")), F.lit("'"))
-    return F.when(has_single & ~has_double, dq).otherwise(sq)
+    return F.when(s.contains("'") & ~s.contains('"'), dq).otherwise(sq)
+
+
+def py_repr_string(s: Column) -> Column:
+    """Column rendering of Python's ``repr(str)`` (backslash, newline, tab, CR escaped)."""
+    return _quoted(_escaped(s))
+
+
+def py_repr_strings(strings: Column) -> Column:
+    """The same of every string of an array; each is escaped once, however often its quotes are looked at."""
+    return F.transform(F.transform(strings, _escaped), _quoted)

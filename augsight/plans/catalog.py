@@ -671,15 +671,19 @@ def q_literal_tokens(spark, d):
 def q_literal_arguments(spark, d):
     """Every sentence of a text as an argument (where it first starts, its place as type)."""
     c = corpus(spark, d).select("id", "text", tx.sentences("text").alias("s"))
-
-    def arg(s, i):
-        start = F.instr(F.col("text"), s) - 1
-        return F.concat(F.lit("{'start': "), start.cast("string"), F.lit(", 'end': "),
-                        (start + F.length(s)).cast("string"), F.lit(", 'type': "), i.cast("string"),
-                        F.lit(", 'text': "), plugins.py_repr_string(s), F.lit("}"))
-    lit = F.concat(F.lit("["), F.array_join(F.transform("s", arg), ", "), F.lit("]"))
-    dec = c.select("id", plugins.decode_argument_literal(lit).alias("a"))
-    return dec.select("id", F.inline("a")).select("id", "type", "start", "end", "text")
+    # Columns of their own: a start is looked for once, and a literal is written once for all that read it.
+    starts = F.transform("s", lambda s: F.instr(F.col("text"), s) - 1)
+    c = c.select("id", "s", starts.alias("starts"), plugins.py_repr_strings(F.col("s")).alias("written"))
+
+    def arg(x, i):
+        return F.concat(F.lit("{'start': "), x["starts"].cast("string"), F.lit(", 'end': "),
+                        (x["starts"] + F.length(x["s"])).cast("string"), F.lit(", 'type': "), i.cast("string"),
+                        F.lit(", 'text': "), x["written"], F.lit("}"))
+    lit = F.concat(F.lit("["), F.array_join(F.transform(F.arrays_zip("s", "starts", "written"), arg), ", "), F.lit("]"))
+    dec = c.select("id", lit.alias("lit")).select("id", plugins.decode_argument_literal("lit").alias("a"))
+    # Without "outer" Spark infers a filter on the decoded array, which decodes everything once more.
+    each = dec.select("id", F.posexplode_outer("a").alias("pos", "a")).where("pos is not null")
+    return each.select("id", "a.type", "a.start", "a.end", "a.text")
 
 
 @register("svm_report")

@@ -69,3 +69,13 @@ def test_plugins_get_small_batches(spark):
     long = spark.range(0, 400, 1, 1).select(F.repeat(F.lit("a"), 100_000).alias("text"))
     sizes = [int(r[0][0]) for r in long.select(plugins.tokenize_with("text", tokenizer).alias("t")).collect()]
     assert len(sizes) == 400 and max(sizes) < 6 << 20  # 40 MB in one batch before
+
+
+def test_argument_literals_are_written_once(spark):
+    import __spark_entry__ as e
+    said = ["it's", 'say "x"', "a'b\"c", "tab\t\\n\nx", ""]
+    rows = spark.createDataFrame([(said,)], "s array<string>").select(plugins.py_repr_strings(F.col("s")).alias("r"), F.transform("s", plugins.py_repr_string).alias("one"))
+    got = rows.first()
+    assert got["r"] == got["one"] and [eval(x) for x in got["r"]] == said
+    plan = e.queries()["literal_arguments"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("instr(") == 1  # a place is looked for once, not for every column that reads it
