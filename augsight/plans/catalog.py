@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from augsight.functions import text as tx
 from augsight.functions import arrays
 from augsight.functions.rules import predict_language
-from augsight.operators import (augment, bayes, classify, dedup, extract, features, imbalance, metrics, plugins, positions, rouge, sentences, splits,
-                                trainset)
+from augsight.operators import (augment, bayes, classify, dedup, extract, features, grams, imbalance, metrics, plugins, positions, rouge, sentences,
+                                splits, trainset)
 from augsight.sources.tables import table
 from augsight.operators.small import collect_small
 from augsight.session import checkpoint_dir
@@ -631,9 +631,9 @@ def q_translate_plugin(spark, d):
 def q_batch_inference_report(spark, d):
     """Every text by naive Bayes fitted on the train split."""
     train = _split_plain(spark, d).where(F.col("split") == "train")
-    docs = features.materialize(_token_docs(spark, d), "augsight-docs")
+    docs = features.materialize(_token_docs(spark, d).select("id", grams.joined("tokens").alias("tokens")), "augsight-docs")
     mapping = trainset.label_mapping(train)
-    fitted = bayes.fit(docs.join(train.select("id", "event_type"), "id"), "tokens", "event_type", smoothing=NB_SMOOTHING)
+    fitted = bayes.fit(docs, "tokens", "event_type", smoothing=NB_SMOOTHING, labels=train.select("id", "event_type"))
     pred = bayes.predict(docs, "tokens", fitted).join(trainset.small_table(mapping), F.col("y_pred") == F.col("event_type"))
     raw = pred.select("id", F.concat(F.lit("LABEL_"), F.col("label_id")).alias("model_label"))
     named = plugins.decode_predictions(corpus(spark, d).select("id", F.col("event_type").alias("y_true")).join(raw, "id"), mapping)

@@ -43,6 +43,24 @@ def test_models_of_one_view_share_its_grams(spark, monkeypatch):
     assert len(shared) == 160
 
 
+def test_a_model_is_counted_and_looked_up_in_blocks(spark, monkeypatch):
+    """No row for each occurrence of a term; labels in the rows or beside them, tokens as arrays or joined, few blocks or many."""
+    rows = [(i, "abc"[i % 3] if i < 30 else None, [f"{'abc'[i % 3]}{(i * j) % 5}" for j in range(i % 6)] + ["z"]) for i in range(45)] + [(50, None, None), (51, "c", [])]
+    docs = features.materialize(spark.createDataFrame(rows, "id long, label string, tokens array<string>"))
+    one = bayes.predict(docs, "tokens", bayes.fit(docs, "tokens", "label", 2, 0.5), 2)
+    want = {r.id: r.y_pred for r in one.collect()}
+    assert len(want) == 47 and want[50] == want[51] == "c"
+    monkeypatch.setattr(gr, "LEAST_BYTES", 64)
+    joined = features.materialize(docs.select("id", gr.joined("tokens").alias("tokens")))
+    many = bayes.fit(joined, "tokens", "label", 2, 0.5, labels=docs.select("id", "label"))
+    assert many.terms.count() > 2
+    for fitted in (many, bayes.fit(docs, "tokens", "label", 2, 0.5)):
+        pred = bayes.predict(joined, "tokens", fitted, 2)
+        assert {r.id: r.y_pred for r in pred.collect()} == want
+        assert "Generate" not in pred._jdf.queryExecution().executedPlan().toString()
+    assert bayes.predict(docs, "tokens", bayes.fit(docs.where("id < 0"), "tokens", "label")).count() == 0
+
+
 def test_terms_stay_in_their_blocks(spark, monkeypatch):
     monkeypatch.setattr(gr, "LEAST_BYTES", 64)
     rows = [(i, [f"w{(i * j) % 7}" for j in range(i % 6)]) for i in range(30)] + [(3, ["w0", "w1"])]  # an id twice is one document
