@@ -76,6 +76,31 @@ def test_svm_reaches_the_optimum(spark, monkeypatch, parts, numbers):
         assert own <= best * (1 + 1e-3)
 
 
+def test_svm_products_read_the_documents_inside_the_margin(spark):
+    """The others add nothing to them; a class that is there already asks for no document."""
+    rows, docs, tf = svm_tables(spark, 4, 80)
+    members = docs.select(F.lit(0).alias("model"), F.lit("train").alias("role"), "id", "label_id")
+    vocab = features.materialize(svm.numbered(svm.training_idf(tf, members, 2, 1.0), 3))
+    blocks = features.materialize(svm.document_blocks(members, svm.weights(tf, members, vocab), 4))
+    rng = np.random.default_rng(5)
+    kept, states = {}, []
+    for b in blocks.collect():
+        margins = rng.normal(0, 2, (len(b.ids), 3))
+        y = np.where(np.array(b.labels)[:, None] == np.arange(3), 1, -1)
+        kept |= {(i, k): y[n, k] * margins[n, k] < 1 for n, i in enumerate(b.ids) for k in range(3)}
+        states.append((b.model, b.role, b.part, bytearray(margins.tobytes())))
+    state = spark.createDataFrame(states, "model int, role string, part int, data binary")
+    whole = {i: (b.labels[n], dict(zip((b.terms[c] for c in b.columns[b.first[n]:b.first[n + 1]]), b.entries[b.first[n]:b.first[n + 1]])))
+             for b in blocks.collect() for n, i in enumerate(b.ids)}
+    for going in ([True] * 3, [False, True, False], [False] * 3):
+        found = {}
+        for b in svm._inside(blocks, state, 3, {0: np.array(going)}).collect():
+            assert len(b.margins) == 24 * len(b.ids) and sorted(set(b.columns)) == list(range(len(b.terms)))
+            found |= {i: (b.labels[n], dict(zip((b.terms[c] for c in b.columns[b.first[n]:b.first[n + 1]]), b.entries[b.first[n]:b.first[n + 1]])))
+                      for n, i in enumerate(b.ids)}
+        assert found == {i: whole[i] for i in whole if any(kept[i, k] and going[k] for k in range(3))}
+
+
 def test_svm_is_the_same_twice_and_predicts_every_row(spark):
     rows, docs, _ = svm_tables(spark, 2, 90)
     train, test = docs.where("id < 60"), docs.where("id >= 60").unionByName(spark.createDataFrame([(500, [], 1), (501, ["never seen"], 2)], docs.schema))
